@@ -13,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .alphabet import CANONICAL
+from .binding import let
 
 PAIR_T = "array<struct<i:int,j:int>>"
 
@@ -101,6 +102,24 @@ def stem_runs(pairs: Column) -> Column:
         (here(t)["i"] == before(t)["i"] + 1) & (here(t)["j"] == before(t)["j"] - 1)))
 
 
+def anatomy(sequence: Column, structure: Column) -> Column:
+    """struct(pairs, canonical, stems, eligible, chars) of one unit, each part evaluated once.
+
+    Stems are formed only where opens and closes agree in number.
+    """
+    none = F.array().cast(PAIR_T)
+
+    def with_canonical(chars, pairs, canon):
+        stems = let(stem_runs(canon), lambda runs: stems_from_runs(canon, runs))
+        return let(stems, lambda st: F.struct(
+            pairs.alias("pairs"), canon.alias("canonical"), st.alias("stems"),
+            eligible(st, chars).alias("eligible"), chars.alias("chars")))
+
+    return let(symbols(sequence), lambda chars: let(match_pairs(structure), lambda pairs: let(
+        F.when(equal_counts(structure), canonical(pairs, chars)).otherwise(none),
+        lambda canon: with_canonical(chars, pairs, canon))))
+
+
 def stems_from_runs(pairs: Column, runs: Column) -> Column:
     """One entry per pair: stem_id, k (position in stem), len, i, j."""
     def one(start, m):
@@ -129,11 +148,14 @@ def is_deep(k: Column, length: Column) -> Column:
 
 def partner_array(pairs: Column, length: Column) -> Column:
     """Partner of every position, null where unpaired."""
-    both = F.concat(
-        F.transform(pairs, lambda p: F.struct(p["i"].alias("pos"), p["j"].alias("mate"))),
-        F.transform(pairs, lambda p: F.struct(p["j"].alias("pos"), p["i"].alias("mate"))))
     everywhere = F.when(length > 0, F.sequence(F.lit(0), length - 1)) \
         .otherwise(F.array().cast("array<int>"))
-    free = F.array_except(everywhere, F.transform(both, lambda e: e["pos"]))
-    alone = F.transform(free, lambda p: F.struct(p.alias("pos"), F.lit(None).cast("int").alias("mate")))
-    return F.transform(F.sort_array(F.concat(both, alone)), lambda e: e["mate"])
+
+    def build(both):
+        free = F.array_except(everywhere, F.transform(both, lambda e: e["pos"]))
+        alone = F.transform(free, lambda p: F.struct(p.alias("pos"), F.lit(None).cast("int").alias("mate")))
+        return F.transform(F.sort_array(F.concat(both, alone)), lambda e: e["mate"])
+
+    return let(F.concat(
+        F.transform(pairs, lambda p: F.struct(p["i"].alias("pos"), p["j"].alias("mate"))),
+        F.transform(pairs, lambda p: F.struct(p["j"].alias("pos"), p["i"].alias("mate")))), build)

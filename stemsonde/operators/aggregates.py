@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import brackets as B
 from ..functions.alphabet import CANONICAL
+from ..functions.binding import inline_rows
 from ..functions.draws import draw_index
 from ..functions.vectors import guarded_ratio
 from .joins import salted_join
@@ -166,7 +167,7 @@ def duplicate_members(units: DataFrame, content: Column, unit: str = "unit_id")
 
 def pair_types(units: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     """The two symbols of every matched pair."""
-    got = units.select(*carry, B.symbols(F.col("sequence")).alias("__c"), F.inline(B.match_pairs(F.col("structure"))))
+    got = inline_rows(units, [*carry, B.symbols(F.col("sequence")).alias("__c")], B.match_pairs(F.col("structure")), "i")
     return got.withColumn("pair_type", F.concat(F.get("__c", F.col("i")), F.get("__c", F.col("j")))).drop("__c")
 
 

@@ -15,11 +15,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import brackets as B
+from ..functions.binding import explode_rows, let
 from ..functions.draws import draw
 from ..functions.vectors import cosine_distance, mean_of
 from .joins import salted_join
 from .ranking import bounded_percentile, draw_rank, first_by
-from .structure import annotate
 
 UNIT = "unit_id"
 
@@ -28,10 +28,20 @@ UNIT = "unit_id"
 
 def unit_frame(units: DataFrame) -> DataFrame:
     """unit_id, chars, eligible, and every position's mate in a canonical stem."""
-    a = annotate(units)
-    ends = F.transform("stems", lambda s: F.struct(s["i"].alias("i"), s["j"].alias("j")))
-    return a.select(UNIT, B.symbols(F.col("sequence")).alias("chars"), "eligible",
-                    B.partner_array(ends, F.length("sequence")).alias("mate"))
+    a = units.select(UNIT, F.length("sequence").alias("__n"), B.anatomy(F.col("sequence"), F.col("structure")).alias("__a"))
+    ends = F.transform("__a.stems", lambda s: F.struct(s["i"].alias("i"), s["j"].alias("j")))
+    return a.select(UNIT, F.col("__a.chars").alias("chars"), F.col("__a.eligible").alias("eligible"),
+                    B.partner_array(ends, F.col("__n")).alias("mate"))
+
+
+def spread(units: DataFrame) -> DataFrame:
+    """Units hashed by name before a stage that makes thousands of cells per unit.
+
+    The rows that move are thin, and every later per-unit aggregate finds its
+    input already placed.
+    """
+    n = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return units.repartition(n, UNIT)
 
 
 def pack_profiles(deltas: DataFrame, pos: str = "pos", mut: str = "mut_pos") -> DataFrame:
@@ -65,7 +75,7 @@ def map_profiles(units: DataFrame, layers: int, value: Callable[[Column, Column,
     ``value(row_pair, char, pos)`` is the distance of one position; the mutated
     position has none.
     """
-    rows = unit_frame(units).select("*", F.explode("eligible").alias("me")).select(
+    rows = explode_rows(unit_frame(spread(units)), "eligible", "me").select(
         "*", F.explode(F.sequence(F.lit(0), F.lit(layers - 1))).alias("layer"))
     rows = rows.withColumn("i", F.col("me.i"))
     d = F.transform("chars", lambda c, k: F.when(k != F.col("i"), value(F.col("me"), c, k)))
@@ -93,22 +103,32 @@ def _at(pos: Column) -> Column:
 # ------------------------------------------------------- specificity per pair
 
 def pair_scores(attached: DataFrame) -> DataFrame:
-    """PS of every pair and layer; a pair with an absent delta gives no row."""
+    """PS of every pair and layer; null where one of the three deltas is absent.
+
+    Absence is a null rather than a filter: a filter on a value read out of the
+    profile would be pushed below the profile and evaluate it again.
+    """
     me = F.col("me")
-    s = attached.withColumns({"d_partner": _at(me["j"]), "d_prev": _at(me["j_prev"]), "d_next": _at(me["j_next"])})
-    s = s.filter(F.col("d_partner").isNotNull() & F.col("d_prev").isNotNull() & F.col("d_next").isNotNull())
-    adj = F.greatest("d_prev", "d_next")
-    nearer = F.when(me["i"] < me["j"], F.col("d_prev") > F.col("d_next")).otherwise(F.col("d_next") > F.col("d_prev"))
-    return s.withColumns({"ps": F.col("d_partner") - adj, "partner_is_max": F.col("d_partner") > adj,
-                          "nearer_larger": nearer, "deep": B.is_deep(me["k"], me["len"])})
+
+    def score(p, before, after):
+        ok = p.isNotNull() & before.isNotNull() & after.isNotNull()
+        adj = F.greatest(before, after)
+        nearer = F.when(me["i"] < me["j"], before > after).otherwise(after > before)
+        return F.struct(F.when(ok, p - adj).alias("ps"), F.when(ok, p > adj).alias("partner_is_max"),
+                        F.when(ok, nearer).alias("nearer_larger"))
+
+    got = let(F.col("d"), lambda d: score(F.get(d, me["j"]), F.get(d, me["j_prev"]), F.get(d, me["j_next"])))
+    return attached.withColumn("__s", got).select(
+        *attached.columns, F.col("__s.ps").alias("ps"), F.col("__s.partner_is_max").alias("partner_is_max"),
+        F.col("__s.nearer_larger").alias("nearer_larger"), B.is_deep(me["k"], me["len"]).alias("deep"))
 
 
 def specificity_by_layer(pairs: DataFrame) -> DataFrame:
     """Mean PS and deep-pair precision at every layer."""
     hit = F.when(F.col("deep"), F.col("partner_is_max").cast("double"))
     return pairs.groupBy(UNIT, "layer").agg(
-        F.avg("ps").alias("ps"), F.count(F.lit(1)).alias("n_pairs"),
-        F.avg(hit).alias("precision"), F.count_if("deep").alias("n_deep"))
+        F.avg("ps").alias("ps"), F.count("ps").alias("n_pairs"),
+        F.avg(hit).alias("precision"), F.count(hit).alias("n_deep"))
 
 
 def partner_specificity(pairs: DataFrame) -> DataFrame:
@@ -125,13 +145,14 @@ def at_best(pairs: DataFrame, best: DataFrame) -> DataFrame:
 def nearer_larger(pairs_at_best: DataFrame) -> DataFrame:
     """How often the neighbour on the near side carries the larger delta."""
     return pairs_at_best.groupBy(UNIT).agg(F.avg(F.col("nearer_larger").cast("double")).alias("nearer_larger"),
-                                           F.count(F.lit(1)).alias("n_pairs"))
+                                           F.count("nearer_larger").alias("n_pairs"))
 
 
 def h3_precision(pairs_at_best: DataFrame) -> DataFrame:
     """Partner-is-max count over deep pairs at the best layer; the p-value is ``binom_test``."""
     return pairs_at_best.groupBy(UNIT).agg(
-        F.count_if("deep").alias("h3_n"), F.count_if(F.col("deep") & F.col("partner_is_max")).alias("h3_hits")) \
+        F.count_if(F.col("deep") & F.col("ps").isNotNull()).alias("h3_n"),
+        F.count_if(F.col("deep") & F.col("partner_is_max")).alias("h3_hits")) \
         .withColumn("h3_fraction", F.when(F.col("h3_n") > 0, F.col("h3_hits") / F.col("h3_n")).otherwise(0.0))
 
 
@@ -142,11 +163,17 @@ def positive_control(attached: DataFrame, best: DataFrame) -> DataFrame:
     two pairs.  The gate is t > 0 and p < 0.05.
     """
     rows = at_best(attached, best)
-    part = lambda inside: mean_of(F.filter(F.col("d"), lambda x, k: x.isNotNull() & (F.get("mate", k).isNotNull() == inside)))
-    both = rows.withColumns({"s": part(F.lit(True)), "u": part(F.lit(False))}).filter(
-        F.col("s").isNotNull() & F.col("u").isNotNull()).withColumn("diff", F.col("s") - F.col("u"))
-    g = both.groupBy(UNIT).agg(F.count(F.lit(1)).alias("n"), F.avg("s").alias("mean_stem"), F.avg("u").alias("mean_loop"),
-                               F.avg("diff").alias("__m"), F.stddev_samp("diff").alias("__sd"))
+
+    def means(d, mate):
+        part = lambda inside: mean_of(F.filter(d, lambda x, k: x.isNotNull() & (F.get(mate, k).isNotNull() == F.lit(inside))))
+        return F.struct(part(True).alias("s"), part(False).alias("u"))
+
+    both = rows.select(UNIT, means(F.col("d"), F.col("mate")).alias("m"))
+    ok = F.col("m.s").isNotNull() & F.col("m.u").isNotNull()
+    pick = lambda c: F.when(ok, c)
+    g = both.groupBy(UNIT).agg(
+        F.count_if(ok).alias("n"), F.avg(pick(F.col("m.s"))).alias("mean_stem"), F.avg(pick(F.col("m.u"))).alias("mean_loop"),
+        F.avg(F.col("m.s") - F.col("m.u")).alias("__m"), F.stddev_samp(F.col("m.s") - F.col("m.u")).alias("__sd"))
     t = F.when((F.col("n") >= 2) & (F.col("__sd") > 0), F.col("__m") / (F.col("__sd") / F.sqrt("n")))
     return g.withColumn("t", t).drop("__m", "__sd")
 
@@ -225,10 +252,10 @@ def permutation_null_packed(units: DataFrame, reps: int, seed: str) -> DataFrame
     order = F.transform(F.sort_array(F.transform(where, lambda p: F.struct(
         F.get("__block", p).alias("s"), draw(seed, F.col("rep"), F.col(UNIT), p).alias("h"), p.alias("p")))), lambda e: e["p"])
     r = u.select(UNIT, "layers", "__slot", "__block", "labels",
-                 F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep")).withColumn("__order", order)
+                 F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
 
-    def ratio(d):
-        put = F.zip_with("__order", "__slot", lambda p, l: F.struct(l.alias("l"), F.get(d, p).alias("x")))
+    def ratio(d, order):
+        put = F.zip_with(order, "__slot", lambda p, l: F.struct(l.alias("l"), F.get(d, p).alias("x")))
         start = F.struct(F.lit(0.0).alias("sp"), F.lit(0).alias("np"), F.lit(0.0).alias("su"), F.lit(0).alias("nu"))
         def step(a, e):
             ok, is_p = e["x"].isNotNull(), e["l"] == 0
@@ -241,7 +268,7 @@ def permutation_null_packed(units: DataFrame, reps: int, seed: str) -> DataFrame
             return F.when((a["np"] > 0) & (a["nu"] > 0), F.when(mu > 1e-10, a["sp"] / a["np"] / mu).otherwise(0.0))
         return F.aggregate(put, start, step, done)
 
-    best = F.array_max(F.transform("layers", lambda l: ratio(l["d"])))
+    best = let(order, lambda o: F.array_max(F.transform("layers", lambda l: ratio(l["d"], o))))
     return r.select(UNIT, "rep", F.greatest(F.coalesce(best, F.lit(0.0)), F.lit(0.0)).alias("null_max"))
 
 
@@ -344,11 +371,13 @@ def chance_per_layer(replicates: DataFrame) -> DataFrame:
 
 def canonical_frame(units: DataFrame) -> DataFrame:
     """unit_id, chars, all canonical pairs, and which positions are in none."""
-    a = annotate(units, keep_pairs=True)
-    mate = B.partner_array(F.col("canonical"), F.length("sequence"))
-    free = F.filter(F.sequence(F.lit(0), F.length("sequence") - 1), lambda p: F.get("__mate", p).isNull())
-    return (a.filter(F.length("sequence") > 0).withColumn("__mate", mate)
-            .select(UNIT, B.symbols(F.col("sequence")).alias("chars"), "canonical", "__mate", free.alias("free")))
+    a = units.filter(F.length("sequence") > 0).select(
+        UNIT, F.length("sequence").alias("__n"), B.anatomy(F.col("sequence"), F.col("structure")).alias("__a"))
+    more = let(B.partner_array(F.col("__a.canonical"), F.col("__n")), lambda mate: F.struct(
+        mate.alias("mate"), F.filter(F.sequence(F.lit(0), F.col("__n") - 1),
+                                     lambda p: F.get(mate, p).isNull()).alias("free")))
+    return a.select(UNIT, F.col("__a.chars").alias("chars"), F.col("__a.canonical").alias("canonical"), more.alias("__m")) \
+        .select(UNIT, "chars", "canonical", F.col("__m.mate").alias("__mate"), F.col("__m.free").alias("free"))
 
 
 def coupling_ratio(units: DataFrame, profiles: DataFrame, background: int = 10, min_pairs: int = 15) -> DataFrame:
@@ -421,7 +450,7 @@ def decoys_of(scope: str, which: str) -> Column:
 
 
 def _deep_rows(units: DataFrame) -> DataFrame:
-    rows = unit_frame(units).select("*", F.explode("eligible").alias("me"))
+    rows = explode_rows(unit_frame(units), "eligible", "me")
     return rows.filter(B.is_deep(F.col("me.k"), F.col("me.len")))
 
 
@@ -440,7 +469,7 @@ def complementary_decoys(units: DataFrame, scope: str = "stem") -> DataFrame:
               & (F.abs(o["j"] - me["j"]) > 1) & (o["j"] != me["i"]))
         return ok & (o["stem_id"] == me["stem_id"]) if scope == "stem" else ok
 
-    rows = unit_frame(units).select("*", F.explode("eligible").alias("me"))
+    rows = explode_rows(unit_frame(units), "eligible", "me")
     return rows.select(UNIT, F.col("me.i").alias("i"), F.col("me.j").alias("j"), F.explode(
         F.transform(F.filter("eligible", test), lambda o: o["j"])).alias("decoy"))
 
@@ -473,15 +502,17 @@ def decoy_rate(attached: DataFrame, scope: str = "family", which: str = "all") -
     """Partner-beats-decoy rate per unit and layer: 1, 0.5 or 0 per comparison, mean
     per pair, then per unit; with pairs, comparisons and ties."""
     me = F.col("me")
-    r = attached.filter(B.is_deep(me["k"], me["len"])).withColumn("__p", _at(me["j"]))
-    other = F.filter(F.transform(decoys_of(scope, which), lambda o: _at(o["j"])), lambda x: x.isNotNull())
-    r = r.filter(F.col("__p").isNotNull()).withColumn("__o", other)
-    mark = F.transform("__o", lambda x: F.when(F.col("__p") > x, 1.0).when(F.col("__p") == x, 0.5).otherwise(0.0))
-    r = r.withColumn("__m", mark)
-    g = r.groupBy(UNIT, "layer").agg(
+    r = attached.filter(B.is_deep(me["k"], me["len"]))
+
+    def marks(d, p):
+        other = F.filter(F.transform(decoys_of(scope, which), lambda o: F.get(d, o["j"])), lambda x: x.isNotNull())
+        return F.transform(F.when(p.isNotNull(), other).otherwise(F.array().cast("array<double>")),
+                           lambda x: F.when(p > x, 1.0).when(p == x, 0.5).otherwise(0.0))
+
+    r = r.select(UNIT, "layer", let(F.col("d"), lambda d: marks(d, F.get(d, me["j"]))).alias("__m"))
+    return r.groupBy(UNIT, "layer").agg(
         F.avg(mean_of(F.col("__m"))).alias("rate"), F.count_if(F.size("__m") > 0).alias("pairs"),
         F.sum(F.size("__m")).alias("comparisons"), F.sum(F.size(F.filter("__m", lambda x: x == 0.5))).alias("ties"))
-    return g
 
 
 def calibration_gate(units: DataFrame) -> DataFrame:
@@ -581,10 +612,10 @@ def synthetic_profiles(units: DataFrame, kind: str, dims: int = D_MODEL) -> Data
     symbol at i, so a position's vector depends on a short tuple of symbol ids and
     its distance follows from that tuple before and after.
     """
-    f = unit_frame(units)
+    f = unit_frame(spread(units))
     ids = F.transform("chars", lambda c: F.coalesce(F.element_at(F.create_map(
         *[x for n, s in enumerate(SYMBOL_IDS) for x in (F.lit(s), F.lit(n))]), c), F.lit(4)))
-    rows = f.withColumn("ids", ids).select("*", F.explode("eligible").alias("me")).withColumn("i", F.col("me.i"))
+    rows = explode_rows(f.withColumn("ids", ids), "eligible", "me").withColumn("i", F.col("me.i"))
     swap = F.element_at(F.create_map(*[F.lit(x) for kv in ((0, 3), (3, 0), (1, 2), (2, 1), (4, 4)) for x in kv]),
                         F.get("ids", F.col("i")))
     rows = rows.withColumn("ids_mut", F.transform("ids", lambda v, k: F.when(k == F.col("i"), swap).otherwise(v)))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import brackets as B
 from ..functions.alphabet import CANONICAL, WOBBLE
+from ..functions.binding import inline_rows, let
 from .ranking import exact_quantiles
 
 MIN_CANONICAL = 15
@@ -21,24 +22,18 @@ MIN_ELIGIBLE = 5
 def annotate(units: DataFrame, keep_pairs: bool = False) -> DataFrame:
     """Adds ``pairs``, ``canonical``, ``stems`` and ``eligible`` arrays to each unit.
 
-    Stems are formed only where opens and closes agree in number and the two
-    strings have equal length; symbols are compared as stored.
+    Stems are formed only where opens and closes agree in number; symbols are
+    compared as stored.
     """
-    out = units.withColumns({"pairs": B.match_pairs(F.col("structure")),
-                             "__chars": B.symbols(F.col("sequence"))})
-    usable = B.equal_counts(F.col("structure"))
-    out = out.withColumn("canonical", F.when(usable, B.canonical(F.col("pairs"), F.col("__chars")))
-                         .otherwise(F.array().cast(B.PAIR_T)))
-    out = out.withColumn("__runs", B.stem_runs(F.col("canonical")))
-    out = out.withColumn("stems", B.stems_from_runs(F.col("canonical"), F.col("__runs")))
-    out = out.withColumn("eligible", B.eligible(F.col("stems"), F.col("__chars"))).drop("__runs", "__chars")
-    return out if keep_pairs else out.drop("pairs", "canonical")
+    a = units.withColumn("__a", B.anatomy(F.col("sequence"), F.col("structure")))
+    parts = ["pairs", "canonical", "stems", "eligible"] if keep_pairs else ["stems", "eligible"]
+    return a.select(*units.columns, *[F.col(f"__a.{p}").alias(p) for p in parts])
 
 
 def match_brackets(units: DataFrame, unit: str = "unit_id", all_kinds: bool = False) -> DataFrame:
     """pairs(unit, i, j); with ``all_kinds`` every bracket kind and letter level."""
     expr = B.match_all_kinds if all_kinds else B.match_pairs
-    return units.select(unit, F.inline(expr(F.col("structure"))))
+    return inline_rows(units, [unit], expr(F.col("structure")), "i")
 
 
 def positions(units: DataFrame, unit: str = "unit_id", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -64,19 +59,19 @@ def canonical_pairs(units: DataFrame, unit: str = "unit_id") -> DataFrame:
     """Canonical pairs with their type."""
     pairs = B.match_pairs(F.col("structure"))
     chars = B.symbols(F.col("sequence"))
-    return (units.select(unit, chars.alias("__c"), F.inline(pairs))
+    return (inline_rows(units, [unit, chars.alias("__c")], pairs, "i")
             .withColumn("pair_type", F.concat(F.get("__c", F.col("i")), F.get("__c", F.col("j"))))
             .filter(F.col("pair_type").isin(*CANONICAL)).drop("__c"))
 
 
 def stems(units: DataFrame, unit: str = "unit_id") -> DataFrame:
     """stems(unit, stem_id, k, len, i, j), one row per pair."""
-    return annotate(units).select(unit, F.inline("stems"))
+    return inline_rows(annotate(units), [unit], "stems", "i")
 
 
 def eligible_pairs(units: DataFrame, unit: str = "unit_id") -> DataFrame:
     """eligible(unit, stem_id, k, len, i, j, j_prev, j_next, pair_type, deep)."""
-    return annotate(units).select(unit, F.inline("eligible")) \
+    return inline_rows(annotate(units), [unit], "eligible", "i") \
         .withColumn("deep", B.is_deep(F.col("k"), F.col("len")))
 
 
@@ -146,22 +141,20 @@ def context2(pos: DataFrame, unit: str = "unit_id") -> DataFrame:
 
 def context2_of(sequence: Column) -> Column:
     """The same context as an array inside the row."""
-    chars = B.symbols(sequence)
-    return F.transform(chars, lambda c, t: F.concat(F.coalesce(F.get(chars, t - 1), F.lit("N")), c))
+    return let(B.symbols(sequence), lambda chars: F.transform(
+        chars, lambda c, t: F.concat(F.coalesce(F.get(chars, t - 1), F.lit("N")), c)))
 
 
 def noncanonical_fraction(units: DataFrame, unit: str = "unit_id") -> DataFrame:
     """Share of usable pairs that are neither canonical nor wobble; 0 without pairs."""
     n = F.length("sequence")
     usable = F.filter(B.match_pairs(F.col("structure")), lambda p: (p["i"] < n) & (p["j"] < n))
-    chars = F.col("__chars")
-    bad = F.filter("__usable", lambda p: ~F.concat(F.get(chars, p["i"]), F.get(chars, p["j"]))
-                   .isin(*CANONICAL, *WOBBLE))
-    total = F.size("__usable")
-    ready = units.withColumns({"__usable": usable,
-                               "__chars": B.symbols(F.translate(F.upper("sequence"), "T", "U"))})
-    return ready.select(unit, total.alias("n_usable"), F.size(bad).alias("n_bad"),
-                        F.when(total > 0, F.size(bad) / total).otherwise(0.0).alias("fraction"))
+    bad = lambda chars, pairs: F.filter(pairs, lambda p: ~F.concat(
+        F.get(chars, p["i"]), F.get(chars, p["j"])).isin(*CANONICAL, *WOBBLE))
+    sizes = let(B.symbols(F.translate(F.upper("sequence"), "T", "U")), lambda chars: let(
+        usable, lambda u: F.struct(F.size(u).alias("n_usable"), F.size(bad(chars, u)).alias("n_bad"))))
+    return units.select(unit, sizes.alias("__s")).select(unit, "__s.*").withColumn(
+        "fraction", F.when(F.col("n_usable") > 0, F.col("n_bad") / F.col("n_usable")).otherwise(0.0))
 
 
 def gc_by_label(units: DataFrame, unit: str = "unit_id") -> DataFrame:
@@ -191,14 +184,12 @@ def slice_structure(units: DataFrame, start: Column, length: Column, unit: str =
 
     Null where the window runs past the end.
     """
-    partner = B.partner_array(B.match_pairs(F.col("structure")), F.length("structure"))
-    window = F.col("__w")
-    inside = F.transform(B.symbols(window), lambda c, t: F.when(
-        F.get(F.col("__partner"), start + t).between(start, start + length - 1), c)
-        .when(c.isin("(", ")"), ".").otherwise(c))
     cut = F.col("structure").substr(start + 1, length)
-    return (units.withColumns({"__partner": partner, "__w": cut})
-            .select(unit, F.when(F.length(window) == length, F.array_join(inside, "")).alias("sliced")))
+    keep = lambda mates: F.transform(B.symbols(cut), lambda c, t: F.when(
+        F.get(mates, start + t).between(start, start + length - 1), c)
+        .when(c.isin("(", ")"), ".").otherwise(c))
+    inside = let(B.partner_array(B.match_pairs(F.col("structure")), F.length("structure")), keep)
+    return units.select(unit, F.when(F.length(cut) == length, F.array_join(inside, "")).alias("sliced"))
 
 
 # ------------------------------------------------------------------ token spans

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import brackets as B
 from ..functions.alphabet import CANONICAL, COMPLEMENT, mapped_symbol
+from ..functions.binding import inline_rows
 from ..functions.draws import draw_index
 
 
@@ -30,7 +31,7 @@ def mutate(units: DataFrame, alphabet: dict[str, str] = COMPLEMENT, at: Column |
 def mutate_pairs(units: DataFrame, pairs: Column, alphabet: dict[str, str] = COMPLEMENT,
                  unit: str = "unit_id") -> DataFrame:
     """variants(unit, i, j, variant): both ends of every pair substituted."""
-    rows = units.select(unit, "sequence", F.inline(pairs))
+    rows = inline_rows(units, [unit, "sequence"], pairs, "i")
     at = lambda p: F.substring(F.col("sequence"), F.col(p) + 1, F.lit(1))
     new_i, new_j = mapped_symbol(at("i"), alphabet), mapped_symbol(at("j"), alphabet)
     once = F.overlay("sequence", new_i, F.col("i") + 1, F.lit(1))
