@@ -214,7 +214,7 @@ def emb_variants(spark: SparkSession, sf: str) -> DataFrame:
 
 def _runs_sql(dialect: str) -> str:
     return """select o_orderkey as key, o_orderpriority as model, o_custkey as unit_id,
-      cast(round(o_totalprice * 100) as bigint) as cents, o_totalprice / 100000.0 as score,
+      cast(round(o_totalprice * 100) as bigint) as cents, o_totalprice / 1.00003e5 as score,
       o_orderstatus as flag from orders"""
 
 
@@ -234,14 +234,14 @@ def _panel_sql(src: str) -> str:
       best_layer, ratio, noop, nearer, best_ps > null_primary as exceeds_primary,
       best_ps > null_conservative as exceeds_conservative, not no_null as null_available
     from (select model, unit_id,
-      sum(cents) / cast(count(*) as double) / 20000000.0 - 1.0 as best_ps,
+      sum(cents) / cast(count(*) as double) / 2.0000003e7 - 1.0e0 as best_ps,
       count(*) as h3_n, sum(case when flag = 'F' then 1 else 0 end) as h3_hits,
       sum(case when flag = 'P' then 1 else 0 end) / cast(count(*) as double) as chance_fraction,
-      min(cents) / 25000000.0 - 0.5 as null_primary, max(cents) / 25000000.0 - 0.9 as null_conservative,
+      min(cents) / 2.5000013e7 - 5.0e-1 as null_primary, max(cents) / 2.5000013e7 - 9.0e-1 as null_conservative,
       max(case when flag <> 'P' then 1 else 0 end) = 1 as gate_pass,
       unit_id % 17 = 0 as quarantined, unit_id % 13 = 5 as skip, unit_id % 11 = 3 as no_null,
-      cast(min(key) % 4 as int) as best_layer, max(cents) / 20000000.0 as ratio,
-      min(cents) / 1000000000.0 as noop, sum(case when flag = 'O' then 1 else 0 end) / cast(count(*) as double) as nearer
+      cast(min(key) % 4 as int) as best_layer, max(cents) / 2.0000003e7 as ratio,
+      min(cents) / 1.000000007e9 as noop, sum(case when flag = 'O' then 1 else 0 end) / cast(count(*) as double) as nearer
       from {src} group by model, unit_id) as raw"""
 
 

@@ -248,13 +248,13 @@ def mutual_information(counts: DataFrame, family: str = "family") -> DataFrame:
     """MI (log base 4) and MI over the smaller entropy, clipped to 1, per column pair."""
     keys = [family, "c1", "c2"]
     w = lambda *c: W.partitionBy(*keys, *c)
-    p = counts.withColumns({"N": F.sum("n").over(w()), "na": F.sum("n").over(w("a")), "nb": F.sum("n").over(w("b"))})
-    pab, pa, pb = F.col("n") / F.col("N"), F.col("na") / F.col("N"), F.col("nb") / F.col("N")
+    p = counts.withColumns({"total": F.sum("n").over(w()), "na": F.sum("n").over(w("a")), "nb": F.sum("n").over(w("b"))})
+    pab, pa, pb = F.col("n") / F.col("total"), F.col("na") / F.col("total"), F.col("nb") / F.col("total")
     log4 = lambda x: F.log(x) / F.log(F.lit(4.0))
     g = p.groupBy(*keys).agg(
         F.sum(pab * log4(pab / (pa * pb))).alias("mi"),
         # sum over cells of p_ab * -log p_a is the marginal entropy
-        F.sum(-pab * log4(pa)).alias("h1"), F.sum(-pab * log4(pb)).alias("h2"), F.max("N").alias("n_members"))
+        F.sum(-pab * log4(pa)).alias("h1"), F.sum(-pab * log4(pb)).alias("h2"), F.max("total").alias("n_members"))
     low = F.least("h1", "h2")
     return g.withColumn("nmi", F.when((F.col("mi") > 0) & (low > 0), F.least(F.col("mi") / low, F.lit(1.0))).otherwise(0.0))
 
@@ -306,12 +306,12 @@ def spearman(df: DataFrame, x: str, y: str, by: Sequence[str]) -> DataFrame:
     """Correlation of average ranks; null where either side does not vary."""
     both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, x, y)
     # Equal (x, y) rows share their ranks, so they travel as one weighted row.
-    cells = both.groupBy(*by, x, y).agg(F.count(F.lit(1)).alias("w"))
+    cells = both.groupBy(*by, x, y).agg(F.count(F.lit(1)).alias("__w"))
     for side in (x, y):
-        per_value = cells.groupBy(*by, side).agg(F.sum("w").alias("n"))
+        per_value = cells.groupBy(*by, side).agg(F.sum("__w").alias("n"))
         ranks = cumulative_counts(per_value, by, side).select(*by, side, F.col("avg_rank").alias(f"__r_{side}"))
         cells = cells.join(ranks, [*by, side])
-    return weighted_corr(cells, by, f"__r_{x}", f"__r_{y}", "w").withColumnRenamed("corr", "rho")
+    return weighted_corr(cells, by, f"__r_{x}", f"__r_{y}", "__w").withColumnRenamed("corr", "rho")
 
 
 def weighted_corr(df: DataFrame, by: Sequence[str], x: str, y: str, w: str) -> DataFrame:

@@ -432,7 +432,7 @@ def fold_plan(sizes: DataFrame, folds: int = 5, unit: str = "unit_id", size: str
         return pdf.assign(fold=got)[[unit, size, "fold"]]
 
     schema = T.StructType([sizes.schema[unit], sizes.schema[size], T.StructField("fold", T.IntegerType())])
-    return sizes.select(unit, size).groupBy(F.lit(0)).applyInPandas(greedy, schema)
+    return sizes.select(unit, size, F.lit(0).alias("__g")).groupBy("__g").applyInPandas(greedy, schema)
 
 
 def probe(emb: DataFrame, labels: DataFrame, folds: int = 5, c: float = 1.0, max_iter: int = 1000,
