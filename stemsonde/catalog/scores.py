@@ -98,13 +98,13 @@ def n3(spark, sf):
 
 
 ATTEMPTS = 16
-_DER = f"""st3 as (select unit_id, stem_id, count(*) as n from elig group by all having count(*) >= 3), ix as (select e.*, row_number() over (partition by unit_id, stem_id order by k) - 1 as at, n from elig e join st3 using (unit_id, stem_id)),
-  tr as (select unit_id, stem_id, at, n, rep, t from (select *, unnest(range({ATTEMPTS})) as t from (select *, unnest(range(1, {V.REPS + 1})) as rep from ix))),
-  pm as (select *, row_number() over (partition by unit_id, stem_id, rep, t order by {V.hexd("'21'", 'unit_id', 'stem_id', 'rep', 't', 'at')}) - 1 as slot from tr),
-  okt as (select unit_id, stem_id, rep, min(t) as t from (select unit_id, stem_id, rep, t from pm group by all having count(*) filter (where slot = at) = 0) group by all),
-  pick as (select p.unit_id, p.stem_id, p.rep, p.slot as a, p.at as b from pm p join okt using (unit_id, stem_id, rep, t)
-    union all select x.unit_id, x.stem_id, x.rep, x.at, (x.at + 1) % x.n from tr x where x.t = 0 and not exists (select 1 from okt o where o.unit_id = x.unit_id and o.stem_id = x.stem_id and o.rep = x.rep)),
-  dl as (select a.unit_id, a.i, a.deep, b.j, b.j_prev, b.j_next, rep from pick join ix a on a.unit_id = pick.unit_id and a.stem_id = pick.stem_id and a.at = pick.a join ix b on b.unit_id = pick.unit_id and b.stem_id = pick.stem_id and b.at = pick.b),
+_DER = f"""st3 as (select unit_id, stem_id, count(*) as n from elig group by all having count(*) >= 3), ix as (select e.*, row_number() over (partition by unit_id, stem_id order by k) - 1 as p0, n from elig e join st3 using (unit_id, stem_id)),
+  tr as (select unit_id, stem_id, p0, n, rep, t from (select *, unnest(range({ATTEMPTS})) as t from (select *, unnest(range(1, {V.REPS + 1})) as rep from ix))),
+  pm as (select *, row_number() over (partition by unit_id, stem_id, rep, t order by {V.hexd("'21'", 'unit_id', 'stem_id', 'rep', 't', 'p0')}) - 1 as slot from tr),
+  okt as (select unit_id, stem_id, rep, min(t) as t from (select unit_id, stem_id, rep, t from pm group by all having count(*) filter (where slot = p0) = 0) group by all),
+  pick as (select p.unit_id, p.stem_id, p.rep, p.slot as a, p.p0 as b from pm p join okt using (unit_id, stem_id, rep, t)
+    union all select x.unit_id, x.stem_id, x.rep, x.p0, (x.p0 + 1) % x.n from tr x where x.t = 0 and not exists (select 1 from okt o where o.unit_id = x.unit_id and o.stem_id = x.stem_id and o.rep = x.rep)),
+  dl as (select a.unit_id, a.i, a.deep, b.j, b.j_prev, b.j_next, rep from pick join ix a on a.unit_id = pick.unit_id and a.stem_id = pick.stem_id and a.p0 = pick.a join ix b on b.unit_id = pick.unit_id and b.stem_id = pick.stem_id and b.p0 = pick.b),
   d2 as (select *, unnest(range({V.LAYERS})) as layer from dl),
   dv as (select unit_id, rep, layer, deep, {V.u01('unit_id', 'layer', 'i', 'j')} - greatest({V.u01('unit_id', 'layer', 'i', 'j_prev')}, {V.u01('unit_id', 'layer', 'i', 'j_next')}) as ps from d2),
   rl as (select unit_id, rep, layer, avg(ps) as mean_ps, count(*) filter (where ps > 0) as hits, count(*) as n, count(*) filter (where deep and ps > 0) as deep_hits, count(*) filter (where deep) as deep_n from dv group by all)"""
@@ -249,7 +249,7 @@ _RATE = f"""dc as ({decoy_sql('family', 'all')}), dl as (select *, unnest(range(
 
 @query("n15_decoy_rate", f"{V.WITH_ELIG}, {_RATE} select unit_id, layer, round(rate, 9) as rate, pairs, comparisons, ties from rate")
 def n15(spark, sf):
-    return rounded(N.decoy_rate(attached(spark, sf)).filter("pairs > 0"), "rate")
+    return rounded(N.decoy_rate(attached(spark, sf)).filter("pairs > 0").drop("tag", "structural_pairs"), "rate")
 
 
 @query("n16_control_profiles", f"""{V.WITH_ELIG}, k as (select unit_id, i, j, sj, unnest(range({len(V.STRUCTURE)})) as pos from elig), o as (select k.unit_id, i, pos, (pos = j)::int as oracle, (substr(sequence, pos + 1, 1) = sj)::int as comp from k join hp using (unit_id) where pos <> i)
@@ -271,8 +271,8 @@ def n17(spark, sf):
     return N.calibration_gate(V.hairpins(spark, sf)).select(U, "control", "tag", "pairs", "rate", "failed")
 
 
-@query("n19_loo_layer", f"""with {V.PANEL}, {V.PLAY}, s as (select *, sum(ps) over (partition by model, layer) as tot, count(*) over (partition by model, layer) as n from play), o as (select model, unit_id, layer, round((tot - ps) / (n - 1), 10) as loo from s)
-  select model, unit_id, layer, round(loo, 9) as loo_ps from (select *, row_number() over (partition by model, unit_id order by loo desc, layer) as r from o) where r = 1""")
+@query("n19_loo_layer", f"""with {V.PANEL}, {V.PLAY}, s as (select *, sum(ps) over (partition by model, layer) as tot, count(*) over (partition by model, layer) as n from play), o as (select model, unit_id, layer, (tot - ps) / (n - 1) as loo from s)
+  select model, unit_id, layer, round(loo, 9) as loo_ps from (select *, row_number() over (partition by model, unit_id order by round(loo, 12) desc, layer) as r from o) where r = 1""")
 def n19(spark, sf):
     return rounded(N.loo_layer(V.panel_layers(spark, sf), ["model"]), "loo_ps")
 

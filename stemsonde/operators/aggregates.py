@@ -302,15 +302,26 @@ def mi_summary(mi: DataFrame, members: DataFrame, family: str = "family") -> Dat
 
 # ---------------------------------------------------------- correlations, tails
 
-def spearman(df: DataFrame, x: str, y: str, by: Sequence[str]) -> DataFrame:
-    """Correlation of average ranks; null where either side does not vary."""
+def spearman(df: DataFrame, x: str, y: str, by: Sequence[str], bounded: bool = False) -> DataFrame:
+    """Correlation of average ranks; null where either side does not vary.
+
+    ``bounded`` says that a group's size is bounded by one record (a unit's cells,
+    a handful of variants): its ranks are then plain windows over one exchange.
+    """
     both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, x, y)
-    # Equal (x, y) rows share their ranks, so they travel as one weighted row.
-    cells = both.groupBy(*by, x, y).agg(F.count(F.lit(1)).alias("__w"))
-    for side in (x, y):
-        per_value = cells.groupBy(*by, side).agg(F.sum("__w").alias("n"))
-        ranks = cumulative_counts(per_value, by, side).select(*by, side, F.col("avg_rank").alias(f"__r_{side}"))
-        cells = cells.join(ranks, [*by, side])
+    if bounded:
+        def tied(v):
+            w = W.partitionBy(*by)
+            return F.rank().over(w.orderBy(v)) + (F.count(F.lit(1)).over(W.partitionBy(*by, v)) - 1) / 2.0
+        cells = both.withColumns({f"__r_{x}": tied(x), f"__r_{y}": tied(y), "__w": F.lit(1)})
+    else:
+        # Equal (x, y) rows share their ranks, so they travel as one weighted row.
+        base = both.groupBy(*by, x, y).agg(F.count(F.lit(1)).alias("__w"))
+        cells = base
+        for side in (x, y):
+            per_value = base.groupBy(*by, side).agg(F.sum("__w").alias("n"))
+            ranks = cumulative_counts(per_value, by, side).select(*by, side, F.col("avg_rank").alias(f"__r_{side}"))
+            cells = cells.join(ranks, [*by, side])
     return weighted_corr(cells, by, f"__r_{x}", f"__r_{y}", "__w").withColumnRenamed("corr", "rho")
 
 

@@ -207,8 +207,8 @@ def heldout(rows: DataFrame, by: Sequence[str], splits: int = 2_000, seed: str =
     n = packed.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
     d = packed.withColumn("split", F.explode(F.sequence(F.lit(1), F.lit(splits))))
     d = d.withColumn("__h", draw(seed, *[F.col(b) for b in by], F.col("split"), F.col(unit)))
-    r = draw_rank(d, [*by, "split"], "__h", [unit], "__r")
-    r = salted_join(r, n, by, F.col("__h")).withColumn("chooser", F.col("__r") <= F.floor(F.col("__n") / 2))
+    r = draw_rank(d, [*by, "split"], "__h", [unit], "place")
+    r = salted_join(r, n, by, F.col("__h")).withColumn("chooser", F.col("place") <= F.floor(F.col("__n") / 2))
     per = r.select(*by, "split", "chooser", F.inline("__l")).groupBy(*by, "split", "layer").agg(
         F.avg(F.when(F.col("chooser"), F.col("ps"))).alias("ps"),
         F.avg(F.when(~F.col("chooser"), F.col("precision"))).alias("precision"),

@@ -76,7 +76,7 @@ def pooled_distance(emb: DataFrame, key: str, by: Sequence[str] = ("layer",), re
 def graded_best_layer(dist: DataFrame, key: str, layer: str = "layer", by: Sequence[str] = ()) -> DataFrame:
     """Layer whose distances track the graded key most strongly; layers with a null are out."""
     whole = dist.groupBy(*by, layer).agg(F.count_if(F.col("distance").isNull()).alias("__miss")).filter("__miss = 0")
-    rho = spearman(dist.join(whole.select(*by, layer), [*by, layer], "left_semi"), key, "distance", [*by, layer])
+    rho = spearman(dist.join(whole.select(*by, layer), [*by, layer], "left_semi"), key, "distance", [*by, layer], bounded=True)
     rho = rho.filter(F.col("rho").isNotNull()).withColumns({"abs_rho": F.abs("rho"), "__g": F.lit(0)})
     return first_by(rho, [*by, "__g"], "abs_rho", [layer], ["rho"]).drop("__g")
 
@@ -133,7 +133,7 @@ def instability_by_deviation(di: DataFrame, deviation: str, variant: str = "vari
                              by: Sequence[str] = ("unit_id", "layer")) -> DataFrame:
     """Correlation of a variant's mean instability with its deviation from the reference."""
     per = di.groupBy(*by, variant, deviation).agg(F.avg("di").alias("di"))
-    return spearman(per, deviation, "di", by)
+    return spearman(per, deviation, "di", by, bounded=True)
 
 
 # ------------------------------------------------------------------ norms
@@ -391,7 +391,7 @@ def attention_contact(attn: DataFrame, contacts: DataFrame, by: Sequence[str] =
     upper = contacts.filter(F.col("r") < F.col("c")).select(*by, "r", "c", F.lit(1).alias("contact")).distinct()
     cells = sym.join(upper, [*by, "r", "c"], "left").withColumn("contact", F.coalesce("contact", F.lit(0)))
     alive = cells.groupBy(*keys).agg(F.stddev_pop("w").alias("__sd")).filter(F.col("__sd") >= flat).select(*keys)
-    rho = spearman(cells.join(alive, keys, "left_semi"), "w", "contact", keys)
+    rho = spearman(cells.join(alive, keys, "left_semi"), "w", "contact", keys, bounded=True)
     return rho.withColumn("rho", F.coalesce("rho", F.lit(0.0)))
 
 
@@ -440,39 +440,41 @@ def probe(emb: DataFrame, labels: DataFrame, folds: int = 5, c: float = 1.0, max
     """Linear probe per layer: L2 logistic regression over rows, group folds by unit,
     balanced accuracy mean and sd.
 
-    labels(…, label 0/1).  The fits are distributed; the driver only loops over
-    layers and folds, both bounded by the encoder and the fold count.
+    labels(…, label 0/1).  Every fit and every scoring is a distributed job; the
+    driver loops over layers and folds, both bounded by the encoder and the fold
+    count, a few at a time, and sees one recall per class.
     """
+    from multiprocessing.pool import ThreadPool
+
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector
 
-    spark = emb.sparkSession
     rows = emb.join(labels, list(keys))
     plan = fold_plan(rows.groupBy(unit).agg(F.count(F.lit(1)).alias("n")), folds, unit)
     data = rows.join(plan.select(unit, "fold"), unit).select(
         "layer", "fold", unit, F.col("label").cast("double").alias("label"),
-        array_to_vector(F.col("vec").cast("array<double>")).alias("features"))
-    seen = data.groupBy("layer").agg(F.countDistinct("label").alias("k"), F.countDistinct("fold").alias("f"),
-                                     F.count(F.lit(1)).alias("n"), F.countDistinct(unit).alias("n_units")) \
+        array_to_vector(F.col("vec").cast("array<double>")).alias("features")).persist()
+    seen = data.groupBy("layer").agg(
+        F.countDistinct("label").alias("k"), F.countDistinct("fold").alias("f"), F.count(F.lit(1)).alias("n"),
+        F.countDistinct(unit).alias("n_units"), F.array_sort(F.collect_set("fold")).alias("folds")) \
         .filter("k = 2 and f >= 2").orderBy("layer").collect()
-    scores = None
-    for r in seen:
+    sizes = {(r["layer"], r["fold"]): r["count"] for r in data.groupBy("layer", "fold").count().collect()}
+
+    def one(task):
+        r, fold = task
         layer = data.filter(F.col("layer") == r["layer"])
-        for fold in range(folds):
-            train = layer.filter(F.col("fold") != fold)
-            n = train.count()
-            if n == 0 or n == r["n"]:
-                continue
-            fit = LogisticRegression(maxIter=max_iter, regParam=1.0 / (c * n), standardization=False).fit(train)
-            got = fit.transform(layer.filter(F.col("fold") == fold)).groupBy("label").agg(
-                F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("recall"))
-            one = got.agg(F.avg("recall").alias("accuracy")).select(
-                F.lit(r["layer"]).alias("layer"), F.lit(fold).alias("fold"), "accuracy",
-                F.lit(r["n"]).alias("n_rows"), F.lit(r["n_units"]).alias("n_units"))
-            scores = one if scores is None else scores.unionByName(one)
-    if scores is None:
-        return spark.createDataFrame([], "layer int, mean_accuracy double, sd_accuracy double, n_rows long, n_units long")
-    return scores.groupBy("layer").agg(
+        n = r["n"] - sizes[(r["layer"], fold)]
+        fit = LogisticRegression(maxIter=max_iter, regParam=1.0 / (c * n), standardization=False) \
+            .fit(layer.filter(F.col("fold") != fold))
+        recall = fit.transform(layer.filter(F.col("fold") == fold)).groupBy("label").agg(
+            F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("recall")).collect()
+        return (r["layer"], fold, float(np.mean([x["recall"] for x in recall])), r["n"], r["n_units"])
+
+    with ThreadPool(4) as pool:
+        scores = pool.map(one, [(r, f) for r in seen for f in r["folds"]])
+    data.unpersist()
+    out = emb.sparkSession.createDataFrame(scores, "layer int, fold int, accuracy double, n_rows long, n_units long")
+    return out.groupBy("layer").agg(
         F.avg("accuracy").alias("mean_accuracy"), F.stddev_pop("accuracy").alias("sd_accuracy"),
         F.first("n_rows").alias("n_rows"), F.first("n_units").alias("n_units"))
 
