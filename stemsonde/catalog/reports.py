@@ -278,14 +278,14 @@ def r21(spark, sf):
     return rounded(P.margin_audit(V.panel(spark, sf)), "smallest_gap")
 
 
-_CEIL = "cl as (select distinct unit_id, (unit_id % 11) / 10.0e0 as ceiling from panel)"
+_CEIL = "cl as (select distinct unit_id, (unit_id % 11) / 10.3e0 as ceiling from panel)"
 
 
 @query("r22_vs_complementarity", f"""{WP}, {V.PLAY}, {_CEIL}, l as (select model, layer, avg(ps) as ps from play group by all), b as (select model, layer from (select *, row_number() over (partition by model order by round(ps, 12) desc, layer) as r from l) where r = 1),
   j as (select model, layer, precision, ceiling from play join b using (model, layer) join cl using (unit_id)) select model, layer as panel_layer, count(*) as units, round(avg(precision), 8) as mean_precision, round(avg(ceiling), 8) as mean_ceiling, count(*) filter (where precision > ceiling) as above,
   count(*) filter (where precision < ceiling) as below, count(*) filter (where precision = ceiling) as equal from j group by all""")
 def r22(spark, sf):
-    c = V.panel(spark, sf).select(U, ((F.col(U) % 11) / F.lit(10.0)).alias("ceiling")).distinct()
+    c = V.panel(spark, sf).select(U, ((F.col(U) % 11) / F.lit(10.3)).alias("ceiling")).distinct()
     return rounded(P.vs_complementarity(V.panel_layers(spark, sf), c).drop("p"), "mean_precision", "mean_ceiling", places=8)
 
 

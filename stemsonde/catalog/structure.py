@@ -145,8 +145,8 @@ def p9(spark, sf):
     return confirmatory(V.panel(spark, sf)).select("model", U, "excluded_because")
 
 
-@query("p10_split_ambiguous", f"""with {V.MSA}, {_ALIGNED} select member, case when member % 4 = 1 and member % 7 <> 2 then '-,R'
-    when contains(aligned, '-') then '-' end as characters from al""")
+@query("p10_split_ambiguous", f"""with {V.MSA}, {_ALIGNED} select member, case when contains(aligned, '-') and contains(aligned, 'R') then '-,R'
+    when contains(aligned, 'R') then 'R' when contains(aligned, '-') then '-' end as characters from al""")
 def p10(spark, sf):
     kept, out = panel.split_ambiguous(_members(spark, sf), sequence="aligned")
     odd = out.select("member", F.array_join("characters", ",").alias("characters"))

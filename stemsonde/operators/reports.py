@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import brackets as B
+from ..functions.binding import let
 from ..functions.special import binom_test
 from . import aggregates as G
 from . import resampling as R
@@ -66,10 +67,12 @@ def integrity(units: DataFrame, accession: str = "accession", expected: int | No
 
 
 def requalify(units: DataFrame) -> DataFrame:
-    """Canonical and eligible counts and the qualifying flag of repaired units."""
-    a = annotate(units, keep_pairs=True)
-    n, e = F.size("canonical"), F.size("eligible")
-    return a.select(*units.columns, n.alias("n_canonical"), e.alias("n_eligible"), ((n >= 15) & (e >= 5)).alias("qualifies"))
+    """Adds canonical and eligible counts and the qualifying flag, null without a sequence."""
+    counts = let(B.anatomy(F.col("sequence"), F.col("structure")), lambda a: F.struct(
+        F.size(a["canonical"]).alias("n_canonical"), F.size(a["eligible"]).alias("n_eligible")))
+    q = units.withColumn("__q", F.when(F.col("sequence").isNotNull() & F.col("structure").isNotNull(), counts))
+    n, e = F.col("__q.n_canonical"), F.col("__q.n_eligible")
+    return q.select(*units.columns, n.alias("n_canonical"), e.alias("n_eligible"), ((n >= 15) & (e >= 5)).alias("qualifies"))
 
 
 def repair(units: DataFrame, members: DataFrame, family: str = "family") -> DataFrame:
@@ -103,10 +106,9 @@ def repair(units: DataFrame, members: DataFrame, family: str = "family") -> Data
     own, other = F.col("disposition") == "ADOPT STRUCTURE", F.col("disposition") == "ADOPT MEMBER"
     seq = F.when(own, F.col("sequence")).when(other, F.col("near.sequence"))
     st = F.when(own, F.col("exact.structure")).when(other, F.col("near.structure"))
-    r = d.select(UNIT, "disposition", "before", F.when(own, F.col("exact.member")).when(other, F.col("near.member")).alias("accession"),
-                 seq.alias("sequence"), st.alias("structure"))
-    q = requalify(r.filter(F.col("sequence").isNotNull()).select(UNIT, "sequence", "structure"))
-    return r.join(q.select(UNIT, "n_canonical", "n_eligible", "qualifies"), UNIT, "left")
+    return requalify(d.select(
+        UNIT, "disposition", "before", F.when(own, F.col("exact.member")).when(other, F.col("near.member")).alias("accession"),
+        seq.alias("sequence"), st.alias("structure")))
 
 
 # ------------------------------------------------------------------ report tables
