@@ -89,8 +89,8 @@ def c6p(spark, sf):
 
 
 def _boot(src, key, values, seed):
-    return f"""bk as (select model, {', '.join(values)}, row_number() over (partition by model order by {V.hexd(f"'{seed}'", "'order'", key)}, {key}) - 1 as idx, count(*) over (partition by model) as n from {src}),
-  bd as (select model, n, idx as i0, unnest(range(1, {V.REPS + 1})) as rep from bk), be as (select model, rep, {V.dix('n', f"'{seed}'", 'model', 'rep', 'i0')} as idx from bd),
+    return f"""bk as (select model, {key} as bkey, {', '.join(values)}, row_number() over (partition by model order by {V.hexd(f"'{seed}'", "'order'", key)}, {key}) - 1 as idx, count(*) over (partition by model) as n from {src}),
+  bd as (select model, n, bkey, unnest(range(1, {V.REPS + 1})) as rep from bk), be as (select model, rep, {V.dix('n', f"'{seed}'", 'model', 'rep', 'bkey')} as idx from bd),
   br as (select be.model, rep, {', '.join(f'avg({v}) as {v}' for v in values)} from be join bk using (model, idx) group by all)"""
 
 

@@ -8,6 +8,7 @@ from ..functions.draws import draw_unit
 from ..functions.special import binom_test, t_test_p
 from ..operators import aggregates as G
 from ..operators import scores as N
+from ..operators import structure as S
 from . import query
 from . import views as V
 from .joins import rounded
@@ -58,7 +59,7 @@ def hairpin_units(spark, sf):
     """Packed units with two layers of position distances; labels are the structure's."""
     from ..functions import brackets as B
     from ..operators.structure import context2_of
-    u = N.spread(V.hairpins(spark, sf))
+    u = S.spread(V.hairpins(spark, sf))
     marks, chars = B.symbols(F.col("structure")), B.symbols(F.col("sequence"))
     lift = (F.col(U) % 5) * F.lit(0.2)
     val = lambda layer: F.transform(marks, lambda m, p: draw_unit("d", F.col(U), F.lit(layer), p) + F.when(m == ".", 0.0).otherwise(lift))
@@ -111,9 +112,7 @@ _DER = f"""st3 as (select unit_id, stem_id, count(*) as n from elig group by all
 
 
 def _derangement(spark, sf):
-    a = attached(spark, sf)
-    cross = N.cross_scores(a)
-    return a, cross, N.derangement_replicates(cross, V.REPS, "21", ATTEMPTS)
+    return N.derangement_replicates(N.cross_scores(attached(spark, sf)), V.REPS, "21", ATTEMPTS)
 
 
 @query("n4_derangement_null", f"""{V.WITH_PS}, {_DER}, pr1 as (select rl.unit_id, rep, max(mean_ps) as cons, max(mean_ps) filter (where layer = best_layer) as prim, sum(hits) filter (where layer = best_layer) as h, sum(n) filter (where layer = best_layer) as t,
@@ -123,14 +122,12 @@ def _derangement(spark, sf):
   select unit_id, best_layer, round(best_ps, 9) as best_ps, round(p95, 9) as null_95_primary, round(c95, 9) as null_95_conservative, round(pm, 9) as null_mean_primary, round(cf, 9) as chance_fraction, round(cm, 9) as chance_matched,
     coalesce(n, 0) as n_stems_in_null, n is not null as null_available, best_ps > p95 as exceeds_primary, best_ps > c95 as exceeds_conservative from best left join g using (unit_id) left join ns using (unit_id)""")
 def n4(spark, sf):
-    a, cross, reps = _derangement(spark, sf)
-    best = N.partner_specificity(N.pair_scores(a))
-    return rounded(N.derangement_null(reps, best, cross), "best_ps", "null_95_primary", "null_95_conservative", "null_mean_primary", "chance_fraction", "chance_matched")
+    return rounded(N.derangement_null(_derangement(spark, sf)), "best_ps", "null_95_primary", "null_95_conservative", "null_mean_primary", "chance_fraction", "chance_matched")
 
 
 @query("n5_chance_per_layer", f"""{V.WITH_PS}, {_DER} select unit_id, layer, sum(deep_hits) as deep_hits, sum(deep_n) as deep_n, round(case when sum(deep_n) > 0 then sum(deep_hits) / sum(deep_n) end, 9) as chance from rl group by all""")
 def n5(spark, sf):
-    return rounded(N.chance_per_layer(_derangement(spark, sf)[2]), "chance")
+    return rounded(N.chance_per_layer(_derangement(spark, sf)), "chance")
 
 
 _CTRL = f"""instem as (select unit_id, i as p from stems union select unit_id, j from stems), bl as (select n.unit_id, n.i, best_layer as layer from (select distinct unit_id, i from elig) n join best using (unit_id)),
@@ -182,7 +179,7 @@ def n9(spark, sf):
 
 def canonical_profiles(spark, sf, layers=2):
     """Profiles of every canonical pair's opening position."""
-    f = N.canonical_frame(N.spread(V.hairpins(spark, sf)))
+    f = N.canonical_frame(S.spread(V.hairpins(spark, sf)))
     r = f.select(U, F.size("chars").alias("n"), F.explode(F.transform("canonical", lambda p: p["i"])).alias("i")) \
         .select("*", F.explode(F.array(*[F.lit(x) for x in range(layers)])).alias("layer"))
     d = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: F.when(k != F.col("i"), draw_unit(F.col(U), F.col("layer"), F.col("i"), k)))
@@ -203,7 +200,7 @@ def n10(spark, sf):
   p as (select l.unit_id, l.rep, i, j, unnest(range(2)) as layer from l join r using (unit_id, rep, c, n)), s as (select unit_id, rep, layer, avg({V.u01("'s'", 'unit_id', 'layer', 'i')}) as d, avg({V.u01("'p'", 'unit_id', 'layer', 'i', 'j')}) as cd from p group by all)
   select unit_id, rep, round(max(d / cd), 8) as null_max from s group by all""")
 def n11(spark, sf):
-    u = N.spread(V.hairpins(spark, sf))
+    u = S.spread(V.hairpins(spark, sf))
     n = F.sequence(F.lit(0), F.length("sequence") - 1)
     lay = F.explode(F.array(F.lit(0), F.lit(1))).alias("layer")
     single = u.select(U, "sequence", lay).select(U, "layer", F.transform(n, lambda p: draw_unit("s", F.col(U), F.col("layer"), p)).alias("d"))

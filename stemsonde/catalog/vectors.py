@@ -199,8 +199,7 @@ def e17(spark, sf):
 
 
 def _attention(spark, sf):
-    from ..operators.scores import spread
-    u = spread(V.hairpins(spark, sf).select(U, F.substring("structure", 1, ATT).alias("structure")))
+    u = S.spread(V.hairpins(spark, sf).select(U, F.substring("structure", 1, ATT).alias("structure")))
     ix = F.sequence(F.lit(0), F.lit(ATT - 1))
     cells = u.select(U, F.explode(ix).alias("r")).select("*", F.explode(ix).alias("c")).filter("r <> c") \
         .select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("head")).withColumn("layer", F.lit(0))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let
+
 
 def as_double(v: Column) -> Column:
     return v.cast("array<double>")
@@ -22,15 +24,15 @@ def norm(a: Column) -> Column:
 
 def cosine_distance(a: Column, b: Column) -> Column:
     """1 - cos; null where either vector has no length."""
-    scale = norm(a) * norm(b)
-    return F.when(scale > 0, F.lit(1.0) - dot(a, b) / scale)
+    return let(norm(a) * norm(b), lambda scale: F.when(scale > 0, F.lit(1.0) - dot(a, b) / scale))
 
 
 def mean_of(arr: Column) -> Column:
-    """Mean of the non-null entries, null where there is none."""
-    kept = F.filter(arr, lambda x: x.isNotNull())
-    total = F.aggregate(kept, F.lit(0.0), lambda acc, x: acc + x)
-    return F.when(F.size(kept) > 0, total / F.size(kept))
+    """Mean of the non-null entries, null where there is none; one pass."""
+    start = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n"))
+    return F.aggregate(arr, start, lambda a, x: F.struct(
+        (a["s"] + F.coalesce(x, F.lit(0.0))).alias("s"), (a["n"] + x.isNotNull().cast("int")).alias("n")),
+        lambda a: F.when(a["n"] > 0, a["s"] / a["n"]))
 
 
 def guarded_ratio(num: Column, den: Column, floor: float = 1e-10) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import brackets as B
+from ..functions.binding import explode_rows
 from ..functions.vectors import cosine_distance
 
 SALTS = 32
@@ -190,14 +191,14 @@ def kmer_containment(queries: DataFrame, targets: DataFrame, family: str = "fami
     queries(query, family, sequence), targets(member, family, sequence).  Equal
     target texts are indexed once and fanned out again afterwards.
     """
-    q = queries.withColumn("__k", kmers(F.col("sequence"), k))
-    sizes = q.select("query", family, F.size("__k").alias("n_query"))
-    qk = q.select("query", family, F.explode("__k").alias("kmer"))
-    texts = targets.withColumn("__t", F.xxhash64("sequence")).select(family, "__t", "sequence").distinct()
-    tk = texts.select(family, "__t", F.col("sequence").alias("__seq"), F.explode(kmers(F.col("sequence"), k)).alias("kmer"))
-    shared = qk.join(tk, [family, "kmer"]).groupBy("query", family, "__t", "__seq").agg(F.count(F.lit(1)).alias("shared"))
-    members = targets.select(family, "member", F.xxhash64("sequence").alias("__t"), F.col("sequence").alias("__seq"))
-    return (shared.join(members, [family, "__t", "__seq"]).join(sizes, ["query", family])
+    q = queries.select("query", family, kmers(F.col("sequence"), k).alias("__k"))
+    sizes = queries.select("query", family, F.size(kmers(F.col("sequence"), k)).alias("n_query"))
+    qk = explode_rows(q, "__k", "kmer").select("query", family, "kmer")
+    texts = targets.groupBy(family, "sequence").agg(F.min("member").alias("__rep"))
+    tk = explode_rows(texts.select(family, "__rep", kmers(F.col("sequence"), k).alias("__k")), "__k", "kmer").select(family, "__rep", "kmer")
+    shared = qk.join(tk, [family, "kmer"]).groupBy("query", family, "__rep").agg(F.count(F.lit(1)).alias("shared"))
+    copies = targets.join(texts, [family, "sequence"]).select(family, "member", "__rep")
+    return (shared.join(copies, [family, "__rep"]).join(sizes, ["query", family])
             .select("query", family, "member", "shared", (F.col("shared") / F.col("n_query")).alias("containment")))
 
 

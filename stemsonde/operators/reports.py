@@ -18,7 +18,7 @@ from . import aggregates as G
 from . import resampling as R
 from .joins import paired_units, salted_join
 from .ranking import exact_quantiles, first_by
-from .structure import annotate, noncanonical_fraction
+from .structure import annotate, noncanonical_of, spread
 
 UNIT = "unit_id"
 
@@ -83,10 +83,9 @@ def repair(units: DataFrame, members: DataFrame, family: str = "family") -> Data
     (family, sequence) and one clean one per (family, length) before they meet a
     unit, so a large family is never paired with its units member by member.
     """
-    bad = noncanonical_fraction(units).select(UNIT, F.col("fraction").alias("before"))
-    u = units.join(bad, UNIT)
-    frac = noncanonical_fraction(members, "member").select("member", "fraction")
-    m = members.join(frac, "member")
+    share = noncanonical_of(F.col("sequence"), F.col("structure"))["fraction"]
+    u = spread(units).withColumn("before", share)
+    m = spread(members, "member").withColumn("fraction", share)
     known = members.select(family).distinct().withColumn("has_seed", F.lit(True))
     exact = m.groupBy(family, "sequence").agg(F.min(F.struct("member", "structure")).alias("exact"))
     clean = m.filter(F.col("fraction") <= CLEAN).groupBy(family, F.length("sequence").alias("len")).agg(

@@ -99,27 +99,19 @@ def _indexed(df: DataFrame, by: Sequence[str], key: str, seed: str) -> tuple[Dat
     return idx, df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _draws(df: DataFrame, by: Sequence[str], key: str, reps: int, seed: str) -> DataFrame:
-    """One row per (group, replicate, draw): the index of the unit drawn.
-
-    Each unit's row generates as many draws as replicates, so draws are made
-    where the rows lie and a large group is never expanded from one row.
-    """
-    idx, sizes = _indexed(df, by, key, seed)
-    slots = salted_join(idx.select(*by, "idx"), sizes, list(by), F.col("idx"))
-    return (slots.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
-            .select(*by, "rep", draw_index(F.col("n"), seed, *[F.col(b) for b in by], F.col("rep"), F.col("idx")).alias("idx")))
-
-
 def bootstrap_replicates(df: DataFrame, by: Sequence[str], key: str, values: Sequence[str], reps: int, seed: str) -> DataFrame:
     """Replicate means of every value column on the same draws.
 
-    The join key (group, index) is uniform by construction, and the means combine
+    Each unit's row makes one draw per replicate, keyed by its own key, so draws
+    are made where the rows lie and no large group is expanded from one row.  The
+    join key (group, index) is uniform by construction, and the means combine
     map-side, so reps x groups rows are all that reach the last exchange.
     """
-    idx, _ = _indexed(df.select(*by, key, *values), by, key, seed)
-    d = _draws(df.select(*by, key), by, key, reps, seed)
-    return (d.join(idx.select(*by, "idx", *values), [*by, "idx"])
+    idx, sizes = _indexed(df.select(*by, key, *values), by, key, seed)
+    slots = salted_join(df.select(*by, key), sizes, list(by), F.col(key))
+    drawn = slots.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).select(
+        *by, "rep", draw_index(F.col("n"), seed, *[F.col(b) for b in by], F.col("rep"), F.col(key)).alias("idx"))
+    return (drawn.join(idx.select(*by, "idx", *values), [*by, "idx"])
             .groupBy(*by, "rep").agg(*[F.avg(F.col(v).cast("double")).alias(v) for v in values]))
 
 

@@ -20,6 +20,7 @@ from ..functions.draws import draw
 from ..functions.vectors import cosine_distance, mean_of
 from .joins import salted_join
 from .ranking import bounded_percentile, draw_rank, first_by
+from .structure import spread
 
 UNIT = "unit_id"
 
@@ -34,16 +35,6 @@ def unit_frame(units: DataFrame) -> DataFrame:
                     B.partner_array(ends, F.col("__n")).alias("mate"))
 
 
-def spread(units: DataFrame) -> DataFrame:
-    """Units hashed by name before a stage that makes thousands of cells per unit.
-
-    The rows that move are thin, and every later per-unit aggregate finds its
-    input already placed.
-    """
-    n = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return units.repartition(n, UNIT)
-
-
 def pack_profiles(deltas: DataFrame, pos: str = "pos", mut: str = "mut_pos") -> DataFrame:
     """Long deltas to profiles; a missing position becomes a null entry."""
     e = F.collect_list(F.struct(F.col(pos).cast("int").alias("p"), F.col("delta").alias("x")))
@@ -293,77 +284,88 @@ def derangement(size: Column, attempts: int, *key) -> Column:
                         lambda _, a: F.when(fixed(a), F.array().cast(DERANGE_T)).otherwise(a)))
 
     got = F.aggregate(F.sequence(F.lit(0), F.lit(attempts - 1)), F.array().cast(DERANGE_T), step)
-    return F.when(F.size(got) > 0, got).otherwise(F.transform(where, lambda p: (p + 1) % size))
+    return let(got, lambda g: F.when(F.size(g) > 0, g).otherwise(F.transform(where, lambda p: (p + 1) % size)))
 
 
 def cross_scores(attached: DataFrame, min_pairs: int = 3) -> DataFrame:
-    """One row per unit: per layer and pair, the PS of the pair with every partner of
-    its own stem.
+    """One row per unit from one pass over its profiles: the best layer and its PS, and
+    per layer the PS of every pair with every partner of its own stem.
 
     stems: sizes of the derangeable stems (``min_pairs`` or more eligible pairs);
-    layers: per layer, per pair in eligible order, struct(stem, at, deep, x).
+    layers: per layer, mean PS and, per pair of those stems in eligible order,
+    struct(stem, at, deep, x).
     """
-    mine = F.filter("eligible", lambda e: e["stem_id"] == F.col("me.stem_id"))
-    a = attached.withColumn("__stem", mine)
-    ps = F.transform("__stem", lambda e: _at(e["j"]) - F.when(
-        _at(e["j_prev"]).isNotNull() & _at(e["j_next"]).isNotNull(),
-        F.greatest(_at(e["j_prev"]), _at(e["j_next"]))))
-    row = F.struct(F.col("me.stem_id").alias("stem"),
-                   F.size(F.filter("__stem", lambda e: e["k"] < F.col("me.k"))).alias("at"),
-                   B.is_deep(F.col("me.k"), F.col("me.len")).alias("deep"), ps.alias("x"))
-    kept = a.filter(F.size("__stem") >= min_pairs).select(UNIT, "layer", row.alias("r"), F.size("__stem").alias("n"))
-    per = kept.groupBy(UNIT, "layer").agg(F.sort_array(F.collect_list("r")).alias("rows"),
-                                          F.collect_set(F.struct(F.col("r.stem").alias("stem"), "n")).alias("stems"))
-    return per.groupBy(UNIT).agg(
-        F.sort_array(F.collect_list(F.struct("layer", "rows"))).alias("layers"),
-        F.sort_array(F.array_distinct(F.flatten(F.collect_list("stems")))).alias("stems"))
+    me = F.col("me")
+
+    def row(d, stem):
+        at = lambda p: F.get(d, p)
+        ps = lambda e: at(e["j"]) - F.when(at(e["j_prev"]).isNotNull() & at(e["j_next"]).isNotNull(),
+                                           F.greatest(at(e["j_prev"]), at(e["j_next"])))
+        return F.struct(me["stem_id"].alias("stem"), F.size(F.filter(stem, lambda e: e["k"] < me["k"])).alias("at"),
+                        B.is_deep(me["k"], me["len"]).alias("deep"), F.size(stem).alias("n"), F.transform(stem, ps).alias("x"))
+
+    mine = F.filter("eligible", lambda e: e["stem_id"] == me["stem_id"])
+    r = attached.select(UNIT, "layer", let(F.col("d"), lambda d: let(mine, lambda stem: row(d, stem))).alias("r"))
+    own = F.get(F.col("r.x"), F.col("r.at"))
+    keep = F.when(F.col("r.n") >= min_pairs, F.col("r"))
+    per = r.groupBy(UNIT, "layer").agg(F.avg(own).alias("ps"), F.sort_array(F.collect_list(keep)).alias("rows"))
+    stems = lambda rows: F.array_distinct(F.transform(rows, lambda e: F.struct(e["stem"].alias("stem"), e["n"].alias("n"))))
+    g = per.groupBy(UNIT).agg(
+        F.max_by(F.struct("layer", "ps"), F.struct("ps", (-F.col("layer")).alias("l"))).alias("b"),
+        F.sort_array(F.collect_list(F.struct("layer", "ps", "rows"))).alias("layers"))
+    return g.select(UNIT, F.col("b.layer").alias("best_layer"), F.col("b.ps").alias("best_ps"), "layers",
+                    F.sort_array(F.array_distinct(F.flatten(F.transform("layers", lambda l: stems(l["rows"]))))).alias("stems")) \
+        .filter(F.col("best_ps").isNotNull())
 
 
 def derangement_replicates(cross: DataFrame, reps: int, seed: str, attempts: int = 32) -> DataFrame:
     """Per (unit, rep, layer): mean deranged PS, and hits and totals over all and
-    over deep pairs.  The permutation of a stem depends on (unit, stem, rep) only."""
+    over deep pairs.  The permutation of a stem depends on (unit, stem, rep) only.
+    The unit's best layer and score ride along, so the null needs no join."""
     r = cross.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
     perms = F.map_from_entries(F.transform("stems", lambda s: F.struct(
         s["stem"].alias("stem"), derangement(s["n"], attempts, seed, F.col(UNIT), s["stem"], F.col("rep")).alias("p"))))
-    r = r.withColumn("__perm", perms).select(UNIT, "rep", "__perm", F.inline("layers"))
+    r = r.withColumns({"__perm": perms, "n_stems": F.size("stems")}).select(
+        UNIT, "best_layer", "best_ps", "n_stems", "rep", "__perm", F.inline("layers"))
     ps = F.filter(F.transform("rows", lambda e: F.struct(
         e["deep"].alias("deep"), F.get(e["x"], F.get(F.col("__perm")[e["stem"]], e["at"])).alias("ps"))),
         lambda e: e["ps"].isNotNull())
-    r = r.withColumn("__ps", ps)
-    count = lambda f: F.size(F.filter("__ps", f))
-    return r.select(UNIT, "rep", "layer", mean_of(F.transform("__ps", lambda e: e["ps"])).alias("mean_ps"),
-                    count(lambda e: e["ps"] > 0).alias("hits"), F.size("__ps").alias("n"),
-                    count(lambda e: e["deep"] & (e["ps"] > 0)).alias("deep_hits"),
-                    count(lambda e: e["deep"]).alias("deep_n"))
+
+    def tally(v):
+        count = lambda f: F.size(F.filter(v, f))
+        return F.struct(mean_of(F.transform(v, lambda e: e["ps"])).alias("mean_ps"), count(lambda e: e["ps"] > 0).alias("hits"),
+                        F.size(v).alias("n"), count(lambda e: e["deep"] & (e["ps"] > 0)).alias("deep_hits"),
+                        count(lambda e: e["deep"]).alias("deep_n"))
+
+    return r.select(UNIT, "best_layer", "best_ps", "n_stems", "rep", "layer", let(ps, tally).alias("t")).select(
+        UNIT, "best_layer", "best_ps", "n_stems", "rep", "layer", "t.*")
 
 
-def derangement_null(replicates: DataFrame, best: DataFrame, cross: DataFrame) -> DataFrame:
+def derangement_null(replicates: DataFrame) -> DataFrame:
     """Primary (best layer) and conservative (largest layer per replicate) thresholds,
     exceed flags and chance rates; units without a derangeable stem have none."""
-    r = replicates.join(best.select(UNIT, "best_layer", "best_ps"), UNIT)
     own = F.col("layer") == F.col("best_layer")
     pick = lambda c: F.when(own, F.col(c))
-    per_rep = r.groupBy(UNIT, "rep").agg(
+    head = [UNIT, "best_layer", "best_ps", "n_stems"]
+    per_rep = replicates.groupBy(*head, "rep").agg(
         F.max("mean_ps").alias("cons"), F.max(pick("mean_ps")).alias("prim"),
         F.sum(pick("hits")).alias("h"), F.sum(pick("n")).alias("t"),
         F.sum(pick("deep_hits")).alias("dh"), F.sum(pick("deep_n")).alias("dt"))
-    g = per_rep.groupBy(UNIT).agg(
+    g = per_rep.groupBy(*head).agg(
         bounded_percentile(F.col("prim"), 0.95).alias("null_95_primary"),
         bounded_percentile(F.col("cons"), 0.95).alias("null_95_conservative"),
         F.avg("prim").alias("null_mean_primary"),
-        (F.sum("h") / F.sum("t")).alias("chance_fraction"),
+        F.when(F.sum("t") > 0, F.sum("h") / F.sum("t")).alias("chance_fraction"),
         F.when(F.sum("dt") > 0, F.sum("dh") / F.sum("dt")).alias("chance_matched"))
-    out = best.join(g, UNIT, "left").join(cross.select(UNIT, F.size("stems").alias("n_stems_in_null")), UNIT, "left")
-    return out.withColumns({
-        "n_stems_in_null": F.coalesce("n_stems_in_null", F.lit(0)),
-        "null_available": F.col("n_stems_in_null").isNotNull() & (F.coalesce("n_stems_in_null", F.lit(0)) > 0),
+    return g.withColumnRenamed("n_stems", "n_stems_in_null").withColumns({
+        "null_available": F.col("n_stems_in_null") > 0,
         "exceeds_primary": F.col("best_ps") > F.col("null_95_primary"),
         "exceeds_conservative": F.col("best_ps") > F.col("null_95_conservative")})
 
 
 def chance_per_layer(replicates: DataFrame) -> DataFrame:
     """Deep-pair chance rate and its denominator at every layer."""
-    g = replicates.groupBy(UNIT, "layer").agg(F.sum("deep_hits").alias("deep_hits"), F.sum("deep_n").alias("deep_n"))
+    g = replicates.filter("n_stems > 0").groupBy(UNIT, "layer").agg(F.sum("deep_hits").alias("deep_hits"), F.sum("deep_n").alias("deep_n"))
     return g.withColumn("chance", F.when(F.col("deep_n") > 0, F.col("deep_hits") / F.col("deep_n")))
 
 

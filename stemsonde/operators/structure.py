@@ -19,6 +19,16 @@ MIN_CANONICAL = 15
 MIN_ELIGIBLE = 5
 
 
+def spread(units: DataFrame, unit: str = "unit_id") -> DataFrame:
+    """Units hashed by name before a stage that makes thousands of cells per unit.
+
+    The rows that move are thin, and every later per-unit aggregate finds its
+    input already placed.
+    """
+    n = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return units.repartition(n, unit)
+
+
 def annotate(units: DataFrame, keep_pairs: bool = False) -> DataFrame:
     """Adds ``pairs``, ``canonical``, ``stems`` and ``eligible`` arrays to each unit.
 
@@ -145,16 +155,21 @@ def context2_of(sequence: Column) -> Column:
         chars, lambda c, t: F.concat(F.coalesce(F.get(chars, t - 1), F.lit("N")), c)))
 
 
-def noncanonical_fraction(units: DataFrame, unit: str = "unit_id") -> DataFrame:
-    """Share of usable pairs that are neither canonical nor wobble; 0 without pairs."""
-    n = F.length("sequence")
-    usable = F.filter(B.match_pairs(F.col("structure")), lambda p: (p["i"] < n) & (p["j"] < n))
+def noncanonical_of(sequence: Column, structure: Column) -> Column:
+    """struct(n_usable, n_bad, fraction) over the pairs inside the sequence."""
+    n = F.length(sequence)
+    usable = F.filter(B.match_pairs(structure), lambda p: (p["i"] < n) & (p["j"] < n))
     bad = lambda chars, pairs: F.filter(pairs, lambda p: ~F.concat(
         F.get(chars, p["i"]), F.get(chars, p["j"])).isin(*CANONICAL, *WOBBLE))
-    sizes = let(B.symbols(F.translate(F.upper("sequence"), "T", "U")), lambda chars: let(
-        usable, lambda u: F.struct(F.size(u).alias("n_usable"), F.size(bad(chars, u)).alias("n_bad"))))
-    return units.select(unit, sizes.alias("__s")).select(unit, "__s.*").withColumn(
-        "fraction", F.when(F.col("n_usable") > 0, F.col("n_bad") / F.col("n_usable")).otherwise(0.0))
+    share = lambda total, odd: F.struct(total.alias("n_usable"), odd.alias("n_bad"),
+                                        F.when(total > 0, odd / total).otherwise(0.0).alias("fraction"))
+    return let(B.symbols(F.translate(F.upper(sequence), "T", "U")), lambda chars: let(
+        usable, lambda u: let(F.size(bad(chars, u)), lambda odd: share(F.size(u), odd))))
+
+
+def noncanonical_fraction(units: DataFrame, unit: str = "unit_id") -> DataFrame:
+    """Share of usable pairs that are neither canonical nor wobble; 0 without pairs."""
+    return units.select(unit, noncanonical_of(F.col("sequence"), F.col("structure")).alias("__s")).select(unit, "__s.*")
 
 
 def gc_by_label(units: DataFrame, unit: str = "unit_id") -> DataFrame:

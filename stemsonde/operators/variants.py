@@ -9,6 +9,7 @@ from ..functions import brackets as B
 from ..functions.alphabet import CANONICAL, COMPLEMENT, mapped_symbol
 from ..functions.binding import inline_rows
 from ..functions.draws import draw_index
+from .structure import spread
 
 
 def mutate(units: DataFrame, alphabet: dict[str, str] = COMPLEMENT, at: Column | None = None,
@@ -72,7 +73,7 @@ def synthesize(units: DataFrame, n: int = 5, seed: str = "syn", unit: str = "uni
     to the closing one.
     """
     partner = B.partner_array(B.match_pairs(F.col("structure")), F.length("structure"))
-    rows = (units.filter(F.length("structure") > 0).withColumn("__mate", partner)
+    rows = (spread(units.filter(F.length("structure") > 0), unit).withColumn("__mate", partner)
             .select(unit, "structure", "__mate", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("copy")))
     pairs = F.array(*[F.lit(p) for p in PAIR_ORDER])
 

@@ -36,14 +36,11 @@ def ratio_stage(units: DataFrame, reps: int, seed: str = "ratio") -> DataFrame:
 def specificity_stage(attached: DataFrame, reps: int, seed: str = "ps", attempts: int = 32) -> DataFrame:
     """Best specificity, precision over deep pairs and the derangement null per unit.
 
-    The attached profiles are read by the score, the precision and the null, so a
-    caller with an encoder behind them writes them to a table first.
+    The profiles are read twice, by the null and by the precision, so a caller with
+    an encoder behind them writes them to a table first.
     """
-    pairs = N.pair_scores(attached)
-    best = N.partner_specificity(pairs)
-    cross = N.cross_scores(attached)
-    null = N.derangement_null(N.derangement_replicates(cross, reps, seed, attempts), best, cross)
-    return null.join(N.h3_precision(N.at_best(pairs, best)), UNIT, "left")
+    null = N.derangement_null(N.derangement_replicates(N.cross_scores(attached), reps, seed, attempts))
+    return null.join(N.h3_precision(N.at_best(N.pair_scores(attached), null)), UNIT, "left")
 
 
 def evaluate(units: DataFrame, attached: DataFrame, reps: int = 1000) -> DataFrame:
