@@ -275,4 +275,5 @@ def panel_description(units: DataFrame, kind: Column) -> tuple[DataFrame, DataFr
                  F.max("__len").alias("max_len"))
     counts = units.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n")) \
         .orderBy(F.desc("n"), "kind")
-    return span.join(q), counts
+    one = lambda df: df.withColumn("__one", F.lit(1))
+    return one(span).join(one(q), "__one").drop("__one"), counts
