@@ -114,15 +114,15 @@ _DID = {"difference": "x_ui - x_ua", "did": "x_ui - x_ua - x_ti + x_ta", "ablate
 def _cells(spark, sf):
     name = F.create_map(*[F.lit(x) for kv in _ARMS.items() for x in kv])
     return V.panel(spark, sf).filter(F.col("model").isin(*_ARMS)).select(
-        F.lit("all").alias("model"), U, F.element_at(name, F.col("model")).alias("arm"), F.col("h3_fraction").alias("precision"), F.col("chance_fraction").alias("chance"))
+        (F.col(U) % 2).cast("string").alias("model"), U, F.element_at(name, F.col("model")).alias("arm"), F.col("h3_fraction").alias("precision"), F.col("chance_fraction").alias("chance"))
 
 
 @query("c9_bootstrap_did", f"""with {V.PANEL}, c as (select unit_id, count(*) as n from panel where model in ('1-URGENT', '2-HIGH', '3-MEDIUM', '5-LOW') group by unit_id having count(*) = 4),
-  w as (select 'all' as model, unit_id, {', '.join(f"max(h3_fraction - chance_fraction) filter (where model = '{m}') as x_{a}, max(h3_fraction) filter (where model = '{m}') as p_{a}" for m, a in _ARMS.items())} from panel join c using (unit_id) group by unit_id),
+  w as (select cast(unit_id % 2 as varchar) as model, unit_id, {', '.join(f"max(h3_fraction - chance_fraction) filter (where model = '{m}') as x_{a}, max(h3_fraction) filter (where model = '{m}') as p_{a}" for m, a in _ARMS.items())} from panel join c using (unit_id) group by unit_id),
   s as (select model, unit_id, {', '.join(f'{e} as {n}' for n, e in _DID.items())} from w), {_boot('s', 'unit_id', list(TESTS), '9')}, l as (select model, unnest([{', '.join(f"{{'test': '{n}', 'v': {n}}}" for n in TESTS)}]) as e from br),
-  ci as (select model, e.test as test, quantile_cont(e.v, 0.025) as lo, quantile_cont(e.v, 0.975) as hi from l group by all), pt as (select unnest([{', '.join(f"{{'test': '{n}', 'v': avg({n})}}" for n in TESTS)}]) as e from s),
-  fw as (select min(n) as fewest from (select model, count(*) as n from panel where model in ('1-URGENT', '2-HIGH', '3-MEDIUM', '5-LOW') group by model)), mc as (select count(*) as n_common, avg(p_ta) < avg(p_ti) and avg(p_ua) < avg(p_ui) as ok from w)
-  select ci.model, test, round(e.v, 8) as point, round(lo, 8) as ci_low, round(hi, 8) as ci_high, n_common, fewest < 33 or not ok as void, not (fewest < 33 or not ok) and lo > 0 as holds from ci join pt on e.test = test cross join fw cross join mc""")
+  ci as (select model, e.test as test, quantile_cont(e.v, 0.025) as lo, quantile_cont(e.v, 0.975) as hi from l group by all), pt as (select model, unnest([{', '.join(f"{{'test': '{n}', 'v': avg({n})}}" for n in TESTS)}]) as e from s group by model),
+  fw as (select model, min(n) as fewest from (select cast(unit_id % 2 as varchar) as model, count(*) as n from panel where model in ('1-URGENT', '2-HIGH', '3-MEDIUM', '5-LOW') group by cast(unit_id % 2 as varchar), panel.model) group by model), mc as (select model, count(*) as n_common, avg(p_ta) < avg(p_ti) and avg(p_ua) < avg(p_ui) as ok from w group by model)
+  select ci.model, test, round(e.v, 8) as point, round(lo, 8) as ci_low, round(hi, 8) as ci_high, n_common, fewest < 33 or not ok as void, not (fewest < 33 or not ok) and lo > 0 as holds from ci join pt on pt.model = ci.model and e.test = test join fw on fw.model = ci.model join mc on mc.model = ci.model""")
 def c9(spark, sf):
     d = R.bootstrap_did(_cells(spark, sf), ["model"], U, list(_ARMS.values()), TESTS, V.REPS, "9", manipulation=(("ta", "ti"), ("ua", "ui")))
     return rounded(d, "point", "ci_low", "ci_high", places=8)

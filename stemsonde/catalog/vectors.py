@@ -115,11 +115,12 @@ def e8s(spark, sf):
     return rounded(rounded(s, "left_di", "middle_di", "right_di", "di_range", places=8), "elevation", places=6)
 
 
-@query("e8_instability_by_deviation", f"""{_AL}, p as (select unit_id, layer, layer as dev, avg(di) as di from di group by all), k as (select unit_id % 3 as grp, rank() over (partition by unit_id % 3 order by dev) + (count(*) over (partition by unit_id % 3, dev) - 1) / 2.0 as rx,
-  rank() over (partition by unit_id % 3 order by round(di, 10)) as ry from p) select grp, count(*) as n, round(corr(rx, ry), 8) as rho from k group by grp""")
+@query("e8_instability_by_deviation", f"""{_AL}, p as (select unit_id, slot % 6 as variant, slot % 6 as dev, avg(di) as di from di group by all), k as (select unit_id, rank() over (partition by unit_id order by dev) as rx,
+  rank() over (partition by unit_id order by round(di, 10)) as ry from p) select unit_id, count(*) as n, round(corr(rx, ry), 8) as rho from k group by unit_id""")
 def e8d(spark, sf):
-    d = _di(spark, sf).groupBy(*UL).agg(F.round(F.avg("di"), 10).alias("di")).withColumns({"grp": F.col(U) % 3, "variant": F.concat_ws("_", U, "layer")})
-    return rounded(E.instability_by_deviation(d, "layer", by=["grp"]), "rho", places=8)
+    # slots modulo six stand for six variants of a unit
+    d = _di(spark, sf).withColumns({"variant": F.col("slot") % 6, "dev": F.col("slot") % 6})
+    return rounded(E.instability_by_deviation(d, "dev", by=[U]), "rho", places=8)
 
 
 @query("e9_window_norm", f"""with {V.EMB}, n as (select *, sqrt(list_inner_product(vec::double[], vec::double[])) as x, count(*) over (partition by unit_id, layer) as n from emb), w as (select *, unnest([4, 10, 20]) as win from n),

@@ -220,9 +220,9 @@ def match_members(queries: DataFrame, targets: DataFrame, family: str = "family"
     q = queries.filter(F.length("sequence") > 0).select(
         "query", family, F.col("sequence").alias("__q"), size.alias("__len"),
         F.expr(f"left(sequence, least(length(sequence), {k}))").alias("kmer"))
-    # one row: the query lengths in use, at most k of them
-    lengths = q.agg(F.collect_set("__len").alias("__lens")).withColumn("__one", F.lit(1))
-    sized = targets.withColumn("__one", F.lit(1)).join(lengths, "__one").select(
+    # one value: the query lengths in use, at most k of them
+    lengths = q.agg(F.collect_set("__len")).scalar()
+    sized = targets.withColumn("__lens", lengths).select(
         "member", family, "sequence", F.explode(F.filter("__lens", lambda n: n <= F.length("sequence"))).alias("__len"))
     t = sized.select(
         "member", family, F.col("sequence").alias("__t"), "__len",

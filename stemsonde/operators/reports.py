@@ -213,10 +213,11 @@ def replicate_table(per_origin: DataFrame, excluded: DataFrame, by: Sequence[str
     s = G.replicate_summary(per_origin, by)
     digest = excluded.groupBy(*by).agg(F.count(F.lit(1)).alias("n_excluded"), F.sum(F.xxhash64(UNIT).cast("decimal(38,0)")).alias("__d"))
     s = s.join(digest, list(by), "left").fillna({"n_excluded": 0})
-    one = s.agg(F.countDistinct("n_units_scored").alias("a"), F.countDistinct("n_total_sequences").alias("b"),
-                F.countDistinct(F.coalesce("__d", F.lit(0).cast("decimal(38,0)"))).alias("c")).select(
-        F.lit(0).alias("__k"), ((F.col("a") == 1) & (F.col("b") == 1)).alias("same_counts"), (F.col("c") == 1).alias("same_exclusions"))
-    return s.withColumn("__k", F.lit(0)).join(one, "__k").drop("__k", "__d").orderBy(F.desc("mean_ratio"), *by)
+    same = lambda *cols: s.agg(*[F.countDistinct(c).alias(f"k{n}") for n, c in enumerate(cols)]).select(
+        F.greatest(*[F.col(f"k{n}") for n in range(len(cols))], F.lit(1)) == 1).scalar()
+    none = F.coalesce("__d", F.lit(0).cast("decimal(38,0)"))
+    return s.withColumns({"same_counts": same("n_units_scored", "n_total_sequences"), "same_exclusions": same(none)}) \
+        .drop("__d").orderBy(F.desc("mean_ratio"), *by)
 
 
 def graded_table(distances: DataFrame, scores: DataFrame, by: Sequence[str], grade: str, layer: str = "layer") -> DataFrame:
@@ -335,9 +336,8 @@ def vs_complementarity(layers: DataFrame, ceiling: DataFrame, by: Sequence[str]
 def completeness(results: DataFrame, units: DataFrame) -> DataFrame:
     """Per run: panel units covered, missing, and result keys that are no panel unit."""
     known = results.select("model", UNIT).distinct().join(units.select(UNIT).distinct().withColumn("__in", F.lit(1)), UNIT, "left")
-    size = units.agg(F.countDistinct(UNIT).alias("panel")).withColumn("__k", F.lit(0))
-    g = known.groupBy("model").agg(F.count("__in").alias("covered"), F.count_if(F.col("__in").isNull()).alias("unknown")).withColumn("__k", F.lit(0))
-    return g.join(size, "__k").drop("__k").withColumn("missing", F.col("panel") - F.col("covered"))
+    g = known.groupBy("model").agg(F.count("__in").alias("covered"), F.count_if(F.col("__in").isNull()).alias("unknown"))
+    return g.withColumn("panel", units.agg(F.countDistinct(UNIT)).scalar()).withColumn("missing", F.col("panel") - F.col("covered"))
 
 
 def missing_cells(results: DataFrame, units: DataFrame, models: DataFrame) -> DataFrame:
@@ -346,9 +346,9 @@ def missing_cells(results: DataFrame, units: DataFrame, models: DataFrame) -> Da
     Each unit carries the array of runs it has; the runs it lacks follow without
     building the run x unit grid.
     """
-    every = models.agg(F.array_sort(F.collect_set("model")).alias("__all")).withColumn("__k", F.lit(0))
+    every = models.agg(F.array_sort(F.collect_set("model"))).scalar()
     have = results.groupBy(UNIT).agg(F.collect_set("model").alias("__have"))
-    u = units.select(UNIT).distinct().join(have, UNIT, "left").withColumn("__k", F.lit(0)).join(every, "__k")
+    u = units.select(UNIT).distinct().join(have, UNIT, "left").withColumn("__all", every)
     lack = F.array_except("__all", F.coalesce("__have", F.array().cast("array<string>")))
     return u.select(UNIT, F.explode(lack).alias("model"))
 

@@ -238,9 +238,9 @@ def selection_problems(rows: DataFrame, stored: DataFrame, by: Sequence[str], un
 
 
 def depth_correlation(selection: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Number of layers against the gain of the per-unit choice, over runs."""
+    """Number of layers against the gain of the per-unit choice, over runs (one row each)."""
     g = selection.withColumn("gain", F.col("per_unit") - F.col("panel")).withColumn("__g", F.lit(0))
-    return spearman(g, "n_layers", "gain", [*by, "__g"]).drop("__g")
+    return spearman(g, "n_layers", "gain", [*by, "__g"], bounded=True).drop("__g")
 
 
 # ------------------------------------------------------------------ multiplicity
