@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import debruijn, minhash
+from . import debruijn, langid, minhash
 from .common import read_table
 
 QUERIES, ORACLES = {}, {}
@@ -20,6 +20,11 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+@query("op1_language_id")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identified(read_table(spark, sf_dir, "documents"))
+
+
 @query("op5_substring_dedup")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return debruijn.deduplicated_digest(read_table(spark, sf_dir, "documents"))
