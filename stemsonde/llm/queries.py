@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import debruijn, langid, minhash
+from . import debruijn, langid, minhash, secrets
 from .common import read_table
 
 QUERIES, ORACLES = {}, {}
@@ -30,6 +30,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return debruijn.deduplicated_digest(read_table(spark, sf_dir, "documents"))
 
 
+@query("op6_secret_scan")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scanned(read_table(spark, sf_dir, "documents"))
+
+
 @query("op10_near_duplicates")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
