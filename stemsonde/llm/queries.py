@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import debruijn, langid, minhash, secrets
+from . import debruijn, langid, minhash, secrets, sharding, warc
 from .common import read_table
 
 QUERIES, ORACLES = {}, {}
@@ -25,6 +26,26 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identified(read_table(spark, sf_dir, "documents"))
 
 
+SHARD_BYTES = 1 << 20
+
+_SHARD_SQL = f"""
+with item as (select doc_id, cast(coalesce(octet_length(encode(text)), 0) as bigint) as bytes, md5(cast(doc_id as varchar)) as h from documents),
+bits as (select *, list_reduce(list_transform(range(1, 16), lambda i: cast(instr('0123456789abcdef', substr(h, cast(i as integer), 1)) - 1 as bigint)), lambda a, b: a * 16 + b) as code from item),
+prefix as (select doc_id, bytes, d, code >> (60 - d) as shard from bits, (select unnest(range(0, 25)) as d)),
+size as (select d, shard, sum(bytes) as shard_bytes, count(distinct doc_id) as k from prefix group by d, shard),
+fit as (select p.doc_id, p.bytes, p.d, p.shard, s.shard_bytes, row_number() over (partition by p.doc_id order by p.d) as k
+  from prefix p join size s on p.d = s.d and p.shard = s.shard where s.shard_bytes <= {SHARD_BYTES} or s.k = 1)
+select doc_id, bytes, cast(d as integer) as depth, cast(shard as bigint) as shard, cast(shard_bytes as bigint) as shard_bytes, shard_bytes <= {SHARD_BYTES} as fits
+from fit where k = 1
+"""
+
+
+@query("op2_sharding", _SHARD_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return sharding.sharded(docs, "doc_id", F.octet_length("text"), SHARD_BYTES).select("doc_id", "bytes", "depth", "shard", "shard_bytes", "fits")
+
+
 @query("op5_substring_dedup")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return debruijn.deduplicated_digest(read_table(spark, sf_dir, "documents"))
@@ -35,6 +56,24 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scanned(read_table(spark, sf_dir, "documents"))
 
 
+_WARC_SQL = """
+with body as (select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as sha from pages),
+first as (select page_id, html, sha, min(page_id) over (partition by html) as first from body)
+select page_id, cast(octet_length(encode(html)) as bigint) as payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + cast((cast('0x' || substr(sha, 1 + 5 * (i // 4), 5) as integer) >> (15 - 5 * (i % 4))) & 31 as integer), 1)), '') as payload_digest,
+  case when first < page_id then 'revisit' else 'response' end as record_type,
+  case when first < page_id then first end as refers_to
+from first
+"""
+
+
+@query("op9_warc", _WARC_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages")
+    return warc.records(warc.written(pages), with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query("op10_near_duplicates")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
