@@ -9,8 +9,8 @@ Plan. Texts with equal sets form a class, represented by its smallest doc_id; on
 Sixteen bits of each of 128 slots give 32 bands of four slots. In a bucket every member is compared with the smallest
 member (a star, never all pairs); links are confirmed on the full sets and grouped. Then, in the buckets that still
 hold more than one component, the members outside the bucket's main component are queries against all its members in
-blocks; what the signatures put above ``floor`` is confirmed too, so that no link between different texts is lost
-because its ends met only in a bucket whose pivot is unlike them. A pair with similarity 0.75 misses all bands with
+blocks that carry the full sets; what the signatures put above ``FLOOR`` is confirmed there, and only links leave the
+task. So no link between different texts is lost because its ends met only in a bucket whose pivot is unlike them. A pair with similarity 0.75 misses all bands with
 probability 5e-6 and falls below the floor with about the same.
 
 Defined cases: null text or no word: empty set, linked with nothing, component is the own doc_id. Fewer than five
@@ -34,7 +34,7 @@ from .components import components
 SHINGLE, SLOTS, BANDS = 5, 128, 32
 SIMILAR = (75, 100)
 FLOOR = 0.58
-BLOCK = 1024
+BLOCK, BLOCK_BYTES = 1024, 16 << 20
 _U = np.uint64
 
 
@@ -122,51 +122,67 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             .select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a long, b long"))
 
 
-def _compare(floor: float):
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            q, m = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, SLOTS) for c in ("sig_q", "sig_m"))
-            yield batch.select(["q", "m"]).filter(pa.array((q == m).sum(axis=1) >= floor * SLOTS))
-    return compare
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "text"):
+        value, off = shingle_sets(Words(batch.column("text"), lower=True))
+        yield batch_of({"node": (batch.column("node"), None), "members": ([value[off[i]: off[i + 1]].tobytes() for i in range(batch.num_rows)], pa.binary())})
+
 
+def _block_links(floor: float):
+    width = SLOTS // BANDS
 
-def _block_pairs(floor: float):
-    def pairs(key, left, right):
+    def links(key, left, right):
+        """Links of the queries to members of other components, one for each component and block; a pair that meets in
+        several buckets is looked at in the one of its first common band."""
         import pandas as pd
 
+        band, out = int(key[1]), []
         q, m = (np.frombuffer(b"".join(x["sig"]), np.uint16).reshape(-1, SLOTS) for x in (left, right))
-        qn, mn, qc, mc, qi, mi = (x[c].to_numpy() for c in ("n", "comp", "node") for x in (left, right))
-        a, b = [], []
-        for i in range(len(q)):
-            hit = np.flatnonzero((mc != qc[i]) & (SIMILAR[1] * np.minimum(mn, qn[i]) >= SIMILAR[0] * np.maximum(mn, qn[i])))
-            hit = hit[(m[hit] == q[i]).sum(axis=1) >= floor * SLOTS]
-            a.append(np.minimum(mi[hit], qi[i]))
-            b.append(np.maximum(mi[hit], qi[i]))
-        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}) if a else pd.DataFrame({"a": [], "b": []}, dtype="int64")
-    return pairs
-
-
-def _bands(reps: DataFrame, *more: str) -> DataFrame:
+        sets = [np.frombuffer(x, np.uint64) for x in right["members"]]
+        size, comp, node = (right[c].to_numpy() for c in ("n", "comp", "node"))
+        for i, (n, own, me, members) in enumerate(zip(left["n"], left["comp"], left["node"], left["members"])):
+            near = np.flatnonzero((comp != own) & (SIMILAR[1] * np.minimum(size, n) >= SIMILAR[0] * np.maximum(size, n)))
+            same = m[near] == q[i]
+            alike = same.sum(axis=1)
+            first = same.reshape(len(near), BANDS, width).all(axis=2).argmax(axis=1)
+            order = np.flatnonzero((alike >= floor * SLOTS) & (first == band))
+            order = order[np.argsort(-alike[order], kind="stable")]
+            mine, done = np.frombuffer(members, np.uint64), set()
+            for j in near[order].tolist():
+                if comp[j] not in done:
+                    both = len(np.intersect1d(mine, sets[j], assume_unique=True))
+                    if SIMILAR[1] * both >= SIMILAR[0] * (n + size[j] - both):
+                        done.add(comp[j])
+                        out.append((min(me, node[j]), max(me, node[j])))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+    return links
+
+
+def _bands(reps: DataFrame) -> DataFrame:
     width = 2 * SLOTS // BANDS
-    return reps.select("node", *more, F.explode(F.expr(
-        f"transform(sequence(0, {BANDS - 1}), b -> xxhash64(b, substring(sig, b * {width} + 1, {width})))")).alias("bucket"))
+    return reps.select("node", F.col("n_shingles").alias("n"), F.explode(F.expr(
+        f"transform(sequence(0, {BANDS - 1}), b -> struct(b as band, xxhash64(b, substring(sig, b * {width} + 1, {width})) as bucket))")).alias("x")).select("node", "n", "x.*")
 
 
-def _cross(bands: DataFrame, reps: DataFrame, grouped: DataFrame) -> DataFrame:
-    """Pairs of different components that meet in a bucket and whose signatures are close: in each such bucket the
-    members outside its largest component against all its members, in blocks."""
+def _cross(bands: DataFrame, reps: DataFrame, grouped: DataFrame, text: DataFrame) -> DataFrame:
+    """Links between different components that meet in a bucket: in each such bucket the members outside its largest
+    component are queries against all its members. Both are cut into blocks by rows and by bytes."""
     rows = bands.join(grouped, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    sizes = rows.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("bucket").agg(F.max(F.struct("n", -F.col("comp"))).alias("top"), F.sum("n").alias("all"), F.count("*").alias("k")).where("k > 1").select(
-        "bucket", (-F.col("top.col2")).alias("main"), F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK).cast("int").alias("q_blocks"))
-    rows = stored(rows.join(mixed, "bucket").join(reps.select("node", "sig", F.col("n_shingles").alias("n")), "node"))
+    sizes = rows.groupBy("band", "bucket", "comp").agg(F.count("*").alias("k"), F.sum("n").alias("n"))
+    parts = lambda k, n: F.ceil(F.greatest(k / BLOCK, 8 * n / BLOCK_BYTES, F.lit(1))).cast("int")
+    mixed = sizes.groupBy("band", "bucket").agg(F.max(F.struct(F.col("k"), (-F.col("comp")).alias("comp"), F.col("n"))).alias("top"), F.sum("k").alias("k"), F.sum("n").alias("n"), F.count("*").alias("comps")).where("comps > 1")
+    mixed = mixed.select("band", "bucket", (-F.col("top.comp")).alias("main"), parts(F.col("k"), F.col("n")).alias("blocks"), parts(F.col("k") - F.col("top.k"), F.col("n") - F.col("top.n")).alias("q_blocks"))
+    rows = stored(rows.join(mixed, ["band", "bucket"]))
+    needed = rows.select("node").distinct()
+    sets = text.withColumnRenamed("doc_id", "node").where("node is not null and text is not null").join(needed, "node", "left_semi").mapInArrow(_sets, "node long, members binary")
+    full = reps.select("node", "sig").join(needed, "node", "left_semi").join(sets, "node")
     part = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n))
     asked = rows.where("comp != main").withColumn("i", part("q_blocks", 1)).withColumn("j", F.explode(F.expr("sequence(0, blocks - 1)")))
     held = rows.withColumn("j", part("blocks", 2)).withColumn("i", F.explode(F.expr("sequence(0, q_blocks - 1)")))
-    keys = [F.col("bucket"), F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j")]
-    cols = [*keys, "node", "comp", "n", "sig"]
-    by = ["bucket", "i", "j"]
-    return asked.select(*cols).groupBy(*by).cogroup(held.select(*cols).groupBy(*by)).applyInPandas(_block_pairs(FLOOR), "a long, b long").distinct()
+    by = ["bucket", "band", "i", "j"]
+    cols = ["bucket", F.col("band").cast("long").alias("band"), F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "node", "comp", "n", "sig", "members"]
+    asked, held = (x.join(full, "node").select(*cols).groupBy(*by) for x in (asked, held))
+    return asked.cogroup(held).applyInPandas(_block_links(FLOOR), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -182,7 +198,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     text = columns_of(docs, "doc_id", "text")
     links = stored(confirmed(star, text))
     grouped = components(links).withColumnsRenamed({"component": "comp"})
-    more = stored(confirmed(stored(_cross(bands, reps, grouped)), text))
+    more = stored(_cross(bands, reps, grouped, text))
     low, high = (grouped.select(F.col("node").alias(c), F.col("comp").alias(f"{c}_comp")) for c in ("a", "b"))
     second = components(more.join(low, "a", "left").join(high, "b", "left").select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b")))
     second = second.withColumnsRenamed({"node": "comp", "component": "further"})
