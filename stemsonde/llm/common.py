@@ -24,6 +24,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_FOLD = _LOWER.copy()
+_FOLD[[c for c in range(33, 127) if not chr(c).isalnum()]] = 32
 _BYTE = np.random.default_rng(20260101).integers(0, 1 << 64, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
 _STEP = 0xD6E8FEB86659FD93
@@ -118,9 +120,11 @@ class Words:
 
     ``first[r]`` to ``first[r + 1]`` are the words of row r."""
 
-    def __init__(self, column: pa.Array, lower: bool = False):
+    def __init__(self, column: pa.Array, lower: bool = False, fold: bool = False):
+        """lower: A-Z count as a-z; fold: ASCII punctuation also separates words."""
         data, off = _offsets(column)
-        self.data = _LOWER[data] if lower else data
+        data = _FOLD[data] if fold else _LOWER[data] if lower else data
+        self.data = data
         self.rows = len(column)
         inside = ~_SPACE[data]
         edge = np.zeros(len(data) + 1, bool)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import debruijn, fertility, langid, minhash, secrets, sharding, warc
+from . import debruijn, decontam, fertility, langid, minhash, secrets, sharding, warc
 from .common import read_table
 
 QUERIES, ORACLES = {}, {}
@@ -46,6 +46,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(docs, "doc_id", F.octet_length("text"), SHARD_BYTES).select("doc_id", "bytes", "depth", "shard", "shard_bytes", "fits")
 
 
+@query("op3_decontamination")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.retrieved(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).where("contaminated")
+
+
 @query("op4_quality_rules")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.judged(read_table(spark, sf_dir, "documents"))
