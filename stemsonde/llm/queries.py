@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import debruijn, decontam, fertility, langid, minhash, packing, secrets, sharding, warc
+from . import debruijn, decontam, fertility, langid, minhash, packing, secrets, sharding, suffixes, warc
 from .common import read_table
 
 QUERIES, ORACLES = {}, {}
@@ -78,6 +78,11 @@ from first
 """
 
 
+@query("op7_suffix_array")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeats(read_table(spark, sf_dir, "documents"))
+
+
 @query("op8_packing")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(read_table(spark, sf_dir, "documents"))
