@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import _offsets, batch_of, columns_of, mix, slices
 
 BUCKETS, DIM, GRAMS = 1 << 15, 16, (1, 2, 3, 4)
-SAMPLE, EPOCHS, RATE = 4000, 4, 0.5
+SAMPLE, STEPS, EPOCHS, RATE = 4000, 13_000, 40, 0.5
 CEILING = 0.6
 _U = np.uint64
 _CODES: list[np.ndarray] = []
@@ -136,8 +136,9 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[str], seed: int
     learn = np.setdiff1d(np.arange(len(rows)), aside) if len(rows) >= 10 else aside
     emb = rng.normal(0, 0.1, (BUCKETS, DIM))
     soft, bias = np.zeros((DIM, len(langs))), np.zeros(len(langs))
-    for epoch in range(EPOCHS):
-        rate = RATE * (1 - epoch / EPOCHS)
+    epochs = min(EPOCHS, -(-STEPS // len(learn)))
+    for epoch in range(epochs):
+        rate = RATE * (1 - epoch / epochs)
         for i in rng.permutation(learn):
             bucket, weight = rows[i]
             h = weight @ emb[bucket]
