@@ -10,6 +10,7 @@ from ..operators import resampling as R
 from . import query
 from . import views as V
 from .joins import rounded
+from .resampling import _boot
 
 U = "unit_id"
 WITH_RATIO = f"with {V.ST}, {V.RATIO.format(src='st')}"
@@ -255,9 +256,8 @@ def a21f(spark, sf):
     return G.panel_fingerprint(V.hairpins(spark, sf), ["lang"])
 
 
-@query("c7_bootstrap_fraction", f"""with {V.RUNS}, k as (select model, key, (flag = 'F')::int as x, row_number() over (partition by model order by {V.hexd("'7'", "'order'", 'key')}, key) - 1 as idx, count(*) over (partition by model) as n from runs),
-  d as (select model, key, n, unnest(range(1, 21)) as rep from k), e as (select model, rep, {V.dix('n', "'7'", 'model', 'rep', 'key')} as idx from d), r as (select e.model, rep, avg(x) as m from e join k using (model, idx) group by all),
-  p as (select model, avg(x) as point, count(*) as n from k group by model) select p.model, round(point, 9) as point, n, round(quantile_cont(m, 0.025), 9) as ci_low, round(quantile_cont(m, 0.975), 9) as ci_high from p join r using (model) group by all""")
+@query("c7_bootstrap_fraction", f"""with {V.RUNS}, k as (select model, key, (flag = 'F')::int as x from runs), {_boot('k', 'key', ['x'], '7')},
+  p as (select model, avg(x) as point, count(*) as n from k group by model) select p.model, round(point, 9) as point, n, round(quantile_cont(br.x, 0.025), 9) as ci_low, round(quantile_cont(br.x, 0.975), 9) as ci_high from p join br using (model) group by all""")
 def c7_fraction(spark, sf):
     r = V.runs(spark, sf).select("model", "key", (F.col("flag") == "F").cast("int").alias("x"))
-    return rounded(R.bootstrap_ci(r, ["model"], "key", "x", V.REPS, "7"), "point", "ci_low", "ci_high")
+    return rounded(R.bootstrap_ci(r, ["model"], "key", "x", V.BOOT, "7"), "point", "ci_low", "ci_high")

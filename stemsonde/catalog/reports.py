@@ -113,7 +113,7 @@ def r4(spark, sf):
   round(avg(nearer), 8) as attention, round(max(h3_fraction * 0.75e0) - 0.5, 8) as probe_gain from panel join ci using (model) group by model""")
 def r5(spark, sf):
     p = V.panel(spark, sf)
-    t = P.ratio_table(p, p.withColumn("best_corr", F.col("nearer")), p.withColumn("accuracy", F.col("h3_fraction") * 0.75), reps=V.REPS)
+    t = P.ratio_table(p, p.withColumn("best_corr", F.col("nearer")), p.withColumn("accuracy", F.col("h3_fraction") * 0.75), reps=V.BOOT)
     return rounded(t, "mean_ratio", "median_ratio", "ci_low", "ci_high", "attention", "probe_gain", places=8)
 
 
@@ -121,7 +121,7 @@ def r5(spark, sf):
   select model, count(*) as exceeding, sum(s) as surviving, round(avg(s), 8) as retention, round(any_value(lo), 8) as ci_low, round(any_value(hi), 8) as ci_high from g join ci using (model) group by model""")
 def r6(spark, sf):
     p = V.panel(spark, sf).withColumn("second", F.col("ratio") > 1.8)
-    return rounded(P.retention_table(p, ["model"], "exceeds_primary", "second", reps=V.REPS), "retention", "ci_low", "ci_high", places=8)
+    return rounded(P.retention_table(p, ["model"], "exceeds_primary", "second", reps=V.BOOT), "retention", "ci_low", "ci_high", places=8)
 
 
 @query("r7_specificity_table", f"""{WP} select model, unit_id % 2 = 0 as arm, count(*) as eligible, count(*) filter (where gate_pass) as gate, count(*) filter (where gate_pass and exceeds_conservative) as exceed, count(*) filter (where gate_pass and exceeds_primary) as exceed_primary,
@@ -262,13 +262,13 @@ def r19(spark, sf):
   select model, sum(h3_hits) as hits, sum(h3_n) as trials, round(sum(h3_hits) / cast(sum(h3_n) as double), 9) as pooled_precision, round(avg(h3_fraction), 8) as mean_precision, round(avg(h3_fraction) - avg(chance_fraction), 8) as excess, round(any_value(lo), 8) as ci_low, round(any_value(hi), 8) as ci_high,
   case when any_value(lo) > 0 then 'PASS' else 'FAIL' end as corrected from panel join ci using (model) group by model""")
 def r20(spark, sf):
-    t = P.registered_vs_corrected(V.panel(spark, sf), reps=V.REPS).drop("registered_p", "registered")
+    t = P.registered_vs_corrected(V.panel(spark, sf), reps=V.BOOT).drop("registered_p", "registered")
     return rounded(rounded(t, "pooled_precision"), "mean_precision", "excess", "ci_low", "ci_high", places=8)
 
 
 @query("r20_registered_p")
 def r20p(spark, sf):
-    t = P.registered_vs_corrected(V.panel(spark, sf), reps=V.REPS)
+    t = P.registered_vs_corrected(V.panel(spark, sf), reps=V.BOOT)
     return rounded(t.select("model", "registered_p", "registered"), "registered_p", places=8)
 
 
@@ -319,13 +319,17 @@ def r25(spark, sf):
     return P.stamp_check(c, ["mktsegment", "constant", "nation"])
 
 
-@query("r26_attribute_value", f"""{WP}, c as (select unit_id % 30 as model, avg(h3_fraction) as mf, sum(h3_hits) / cast(sum(h3_n) as double) as pf from panel group by all), l as (select model, unnest(['mean', 'pooled']) as aggregation, unnest([mf, pf]) as value, printf('%.3f', mf) as literal from c where mf >= 0.1)
-  select model, aggregation, literal, printf('%.3f', value) = literal as matches from l""")
+@query("r26_attribute_value", f"""{WP}, c as (select unit_id % 30 as model, avg(h3_fraction) as mf, sum(h3_hits) / cast(sum(h3_n) as double) as pf from panel group by all), x as (select model, 10 ** (model % 4) * case when model % 2 = 0 then 1.0 else -1.0 end as k, mf, pf from c),
+  l as (select model, unnest(['mean', 'pooled']) as aggregation, unnest([k * mf, k * pf]) as value, printf('%.3f', k * mf) as literal from x)
+  select model, aggregation, literal, cast(greatest(length(ltrim(replace(replace(literal, '-', ''), '.', ''), '0')), 1) as int) as figures, printf('%.3f', value) = literal as matches from l""")
 def r26(spark, sf):
-    c = V.panel(spark, sf).groupBy((F.col(U) % 30).alias("model")).agg(F.avg("h3_fraction").alias("mf"), (F.sum("h3_hits") / F.sum("h3_n")).alias("pf")).filter("mf >= 0.1")
+    # negative values and values from 0.000 to some hundreds
+    c = V.panel(spark, sf).groupBy((F.col(U) % 30).alias("model")).agg(F.avg("h3_fraction").alias("mf"), (F.sum("h3_hits") / F.sum("h3_n")).alias("pf"))
+    k = F.pow(F.lit(10.0), F.col("model") % 4) * F.when(F.col("model") % 2 == 0, 1.0).otherwise(-1.0)
+    c = c.select("model", (k * F.col("mf")).alias("mf"), (k * F.col("pf")).alias("pf"))
     cand = c.select("model", F.inline(F.array(F.struct(F.lit("mean").alias("aggregation"), F.col("mf").alias("value")), F.struct(F.lit("pooled").alias("aggregation"), F.col("pf").alias("value")))))
     claims = c.select("model", F.format_string("%.3f", "mf").alias("literal"))
-    return P.attribute_value(cand, claims).select("model", "aggregation", "literal", "matches")
+    return P.attribute_value(cand, claims).select("model", "aggregation", "literal", P.significant_figures(F.col("literal")).alias("figures"), "matches")
 
 
 @query("r27_check_reported", f"""{WP}, c as (select unit_id as key, avg(ratio) as value from panel group by all), l as (select key, value, case when key % 4 = 0 then printf('%.2f', value + 0.02e0) when key % 4 = 1 then printf('%.1f', value) else printf('%.4f', value) end as literal from c where key % 6 <> 5 or key > 0)

@@ -89,21 +89,25 @@ def c6p(spark, sf):
 
 
 def _boot(src, key, values, seed):
-    return f"""bk as (select model, {key} as bkey, {', '.join(values)}, row_number() over (partition by model order by {V.hexd(f"'{seed}'", "'order'", key)}, {key}) - 1 as idx, count(*) over (partition by model) as n from {src}),
-  bd as (select model, n, bkey, unnest(range(1, {V.REPS + 1})) as rep from bk), be as (select model, rep, {V.dix('n', f"'{seed}'", 'model', 'rep', 'bkey')} as idx from bd),
-  br as (select be.model, rep, {', '.join(f'avg({v}) as {v}' for v in values)} from be join bk using (model, idx) group by all)"""
+    """br(model, rep, values): Poisson(1) counts from four 32-bit draws of one digest."""
+    u = "cast(concat('0x', substr(h, 1 + 8 * slot, 8)) as bigint)"
+    w = "case " + " ".join(f"when u < {t} then {k}" for k, t in enumerate(R.poisson_steps())) + f" else {len(R.poisson_steps())} end"
+    v = ", ".join(values)
+    return f"""bk as (select model, {v}, {key} as bkey, unnest(range(0, {(V.BOOT - 1) // R.PER_DRAW + 1})) as blk from {src}), bh as (select model, {v}, blk, {V.hexd(f"'{seed}'", 'model', 'blk', 'bkey')} as h, unnest(range(0, {R.PER_DRAW})) as slot from bk),
+  bw as (select model, {v}, rep, {w} as w from (select model, {v}, blk * {R.PER_DRAW} + slot + 1 as rep, {u} as u from bh) where rep <= {V.BOOT}),
+  br as (select model, rep, {', '.join(f'sum({x} * w) / cast(sum(w) as double) as {x}' for x in values)} from bw group by model, rep having sum(w) > 0)"""
 
 
 @query("c7_bootstrap_ci", f"""with {V.RUNS}, {_boot('runs', 'key', ['score'], '5')}, p as (select model, avg(score) as point, count(*) as n from runs group by model)
   select model, round(any_value(point), 8) as point, any_value(p.n) as n, round(quantile_cont(score, 0.025), 8) as ci_low, round(quantile_cont(score, 0.975), 8) as ci_high from br join p using (model) group by model""")
 def c7(spark, sf):
-    return rounded(R.bootstrap_ci(V.runs(spark, sf).select("model", "key", "score"), ["model"], "key", "score", V.REPS, "5"), "point", "ci_low", "ci_high", places=8)
+    return rounded(R.bootstrap_ci(V.runs(spark, sf).select("model", "key", "score"), ["model"], "key", "score", V.BOOT, "5"), "point", "ci_low", "ci_high", places=8)
 
 
 @query("c8_bootstrap_excess", f"""with {V.PANEL}, {_boot('panel', 'unit_id', ['h3_fraction', 'chance_fraction'], '6')}, p as (select model, avg(h3_fraction) - avg(chance_fraction) as point, count(*) as n from panel group by model)
   select model, round(any_value(point), 8) as point, any_value(p.n) as n, round(quantile_cont(h3_fraction - chance_fraction, 0.025), 8) as ci_low, round(quantile_cont(h3_fraction - chance_fraction, 0.975), 8) as ci_high, quantile_cont(h3_fraction - chance_fraction, 0.025) > 0 as holds from br join p using (model) group by model""")
 def c8(spark, sf):
-    return rounded(R.bootstrap_excess(V.panel(spark, sf), ["model"], U, "h3_fraction", "chance_fraction", V.REPS, "6"), "point", "ci_low", "ci_high", places=8)
+    return rounded(R.bootstrap_excess(V.panel(spark, sf), ["model"], U, "h3_fraction", "chance_fraction", V.BOOT, "6"), "point", "ci_low", "ci_high", places=8)
 
 
 _ARMS = {"1-URGENT": "ti", "2-HIGH": "ta", "3-MEDIUM": "ui", "5-LOW": "ua"}
@@ -124,7 +128,7 @@ def _cells(spark, sf):
   fw as (select model, min(n) as fewest from (select cast(unit_id % 2 as varchar) as model, count(*) as n from panel where model in ('1-URGENT', '2-HIGH', '3-MEDIUM', '5-LOW') group by cast(unit_id % 2 as varchar), panel.model) group by model), mc as (select model, count(*) as n_common, avg(p_ta) < avg(p_ti) and avg(p_ua) < avg(p_ui) as ok from w group by model)
   select ci.model, test, round(e.v, 8) as point, round(lo, 8) as ci_low, round(hi, 8) as ci_high, n_common, fewest < 33 or not ok as void, not (fewest < 33 or not ok) and lo > 0 as holds from ci join pt on pt.model = ci.model and e.test = test join fw on fw.model = ci.model join mc on mc.model = ci.model""")
 def c9(spark, sf):
-    d = R.bootstrap_did(_cells(spark, sf), ["model"], U, list(_ARMS.values()), TESTS, V.REPS, "9", manipulation=(("ta", "ti"), ("ua", "ui")))
+    d = R.bootstrap_did(_cells(spark, sf), ["model"], U, list(_ARMS.values()), TESTS, V.BOOT, "9", manipulation=(("ta", "ti"), ("ua", "ui")))
     return rounded(d, "point", "ci_low", "ci_high", places=8)
 
 

@@ -136,9 +136,12 @@ def s9(spark, sf):
     path = shared_path(spark, "stale")
     arm = F.when(F.col("unit_id") % 2 == 0, "trained").otherwise("control")
     p = V.panel(spark, sf).withColumn("arm", arm).select("model", "arm", "unit_id", "h3_n")
-    resume.overwrite_if_stale(p, path, resume.literal_stamp({"commit": "a"}))
+    old, new = ({"commit": c} for c in "ab")
+    # a first part, then all units under the same stamp: the first part stays and the rest joins it
+    resume.overwrite_if_stale(p.filter(F.col("unit_id") % 3 == 0), path, resume.literal_stamp(old))
+    resume.overwrite_if_stale(p.withColumn("h3_n", F.when(F.col("unit_id") % 3 == 0, -1).otherwise(F.col("h3_n"))), path, resume.literal_stamp(old))
     fresh = p.filter((F.col("model") == "1-URGENT") & (F.col("arm") == "trained")).withColumn("h3_n", F.col("h3_n") * 2)
-    resume.overwrite_if_stale(fresh, path, resume.literal_stamp({"commit": "b"}))
+    resume.overwrite_if_stale(fresh, path, resume.literal_stamp(new))
     return spark.read.parquet(path).groupBy("model", "arm").agg(F.count(F.lit(1)).alias("n"), F.sum("h3_n").alias("n_eligible"))
 
 

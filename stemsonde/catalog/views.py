@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 HEX = "0123456789abcdef"
 LAYERS = 3
 REPS = 20
+BOOT = 1000
 
 ARM_SYMBOLS = "ACGUACGUACGUACGU"
 BRACKETS = "((((((....))))))"

@@ -368,17 +368,17 @@ def stamp_check(stamps: DataFrame, fields: Sequence[str]) -> DataFrame:
 
 
 def significant_figures(literal: Column) -> Column:
-    """Figures of a printed decimal: digits after a leading ``0.`` and its zeros."""
-    rest = F.regexp_replace(F.replace(literal, F.lit("0."), F.lit("")), "^0+", "")
-    return F.greatest(F.length(rest), F.lit(1))
+    """Figures of a printed decimal: all digits of its mantissa from the first that is not zero (0: one)."""
+    mantissa = F.regexp_replace(literal, "[eE].*$", "")
+    digits = F.regexp_replace(mantissa, "[^0-9]", "")
+    return F.greatest(F.length(F.regexp_replace(digits, "^0+", "")), F.lit(1))
 
 
 def rounds_to(value: Column, literal: Column) -> Column:
-    """Whether a value prints as the literal at the literal's significant figures."""
-    figs, lit = significant_figures(literal), literal.cast("double")
-    scale = lambda x: F.pow(F.lit(10.0), figs - 1 - F.floor(F.log10(F.abs(x))))
-    shown = lambda x: F.when(x == 0, F.lit(0.0)).otherwise(F.rint(x * scale(x)) / scale(x))
-    return F.abs(shown(value) - shown(lit)) <= F.abs(lit) * 1e-12
+    """Whether a value, rounded to the literal's last printed place, is the literal."""
+    fraction = F.regexp_extract(literal, r"\.([0-9]*)", 1)
+    unit = F.pow(F.lit(10.0), F.length(fraction))
+    return F.rint(value * unit) == F.rint(literal.cast("double") * unit)
 
 
 def attribute_value(candidates: DataFrame, claims: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:

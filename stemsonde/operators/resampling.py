@@ -6,13 +6,14 @@ aggregated row is computed in Python.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.draws import draw, draw_index
+from ..functions.draws import draw
 from ..functions.special import binom_high, binom_low, binom_test, mann_whitney_p, t_test_p, wilcoxon_p
 from .aggregates import spearman
 from .joins import paired_units, salted_join
@@ -92,27 +93,37 @@ def paired_t(df: DataFrame, a: str, b: str, by: Sequence[str]) -> DataFrame:
 
 # ------------------------------------------------------------------ bootstrap
 
-def _indexed(df: DataFrame, by: Sequence[str], key: str, seed: str) -> tuple[DataFrame, DataFrame]:
-    """Rows with a dense 0-based index per group in digest order, and the group sizes."""
-    h = df.withColumn("__h", draw(seed, "order", F.col(key)))
-    idx = draw_rank(h, by, "__h", [key], "idx").withColumn("idx", F.col("idx") - 1).drop("__h")
-    return idx, df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+PER_DRAW = 4  # 32-bit draws in one digest
+
+
+def poisson_steps(bits: int = 32) -> list[int]:
+    """Where a draw of so many bits passes from one Poisson(1) count to the next."""
+    steps, term, total, k = [], math.exp(-1), math.exp(-1), 0
+    while (at := int(total * 2**bits)) < 2**bits - 1 and (not steps or at > steps[-1]):
+        steps.append(at)
+        k += 1
+        term /= k
+        total += term
+    return steps
 
 
 def bootstrap_replicates(df: DataFrame, by: Sequence[str], key: str, values: Sequence[str], reps: int, seed: str) -> DataFrame:
     """Replicate means of every value column on the same draws.
 
-    Each unit's row makes one draw per replicate, keyed by its own key, so draws
-    are made where the rows lie and no large group is expanded from one row.  The
-    join key (group, index) is uniform by construction, and the means combine
-    map-side, so reps x groups rows are all that reach the last exchange.
+    The Poisson bootstrap: in each replicate a unit counts as often as a Poisson(1) draw keyed by replicate and unit
+    says, and a mean is sum(w x) / sum(w).  Against n draws with replacement only the total number of draws varies.
+    No unit has to meet another one, so draws are made and summed where the rows lie: reps x groups partial sums are all
+    that is exchanged, whatever the number of units.  A replicate without any unit has no mean and is left out.
     """
-    idx, sizes = _indexed(df.select(*by, key, *values), by, key, seed)
-    slots = salted_join(df.select(*by, key), sizes, list(by), F.col(key))
-    drawn = slots.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).select(
-        *by, "rep", draw_index(F.col("n"), seed, *[F.col(b) for b in by], F.col("rep"), F.col(key)).alias("idx"))
-    return (drawn.join(idx.select(*by, "idx", *values), [*by, "idx"])
-            .groupBy(*by, "rep").agg(*[F.avg(F.col(v).cast("double")).alias(v) for v in values]))
+    rows = df.select(*by, key, *values).withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit((reps - 1) // PER_DRAW))))
+    rows = rows.withColumn("__h", draw(seed, *[F.col(b) for b in by], F.col("__b"), F.col(key)))
+    cell = lambda s: F.struct((F.col("__b") * PER_DRAW + s + 1).alias("rep"),
+                              F.conv(F.substring("__h", 1 + 8 * s, 8), 16, 10).cast("bigint").alias("__u"))
+    rows = rows.select(*by, *values, F.inline(F.array(*[cell(s) for s in range(PER_DRAW)]))).filter(F.col("rep") <= reps)
+    w = F.coalesce(*[F.when(F.col("__u") < t, F.lit(k)) for k, t in enumerate(poisson_steps())], F.lit(len(poisson_steps())))
+    rows = rows.withColumn("__w", w.cast("double"))
+    sums = rows.groupBy(*by, "rep").agg(F.sum("__w").alias("__n"), *[F.sum(F.col(v).cast("double") * F.col("__w")).alias(v) for v in values])
+    return sums.filter("__n > 0").select(*by, "rep", *[(F.col(v) / F.col("__n")).alias(v) for v in values])
 
 
 def _interval(replicates: DataFrame, by: Sequence[str], value: Column, level: float) -> DataFrame:
@@ -140,7 +151,7 @@ def bootstrap_excess(df: DataFrame, by: Sequence[str], key: str, observed: str,
         .withColumn("holds", F.col("ci_low") > 0)
 
 
-VOID_BELOW = 33
+VOID_BELOW = 33  # fixed value
 
 
 def bootstrap_did(cells: DataFrame, by: Sequence[str], key: str, arms: Sequence[str], tests: dict[str, dict[str, int]],

@@ -215,19 +215,28 @@ def position_rows(spans: DataFrame, by: list[str]) -> DataFrame:
             .select(*by, "row", F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("pos")))
 
 
+def _tiles(spans: Column) -> Column:
+    """Whether spans sorted by their start follow one another without a hole or an overlap."""
+    return F.forall(F.sequence(F.lit(1), F.size(spans)), lambda k: (k >= F.size(spans)) | (F.get(spans, k)["start"] == F.get(spans, k - 1)["end"]))
+
+
 def span_coverage(spans: DataFrame, lengths: DataFrame, by: list[str]) -> DataFrame:
-    """Units whose spans do not cover every position once: covered, expected, ok."""
-    width = spans.groupBy(*by).agg(F.sum(F.col("end") - F.col("start")).alias("covered"),
-                                   F.min("start").alias("first"), F.max("end").alias("last"))
+    """Units whose spans do not cover every position once: covered, expected, ok.  Empty spans do not count."""
+    own = F.sort_array(F.collect_list(F.struct("start", "end")))
+    width = spans.filter(F.col("end") > F.col("start")).groupBy(*by).agg(
+        F.sum(F.col("end") - F.col("start")).alias("covered"), F.min("start").alias("first"), F.max("end").alias("last"), _tiles(own).alias("once"))
     return (lengths.join(width, by, "left")
-            .withColumn("ok", F.coalesce((F.col("covered") == F.col("n")) & (F.col("first") == 0)
-                                         & (F.col("last") == F.col("n")), F.lit(False))))
+            .withColumn("ok", F.coalesce(F.col("once") & (F.col("covered") == F.col("n")) & (F.col("first") == 0)
+                                         & (F.col("last") == F.col("n")), F.col("n") == 0)).drop("once"))
 
 
 def validate_spans(rows: DataFrame, by: list[str], alphabet: str = "[ACGTUN]+",
-                   unknown: str | None = None) -> DataFrame:
+                   unknown: str | None = None, lengths: DataFrame | None = None) -> DataFrame:
     """Content rows of each tokenised unit: one contiguous block that tiles the text.
 
+    ``lengths`` gives n, the symbols of each unit, which the block has to cover from 0 to n; without it the text is
+    taken to end with the block.
+
     ``rows`` carries row, piece, start, end.  A row is content when its piece is
     spelled in the alphabet or is the unknown marker; specials are the rest.
     """
@@ -241,12 +250,16 @@ def validate_spans(rows: DataFrame, by: list[str], alphabet: str = "[ACGTUN]+",
     got = steps.groupBy(*by).agg(
         F.min("row").alias("first_row"), (F.max("row") + 1).alias("stop_row"),
         F.coalesce(F.max("gap") == 1, F.lit(True)).alias("contiguous"),
-        F.coalesce(F.bool_and("joint"), F.lit(True)).alias("tiles"),
+        F.coalesce(F.bool_and("joint"), F.lit(True)).alias("tiles"), F.min("start").alias("__first"), F.max("end").alias("__last"),
         F.sum(F.col("end") - F.col("start")).alias("covered"))
     missing = rows.select(*by).distinct().join(got, by, "left")
+    if lengths is not None:
+        missing = missing.join(lengths.select(*by, F.col("n").alias("__n")), by, "left")
+    whole = (F.col("__first") == 0) & (F.lit(True) if lengths is None else (F.col("__last") == F.col("__n")) & (F.col("covered") == F.col("__n")))
     return missing.withColumn("status", F.when(F.col("first_row").isNull(), "no content")
                               .when(~F.col("contiguous"), "specials inside content")
-                              .when(~F.col("tiles"), "spans do not tile").otherwise("ok"))
+                              .when(~F.col("tiles"), "spans do not tile")
+                              .when(~F.coalesce(whole, F.lit(False)), "does not cover").otherwise("ok")).drop("__first", "__last", "__n")
 
 
 def token_contacts(edges: DataFrame, pos_row: DataFrame, by: list[str]) -> DataFrame:

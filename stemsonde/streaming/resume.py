@@ -14,10 +14,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 
 def stamp_hash(stamp: Column) -> Column:
-    """Digest of a MAP<STRING,STRING> stamp, independent of key order."""
-    entries = F.array_sort(F.transform(F.map_entries(stamp), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    """Digest of a MAP<STRING,STRING> stamp, independent of key order; a null field is not an absent one."""
+    entries = F.array_sort(F.transform(F.map_entries(stamp), lambda e: F.coalesce(F.concat(e["key"], F.lit("="), e["value"]), e["key"])))
     return F.sha2(F.concat_ws("\n", entries), 256)
 
 
@@ -78,10 +80,23 @@ def resume_stream(units: DataFrame, score: Callable[[DataFrame], DataFrame], pat
             .trigger(availableNow=True).start())
 
 
-def overwrite_if_stale(fresh: DataFrame, path: str, stamp: Column, by: tuple[str, ...] = ("model", "arm")) -> None:
-    """Replace only the run directories present in ``fresh``."""
-    (fresh.withColumn("stamp_hash", stamp_hash(stamp)).write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path))
+def overwrite_if_stale(fresh: DataFrame, path: str, stamp: Column, by: tuple[str, ...] = ("model", "arm"), unit: str = "unit_id") -> None:
+    """Replace the run directories present in ``fresh`` whose stored stamp is another one.
+
+    A run stored under the same stamp keeps its rows and gets the units that it lacks (whole rows are compared where
+    there is no unit column).  Runs that ``fresh`` does not name are not touched.
+    """
+    keys, fresh = list(by), fresh.withColumn("stamp_hash", stamp_hash(stamp))
+    schema = fresh.schema
+    stored = read_done(fresh.sparkSession, path, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema if f.name != "stamp_hash"))
+    # written down first: the folder cannot be read while it is replaced
+    runs = cut_lineage(stored.select(*keys, "stamp_hash").distinct())
+    own = [unit] if unit in fresh.columns else [c for c in fresh.columns if c not in (*keys, "stamp_hash")]
+    current = fresh.join(runs, [*keys, "stamp_hash"], "left_semi")
+    more = cut_lineage(current.join(stored, [current[c].eqNullSafe(stored[c]) for c in (*keys, *own)], "left_anti").select(*fresh.columns))
+    stale = fresh.join(runs, [*keys, "stamp_hash"], "left_anti").select(*fresh.columns)
+    stale.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+    more.write.mode("append").partitionBy(*by).parquet(path)
 
 
 def stale_runs(stored: DataFrame, current: DataFrame, by: list[str]) -> DataFrame:
