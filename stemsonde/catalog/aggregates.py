@@ -244,16 +244,26 @@ def a20(spark, sf):
     return G.modal_layer(V.panel(spark, sf), ["model"])
 
 
-@query("a21_set_digest", f"""with {V.PANEL} select unit_id // 100 as grp, count(*) as n_names, substr(sha256(string_agg(concat(unit_id, '_', model), ',' order by concat(unit_id, '_', model))), 1, 16) as digest, 'flat' as kind from panel group by all""")
+def _tree(src, group, name):
+    """leaf and tree: the digest of the names of each group."""
+    num = lambda at: f"sum(cast(concat('0x', substr(h, {at}, 15)) as bigint)::hugeint)"
+    return f"""leaf as (select {group}, substr(h, 1, 2) as b, {num(3)} as s, {num(18)} as t, count(*) as n from (select {group}, sha256({name}) as h from {src}) group by all),
+  tree as (select {group}, cast(sum(n) as bigint) as n_names, sha256(string_agg(concat_ws(':', b, cast(s as varchar), cast(t as varchar), cast(n as varchar)), ',' order by b)) as digest from leaf group by {group})"""
+
+
+@query("a21_set_digest", f"""with {V.PANEL}, p as (select unit_id // 100 as grp, concat(unit_id, '_', model) as name from panel), {_tree('p', 'grp', 'name')} select grp, n_names, substr(digest, 1, 16) as digest from tree""")
 def a21(spark, sf):
     p = V.panel(spark, sf).withColumn("grp", F.floor(F.col(U) / 100))
     return G.set_digest(p, ["grp"], F.concat_ws("_", F.col(U).cast("string"), "model"))
 
 
-@query("a21_panel_fingerprint", f"""with {V.HP}, n as (select lang, md5(concat_ws('|', unit_id, sequence, structure)) as h from hp), b as (select lang, substr(h, 1, 2) as b, sum(cast(concat('0x', substr(h, 3, 12)) as bigint)) as s, count(*) as n from n group by all)
-  select lang, sum(n) as n_names, sha256(string_agg(concat(b, ':', cast(s as hugeint), ':', n), ',' order by b)) as digest from b group by lang""")
+_MARK = "coalesce(md5(cast({0} as varchar)), 'null')"
+
+
+@query("a21_panel_fingerprint", f"""with {V.HP}, p as (select lang, concat_ws('|', {', '.join(_MARK.format(c) for c in ('unit_id', "case when unit_id % 9 > 0 then sequence end", 'structure'))}) as name from hp), {_tree('p', 'lang', 'name')} select lang, n_names, digest from tree""")
 def a21f(spark, sf):
-    return G.panel_fingerprint(V.hairpins(spark, sf), ["lang"])
+    # each ninth unit has no sequence
+    return G.panel_fingerprint(V.hairpins(spark, sf).withColumn("sequence", F.when(F.col(U) % 9 > 0, F.col("sequence"))), ["lang"])
 
 
 @query("c7_bootstrap_fraction", f"""with {V.RUNS}, k as (select model, key, (flag = 'F')::int as x from runs), {_boot('k', 'key', ['x'], '7')},

@@ -60,13 +60,14 @@ def j4(spark, sf):
     return J.join_common(V.panel(spark, sf).select(U, "model", "ratio"), c, ["model", "nation"])
 
 
-@query("j5_merge_runs", f"""with {V.PANEL}, o as (select unit_id, h3_n, best_layer from panel where model = '1-URGENT'), n as (select unit_id, h3_n, best_layer from panel where model = '2-HIGH'),
+@query("j5_merge_runs", f"""with {V.PANEL}, o as (select unit_id, nullif(h3_n, 3) as h3_n, nullif(best_layer, 1) as best_layer from panel where model = '1-URGENT'), n as (select unit_id, nullif(h3_n, 3) as h3_n, nullif(best_layer, 1) as best_layer from panel where model = '2-HIGH'),
   m as (select coalesce(o.unit_id, n.unit_id) as unit_id, case when n.unit_id is not null then 'new' when coalesce(o.unit_id, n.unit_id) % 10 = 0 then 'conflict' else 'old' end as source,
     o.h3_n as oh, n.h3_n as nh, o.best_layer as ob, n.best_layer as nb from o full join n on o.unit_id = n.unit_id),
   r as (select unit_id, source, case source when 'new' then nh when 'old' then oh end as h3_n, case source when 'new' then nb when 'old' then ob end as best_layer from m)
-  select *, case when source <> 'conflict' then sha256(concat_ws('|', h3_n, best_layer)) end as sha256 from r""")
+  select *, case when source <> 'conflict' then sha256(concat_ws('|', coalesce(md5(cast(h3_n as varchar)), 'null'), coalesce(md5(cast(best_layer as varchar)), 'null'))) end as sha256 from r""")
 def j5(spark, sf):
-    return J.merge_runs(arm(spark, sf, "1-URGENT"), arm(spark, sf, "2-HIGH"), [U], F.col(U) % 10 == 0, ["h3_n", "best_layer"])
+    old, new = (arm(spark, sf, m).withColumns({"h3_n": F.nullif("h3_n", F.lit(3)), "best_layer": F.nullif("best_layer", F.lit(1))}) for m in ("1-URGENT", "2-HIGH"))
+    return J.merge_runs(old, new, [U], F.col(U) % 10 == 0, ["h3_n", "best_layer"])
 
 
 @query("j6_patch_run", f"""with {V.PANEL}, b as (select unit_id, h3_n from panel where model = '1-URGENT'), p as (select unit_id, h3_n from panel where model = '2-HIGH' and unit_id % 4 = 0)

@@ -213,7 +213,7 @@ def _attention(spark, sf):
 def e18(spark, sf):
     e = V.embeddings(spark, sf).withColumnRenamed("vec_id", "row")
     lab = e.select(U, "row", (F.get("vec", F.lit(3)) > 0).cast("int").alias("label"))
-    return rounded(E.probe(e, lab, folds=3, max_iter=20), "mean_accuracy", "sd_accuracy", places=6)
+    return rounded(E.probe(e, lab), "mean_accuracy", "sd_accuracy", places=6)
 
 
 def _hash_encoder(sequences):

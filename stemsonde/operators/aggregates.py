@@ -12,6 +12,7 @@ from ..functions import brackets as B
 from ..functions.alphabet import CANONICAL
 from ..functions.binding import inline_rows
 from ..functions.draws import draw_index
+from ..functions.marks import field_marks
 from ..functions.vectors import guarded_ratio
 from .joins import salted_join
 from .ranking import cumulative_counts, exact_quantiles, first_by
@@ -178,46 +179,35 @@ def top_noncanonical(pairs: DataFrame, by: Sequence[str], k: int = 3) -> DataFra
     return n.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def tree_digest(df: DataFrame, by: Sequence[str], name: Column, digits: int = 2) -> DataFrame:
-    """Order-free digest of a set of any size: names are hashed per bucket of their
-    own digest, then the bucket hashes in bucket order."""
-    rows = df.select(*by, name.cast("string").alias("__n")).withColumn("__b", F.substring(F.md5("__n"), 1, digits))
-    # A name only adds its own hash to its bucket, so a bucket of any size combines map-side.
-    h = F.conv(F.substring(F.md5("__n"), 3, 12), 16, 10).cast("bigint")
-    part = rows.groupBy(*by, "__b").agg(F.sum(h.cast("decimal(38,0)")).alias("s"), F.count(F.lit(1)).alias("n"))
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(
-        "__b", F.col("s").cast("string").alias("s"), F.col("n").cast("string").alias("n")))),
-        lambda e: F.concat(e["__b"], F.lit(":"), e["s"], F.lit(":"), e["n"])), ",")
-    return part.groupBy(*by).agg(F.sum("n").alias("n_names"), F.sha2(text, 256).alias("digest"))
+def tree_digest(df: DataFrame, by: Sequence[str], name: Column) -> DataFrame:
+    """Order-free digest of a multiset of names, by one rule at every size.
 
+    The sha256 of a name picks one of 256 leaves and adds two 60-bit numbers to its sums, so a leaf of any size combines
+    map-side; the leaves in order are hashed once more.  Other content has another digest but for a chance of about
+    2^-120; it is no defence against names made to collide.
+    """
+    h = F.sha2(name.cast("string"), 256)
+    part60 = lambda at: F.conv(F.substring("__h", at, 15), 16, 10).cast("decimal(38,0)")
+    leaf = df.select(*by, h.alias("__h")).groupBy(*by, F.substring("__h", 1, 2).alias("__b")).agg(
+        F.sum(part60(3)).alias("s"), F.sum(part60(18)).alias("t"), F.count(F.lit(1)).alias("n"))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("__b", *[F.col(c).cast("string").alias(c) for c in "stn"]))),
+                                    lambda e: F.concat_ws(":", e["__b"], e["s"], e["t"], e["n"])), ",")
+    return leaf.groupBy(*by).agg(F.sum("n").alias("n_names"), F.sha2(text, 256).alias("digest"))
 
-def set_digest(df: DataFrame, by: Sequence[str], name: Column, length: int = 16, limit: int = 100_000) -> DataFrame:
-    """First ``length`` hex digits of sha256 over the sorted, comma-joined names.
 
-    The joined text is one value, so it is built only for groups of at most
-    ``limit`` names; larger ones get the tree digest.  ``kind`` says which.
-    """
-    text = name.cast("string")
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_names"))
-    small = df.join(sizes.filter(F.col("n_names") <= limit), list(by), "left_semi") if by else df
-    joined = F.array_join(F.sort_array(F.collect_list(text)), ",")
-    flat = small.groupBy(*by).agg(F.count(F.lit(1)).alias("n_names"),
-                                  F.substring(F.sha2(joined, 256), 1, length).alias("digest"),
-                                  F.lit("flat").alias("kind"))
-    large = df.join(sizes.filter(F.col("n_names") > limit), list(by), "left_semi")
-    tree = tree_digest(large, by, name).withColumns(
-        {"digest": F.substring("digest", 1, length), "kind": F.lit("tree")})
-    return flat.unionByName(tree)
+def set_digest(df: DataFrame, by: Sequence[str], name: Column, length: int = 16) -> DataFrame:
+    """First ``length`` hex digits of the tree digest of the names."""
+    return tree_digest(df, by, name).withColumn("digest", F.substring("digest", 1, length))
 
 
 def panel_fingerprint(units: DataFrame, by: Sequence[str], unit: str = "unit_id") -> DataFrame:
     """Tree digest of (name, sequence, structure): any change of content changes it."""
-    return tree_digest(units, by, F.concat_ws("|", F.col(unit).cast("string"), "sequence", "structure"))
+    return tree_digest(units, by, field_marks(F.col(unit), F.col("sequence"), F.col("structure")))
 
 
 # ------------------------------------------------------------ alignments
 
-GAP_LIMIT, MIN_MEMBERS, MIN_PAIRS = 0.5, 5, 3
+GAP_LIMIT, MIN_MEMBERS, MIN_PAIRS = 0.5, 5, 3  # fixed values
 STATES = "ACGU"
 
 

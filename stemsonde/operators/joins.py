@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions import brackets as B
 from ..functions.binding import explode_rows
+from ..functions.marks import field_marks
 from ..functions.vectors import cosine_distance
 
 SALTS = 32
@@ -86,7 +87,7 @@ def merge_runs(old: DataFrame, new: DataFrame, keys: Sequence[str], forced: Colu
     m = m.withColumn("source", source)
     got = F.when(F.col("source") == "new", F.col("__n")).when(F.col("source") == "old", F.col("__o"))
     m = m.withColumn("__v", got)
-    digest = F.sha2(F.concat_ws("|", *[F.col(f"__v.{v}").cast("string") for v in value]), 256)
+    digest = F.sha2(field_marks(*[F.col(f"__v.{v}") for v in value]), 256)
     return m.select(*keys, "source", *[F.col(f"__v.{v}").alias(v) for v in value],
                     F.when(F.col("__v").isNotNull(), digest).alias("sha256"))
 

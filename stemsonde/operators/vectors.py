@@ -15,10 +15,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.draws import draw
 from ..functions.vectors import cosine_distance, norm
 from .aggregates import spearman
 from .joins import compare_variants, salted_join
-from .ranking import dense_index, first_by, top_k
+from .ranking import cumulative_counts, draw_rank, first_by, top_k, value_counts
 
 
 def delta_profile(emb: DataFrame, mut_pos: str = "mut_pos", pos: str = "row") -> DataFrame:
@@ -405,34 +406,18 @@ def best_head(rho: DataFrame, by: Sequence[str] = ("unit_id",)) -> DataFrame:
 
 # ------------------------------------------------------------------ probe
 
-GREEDY_UNITS = 100_000
-
-
 def fold_plan(sizes: DataFrame, folds: int = 5, unit: str = "unit_id", size: str = "n") -> DataFrame:
-    """Group folds balanced by size, from one row per unit.
+    """Group folds balanced by size, from one row per unit, by one rule at every size.
 
-    Up to ``GREEDY_UNITS`` units, each unit in descending size joins the lightest
-    fold.  Beyond that the same order is dealt round and back, which needs only a
-    distributed rank and balances as well when units are many.
+    Units in descending order of size (ties by the digest of their name) are dealt round and back over the folds, so the
+    loads of two folds differ by at most the largest unit.  Ranks are distributed: counts of distinct sizes, and a rank
+    by digest within a size.
     """
-    if sizes.limit(GREEDY_UNITS + 1).count() > GREEDY_UNITS:
-        order = sizes.withColumn("__p", -F.col(size) + F.pmod(F.xxhash64(unit), F.lit(1 << 20)) / float(1 << 20))
-        ranked = dense_index(order, [], "__p")
-        turn, place = F.floor(F.col("idx") / folds), F.col("idx") % folds
-        fold = F.when(turn % 2 == 0, place).otherwise(folds - 1 - place)
-        return ranked.select(unit, size, fold.cast("int").alias("fold"))
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([size, unit], ascending=False, kind="stable")
-        load, got = [0] * folds, []
-        for n in pdf[size]:
-            pick = load.index(min(load))
-            load[pick] += int(n)
-            got.append(pick)
-        return pdf.assign(fold=got)[[unit, size, "fold"]]
-
-    schema = T.StructType([sizes.schema[unit], sizes.schema[size], T.StructField("fold", T.IntegerType())])
-    return sizes.select(unit, size, F.lit(0).alias("__g")).groupBy("__g").applyInPandas(greedy, schema)
+    rows = sizes.select(unit, size, (-F.col(size)).alias("__s"), draw("fold", F.col(unit)).alias("__h"))
+    before = cumulative_counts(value_counts(rows, [], "__s"), [], "__s").select("__s", "lo")
+    ranked = draw_rank(rows, ["__s"], "__h", [unit], "place").join(before, "__s").withColumn("__i", (F.col("lo") + F.col("place") - 1).cast("long"))
+    turn, place = F.floor(F.col("__i") / folds), F.col("__i") % folds
+    return ranked.select(unit, size, F.when(turn % 2 == 0, place).otherwise(folds - 1 - place).cast("int").alias("fold"))
 
 
 def probe(emb: DataFrame, labels: DataFrame, folds: int = 5, c: float = 1.0, max_iter: int = 1000,

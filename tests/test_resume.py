@@ -60,3 +60,19 @@ def test_overwrite_only_stale_directories(spark):
     R.overwrite_if_stale(df, path, R.literal_stamp({"c": "1"}))
     R.overwrite_if_stale(df.filter("arm = 'x'").withColumn("v", F.lit(9)), path, R.literal_stamp({"c": "2"}))
     assert rows(spark.read.parquet(path), "arm", "v") == [("x", 9), ("y", 2)]
+
+
+def test_same_stamp_keeps_finished_units(spark):
+    path = shared_path(spark, "runs")
+    df = spark.createDataFrame([("m", "x", "a", 1), ("m", "x", "b", 2), ("m", "y", "a", 3)], "model string, arm string, unit_id string, v int")
+    stamp = R.literal_stamp({"c": "1"})
+    R.overwrite_if_stale(df, path, stamp)
+    R.overwrite_if_stale(df.filter("arm = 'x' and unit_id = 'b'").withColumn("v", F.lit(9)), path, stamp)
+    assert rows(spark.read.parquet(path), "arm", "unit_id", "v") == [("x", "a", 1), ("x", "b", 2), ("y", "a", 3)]
+    R.overwrite_if_stale(spark.createDataFrame([("m", "x", "c", 4)], df.schema), path, stamp)
+    assert rows(spark.read.parquet(path), "arm", "unit_id", "v") == [("x", "a", 1), ("x", "b", 2), ("x", "c", 4), ("y", "a", 3)]
+
+
+def test_a_null_field_is_not_an_absent_one(spark):
+    marks = spark.sql("select map('a', '1', 'b', null) as x, map('a', '1') as y").select(R.stamp_hash(F.col("x")).alias("x"), R.stamp_hash(F.col("y")).alias("y")).first()
+    assert marks.x != marks.y

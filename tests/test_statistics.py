@@ -96,3 +96,47 @@ def test_null_does_not_depend_on_partitioning(spark):
     a = N.permutation_null(d.repartition(1), valid, 5, "z").toPandas().sort_values(["unit_id", "rep"])["null_max"]
     b = N.permutation_null(d.repartition(17), valid, 5, "z").toPandas().sort_values(["unit_id", "rep"])["null_max"]
     assert np.allclose(a, b, atol=1e-12)
+
+
+def test_exact_u_tail_of_a_large_second_sample():
+    from itertools import combinations
+
+    from stemsonde.functions.special import _u_tail
+    for n1, n2 in ((3, 4), (1, 9), (4, 6)):
+        us = [sum(c) - n1 * (n1 - 1) // 2 for c in combinations(range(n1 + n2), n1)]
+        for u in range(n1 * n2 + 1):
+            assert abs(_u_tail(n1, n2, u) - sum(x >= u for x in us) / len(us)) < 1e-12
+    # 8 against 5,000 values: still exact, symmetric about the middle
+    assert abs(_u_tail(8, 5000, 20_001) + _u_tail(8, 5000, 20_000) - 1) < 1e-9
+    assert abs(_u_tail(2, 5000, 10_000) - 1 / (5002 * 5001 / 2)) < 1e-15
+
+
+def test_significant_figures_and_rounding(spark):
+    from stemsonde.operators.reports import rounds_to, significant_figures
+    rows = [("10.5", 3, 10.52, True), ("10.5", 3, 10.2, False), ("20.0", 3, 19.97, True), ("-0.12", 2, -0.1249, True), ("-0.12", 2, -0.126, False), ("0.0040", 2, 0.00404, True),
+            ("7", 1, 7.4, True), ("0.000", 1, 0.0004, True), ("120", 3, 119.6, True), ("1.5", 2, 1.44, False)]
+    df = spark.createDataFrame(rows, "literal string, figures int, value double, prints boolean")
+    got = df.select("literal", "figures", "prints", significant_figures(df.literal).alias("f"), rounds_to(df.value, df.literal).alias("r")).collect()
+    assert all(r.figures == r.f and r.prints == r.r for r in got)
+
+
+def test_poisson_steps_have_mean_and_variance_one():
+    from stemsonde.operators.resampling import poisson_steps
+    steps = poisson_steps()
+    edges = [0, *steps, 2**32]
+    p = [(b - a) / 2**32 for a, b in zip(edges, edges[1:])]
+    mean = sum(k * x for k, x in enumerate(p))
+    assert abs(mean - 1) < 1e-6 and abs(sum(k * k * x for k, x in enumerate(p)) - mean**2 - 1) < 1e-6
+
+
+def test_bootstrap_exchanges_no_replicates_of_rows(spark):
+    """What is exchanged is combined by (group, replicate) first, whatever the number of rows."""
+    from pyspark.sql import functions as F
+
+    from stemsonde.operators.resampling import bootstrap_replicates
+    df = spark.range(5000).select((F.col("id") % 2).alias("g"), F.col("id").alias("k"), (F.col("id") % 7).cast("double").alias("x"))
+    out = bootstrap_replicates(df, ["g"], "k", ["x"], 200, "s")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "partial_sum" in plan[plan.index("Exchange"):] and "Join" not in plan
+    r = out.groupBy("g").agg(F.avg("x").alias("m"), F.stddev("x").alias("s"), F.count("*").alias("n")).collect()
+    assert all(x.n == 200 and abs(x.m - 3) < 0.02 and abs(x.s - 2 / 50) < 0.01 for x in r)

@@ -153,3 +153,13 @@ def test_panel_counts(spark):
     c = u.join(q.filter("not quarantined").select("unit_id"), "unit_id", "left_semi")
     assert [N.decoy_coverage(c, "family", w).filter("analysed").count() for w in ("all", "close")] == [17, 9]
     assert N.cross_scores(N.control_profile(c, "oracle")).filter("size(stems) > 0").count() == 35
+
+
+def test_spans_with_an_overlap_beside_a_hole_and_short_cover(spark):
+    from stemsonde.operators.structure import span_coverage, validate_spans
+    spans = spark.createDataFrame([("a", 0, 2), ("a", 0, 1), ("a", 3, 4), ("b", 0, 2), ("b", 2, 2), ("b", 2, 4), ("c", 0, 3)], "u string, start int, end int")
+    n = spark.createDataFrame([("a", 4), ("b", 4), ("c", 4), ("d", 4), ("e", 0)], "u string, n int")
+    assert {r.u: r.ok for r in span_coverage(spans, n, ["u"]).collect()} == {"a": False, "b": True, "c": False, "d": False, "e": True}
+    rows = spark.createDataFrame([("x", 0, "ACG", 0, 3), ("x", 1, "ACG", 3, 6), ("y", 0, "ACG", 0, 3), ("z", 0, "ACG", 1, 4), ("w", 0, "ACG", 0, 3)], "u string, row int, piece string, start int, end int")
+    n = spark.createDataFrame([("x", 6), ("y", 9), ("z", 4), ("w", 3)], "u string, n int")
+    assert {r.u: r.status for r in validate_spans(rows, ["u"], lengths=n).collect()} == {"x": "ok", "y": "does not cover", "z": "does not cover", "w": "ok"}
