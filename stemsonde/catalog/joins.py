@@ -19,10 +19,10 @@ def rounded(df, *cols, places=9):
     return df.withColumns({c: F.round(c, places) for c in cols})
 
 
-@query("j1_compare_variants", f"""with {EV} select b.unit_id, b.layer, b.row, b.variant, abs({COS}) as delta from v a join v b using (unit_id, layer, row) where a.variant = 'wt' and b.variant <> 'wt'""")
+@query("j1_compare_variants", f"""with {EV} select b.unit_id, b.layer, b.row, b.variant, round({COS}, 9) + 0.0 as delta from v a join v b using (unit_id, layer, row) where a.variant = 'wt' and b.variant <> 'wt'""")
 def j1(spark, sf):
     d = J.compare_variants(V.emb_variants(spark, sf))
-    return d.select(U, "layer", "row", "variant", F.abs(F.round("delta", 9)).alias("delta"))
+    return d.select(U, "layer", "row", "variant", (F.round("delta", 9) + F.lit(0.0)).alias("delta"))
 
 
 @query("j1_compare_positions", f"""with {V.EMB}, p as (select unit_id, layer, row, vec, unnest(range(row * 2, row * 2 + 2)) as pos from emb)

@@ -12,8 +12,20 @@ from . import query
 from . import views as V
 
 
-def _records(spark, sf):
-    """JSON unit records, every tenth one withdrawn."""
+def _written(df, name, column="value", by="file"):
+    """Each text as a file of its own folder under the shared one; the path to read."""
+    path = shared_path(df.sparkSession, name)
+    df.select(by, F.col(column).alias("value")).repartition(by).write.partitionBy(by).text(path)
+    return f"{path}/*/*"
+
+
+def _named():
+    """The name that a file was written under."""
+    return F.regexp_extract("file", r"/[a-z]+=([^/]+)/[^/]*$", 1)
+
+
+def _units_path(spark, sf):
+    """JSON unit records in files, every tenth one withdrawn."""
     u = V.hairpins(spark, sf)
     gone = F.when(F.col("unit_id") % 10 == 3, F.struct(
         F.concat(F.lit("reason "), F.col("lang")).alias("reason"), F.lit("rule 1").alias("rule"), F.lit("2024-01-01").alias("logged")))
@@ -21,20 +33,19 @@ def _records(spark, sf):
         F.concat(F.lit("u"), F.col("unit_id").cast("string")).alias("name"), "sequence",
         F.col("structure").alias("dot_bracket"), F.concat(F.lit("seed alignment member ("), F.col("lang"), F.lit(")")).alias("source"),
         F.length("sequence").alias("length"), gone.alias("excluded")))
-    parsed = u.select(F.from_json(rec, panel.UNIT_SCHEMA).alias("r"))
-    return parsed.select("r.*")
+    return _written(u.select(F.concat(F.lit("p"), F.col("unit_id") % 7).alias("file"), rec.alias("value")), "units")
 
 
 @query("s1_read_units", f"""with {V.HP} select concat('u', unit_id) as unit_id, sequence, structure,
   length(sequence) as length, concat('seed alignment member (', lang, ')') as source from hp where unit_id % 10 <> 3""")
 def s1(spark, sf):
-    return panel.as_units(_records(spark, sf)).select("unit_id", "sequence", "structure", "length", "source")
+    return panel.read_units(spark, _units_path(spark, sf), multiline=False).select("unit_id", "sequence", "structure", "length", "source")
 
 
 @query("s2_withdrawn", f"""with {V.HP} select concat('u', unit_id) as unit_id, concat('reason ', lang) as reason,
   'rule 1' as rule, '2024-01-01' as logged from hp where unit_id % 10 = 3""")
 def s2(spark, sf):
-    return panel.withdrawn(panel.as_units(_records(spark, sf), include_withdrawn=True))
+    return panel.withdrawn(panel.read_units(spark, _units_path(spark, sf), include_withdrawn=True, multiline=False))
 
 
 def _stockholm(spark, sf):
@@ -54,7 +65,7 @@ def _stockholm(spark, sf):
 @query("s3_read_alignments", f"""with {V.MSA} select concat('f', member // 10) as file, concat('RFf', member // 10) as family,
   concat('name f', member // 10) as family_name, concat('m', member) as member, aligned, '{V.CONSENSUS}' as consensus from msa""")
 def s3(spark, sf):
-    members, heads = alignment.parse_alignments(_stockholm(spark, sf))
+    members, heads = (t.withColumn("file", _named()) for t in alignment.read_alignments(spark, _written(_stockholm(spark, sf), "stockholm")))
     return members.join(heads.select("file", "family_name", "consensus"), "file").select(
         "file", "family", "family_name", "member", "aligned", "consensus")
 
@@ -65,9 +76,9 @@ def s4(spark, sf):
     dna = F.lower(F.translate("sequence", "U", "T"))
     rec = F.concat(F.lit(">u"), F.col("unit_id").cast("string"), F.lit(" "), F.col("lang"), F.lit("\n"),
                    F.substring(dna, 1, 40), F.lit("\n"), F.substring(dna, 41, 100))
-    files = u.groupBy(F.concat(F.lit("f"), F.floor(F.col("unit_id") / 5).cast("string")).alias("file")).agg(
-        F.concat_ws("\n", F.sort_array(F.collect_list(rec))).alias("value"))
-    return panel.parse_fasta(files)
+    # records of five units to a file, a line each in the table of lines that makes the files
+    files = u.select(F.concat(F.lit("f"), F.floor(F.col("unit_id") / 5).cast("string")).alias("file"), rec.alias("value"))
+    return panel.read_fasta(spark, _written(files, "fasta")).withColumn("file", _named())
 
 
 @query("s5_read_results", f"""with {V.PANEL} select model, cast(unit_id as varchar) as unit_id, status,
@@ -80,8 +91,9 @@ def s5(spark, sf):
                      F.when(~scored, F.col("reason")).alias("skipped"))
     docs = p.groupBy("model", F.floor(F.col("unit_id") / 100).alias("part")).agg(
         F.map_from_entries(F.collect_list(F.struct(F.col("unit_id").cast("string"), entry))).alias("per_rna"))
-    text = docs.select("model", F.to_json(F.struct(F.struct("per_rna").alias("mutation"))).alias("value"))
-    rows = results.per_unit_rows(text, "value", "$.mutation.per_rna", results.RATIO_ENTRY)
+    text = docs.select(F.concat_ws("_", "model", F.col("part").cast("string")).alias("file"), F.to_json(F.struct(F.struct("per_rna").alias("mutation"))).alias("value"))
+    rows = results.read_results(spark, _written(text, "results"), "mutation", results.RATIO_ENTRY)
+    rows = rows.withColumn("model", F.regexp_extract(F.url_decode(_named()), r"^(.*)_[0-9]+$", 1))
     return rows.select("model", "unit_id", "status", "reason", "best_ratio", "best_layer")
 
 

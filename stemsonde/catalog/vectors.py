@@ -27,16 +27,16 @@ def e1(spark, sf):
 _MUT = "case when row % 7 = 0 then row else row - row % 7 end"
 
 
-@query("e2_delta_profile", f"with {EV} select b.unit_id, b.layer, b.row, b.variant, abs({COS}) as delta from v a join v b using (unit_id, layer, row) where a.variant = 'wt' and b.variant <> 'wt' and b.row % 7 <> 0")
+@query("e2_delta_profile", f"with {EV} select b.unit_id, b.layer, b.row, b.variant, round({COS}, 9) + 0.0 as delta from v a join v b using (unit_id, layer, row) where a.variant = 'wt' and b.variant <> 'wt' and b.row % 7 <> 0")
 def e2(spark, sf):
     d = E.delta_profile(V.emb_variants(spark, sf))
-    return d.select(U, "layer", "row", "variant", F.abs(F.round("delta", 9)).alias("delta"))
+    return d.select(U, "layer", "row", "variant", (F.round("delta", 9) + F.lit(0.0)).alias("delta"))
 
 
-@query("e3_self_delta", f"with {EV} select b.unit_id, b.layer, b.row, b.variant, abs({COS}) as delta from v a join v b using (unit_id, layer, row) where a.variant = 'wt' and b.variant <> 'wt' and b.row % 7 = 0")
+@query("e3_self_delta", f"with {EV} select b.unit_id, b.layer, b.row, b.variant, round({COS}, 9) + 0.0 as delta from v a join v b using (unit_id, layer, row) where a.variant = 'wt' and b.variant <> 'wt' and b.row % 7 = 0")
 def e3(spark, sf):
     d = E.self_delta(V.emb_variants(spark, sf))
-    return d.select(U, "layer", "row", "variant", F.abs(F.round("delta", 9)).alias("delta"))
+    return d.select(U, "layer", "row", "variant", (F.round("delta", 9) + F.lit(0.0)).alias("delta"))
 
 
 @query("e4_same_span", f"with {V.HP}, p as (select unit_id, unnest(range(length(sequence))) as pos from hp) select unit_id, pos, not (pos // 3 >= 10 and unit_id % 3 = 0) as same_span from p")
@@ -60,7 +60,7 @@ _POOL = """p as (select layer, label, d as dim, avg(vec[d]::double) as x from (s
   pv as (select layer, label, list(x order by dim) as vec from p group by all), dist as (select b.layer, b.label, 1.0 - list_cosine_similarity(a.vec, b.vec) as distance from pv b join pv a on a.layer = b.layer and a.label = 0)"""
 
 
-@query("e6_pooled_distance", f"with {_POOL} select cast(layer as int) as layer, label, abs(round(distance, 8)) as distance from dist")
+@query("e6_pooled_distance", f"with {_POOL} select cast(layer as int) as layer, label, round(distance, 8) + 0.0 as distance from dist")
 def e6(spark, sf):
     e = V.embeddings(spark, sf).withColumnRenamed(U, "label")
     return E.pooled_distance(e, "label").select("layer", "label", F.abs(F.round("distance", 8)).alias("distance"))

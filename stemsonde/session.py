@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "stemsonde", master: str | None = None,
-                  shuffle_partitions: int | None = None) -> SparkSession:
-    """A session with adaptive execution on; cluster settings are left to the cluster."""
+                  shuffle_partitions: int | None = None, shared: str | None = None) -> SparkSession:
+    """A session with adaptive execution on; cluster settings are left to the cluster.
+
+    ``shared`` sets ``spark.checkpoint.dir``, the folder that driver and executors share.
+    """
     builder = (SparkSession.builder.appName(app)
                .config("spark.sql.adaptive.enabled", "true")
                .config("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -22,6 +25,8 @@ def build_session(app: str = "stemsonde", master: str | None = None,
         builder = builder.master(master)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if shared:
+        builder = builder.config("spark.checkpoint.dir", shared)
     if master and master.startswith("local"):
         builder = builder.config("spark.driver.memory", os.environ.get("STEMSONDE_DRIVER_MEM", "12g"))
     spark = builder.getOrCreate()

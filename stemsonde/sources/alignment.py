@@ -14,9 +14,13 @@ GAPS_PROJECT, GAPS_COLUMNS, GAPS_STRICT = ".-", ".-~", ".-_"
 
 
 def read_alignments(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(members, consensus) of Stockholm text files; blocks concatenate by name."""
-    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    return parse_alignments(text)
+    """(members, consensus) of Stockholm text files; blocks concatenate by name.
+
+    Files are read line by line, in splits; a line's place is its split and its order within it.
+    """
+    place = F.struct(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row"))
+    lines = spark.read.text(path).select(F.input_file_name().alias("file"), place.alias("line"), F.col("value").alias("t"))
+    return alignment_tables(lines)
 
 
 def parse_alignments(text: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -50,17 +50,22 @@ def replicates(sets: DataFrame, unit: str = "name", members: str = "sequences")
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """fasta(file, header, sequence): upper case, T to U, wrapped lines joined."""
-    text = spark.read.text(path, wholetext=True, lineSep=None).select(
-        F.input_file_name().alias("file"), "value")
-    return parse_fasta(text)
+    """fasta(file, header, sequence): upper case, T to U, wrapped lines joined.
+
+    A record is one row from the start, so a file of any size is read in splits. Files begin with a record.
+    """
+    rec = spark.read.text(path, lineSep="\n>").select(F.input_file_name().alias("file"), F.regexp_replace("value", r"^\s*>", "").alias("r"))
+    return _fasta_records(rec.filter(F.trim(F.regexp_replace("r", r"\s", "")) != ""), "file")
 
 
 def parse_fasta(text: DataFrame, file: str = "file", value: str = "value") -> DataFrame:
     """Records of whole FASTA texts."""
-    rec = text.select(file, F.explode(F.slice(F.split(value, r"(?:^|\n)>"), 2, 1 << 30)).alias("r"))
+    return _fasta_records(text.select(file, F.explode(F.slice(F.split(value, r"(?:^|\n)>"), 2, 1 << 30)).alias("r")), file)
+
+
+def _fasta_records(rec: DataFrame, file: str) -> DataFrame:
     body = F.regexp_replace(F.col("r"), r"^[^\n]*\n?", "")
-    return rec.select(file, F.substring_index("r", "\n", 1).alias("header"),
+    return rec.select(file, F.rtrim(F.regexp_replace(F.substring_index("r", "\n", 1), "\r$", "")).alias("header"),
                       F.translate(F.upper(F.regexp_replace(body, r"\s", "")), "T", "U").alias("sequence"))
 
 

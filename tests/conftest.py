@@ -12,11 +12,9 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 @pytest.fixture(scope="session")
 def spark():
-    from pyspark.sql import SparkSession
-
     from stemsonde.session import build_session
-    SparkSession.builder.config("spark.checkpoint.dir", os.environ.get("TEST_SHARED_DIR") or tempfile.mkdtemp(prefix="spark-"))
-    s = build_session("tests", master="local[8]", shuffle_partitions=8)
+    shared = os.environ.get("TEST_SHARED_DIR") or tempfile.mkdtemp(prefix="spark-")
+    s = build_session("tests", master="local[8]", shuffle_partitions=8, shared=shared)
     yield s
     s.stop()
 
