@@ -53,7 +53,7 @@ def e4(spark, sf):
 def e5(spark, sf):
     # the repeat pass is identical, so the floor is the rounding of 1 - cos
     f = E.noop_floor(V.emb_variants(spark, sf))
-    return f.select(U, F.abs(F.round("noop_floor", 9)).alias("noop_floor"))
+    return f.select(U, (F.round("noop_floor", 9) + F.lit(0.0)).alias("noop_floor"))
 
 
 _POOL = """p as (select layer, label, d as dim, avg(vec[d]::double) as x from (select vec_id % 3 as layer, label, embedding as vec, unnest(range(1, 65)) as d from embeddings) group by all),
@@ -63,14 +63,14 @@ _POOL = """p as (select layer, label, d as dim, avg(vec[d]::double) as x from (s
 @query("e6_pooled_distance", f"with {_POOL} select cast(layer as int) as layer, label, round(distance, 8) + 0.0 as distance from dist")
 def e6(spark, sf):
     e = V.embeddings(spark, sf).withColumnRenamed(U, "label")
-    return E.pooled_distance(e, "label").select("layer", "label", F.abs(F.round("distance", 8)).alias("distance"))
+    return E.pooled_distance(e, "label").select("layer", "label", (F.round("distance", 8) + F.lit(0.0)).alias("distance"))
 
 
-@query("e6_graded_best_layer", f"""with {_POOL}, k as (select layer, rank() over (partition by layer order by label) as rx, rank() over (partition by layer order by abs(round(distance, 10))) as ry from dist), r as (select layer, corr(rx, ry) as rho from k group by layer)
+@query("e6_graded_best_layer", f"""with {_POOL}, k as (select layer, rank() over (partition by layer order by label) as rx, rank() over (partition by layer order by round(distance, 10) + 0.0) as ry from dist), r as (select layer, corr(rx, ry) as rho from k group by layer)
   select cast(layer as int) as layer, round(rho, 8) as rho, round(abs(rho), 8) as abs_rho from (select *, row_number() over (order by round(abs(rho), 9) desc, layer) as n from r) where n = 1""")
 def e6b(spark, sf):
     e = V.embeddings(spark, sf).withColumnRenamed(U, "label")
-    d = E.pooled_distance(e, "label").withColumn("distance", F.abs(F.round("distance", 10)))
+    d = E.pooled_distance(e, "label").withColumn("distance", F.round("distance", 10) + F.lit(0.0))
     return rounded(E.graded_best_layer(d, "label"), "rho", "abs_rho", places=8)
 
 
