@@ -137,7 +137,8 @@ def _block_links(floor: float):
         import pandas as pd
 
         band, out = int(key[1]), []
-        q, m = (np.frombuffer(b"".join(x["sig"]), np.uint16).reshape(-1, SLOTS) for x in (left, right))
+        q, m = (np.frombuffer(b"".join(x), np.uint16).reshape(-1, SLOTS) for x in (left["sig"], right["m_sig"]))
+        right = right.rename(columns=lambda c: c.removeprefix("m_"))
         sets = [np.frombuffer(x, np.uint64) for x in right["members"]]
         size, comp, node = (right[c].to_numpy() for c in ("n", "comp", "node"))
         for i, (n, own, me, members) in enumerate(zip(left["n"], left["comp"], left["node"], left["members"])):
@@ -181,8 +182,9 @@ def _cross(bands: DataFrame, reps: DataFrame, grouped: DataFrame, text: DataFram
     held = rows.withColumn("j", part("blocks", 2)).withColumn("i", F.explode(F.expr("sequence(0, q_blocks - 1)")))
     by = ["bucket", "band", "i", "j"]
     cols = ["bucket", F.col("band").cast("long").alias("band"), F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "node", "comp", "n", "sig", "members"]
-    asked, held = (x.join(full, "node").select(*cols).groupBy(*by) for x in (asked, held))
-    return asked.cogroup(held).applyInPandas(_block_links(FLOOR), "a long, b long")
+    asked, held = asked.join(full, "node").select(*cols), held.join(full, "node").select(*cols)
+    held = held.toDF(*[f"m_{c}" for c in held.columns])  # own names: both come from the same rows
+    return asked.groupBy(*by).cogroup(held.groupBy(*[f"m_{c}" for c in by])).applyInPandas(_block_links(FLOOR), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
