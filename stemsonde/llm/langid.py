@@ -164,7 +164,7 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [bag(x) for x in batch.column("text").to_pylist()]
         yield batch_of({"order": (batch.column("order"), None), "lang": (batch.column("lang"), None),
-                        "bucket": ([b.astype(np.int32) for b, _ in found], pa.list_(pa.int32())), "n": ([c.astype(np.int32) for _, c in found], pa.list_(pa.int32()))})
+                        "bucket": ([b.astype(np.int32).tobytes() for b, _ in found], pa.binary()), "n": ([c.astype(np.float32).tobytes() for _, c in found], pa.binary())})
 
 
 def train(docs: DataFrame, learn_from: Column | None = None, sample: int = SAMPLE) -> Model:
@@ -177,8 +177,8 @@ def train(docs: DataFrame, learn_from: Column | None = None, sample: int = SAMPL
     if not least:
         return fit([], [])
     rows = rows.where(F.col("order") <= least[-1]).dropDuplicates(["order"])  # equal rows count once
-    got = sorted(rows.mapInArrow(_bags, "order long, lang string, bucket array<int>, n array<int>").collect(), key=lambda r: (r.order, r.lang))
-    return fit([(np.array(r.bucket, np.int64), np.array(r.n, np.float64)) for r in got], [r.lang for r in got])
+    got = sorted(rows.mapInArrow(_bags, "order long, lang string, bucket binary, n binary").collect(), key=lambda r: (r.order, r.lang))
+    return fit([(np.frombuffer(r.bucket, np.int32), np.frombuffer(r.n, np.float32)) for r in got], [r.lang for r in got])
 
 
 def _scored(model: Model):
