@@ -4,7 +4,7 @@ A word is removed if it is covered by a window of ``window`` words whose sequenc
 or the same document at an earlier word). The graph is built over content-selected edges, so that not every position
 of the corpus is shuffled:
 
-1. *Edges.* Each window is filed under its least k-mer (k = 8 of 20 words; the leftmost of equal ones). The windows
+1. *Edges.* Each window is filed under its least k-mer (k = 6 of 20 words; the leftmost of equal ones). The windows
    under one k-mer occurrence are neighbours and form one edge: the k-mer's hash and the hash of all words that these
    windows cover. Equal windows always lie under equal k-mers, whatever surrounds them.
 2. *Degree.* One aggregate over the k-mers: occurrences, least and greatest content, and where it first occurs. A k-mer
@@ -12,7 +12,7 @@ of the corpus is shuffled:
    all equal, so one source coordinate stands for them. A k-mer with several contents branches.
 3. *Compaction.* Occurrences join the degrees. In each document, consecutive edges that do not branch and run along
    the same source compact into one path. Only at branching edges (the ends of repeats, variants inside near copies)
-   are single windows hashed and counted.
+   are single windows hashed and counted, and there once for each distinct content, not for each occurrence.
 4. *Verification.* The words of each path are held against the words at its source coordinates; paths that differ are
    not removed.
 
@@ -35,9 +35,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, batch_of, columns_of, mix, signed, slices
+from .common import Words, batch_of, columns_of, mix, signed, slices, stored
 
-WINDOW, KMER = 20, 8
+WINDOW, KMER = 20, 6
+_ROW = (1 << 26) - 1
 NO_ID = -(1 << 63)
 _U = np.uint64
 
@@ -77,20 +78,21 @@ def _again(row: np.ndarray, value: np.ndarray) -> np.ndarray:
 
 
 def _edges(window: int, k: int):
+    """pack: first window start (31 bits), number of further windows (6), whether the k-mer has come before in the row
+    (1), the row's own number (26)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             words = Words(batch.column("text"))
             row, first, last, kmer, content = edges_of(words, window, k)
-            take = pa.array(row)
-            yield batch_of({
-                "kmer": (signed(kmer), pa.int64()), "content": (signed(content), pa.int64()),
-                "key": (batch.column("key").take(take), None), "rid": (batch.column("rid").take(take), None),
-                "first": (first - words.first[row], pa.int32()), "last": (last - words.first[row], pa.int32()),
-                "again": (_again(row, kmer), pa.bool_()),
-            })
+            rid = batch.column("rid").to_numpy().astype(np.int64)[row]
+            pack = (first - words.first[row]) | (last - first) << 31 | _again(row, kmer).astype(np.int64) << 37 | rid << 38
+            yield batch_of({"kmer": (signed(kmer), pa.int64()), "content": (signed(content), pa.int64()), "key": (batch.column("key").take(pa.array(row)), None), "pack": (pack, pa.int64())})
     return run
 
 
+FIRST, MORE, AGAIN, RID = "cast(pack & 2147483647 as int)", "cast(shiftright(pack, 31) & 63 as int)", "(shiftright(pack, 37) & 1) = 1", f"cast(shiftright(pack, 38) & {_ROW} as int)"
+
+
 def _entries(batch: pa.RecordBatch, *names: str) -> tuple[np.ndarray, ...]:
     """Of the listed structs that belong to the row (same rid): the row and the named fields, in order of the first
     field, once each."""
@@ -108,23 +110,28 @@ def _entries(batch: pa.RecordBatch, *names: str) -> tuple[np.ndarray, ...]:
     return tuple(x[new] for x in got)
 
 
+def _contents(window: int):
+    """The contents of branching edges, which were left out of the first shuffle."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            row, first, more, kmer, pack = _entries(batch, "first", "more", "kmer", "pack")
+            words = Words(batch.column("text"))
+            at = words.first[row] + first
+            yield batch_of({"kmer": (kmer, pa.int64()), "content": (signed(words.span(words.prefix(), at, at + more + window)), pa.int64()), "key": (batch.column("key").take(pa.array(row)), None), "pack": (pack, pa.int64())})
+    return run
+
+
 def _windows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            row, first, last, kmer, branch = _entries(batch, "first", "last", "kmer", "branch")
-            row, first, last, kmer = (x[branch.astype(bool)] for x in (row, first, last, kmer))
+            row, first, more, kmer, content = _entries(batch, "first", "more", "kmer", "content")
             words = Words(batch.column("text"))
-            n = last.astype(np.int64) - first + 1
-            start = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
-            row, kmer = np.repeat(row, n), np.repeat(kmer, n)
-            at = start + words.first[row]
-            value = words.span(words.prefix(), at, at + window)
-            take = pa.array(row)
-            yield batch_of({
-                "kmer": (kmer, pa.int64()), "value": (signed(value), pa.int64()),
-                "key": (batch.column("key").take(take), None), "rid": (batch.column("rid").take(take), None),
-                "start": (start, pa.int32()), "again": (_again(row, value), pa.bool_()),
-            })
+            n = more.astype(np.int64) + 1
+            j = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            row, first, kmer, content = (np.repeat(x, n) for x in (row, first, kmer, content))
+            at = words.first[row] + first + j
+            yield batch_of({"kmer": (kmer, pa.int64()), "content": (content, pa.int64()), "j": (j, pa.int32()), "value": (signed(words.span(words.prefix(), at, at + window)), pa.int64()),
+                            "src": (batch.column("key").take(pa.array(row)), None)})
     return run
 
 
@@ -140,8 +147,8 @@ def _texts(batch: pa.RecordBatch, rows: np.ndarray) -> dict[int, list[bytes]]:
 def _paths(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            row, first, last, branch, src, at = _entries(batch, "first", "last", "branch", "src", "src_first")
-            row, first, last, src, at = (x[~branch.astype(bool)] for x in (row, first, last, src, at))
+            row, first, more, src, at = _entries(batch, "first", "more", "src", "src_first")
+            last = first + more
             new = np.ones(len(row), bool)
             if len(row):
                 new[1:] = (np.diff(row) != 0) | (first[1:] != last[:-1] + 1) | (np.diff(src) != 0) | (np.diff(first - at) != 0)
@@ -169,63 +176,87 @@ def _sources(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         })
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text"):
-        spans: dict[int, list] = {}
-        for i, listed in enumerate(batch.column("list").to_pylist()):
-            rid = batch.column("rid")[i].as_py()
-            spans[i] = [(x["start"], x["n"]) for x in listed or () if x["rid"] == rid]
-        out = []
-        for i, text in enumerate(batch.column("text").to_pylist()):
-            words = (text or "").encode().split()
-            keep = np.ones(len(words), bool)
-            for start, n in spans[i]:
-                keep[start: start + n] = False
-            kept = b" ".join(compress(words, keep.tolist())) if spans[i] else b" ".join(words)
-            out.append((len(words), len(words) - int(keep.sum()), kept))
-        yield batch_of({
-            "key": (batch.column("key"), None), "n_words": ([x[0] for x in out], pa.int64()), "n_removed": ([x[1] for x in out], pa.int64()),
-            "kept_text": ([x[2].decode() for x in out], pa.string()),
-        })
+SPAN, MASK, OWN = 0, 1, 2  # what an entry's value is: words to remove; windows to remove; windows to remove if they came before in the row
+
+
+def _cut(window: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            rids, out = batch.column("rid").to_pylist(), []
+            for i, (text, listed) in enumerate(zip(batch.column("text").to_pylist(), batch.column("list").to_pylist())):
+                words = (text or "").encode().split()
+                own = [x for x in listed or () if x["rid"] == rids[i]]
+                if not own:
+                    out.append((len(words), 0, b" ".join(words)))
+                    continue
+                keep = np.ones(len(words), bool)
+                if any(x["kind"] == OWN for x in own):
+                    start, value = Words(batch.column("text").slice(i, 1)).windows(window)
+                    before = np.zeros(len(words) + 64, bool)
+                    before[start] = _again(np.zeros(len(start), np.int64), value)
+                for x in own:
+                    if x["kind"] == SPAN:
+                        keep[x["start"]: x["start"] + x["value"]] = False
+                        continue
+                    for j in range(x["value"].bit_length()):
+                        if x["value"] >> j & 1 and (x["kind"] == MASK or before[x["start"] + j]):
+                            keep[x["start"] + j: x["start"] + j + window] = False
+                out.append((len(words), len(words) - int(keep.sum()), b" ".join(compress(words, keep.tolist()))))
+            yield batch_of({
+                "key": (batch.column("key"), None), "n_words": ([x[0] for x in out], pa.int64()), "n_removed": ([x[1] for x in out], pa.int64()),
+                "kept_text": ([x[2].decode() for x in out], pa.string()),
+            })
+    return run
 
 
-def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in _cut(batches):
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([hashlib.sha256(x.as_py().encode()).hexdigest() for x in batch.column("kept_text")], pa.string())],
-                                         names=["key", "n_words", "n_removed", "kept_sha256"])
+def _hashed(window: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _cut(window)(batches):
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([hashlib.sha256(x.as_py().encode()).hexdigest() for x in batch.column("kept_text")], pa.string())],
+                                             names=["key", "n_words", "n_removed", "kept_sha256"])
+    return run
 
 
 def repeated_spans(texts: DataFrame, window: int = WINDOW, k: int = KMER) -> DataFrame:
-    """texts: key, rid, text. Returns key, rid, start, n: runs of words to remove (they may overlap)."""
-    edges = texts.select("key", "rid", "text").mapInArrow(
-        _edges(window, k), "kmer long, content long, key long, rid int, first int, last int, again boolean")
-    degree = edges.groupBy("kmer").agg(
-        F.count("*").alias("n"), F.min("content").alias("low"), F.max("content").alias("high"), F.min("key").alias("src"),
-        F.min_by("first", "key").alias("src_first")).where("n > 1").select("kmer", (F.col("low") != F.col("high")).alias("branch"), "src", "src_first")
-    repeated = edges.drop("content").join(degree, "kmer").where("branch or key > src or (key = src and again)")
-    listed = repeated.groupBy("key").agg(F.collect_list(F.struct("rid", "first", "last", "kmer", "branch", "src", "src_first")).alias("list"))
-    joined = texts.join(listed, "key").select("key", "rid", "text", "list")
-
-    windows = joined.mapInArrow(_windows(window), "kmer long, value long, key long, rid int, start int, again boolean")
-    earliest = windows.groupBy("kmer", "value").agg(F.count("*").alias("n"), F.min("key").alias("src")).where("n > 1").drop("n")
-    single = windows.join(earliest, ["kmer", "value"]).where("key > src or (key = src and again)").select("key", "rid", "start", F.lit(window).alias("n"))
-
-    paths = joined.mapInArrow(_paths(window), "key long, rid int, start int, n int, src long, at int, digest binary")
+    """texts: key, rid, text. Returns key, rid, start, value, kind: what to remove; see SPAN, MASK, OWN."""
+    if not 0 < window - k + 1 <= 62:
+        raise ValueError("a window must have at most 62 k-mers")
+    edges = texts.select("key", "rid", "text").mapInArrow(_edges(window, k), "kmer long, content long, key long, pack long")
+    degree = edges.groupBy("kmer").agg(F.count("*").alias("n"), F.min("content").alias("low"), F.max("content").alias("high"), F.min("key").alias("src"), F.min_by(F.expr(FIRST), "key").alias("src_first"))
+    degree = degree.where("n > 1").select("kmer", (F.col("low") != F.col("high")).alias("branch"), "src", "src_first")
+    repeated = edges.drop("content").join(degree, "kmer").where(f"branch or key > src or (key = src and {AGAIN})")
+    only = lambda c, test: F.when(F.expr(test), F.col(c)).alias(c)
+    # written once: what the parts below need of it differs, so they could not share its exchanges
+    repeated = stored(repeated.select("key", "pack", "branch", only("kmer", "branch"), *[only(c, "not branch") for c in ("src", "src_first")]))
+    lists = repeated.where("branch").groupBy("key").agg(F.collect_list(F.struct(F.expr(RID).alias("rid"), F.expr(FIRST).alias("first"), F.expr(MORE).alias("more"), "kmer", "pack")).alias("list"))
+    branching = texts.join(lists, "key").select("key", "rid", "text", "list").mapInArrow(_contents(window), "kmer long, content long, key long, pack long")
+
+    contents = branching.groupBy("kmer", "content").agg(F.min("key").alias("least"), F.min_by("pack", "key").alias("pack"))
+    shown = contents.groupBy(F.col("least").alias("key")).agg(F.collect_list(F.struct(F.expr(RID).alias("rid"), F.expr(FIRST).alias("first"), F.expr(MORE).alias("more"), "kmer", "content")).alias("list"))
+    windows = texts.join(shown, "key").select("key", "rid", "text", "list").mapInArrow(_windows(window), "kmer long, content long, j int, value long, src long")
+    earliest = windows.groupBy("kmer", "value").agg(F.min("src").alias("src"))
+    sources = windows.drop("src").join(earliest, ["kmer", "value"]).groupBy("kmer", "content").agg(F.sort_array(F.collect_set(F.struct("j", "src"))).alias("src"))
+    marks = lambda test: F.expr(f"aggregate(src, 0L, (m, x) -> m | if({test}, shiftleft(1L, x.j), 0L))")
+    marked = branching.join(sources, ["kmer", "content"]).select("key", "pack", marks("x.src < key").alias("mask"), F.when(F.expr(AGAIN), marks("x.src = key")).otherwise(F.lit(0)).alias("own"))
+    entry = lambda value, kind: marked.where(f"{value} != 0").select("key", F.expr(RID).alias("rid"), F.expr(FIRST).alias("start"), F.col(value).alias("value"), F.lit(kind).alias("kind"))
+
+    lying = repeated.where("not branch").groupBy("key").agg(F.collect_list(F.struct(F.expr(RID).alias("rid"), F.expr(FIRST).alias("first"), F.expr(MORE).alias("more"), "src", "src_first")).alias("list"))
+    paths = texts.join(lying, "key").select("key", "rid", "text", "list").mapInArrow(_paths(window), "key long, rid int, start int, n int, src long, at int, digest binary")
     asked = paths.select("src", "at", "n").distinct().groupBy("src").agg(F.collect_list(F.struct("at", "n")).alias("list")).withColumnRenamed("src", "key")
     source = texts.join(asked, "key").select("key", "rid", "text", "list").mapInArrow(_sources, "src long, at int, n int, digest binary")
-    verified = paths.join(source, ["src", "at", "n", "digest"], "left_semi").select("key", "rid", "start", "n")
-    return single.unionByName(verified)
+    verified = paths.join(source, ["src", "at", "n", "digest"], "left_semi").select("key", "rid", "start", F.col("n").cast("long").alias("value"), F.lit(SPAN).alias("kind"))
+    return verified.unionByName(entry("mask", MASK)).unionByName(entry("own", OWN))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     docs = columns_of(docs, "doc_id", "text")
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key"), F.coalesce(F.hash("text"), F.lit(0)).alias("rid"), "text")
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key"), F.coalesce(F.hash("text").bitwiseAND(_ROW), F.lit(0)).alias("rid"), "text")
 
 
 def _removed(docs: DataFrame, window: int, k: int, last, schema: str) -> DataFrame:
     texts = _keyed(docs)
-    spans = repeated_spans(texts, window, k).groupBy("key").agg(F.collect_list(F.struct("rid", "start", "n")).alias("list"))
-    out = texts.join(spans, "key", "left").select("key", "rid", "text", "list").mapInArrow(last, schema)
+    spans = repeated_spans(texts, window, k).groupBy("key").agg(F.collect_list(F.struct("rid", "start", "value", "kind")).alias("list"))
+    out = texts.join(spans, "key", "left").select("key", "rid", "text", "list").mapInArrow(last(window), schema)
     return out.withColumn("doc_id", F.expr(f"if(key = {NO_ID}, null, key)")).drop("key")
 
 
