@@ -9,8 +9,8 @@ Plan. Texts with equal sets form a class, represented by its smallest doc_id; on
 Sixteen bits of each of 128 slots give 32 bands of four slots. In a bucket every member is compared with the smallest
 member (a star, never all pairs); links are confirmed on the full sets and grouped. Then, in the buckets that still
 hold more than one component, the members outside the bucket's main component are queries against all its members in
-blocks that carry the full sets; what the signatures put above ``FLOOR`` is confirmed there, and only links leave the
-task. So no link between different texts is lost because its ends met only in a bucket whose pivot is unlike them. A pair with similarity 0.75 misses all bands with
+blocks; what the signatures put above ``FLOOR`` is confirmed on the full sets, which meet once for each block of a
+component, and only links leave the task. So no link between different texts is lost because its ends met only in a bucket whose pivot is unlike them. A pair with similarity 0.75 misses all bands with
 probability 5e-6 and falls below the floor with about the same.
 
 Defined cases: null text or no word: empty set, linked with nothing, component is the own doc_id. Fewer than five
@@ -34,7 +34,7 @@ from .components import components
 SHINGLE, SLOTS, BANDS = 5, 128, 32
 SIMILAR = (75, 100)
 FLOOR = 0.58
-BLOCK, BLOCK_BYTES = 1024, 16 << 20
+BLOCK = 1024
 _U = np.uint64
 
 
@@ -115,9 +115,9 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose full sets are similar enough."""
+    """The pairs (a, b) of doc_ids whose full sets are similar enough. Both joins are shuffled at every size."""
     text = columns_of(docs, "doc_id", "text").where("doc_id is not null and text is not null")
-    return (pairs.join(text.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+    return (pairs.hint("merge").join(text.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").hint("merge")
             .join(text.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
             .select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a long, b long"))
 
@@ -128,35 +128,69 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch_of({"node": (batch.column("node"), None), "members": ([value[off[i]: off[i + 1]].tobytes() for i in range(batch.num_rows)], pa.binary())})
 
 
-def _block_links(floor: float):
-    width = SLOTS // BANDS
-
-    def links(key, left, right):
-        """Links of the queries to members of other components, one for each component and block; a pair that meets in
-        several buckets is looked at in the one of its first common band."""
+def _close(q: np.ndarray, m: np.ndarray, q_size, size, q_comp, comp, band: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of the two blocks, of different components, with close signatures, whose first common band is this one."""
+    alike = np.zeros((len(q), len(m)), np.uint8)
+    for qs, ms in zip(q.T, m.T):  # slot by slot, for all pairs
+        alike += qs[:, None] == ms[None, :]
+    low, high = np.minimum(q_size[:, None], size[None, :]), np.maximum(q_size[:, None], size[None, :])
+    i, j = np.nonzero((alike >= floor * SLOTS) & (q_comp[:, None] != comp[None, :]) & (SIMILAR[1] * low >= SIMILAR[0] * high))
+    own = np.zeros(len(i), bool)
+    for at in range(0, len(i), 8192):
+        part = slice(at, at + 8192)
+        own[part] = (q[i[part]] == m[j[part]]).reshape(-1, BANDS, SLOTS // BANDS).all(axis=2).argmax(axis=1) == band
+    return i[own], j[own]
+
+
+def _block_pairs(floor: float):
+    def pairs(key, left, right):
+        """For each query and block of another component, the members whose signatures are close to the query's. A
+        group holds one pair of blocks of a large bucket or many small buckets."""
         import pandas as pd
 
-        band, out = int(key[1]), []
-        q, m = (np.frombuffer(b"".join(x), np.uint16).reshape(-1, SLOTS) for x in (left["sig"], right["m_sig"]))
         right = right.rename(columns=lambda c: c.removeprefix("m_"))
-        sets = [np.frombuffer(x, np.uint64) for x in right["members"]]
-        size, comp, node = (right[c].to_numpy() for c in ("n", "comp", "node"))
-        for i, (n, own, me, members) in enumerate(zip(left["n"], left["comp"], left["node"], left["members"])):
-            near = np.flatnonzero((comp != own) & (SIMILAR[1] * np.minimum(size, n) >= SIMILAR[0] * np.maximum(size, n)))
-            same = m[near] == q[i]
-            alike = same.sum(axis=1)
-            first = same.reshape(len(near), BANDS, width).all(axis=2).argmax(axis=1)
-            order = np.flatnonzero((alike >= floor * SLOTS) & (first == band))
-            order = order[np.argsort(-alike[order], kind="stable")]
-            mine, done = np.frombuffer(members, np.uint64), set()
-            for j in near[order].tolist():
-                if comp[j] not in done:
-                    both = len(np.intersect1d(mine, sets[j], assume_unique=True))
-                    if SIMILAR[1] * both >= SIMILAR[0] * (n + size[j] - both):
-                        done.add(comp[j])
-                        out.append((min(me, node[j]), max(me, node[j])))
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-    return links
+        left, right = (x.sort_values(["bucket", "i", "j"], kind="stable") for x in (left, right))
+        q, m = (np.frombuffer(b"".join(x["sig"]), np.uint16).reshape(-1, SLOTS) for x in (left, right))
+        size, comp, node, block = (right[c].to_numpy() for c in ("n", "comp", "node", "block"))
+        q_size, q_comp, q_node, band = (left[c].to_numpy() for c in ("n", "comp", "node", "band"))
+        place = lambda x: pd.MultiIndex.from_arrays([x["bucket"], x["i"], x["j"]])
+        at, codes = place(left), {}
+        ends = place(right)
+        edges = lambda x: np.flatnonzero(np.append(True, x[1:] != x[:-1]))
+        starts = edges(ends)
+        for a, b in zip(starts.tolist(), np.append(starts[1:], len(ends)).tolist()):
+            codes[ends[a]] = (a, b)
+        found_i, found_j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        starts = edges(at)
+        for a, b in zip(starts.tolist(), np.append(starts[1:], len(at)).tolist()):
+            c, d = codes[at[a]]
+            i, j = _close(q[a:b], m[c:d], q_size[a:b], size[c:d], q_comp[a:b], comp[c:d], int(band[a]), floor)
+            found_i.append(i + a)
+            found_j.append(j + c)
+        i, j = np.concatenate(found_i), np.concatenate(found_j)
+        order = np.lexsort((node[j], block[j], comp[j], i))
+        i, j = i[order], j[order]
+        new = np.ones(len(i), bool)
+        new[1:] = (np.diff(i) != 0) | (np.diff(comp[j]) != 0) | (np.diff(block[j]) != 0)
+        first = np.flatnonzero(new)
+        return pd.DataFrame({"comp": comp[j[first]], "block": block[j[first]], "q": q_node[i[first]], "ms": pd.Series(np.split(node[j], first[1:]) if len(first) else [], dtype=object)})
+    return pairs
+
+
+def _block_links(key, left, right):
+    """Links of the queries to members of one block of a component, one for each query."""
+    import pandas as pd
+
+    out = []
+    sets = {m: np.frombuffer(x, np.uint64) for m, x in zip(right["m"], right["members"])}
+    for q, ms, members in zip(left["q"], left["ms"], left["q_members"]):
+        mine = np.frombuffer(members, np.uint64)
+        for m in ms:
+            both = len(np.intersect1d(mine, sets[m], assume_unique=True)) if m in sets else 0
+            if both and SIMILAR[1] * both >= SIMILAR[0] * (len(mine) + len(sets[m]) - both):
+                out.append((min(q, m), max(q, m)))
+                break
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
 def _bands(reps: DataFrame) -> DataFrame:
@@ -167,24 +201,37 @@ def _bands(reps: DataFrame) -> DataFrame:
 
 def _cross(bands: DataFrame, reps: DataFrame, grouped: DataFrame, text: DataFrame) -> DataFrame:
     """Links between different components that meet in a bucket: in each such bucket the members outside its largest
-    component are queries against all its members. Both are cut into blocks by rows and by bytes."""
-    rows = bands.join(grouped, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    sizes = rows.groupBy("band", "bucket", "comp").agg(F.count("*").alias("k"), F.sum("n").alias("n"))
-    parts = lambda k, n: F.ceil(F.greatest(k / BLOCK, 8 * n / BLOCK_BYTES, F.lit(1))).cast("int")
-    mixed = sizes.groupBy("band", "bucket").agg(F.max(F.struct(F.col("k"), (-F.col("comp")).alias("comp"), F.col("n"))).alias("top"), F.sum("k").alias("k"), F.sum("n").alias("n"), F.count("*").alias("comps")).where("comps > 1")
-    mixed = mixed.select("band", "bucket", (-F.col("top.comp")).alias("main"), parts(F.col("k"), F.col("n")).alias("blocks"), parts(F.col("k") - F.col("top.k"), F.col("n") - F.col("top.n")).alias("q_blocks"))
-    rows = stored(rows.join(mixed, ["band", "bucket"]))
-    needed = rows.select("node").distinct()
-    sets = text.withColumnRenamed("doc_id", "node").where("node is not null and text is not null").join(needed, "node", "left_semi").mapInArrow(_sets, "node long, members binary")
-    full = reps.select("node", "sig").join(needed, "node", "left_semi").join(sets, "node")
-    part = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n))
-    asked = rows.where("comp != main").withColumn("i", part("q_blocks", 1)).withColumn("j", F.explode(F.expr("sequence(0, blocks - 1)")))
-    held = rows.withColumn("j", part("blocks", 2)).withColumn("i", F.explode(F.expr("sequence(0, q_blocks - 1)")))
-    by = ["bucket", "band", "i", "j"]
-    cols = ["bucket", F.col("band").cast("long").alias("band"), F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "node", "comp", "n", "sig", "members"]
-    asked, held = asked.join(full, "node").select(*cols), held.join(full, "node").select(*cols)
-    held = held.toDF(*[f"m_{c}" for c in held.columns])  # own names: both come from the same rows
-    return asked.groupBy(*by).cogroup(held.groupBy(*[f"m_{c}" for c in by])).applyInPandas(_block_links(FLOOR), "a long, b long")
+    component are queries against all its members, in blocks of both. Signatures say which pairs are close; their sets
+    then meet once for each block of a component, not once for each bucket."""
+    parts = lambda k: F.ceil(F.greatest(k / BLOCK, F.lit(1))).cast("int")
+    large = grouped.groupBy("comp").agg(parts(F.count("*")).alias("comp_parts")).where("comp_parts > 1")
+    labelled = reps.select("node").distinct().join(grouped, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    labelled = labelled.join(large, "comp", "left").withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), F.coalesce("comp_parts", F.lit(1)))).drop("comp_parts")
+    labelled = stored(labelled)
+    rows = bands.join(labelled, "node")
+    sizes = rows.groupBy("band", "bucket", "comp").agg(F.count("*").alias("k"))
+    mixed = sizes.groupBy("band", "bucket").agg(F.max(F.struct(F.col("k"), (-F.col("comp")).alias("comp"))).alias("top"), F.sum("k").alias("k"), F.count("*").alias("comps")).where("comps > 1")
+    mixed = mixed.select("band", "bucket", (-F.col("top.comp")).alias("main"), parts(F.col("k")).alias("blocks"), parts(F.col("k") - F.col("top.k")).alias("q_blocks"))
+    rows = stored(rows.join(mixed, ["band", "bucket"]).join(reps.select("node", "sig").dropDuplicates(["node", "sig"]), "node"))
+    spread = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n))
+    asked = rows.where("comp != main").withColumn("i", spread("q_blocks", 1)).withColumn("j", F.explode(F.expr("sequence(0L, blocks - 1L)")))
+    held = rows.withColumn("j", spread("blocks", 2)).withColumn("i", F.explode(F.expr("sequence(0L, q_blocks - 1L)")))
+    # small buckets share a group, as each call has its cost; a pair of blocks of a large one has its own
+    few = max(1, rows.count() // (4 * BLOCK))
+    group = F.when(F.expr("blocks = 1 and q_blocks = 1"), F.pmod("bucket", F.lit(few))).otherwise(F.xxhash64("bucket", "i", "j")).alias("g")
+    cols = [group, "bucket", "band", "i", "j", "node", "comp", "n", "sig", "block"]
+    held = held.select(*cols).toDF("m_g", *[f"m_{c}" for c in cols[1:]])  # own names: both come from the same rows
+    close = asked.select(*cols).groupBy("g").cogroup(held.groupBy("m_g")).applyInPandas(_block_pairs(FLOOR), "comp long, block long, q long, ms array<long>")
+    close = stored(close)
+
+    asking = close.groupBy("comp", "block").agg(parts(F.count("*")).alias("q_parts"))
+    needed = stored(labelled.join(asking, ["comp", "block"]).select(F.col("comp").alias("c"), F.col("block").alias("b"), "node", "q_parts"))
+    nodes = needed.select("node").unionByName(close.select(F.col("q").alias("node"))).distinct()
+    sets = stored(text.withColumnRenamed("doc_id", "node").where("node is not null and text is not null").join(nodes, "node", "left_semi").mapInArrow(_sets, "node long, members binary"))
+    asked = close.join(asking, ["comp", "block"]).withColumn("part", F.pmod(F.xxhash64("q"), F.col("q_parts"))).join(sets.select(F.col("node").alias("q"), F.col("members").alias("q_members")), "q")
+    held = needed.withColumn("p", F.explode(F.expr("sequence(0L, q_parts - 1L)")))
+    held = held.join(sets, "node").select("c", "b", "p", F.col("node").alias("m"), "members")
+    return asked.select("comp", "block", "part", "q", "ms", "q_members").groupBy("comp", "block", "part").cogroup(held.groupBy("c", "b", "p")).applyInPandas(_block_links, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
