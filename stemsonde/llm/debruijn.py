@@ -32,7 +32,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Words, batch_of, columns_of, mix, signed, slices, stored
@@ -234,10 +234,14 @@ def repeated_spans(texts: DataFrame, window: int = WINDOW, k: int = KMER) -> Dat
     contents = branching.groupBy("kmer", "content").agg(F.min("key").alias("least"), F.min_by("pack", "key").alias("pack"))
     shown = contents.groupBy(F.col("least").alias("key")).agg(F.collect_list(F.struct(F.expr(RID).alias("rid"), F.expr(FIRST).alias("first"), F.expr(MORE).alias("more"), "kmer", "content")).alias("list"))
     windows = texts.join(shown, "key").select("key", "rid", "text", "list").mapInArrow(_windows(window), "kmer long, content long, j int, value long, src long")
-    earliest = windows.groupBy("kmer", "value").agg(F.min("src").alias("src"))
-    sources = windows.drop("src").join(earliest, ["kmer", "value"]).groupBy("kmer", "content").agg(F.sort_array(F.collect_set(F.struct("j", "src"))).alias("src"))
-    marks = lambda test: F.expr(f"aggregate(src, 0L, (m, x) -> m | if({test}, shiftleft(1L, x.j), 0L))")
-    marked = branching.join(sources, ["kmer", "content"]).select("key", "pack", marks("x.src < key").alias("mask"), F.when(F.expr(AGAIN), marks("x.src = key")).otherwise(F.lit(0)).alias("own"))
+    # in which earlier document, if any, a window of a content occurs: under another content of the same k-mer
+    earliest = F.min("src").over(Window.partitionBy("kmer", "value"))
+    before = windows.withColumn("first", earliest).where("first < src").groupBy("kmer", "content").agg(F.bit_or(F.expr("shiftleft(1L, j)")).alias("mask"))
+    found = contents.select("kmer", "content", "least").join(before, ["kmer", "content"], "left")
+    every = F.expr(f"shiftleft(1L, {MORE} + 1) - 1")
+    later = F.col("key") > F.col("least")  # the whole content occurs in an earlier document
+    marked = branching.join(found, ["kmer", "content"]).select(
+        "key", "pack", F.when(later, every).otherwise(F.coalesce("mask", F.lit(0))).alias("mask"), F.when(~later & F.expr(AGAIN), every).otherwise(F.lit(0)).alias("own"))
     entry = lambda value, kind: marked.where(f"{value} != 0").select("key", F.expr(RID).alias("rid"), F.expr(FIRST).alias("start"), F.col(value).alias("value"), F.lit(kind).alias("kind"))
 
     lying = repeated.where("not branch").groupBy("key").agg(F.collect_list(F.struct(F.expr(RID).alias("rid"), F.expr(FIRST).alias("first"), F.expr(MORE).alias("more"), "src", "src_first")).alias("list"))
