@@ -43,7 +43,7 @@ def _buckets(cells: DataFrame, bits: int, low: int, limit: int) -> DataFrame:
     levels = cells.select("*", F.explode(F.expr(f"sequence({low}, {bits})")).alias("depth")).withColumn("shard", _prefix("cell", bits, "depth"))
     sizes = levels.groupBy("depth", "shard").agg(F.sum("bytes").alias("shard_bytes"), F.min("least").alias("l"), F.max("most").alias("m"))
     ends = sizes.where(f"shard_bytes <= {limit} or l = m or depth = {bits}")
-    found = levels.select("cell", "depth", "shard").join(ends, ["depth", "shard"])
+    found = levels.select("cell", "depth", "shard").join(ends.hint("merge"), ["depth", "shard"])
     first = found.groupBy("cell").agg(F.min(F.struct("depth", "shard", "shard_bytes", "l", "m")).alias("x"))
     return first.select("cell", "x.depth", "x.shard", "x.shard_bytes", F.expr(f"x.shard_bytes <= {limit} or x.l = x.m").alias("done"))
 
@@ -73,7 +73,7 @@ def sharded(docs: DataFrame, key: str, size: Column, limit: int) -> DataFrame:
     items = docs.select(F.col(f"`{key}`").alias("key"), code(F.col(f"`{key}`")).alias("code"), F.coalesce(size.cast("long"), F.lit(0)).alias("bytes"))
     out = None
     for bits, entries in directory(items.select("code", "bytes"), limit):
-        part = items.withColumn("cell", _prefix("code", BITS, str(bits))).join(entries, "cell")
+        part = items.withColumn("cell", _prefix("code", BITS, str(bits))).join(entries.hint("merge"), "cell")  # the directory grows with the table
         part = part.select(F.col("key").alias(key), "bytes", "depth", "shard", "shard_bytes", (F.col("shard_bytes") <= limit).alias("fits"))
         out = part if out is None else out.unionByName(part)
     return out

@@ -35,6 +35,7 @@ from .common import batch_of, columns_of, shared_dir, slices, stored
 
 ARCHIVE = 64 << 20
 CHUNK = 1 << 16
+MAX_TASKS = 20_000
 DATE = "2026-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"  # fixed value of the format
 
@@ -192,6 +193,7 @@ def _rows(held: list[dict], with_payload: bool) -> pa.RecordBatch:
 
 def records(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
     """The records of the archives that a manifest names, read one archive to a task or a few."""
-    one = manifest.select("archive").repartition(F.col("archive"))
+    tasks = min(MAX_TASKS, max(1, manifest.count()))  # a given number is not merged again
+    one = manifest.select("archive").repartition(tasks, "archive")
     schema = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string" + ", payload binary" * with_payload
     return one.mapInArrow(_read(with_payload), schema)
