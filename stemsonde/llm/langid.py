@@ -10,7 +10,8 @@ the average. Both tables are trained by plain stochastic gradient descent in num
 
 *Calibration*: the temperature that minimises the log loss of the set-aside rows. *Rejection*: a text is rejected if
 it has no letter, or if its calibrated probability is below the least one of the set-aside rows that were predicted
-rightly, halved in log odds so that clean texts have a margin (never above ``CEILING``, never below chance).
+rightly, lowered by ``MARGIN`` in log odds so that clean texts have a margin (never above ``CEILING``). As no best
+probability is below chance, a level that comes out below it rejects no text with a letter.
 
 *Scoring* is one pass: since averaging and the linear layer commute, each bucket's row is multiplied into the softmax
 once (a table of buckets x languages), which is all that the tasks get; its size is fixed by the parameters. A text's
@@ -36,7 +37,7 @@ from .common import _offsets, batch_of, columns_of, mix, slices
 
 BUCKETS, DIM, GRAMS = 1 << 15, 16, (1, 2, 3, 4)
 SAMPLE, STEPS, EPOCHS, RATE = 4000, 13_000, 40, 0.5
-CEILING = 0.6
+CEILING, MARGIN = 0.6, 1.0
 _U = np.uint64
 _CODES: list[np.ndarray] = []
 
@@ -155,11 +156,16 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[str], seed: int
     p = _softmax(z / model.temperature)
     right = p.max(axis=1)[p.argmax(axis=1) == y[aside]]
     if len(right) and len(langs) > 1:
-        q = min(float(right.min()), 1 - 1e-9)
-        model.least = float(np.clip(1 / (1 + np.sqrt((1 - q) / q)), 1 / len(langs), CEILING))
+        model.least = level(float(right.min()))
     return model
 
 
+def level(q: float) -> float:
+    """The rejection level for a least right probability q: below q, whatever q is."""
+    q = min(q, 1 - 1e-9)
+    return min(q / (q + (1 - q) * float(np.exp(MARGIN))), CEILING)
+
+
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [bag(x) for x in batch.column("text").to_pylist()]

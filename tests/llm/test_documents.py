@@ -111,6 +111,21 @@ def test_language_on_held_out_documents(spark, sf):
     assert right >= 0.97 * n
 
 
+def test_language_level_is_below_the_least_right_row():
+    for q in (0.26, 0.3, 0.35, 0.5, 0.7, 0.95, 1.0):
+        assert 0 < langid.level(q) < q and langid.level(q) <= langid.CEILING
+    rng, words = random.Random(1), {c: [c + "".join(random.Random(f"{c}{k}").choices("abcdefgh", k=4)) for k in range(40)] for c in "pqrs"}
+    rows = []
+    for i in range(400):  # mixed vocabulary: the least of the right rows is under one half
+        c = "pqrs"[i % 4]
+        rows.append((" ".join(rng.choice(words[c if rng.random() < 0.5 else rng.choice("pqrs")]) for _ in range(rng.randrange(1, 12))), c))
+    model = langid.fit([langid.bag(t) for t, _ in rows], [c for _, c in rows])
+    aside = rows[::5]
+    lang, score, rejected = model.predict(pa.array([t for t, _ in aside]))
+    right = np.array([a == c for a, (_, c) in zip(lang, aside)])
+    assert score[right].min() < 0.5 and not rejected[right].any()
+
+
 def test_fertility_counts(docs, none):
     rows = fertility.judged(docs).collect()
     got = sorted(((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in rows), key=str)
