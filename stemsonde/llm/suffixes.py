@@ -7,13 +7,16 @@ SPARSE + k - 1 words and more have a suffix start in common within its first SPA
 A suffix is the row of the hashes of its leading blocks of words (first a long block, then short ones), with doc_id and
 position. Range partitioning over all of these sorts the suffixes of the whole corpus: the partitions in order are the
 sparse suffix array. Since doc_id and position are part of the order, a passage that a third of all documents share is
-cut over partitions like anything else. Neighbours are compared in one streaming pass; the first suffix of a partition
-meets the last of the one before through a table with one row for each partition. Neighbours that share the long block
-are matched pairs; pairs of one diagonal (documents and distance) are one match.
+cut over partitions like anything else. One streaming pass compares each suffix with the one before it and, where their
+last blocks differ, for each number of leading blocks with the least (doc_id, position) so far among the suffixes that
+share them; what a partition's ends leave open meets through a table with a few rows for each partition. Those that share the long block are matched
+pairs, so of suffixes that share it all but the least are the later place of one, whatever order their tails put them
+in; pairs of one diagonal (documents and distance) are one match.
 
 Matches are extended left and right on the words themselves. What is at least ``MIN_WORDS`` long is a repeat. A passage
 of MIN_WORDS + SPARSE - 1 words that occurs twice always gives its later occurrence a match of at least MIN_WORDS words;
-shorter ones do unless a neighbour that agrees on the right differs within the first SPARSE words on the left.
+shorter ones do unless all those it is paired with, which agree on the right, differ within the first SPARSE words on
+the left.
 
 Defined cases: null or empty text and texts under MIN_WORDS words match nothing. A null doc_id counts as smaller than
 all others and is returned as null. Repeated rows (same doc_id) match as one document and do not repeat themselves; a
@@ -72,47 +75,86 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 ORDER = ["lead", *[f"b{i}" for i in range(len(BLOCKS))], "key", "at"]
 _SUFFIX = "lead long, " + ", ".join(f"b{i} int" for i in range(len(BLOCKS))) + ", key long, at int"
-_PAIR = "kind int, part int, lead long, key long, at int, other long, other_at int"
+_PAIR = "kind int, part int, level int, lead long, rest string, key long, at int, other long, other_at int"
 PAIR, FIRST, LAST = 0, 1, 2
+LEVELS = len(BLOCKS)  # prefixes of a suffix: the long block alone, then one short block more each, but not all of them
+NEXT = -1  # level of the rows about the first and last suffix itself
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a sorted partition: the pairs of adjacent suffixes that share the long block, each with the one before it,
-    and the partition's first and last suffix."""
+    """Of a sorted partition: each suffix that shares the long block with the one before it, paired with that one; if it
+    does not share all blocks with it (else it is the later place), also, for each level, with the least (key, at) so far
+    of the suffixes that share its prefix. A new least is paired with the one that it replaces, so of a run all but its
+    least are the later place of a pair. And the partition's first and last suffix, and the least of its first and last
+    run of each level."""
     from pyspark import TaskContext
 
-    part, before = TaskContext.get().partitionId(), None
+    part, before, least, first = TaskContext.get().partitionId(), None, None, None
 
-    def rows(kind, lead, key, at, other, other_at):
+    def rows(kind, level, lead, rest, key, at, other, other_at):
         n = len(key)
-        return batch_of({"kind": (np.full(n, kind, np.int32), None), "part": (np.full(n, part, np.int32), None), "lead": (lead, pa.int64()), "key": (key, pa.int64()),
-                         "at": (at.astype(np.int32), None), "other": (other, pa.int64()), "other_at": (other_at.astype(np.int32), None)})
+        return batch_of({"kind": (np.full(n, kind, np.int32), None), "part": (np.full(n, part, np.int32), None), "level": (np.asarray(level, np.int32), None), "lead": (lead, pa.int64()),
+                         "rest": (rest, pa.string()), "key": (key, pa.int64()), "at": (at.astype(np.int32), None), "other": (other, pa.int64()), "other_at": (other_at.astype(np.int32), None)})
+
+    def edge(kind, cols, i, ends):
+        """The suffix at i and the ends (key, at) of its runs, one for each level."""
+        key, at = (np.array([cols[c][i], *x]) for c, x in zip(("key", "at"), ends))
+        rest = [None, *[",".join(str(cols[f"b{k}"][i]) for k in range(level)) for level in range(LEVELS)]]
+        return rows(kind, [NEXT, *range(LEVELS)], np.repeat(cols["lead"][i], LEVELS + 1), rest, key, at, key, at)
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        lead, key, at = (batch.column(c).to_numpy() for c in ("lead", "key", "at"))
-        if before is None:
-            yield rows(FIRST, lead[:1], key[:1], at[:1], key[:1], at[:1])
-        else:
-            lead, key, at = (np.concatenate([x, y]) for x, y in zip(before, (lead, key, at)))
-        before = lead[-1:], key[-1:], at[-1:]
-        hit = np.flatnonzero((lead[1:] == lead[:-1]) & ((key[1:] != key[:-1]) | (at[1:] != at[:-1])))
-        yield rows(PAIR, lead[hit], key[hit + 1], at[hit + 1], key[hit], at[hit])
+        cols = {c: batch.column(c).to_numpy() for c in ORDER}
+        if before is None:  # the first suffix stands before itself, so it begins the runs and makes no pair
+            before = {c: x[:1] for c, x in cols.items()}
+            least = np.repeat(before["key"], LEVELS), np.repeat(before["at"], LEVELS)
+            first = [before, (least[0].copy(), least[1].copy()), np.ones(LEVELS, bool)]
+        n = batch.num_rows
+        key, at = (np.concatenate([x, before[c], cols[c]]) for c, x in zip(("key", "at"), least))  # least ones, the one before, the batch
+        order = np.lexsort((at, key))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        here = np.arange(LEVELS + 1, LEVELS + 1 + n)
+        alike = np.logical_and.accumulate([cols[c] == np.append(before[c], cols[c][:-1]) for c in ORDER[: LEVELS + 1]])
+        mine, others = [here[alike[0]]], [here[alike[0]] - 1]
+        for level, same in enumerate(alike[:-1]):
+            run = np.append(0, np.cumsum(~same))
+            so_far = np.minimum.accumulate(np.append(rank[level], rank[here]) - run * len(order)) + run * len(order)
+            ask = same & ~alike[-1]
+            mine.append(here[ask])
+            others.append(order[so_far[:-1][ask]])
+            end = order[so_far[-1]]
+            if first[2][level]:
+                stop = np.searchsorted(run, 0, "right") - 1
+                first[1][0][level], first[1][1][level] = key[order[so_far[stop]]], at[order[so_far[stop]]]
+                first[2][level] = run[-1] == 0
+            least[0][level], least[1][level] = key[end], at[end]
+        pair = np.unique(np.concatenate(mine) * len(order) + np.concatenate(others))
+        i, j = pair // len(order), pair % len(order)
+        hit = (key[i] != key[j]) | (at[i] != at[j])
+        i, j = i[hit], j[hit]
+        yield rows(PAIR, np.full(len(i), NEXT), cols["lead"][i - LEVELS - 1], pa.nulls(len(i), pa.string()), key[i], at[i], key[j], at[j])
+        before = {c: x[-1:] for c, x in cols.items()}
     if before is not None:
-        yield rows(LAST, *before, *before[1:])
+        yield edge(FIRST, first[0], 0, first[1])
+        yield edge(LAST, before, 0, least)
 
 
 def matched(texts: DataFrame) -> DataFrame:
-    """texts: key, text. Pairs of places that share LEAD words: key, at and other, other_at (the one before)."""
+    """texts: key, text. Pairs of places that share LEAD words: key, at and other, other_at."""
     suffixes = texts.select("key", "text").mapInArrow(_suffixes, _SUFFIX)
     array = suffixes.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER)
-    rows = stored(array.select("lead", "key", "at").mapInArrow(_neighbours, _PAIR))
-    edges = Window.orderBy("part", "kind")  # two rows for each partition of the array
+    rows = stored(array.mapInArrow(_neighbours, _PAIR))
+    ends = rows.where(F.col("kind") != PAIR)  # 2 (LEVELS + 1) rows for each partition of the array
+    edges = Window.orderBy("part", "kind")
     before = {c: F.lag(c).over(edges) for c in ("lead", "key", "at")}
-    seams = rows.where(F.col("kind") != PAIR).select("kind", "lead", "key", "at", before["lead"].alias("l"), before["key"].alias("other"), before["at"].alias("other_at"))
+    seams = ends.where(F.col("level") == NEXT).select("kind", "lead", "key", "at", before["lead"].alias("l"), before["key"].alias("other"), before["at"].alias("other_at"))
     seams = seams.where(f"kind = {FIRST} and l = lead and (key != other or at != other_at)").select("key", "at", "other", "other_at")
-    return rows.where(F.col("kind") == PAIR).select("key", "at", "other", "other_at").unionByName(seams)
+    runs = Window.partitionBy("level", "lead", "rest").orderBy("part", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    cut = ends.where(F.col("level") != NEXT).select("key", "at", F.min(F.struct("key", "at")).over(runs).alias("least"))
+    cut = cut.where("least is not null and (key != least.key or at != least.at)").select("key", "at", F.col("least.key").alias("other"), F.col("least.at").alias("other_at"))
+    return rows.where(F.col("kind") == PAIR).select("key", "at", "other", "other_at").unionByName(seams).unionByName(cut)
 
 
 def near(pairs: DataFrame) -> DataFrame:
@@ -152,7 +194,7 @@ def _extend(least: int):
 
 def repeats(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     """doc_id, start_word, n_words, src_doc_id, src_start_word: each maximal match of at least that many words between
-    neighbours of the suffix array, its later place first."""
+    paired suffixes, its later place first."""
     if least < MIN_WORDS:
         raise ValueError(f"the suffixes are selected for matches of {MIN_WORDS} words and more")
     docs = columns_of(docs, "doc_id", "text").where("text is not null")

@@ -163,6 +163,17 @@ def test_suffix_array_covers_repeats(spark):
     assert all(r.n_words >= 70 for r in found)
 
 
+@pytest.mark.parametrize("n", [50, 56, 63, 70])
+def test_suffix_array_gives_every_later_place_a_row(spark, n):
+    """One short passage in hundreds of documents with other words on both sides; partitions cut its run."""
+    passage = plain.prose(7, n)
+    rows = [(i, f"{plain.prose(1000 + i, 20)} {passage} {plain.prose(5000 + i, 40)}") for i in range(300)]
+    found = suffixes.repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert {r.doc_id for r in found} == set(range(1, 300))
+    text = {i: t.split() for i, t in rows}
+    assert all(text[r.doc_id][r.start_word: r.start_word + r.n_words] == text[r.src_doc_id][r.src_start_word: r.src_start_word + r.n_words] for r in found)
+
+
 def test_sharding(spark, docs, none):
     from pyspark.sql import functions as F
 
