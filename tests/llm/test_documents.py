@@ -291,3 +291,22 @@ def test_secret_network_recall():
     hit = net.scores(more) >= net.threshold
     truth = np.array(truth, bool)
     assert hit[truth].mean() > 0.9 and hit[~truth].mean() < 0.02
+
+
+def test_secret_threshold_is_by_recall_alone():
+    rows, labels = secrets.generated(np.random.default_rng(0), [], 2000)
+    flip = np.random.default_rng(2).random(len(labels)) < 0.1  # a tenth of the labels is wrong: keys with low scores
+    labels = [int(k != f) for k, f in zip(labels, flip)]
+    net = secrets.fit(rows, labels)
+    score, truth = net.scores(rows[::5]), np.array(labels[::5], bool)
+    assert (score[truth] >= net.threshold - 1e-9).mean() >= secrets.RECALL and net.threshold < 0.5
+    assert abs(score.mean() - truth.mean()) < 0.02 and 0 < net.precision < 1
+
+
+def test_secret_parts_beside_base_spans_are_masked():
+    net = secrets.fit(*secrets.generated(np.random.default_rng(0), [], 2000))
+    key = "Xy7Zq9Lm2Np4Rt6V" + "0123456789abcdef01234567" + "Vb8Ks3Wd5Gh1Jk0Q"
+    (base, every), = secrets.spans_of([f"my key is {key} now"], net)
+    assert base == [(26, 2, 50)] and every == [(10, 3, 26), (26, 2, 50), (50, 3, 66)]
+    assert secrets.masked_text(f"my key is {key} now", every) == f"my key is {secrets.MASK} now"
+    assert secrets.uncovered(0, 9, [(0, 0, 3), (2, 1, 5), (7, 2, 12)]) == [(5, 7)] and secrets.uncovered(4, 9, [(0, 0, 2)]) == [(4, 9)]
