@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import debruijn, decontam, fertility, langid, minhash, packing, secrets, sharding, suffixes, warc
+from stemsonde.functions.binding import let
+
+from . import debruijn, decontam, fertility, langid, minhash, multiindex, packing, runs, secrets, sharding, suffixes, warc, windows
 from .common import read_table
 
 QUERIES, ORACLES = {}, {}
@@ -97,3 +99,69 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_near_duplicates")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+def looped(docs: DataFrame) -> DataFrame:
+    """Every tenth document, by the checksum h of its doc_id, as words that repeat from word a on with period p."""
+    g = F.floor(F.col("h") / 10)
+    n = lambda w: F.size(w).cast("long")
+    p = lambda w, a: F.lit(1).cast("long") + F.floor((n(w) - a) / (F.lit(3) + g % 8))
+    at = lambda i, a, p: F.when(i < a, i).otherwise(a + (i - a) % p)
+    repeated = lambda w: let(g % n(w), lambda a: let(p(w, a), lambda p: F.array_join(
+        F.transform(F.sequence(F.lit(0).cast("long"), n(w) - 1), lambda i: F.element_at(w, (at(i, a, p) + 1).cast("int"))), " ")))
+    words = F.expr(r"regexp_extract_all(text, '([^\\x20\\x09-\\x0D]+)', 1)")
+    docs = docs.withColumn("h", F.crc32(F.col("doc_id").cast("string").cast("binary")))
+    text = F.when(F.col("h") % 10 == 0, let(words, lambda w: F.when(F.size(w) > 0, repeated(w)).otherwise(F.col("text")))).otherwise(F.col("text"))
+    return docs.select("doc_id", text.alias("text"))
+
+
+# Every pair of equal 5-word windows of a text, stretches of such pairs at one distance, and the least distance of a stretch.
+_RUNS_SQL = """
+with given as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w,
+  xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(1, 1 + length(cast(doc_id as varchar))), lambda i: cast(ascii(substr(cast(doc_id as varchar), cast(i as integer), 1)) as bigint))),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), range(0, 8)), lambda x, i: case when x % 2 = 1 then xor(x >> 1, 3988292384) else x >> 1 end))) as h from documents),
+loop as (select *, len(w) as n, case when h % 10 = 0 and len(w) > 0 then (h // 10) % len(w) end as a from given),
+text as (select doc_id, n, case when a is null then w else list_transform(range(0, n), lambda i: w[1 + case when i < a then i else a + (i - a) % (1 + (n - a) // (3 + (h // 10) % 8)) end]) end as w from loop),
+word as (select doc_id, w, n, unnest(range(0, n)) as i from text),
+win as (select doc_id, n, i, md5(array_to_string(w[i + 1 : i + 5], ' ')) as g from word where i + 5 <= n),
+pair as (select x.doc_id, x.i, y.i - x.i as q from win x join win y on x.doc_id = y.doc_id and x.g = y.g and x.i < y.i and 4 * (y.i - x.i) <= x.n),
+part as (select *, i - row_number() over (partition by doc_id, q order by i) as island from pair),
+stretch as (select doc_id, min(i) as start, count(*) + 4 + q as length, q from part group by doc_id, q, island),
+run as (select doc_id, start, length, min(q) as period from stretch where length >= greatest(6, 4 * q) group by doc_id, start, length),
+best as (select *, row_number() over (partition by doc_id order by length desc, start, period) as k from run),
+said as (select doc_id, count(*) as n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as said from run group by doc_id),
+gone as (select distinct doc_id, unnest(range(start + period, start + length)) as i from run),
+kept as (select word.doc_id, string_agg(word.w[word.i + 1], ' ' order by word.i) as kept from word left join gone on word.doc_id = gone.doc_id and word.i = gone.i where gone.i is null group by word.doc_id)
+select t.doc_id, coalesce(n_runs, 0) as n_runs, b.start, b.length, b.period, 1000 * b.length // b.period as exponent_milli,
+  sha256(coalesce(said, '')) as runs_sha256, sha256(coalesce(kept, '')) as collapsed_sha256
+from text t left join best b on t.doc_id = b.doc_id and b.k = 1 left join said s on t.doc_id = s.doc_id left join kept k on t.doc_id = k.doc_id
+"""
+
+
+@query("op11_periodic_runs", _RUNS_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.periodic_runs(looped(read_table(spark, sf_dir, "documents")), with_text=False).drop("n_words")
+
+
+_NEGATIVES_SQL = """
+with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as q
+  from embeddings where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+score as (select a.vec_id as a, b.vec_id as b, a.label = b.label as same, cast(list_sum(list_transform(range(1, 1 + len(a.q)), lambda i: a.q[i] * b.q[i])) as bigint) as s
+  from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0),
+positive as (select a, b, s from score where same qualify row_number() over (partition by a order by s desc, b) <= 5)
+select p.a as anchor_id, p.b as positive_id, cast(row_number() over (partition by p.a, p.b order by n.s desc, n.b) as integer) as rank, n.b as negative_id, p.s as positive_score, n.s as negative_score
+from positive p join score n on p.a = n.a and not n.same and 80 * p.s <= 100 * n.s and n.s <= p.s
+qualify row_number() over (partition by p.a, p.b order by n.s desc, n.b) <= 5
+"""
+
+
+@query("op12_hard_negatives", _NEGATIVES_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return multiindex.hard_negatives(multiindex.whole_vectors(rows, label=label), F.col("id") % 100 == 0)
+
+
+@query("op13_online_packing")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.packed(read_table(spark, sf_dir, "documents"))
