@@ -79,7 +79,13 @@ def test_duplicate_members_keep_every_copy(spark):
     assert got.count() == 1000 and got.select("copies").distinct().collect()[0][0] == 1000
 
 
-def test_set_digest_switches_beyond_its_bound(spark):
-    df = spark.range(300).select((F.col("id") % 3 == 0).alias("g"), F.col("id").cast("string").alias("n"))
-    kinds = {r["g"]: r["kind"] for r in G.set_digest(df, ["g"], F.col("n"), limit=150).collect()}
-    assert kinds == {True: "flat", False: "tree"}
+def test_set_digest_has_one_rule_at_every_size(spark):
+    """Order and partitioning do not matter, a changed or repeated name does, for 300 names as for three."""
+    for n in (300, 3):
+        df = spark.range(2 * n).select((F.col("id") % 2 == 0).alias("g"), F.col("id").cast("string").alias("n"))
+        told = lambda d: {r["g"]: (r["n_names"], r["digest"]) for r in G.set_digest(d, ["g"], F.col("n")).collect()}
+        one = told(df.repartition(1))
+        assert one == told(df.repartition(17)) == told(df.orderBy(F.col("n").desc()))
+        assert all(k == n and len(d) == 16 for k, d in one.values()) and one[True][1] != one[False][1]
+        assert told(df.replace("1", "x", "n"))[False] != one[False]
+        assert told(df.unionByName(df.where("n = '0'")))[True] != one[True]
