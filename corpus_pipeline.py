@@ -5,8 +5,9 @@ next stage's docs. All but the last return the columns of documents:
 
 1. language: texts whose language is rejected go (no letter, or below the calibrated level). The model is trained on the
    labelled rows of the stage's own input.
-2. near_duplicates: of each group of near-duplicates the row with the smallest doc_id stays; of rows with one doc_id,
-   the first in order of the other columns. Rows with a null doc_id stay.
+2. near_duplicates: of each group of near-duplicates one row with the smallest doc_id stays; if several rows of the group
+   have it, the first in order of the other columns. Texts of one doc_id that are nobody's copies all stay, as do rows
+   with a null doc_id and texts without words.
 3. decontamination: texts that hold a verified test item of ``benchmark`` go.
 4. secrets: every span found is masked in text, and n_chars is the new length; all rows stay.
 5. packing: one row for each piece of a document, with its bin.
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stemsonde.llm import decontam, langid, minhash, packing, secrets
-from stemsonde.llm.common import read_table, shared_dir
+from stemsonde.llm.common import WORD, read_table, shared_dir
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -36,11 +37,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = _documents(docs)
-    gone = minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    rest = docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    kept = minhash.near_duplicates(docs).where("kept and cluster is not null").select("doc_id", "text_hash", "cluster").distinct()
+    rows = docs.withColumn("text_hash", F.xxhash64("text"))
+    alone = rows.where(F.col("doc_id").isNull() | ~F.coalesce(F.col("text").rlike(WORD), F.lit(False)))
+    named = rows.join(kept, ["doc_id", "text_hash"])
     order = [F.col(c).asc_nulls_first() for c in COLUMNS[1:]]
-    first = rest.where("doc_id is not null").withColumn("_place", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order))).where("_place = 1")
-    return first.select(*COLUMNS).unionByName(rest.where("doc_id is null"))
+    first = named.withColumn("_place", F.row_number().over(Window.partitionBy("doc_id", "cluster").orderBy(*order))).where("_place = 1")
+    return first.select(*COLUMNS).unionByName(alone.select(*COLUMNS))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,7 +5,8 @@ j + r with r uniform in [0, 1). A slot keeps the least offer. Ranks of one eleme
 correlation that lowers the variance against independent minima), and a text is finished as soon as its largest slot
 is below j + 1: later offers cannot win.
 
-Plan. Texts with equal sets form a class, represented by its smallest doc_id; only representatives are compared.
+Plan. Texts with equal sets form a class with a number of its own, represented by the text of its smallest doc_id; only
+representatives are compared.
 Sixteen bits of each of 128 slots give 32 bands of four slots. In a bucket every member is compared with the smallest
 member (a star, never all pairs); links are confirmed on the full sets and grouped. Then, in the buckets that still
 hold more than one component, the members outside the bucket's main component are queries against all its members in
@@ -14,8 +15,8 @@ component, and only links leave the task. So no link between different texts is
 probability 5e-6 and falls below the floor with about the same.
 
 Defined cases: null text or no word: empty set, linked with nothing, component is the own doc_id. Fewer than five
-words: the whole sequence is the one shingle. Rows that repeat a doc_id are documents of their own text; equal rows get
-equal results. A null doc_id keeps its n_shingles, gets a null component and is kept. Columns other than doc_id and
+words: the whole sequence is the one shingle. Rows that repeat a doc_id are documents of their own text: two texts
+under one doc_id may lie in different components, both named by it (``cluster`` tells them apart); equal rows get equal results. A null doc_id keeps its n_shingles, gets a null component and is kept. Columns other than doc_id and
 text are not read.
 """
 
@@ -91,16 +92,20 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pad = np.append(value, _U(0))
         total = [np.where(n > 0, np.add.reduceat(x, np.minimum(off[:-1], len(value))), _U(0)) for x in (mix(pad), mix(pad ^ _U(0x5BD1E995)))]
         yield batch_of({
-            "doc_id": (batch.column("doc_id"), None), "n_shingles": (n, pa.int64()),
+            "doc_id": (batch.column("doc_id"), None), "text_hash": (batch.column("text_hash"), None), "n_shingles": (n, pa.int64()),
             "d1": (signed(total[0]), pa.int64()), "d2": (signed(total[1]), pa.int64()),
             "sig": ([x.tobytes() for x in sig], pa.binary()),
         })
 
 
+def _hashed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit digest of the set (d1, d2) and the signature of each row."""
-    docs = columns_of(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    return docs.mapInArrow(_signatures, "doc_id long, n_shingles long, d1 long, d2 long, sig binary")
+    """doc_id, a hash of the text, n_shingles, a 128-bit digest of the set (d1, d2) and the signature of each row."""
+    docs = _hashed(docs)
+    return docs.mapInArrow(_signatures, "doc_id long, text_hash long, n_shingles long, d1 long, d2 long, sig binary")
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,11 +119,18 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose full sets are similar enough. Both joins are shuffled at every size."""
-    text = columns_of(docs, "doc_id", "text").where("doc_id is not null and text is not null")
-    return (pairs.hint("merge").join(text.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").hint("merge")
-            .join(text.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+def texts_of(nodes: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """The text that represents each node (one column, distinct): of rows equal in doc_id and text any one."""
+    wanted = nodes.join(reps.select("node", F.col("doc").alias("doc_id"), "text_hash"), "node")
+    rows = _hashed(docs).where("doc_id is not null and text is not null").join(wanted, ["doc_id", "text_hash"])
+    return rows.groupBy("node").agg(F.any_value("text").alias("text"))
+
+
+def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes whose full sets are similar enough. Both joins are shuffled at every size."""
+    text = stored(texts_of(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), reps, docs))
+    return (pairs.hint("merge").join(text.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").hint("merge")
+            .join(text.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
             .select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a long, b long"))
 
 
@@ -199,20 +211,20 @@ def _bands(reps: DataFrame) -> DataFrame:
         f"transform(sequence(0, {BANDS - 1}), b -> struct(b as band, xxhash64(b, substring(sig, b * {width} + 1, {width})) as bucket))")).alias("x")).select("node", "n", "x.*")
 
 
-def _cross(bands: DataFrame, reps: DataFrame, grouped: DataFrame, text: DataFrame) -> DataFrame:
+def _cross(bands: DataFrame, reps: DataFrame, grouped: DataFrame, docs: DataFrame) -> DataFrame:
     """Links between different components that meet in a bucket: in each such bucket the members outside its largest
     component are queries against all its members, in blocks of both. Signatures say which pairs are close; their sets
     then meet once for each block of a component, not once for each bucket."""
     parts = lambda k: F.ceil(F.greatest(k / BLOCK, F.lit(1))).cast("int")
     large = grouped.groupBy("comp").agg(parts(F.count("*")).alias("comp_parts")).where("comp_parts > 1")
-    labelled = reps.select("node").distinct().join(grouped, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    labelled = reps.select("node").join(grouped, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     labelled = labelled.join(large, "comp", "left").withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), F.coalesce("comp_parts", F.lit(1)))).drop("comp_parts")
     labelled = stored(labelled)
     rows = bands.join(labelled, "node")
     sizes = rows.groupBy("band", "bucket", "comp").agg(F.count("*").alias("k"))
     mixed = sizes.groupBy("band", "bucket").agg(F.max(F.struct(F.col("k"), (-F.col("comp")).alias("comp"))).alias("top"), F.sum("k").alias("k"), F.count("*").alias("comps")).where("comps > 1")
     mixed = mixed.select("band", "bucket", (-F.col("top.comp")).alias("main"), parts(F.col("k")).alias("blocks"), parts(F.col("k") - F.col("top.k")).alias("q_blocks"))
-    rows = stored(rows.join(mixed, ["band", "bucket"]).join(reps.select("node", "sig").dropDuplicates(["node", "sig"]), "node"))
+    rows = stored(rows.join(mixed, ["band", "bucket"]).join(reps.select("node", "sig"), "node"))
     spread = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n))
     asked = rows.where("comp != main").withColumn("i", spread("q_blocks", 1)).withColumn("j", F.explode(F.expr("sequence(0L, blocks - 1L)")))
     held = rows.withColumn("j", spread("blocks", 2)).withColumn("i", F.explode(F.expr("sequence(0L, q_blocks - 1L)")))
@@ -227,7 +239,7 @@ def _cross(bands: DataFrame, reps: DataFrame, grouped: DataFrame, text: DataFram
     asking = close.groupBy("comp", "block").agg(parts(F.count("*")).alias("q_parts"))
     needed = stored(labelled.join(asking, ["comp", "block"]).select(F.col("comp").alias("c"), F.col("block").alias("b"), "node", "q_parts"))
     nodes = needed.select("node").unionByName(close.select(F.col("q").alias("node"))).distinct()
-    sets = stored(text.withColumnRenamed("doc_id", "node").where("node is not null and text is not null").join(nodes, "node", "left_semi").mapInArrow(_sets, "node long, members binary"))
+    sets = stored(texts_of(nodes, reps, docs).mapInArrow(_sets, "node long, members binary"))
     asked = close.join(asking, ["comp", "block"]).withColumn("part", F.pmod(F.xxhash64("q"), F.col("q_parts"))).join(sets.select(F.col("node").alias("q"), F.col("members").alias("q_members")), "q")
     held = needed.withColumn("p", F.explode(F.expr("sequence(0L, q_parts - 1L)")))
     held = held.join(sets, "node").select("c", "b", "p", F.col("node").alias("m"), "members")
@@ -235,24 +247,26 @@ def _cross(bands: DataFrame, reps: DataFrame, grouped: DataFrame, text: DataFram
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row; see the module's text."""
+    """doc_id, n_shingles, component_id and kept of every row; see the module's text. Also text_hash, xxhash64 of the text,
+    and cluster, which together with component_id names the component (null without shingles or doc_id)."""
     sig = stored(signatures(docs))
     some = sig.where("n_shingles > 0 and doc_id is not null")
     digest = ["d1", "d2", "n_shingles"]
-    member = some.join(some.groupBy(*digest).agg(F.min("doc_id").alias("node")), digest)
-    reps = stored(member.where("doc_id = node").select("node", "n_shingles", "d1", "d2", "sig").dropDuplicates(["node", "d1", "d2"]))
+    least = some.groupBy(*digest).agg(F.min(F.struct("doc_id", "text_hash")).alias("m"), F.any_value("sig").alias("sig"))
+    reps = stored(least.select(F.monotonically_increasing_id().alias("node"), F.col("m.doc_id").alias("doc"), F.col("m.text_hash").alias("text_hash"), *digest, "sig"))
     bands = _bands(reps)
     star = bands.join(bands.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1"), "bucket").where("node != pivot")
-    star = star.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    text = columns_of(docs, "doc_id", "text")
-    links = stored(confirmed(star, text))
+    star = stored(star.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
+    links = stored(confirmed(star, reps, docs))
     grouped = components(links).withColumnsRenamed({"component": "comp"})
-    more = stored(_cross(bands, reps, grouped, text))
+    more = stored(_cross(bands, reps, grouped, docs))
     low, high = (grouped.select(F.col("node").alias(c), F.col("comp").alias(f"{c}_comp")) for c in ("a", "b"))
     second = components(more.join(low, "a", "left").join(high, "b", "left").select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b")))
     second = second.withColumnsRenamed({"node": "comp", "component": "further"})
-    group = (reps.select("node").distinct().join(grouped, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-             .join(second, "comp", "left").select("node", F.coalesce("further", "comp").alias("component_id")).where("node != component_id"))
-    found = sig.join(some.groupBy(*digest).agg(F.min("doc_id").alias("node")), digest, "left").join(group, "node", "left")
-    found = found.select("doc_id", "n_shingles", F.expr("case when doc_id is not null then coalesce(component_id, node, doc_id) end").alias("component_id"))
+    named = reps.select("node", "doc", *digest).join(grouped, "node", "left").withColumn("comp", F.coalesce("comp", "node")).join(second, "comp", "left")
+    named = stored(named.select("doc", *digest, F.coalesce("further", "comp").alias("comp")))
+    first = named.groupBy("comp").agg(F.min(F.struct("doc", "d1", "d2")).alias("m")).select("comp", F.col("m.doc").alias("component_id"), F.xxhash64("m.d1", "m.d2").alias("cluster"))
+    found = sig.drop("sig").join(named.join(first, "comp").select(*digest, "component_id", "cluster"), digest, "left")
+    with_id = lambda c: F.when(F.col("doc_id").isNotNull(), c)
+    found = found.select("doc_id", "n_shingles", with_id(F.coalesce("component_id", "doc_id")).alias("component_id"), "text_hash", with_id(F.col("cluster")).alias("cluster"))
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

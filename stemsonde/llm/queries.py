@@ -98,7 +98,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op10_near_duplicates")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def looped(docs: DataFrame) -> DataFrame:

@@ -22,6 +22,7 @@ tokens, do not.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -71,38 +72,46 @@ class Segments(Words):
 
 
 class Encoder:
-    """Token numbers of whole texts; the last segments are remembered."""
+    """Token numbers of whole texts; the last segments are remembered under their hash."""
 
-    KEEP = 500_000
+    KEEP = 1_000_000
+    #: what the pattern keeps in one piece and byte-level encoding leaves as it is; the model alone encodes it
+    PLAIN = re.compile(rb"[a-z]+|[0-9]|(?!.*<\|)[^\x00-\x20'0-9A-Za-z\x7f-\xff]+")
 
     def __init__(self, vocabulary: bytes):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_buffer(vocabulary)
+        self.model = self.tokenizer.model
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.known, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # hashes in order, and their segments' numbers
         self.tokens, self.begin = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
-    def _numbers(self, own: list[bytes]) -> np.ndarray:
-        """A number for each segment; its tokens lie from begin[number] to begin[number + 1]."""
-        if len(self.known) > self.KEEP:
-            self._forget()
-        new = [w for w in own if w not in self.known]
-        ids = [x.ids for x in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)]
-        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+    def _learn(self, segments: list[bytes], value: np.ndarray) -> None:
+        odd = [w.decode("utf-8", "replace") for w in segments if not self.PLAIN.fullmatch(w)]
+        rest = iter(self.tokenizer.encode_batch_fast(odd, add_special_tokens=False))
+        ids = [[t.id for t in self.model.tokenize(w.decode())] if self.PLAIN.fullmatch(w) else next(rest).ids for w in segments]
+        number = len(self.begin) - 1 + np.arange(len(ids))
         self.tokens = np.concatenate([self.tokens, np.array([i for x in ids for i in x], np.uint32)])
         self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(np.array([len(x) for x in ids], np.int64))])
-        return np.array([self.known[w] for w in own], np.int64)
+        value, number = np.concatenate([self.known, value]), np.concatenate([self.number, number])
+        order = np.argsort(value, kind="stable")
+        self.known, self.number = value[order], number[order]
 
     def encode(self, column: pa.Array, end: int = END) -> tuple[np.ndarray, np.ndarray]:
         """The tokens of all rows, each row's followed by the end token, and where rows begin."""
         words = Segments(column)
-        _, at, back = np.unique(words.hash, return_index=True, return_inverse=True)
+        value, at, back = np.unique(words.hash, return_index=True, return_inverse=True)
+        if len(self.known) > self.KEEP:
+            self._forget()
+        place = np.minimum(np.searchsorted(self.known, value), max(0, len(self.known) - 1))
+        new = self.known[place] != value if len(self.known) else np.ones(len(value), bool)
         data = words.data.tobytes()
-        number = self._numbers([data[s:e] for s, e in zip(words.start[at].tolist(), words.end[at].tolist())])[back]
+        self._learn([data[s:e] for s, e in zip(words.start[at[new]].tolist(), words.end[at[new]].tolist())], value[new])
+        number = self.number[np.searchsorted(self.known, value)][back]
         n = self.begin[number + 1] - self.begin[number]
         ends = np.cumsum(n)
         first = np.append(0, ends)[words.first] + np.arange(words.rows + 1)

@@ -81,6 +81,33 @@ def test_near_duplicates_in_a_drifting_group(spark):
     assert got == sorted(plain.groups(rows))
 
 
+def crowded(n: int = 240) -> list[tuple]:
+    """A third of the rows have one doc_id and another third none, with texts that are copies, near copies or alone."""
+    rows = []
+    for i in range(n):
+        text = plain.prose(i % 40 if i % 5 else 1000 + i, 60)
+        if i % 7 == 0:
+            text = text.replace("fox", "cat", 1) + f" tail{i % 3}"
+        rows.append((5 if i % 3 == 0 else None if i % 3 == 1 else i // 2, text))
+    return rows + rows[:9]
+
+
+def test_near_duplicates_of_two_texts_under_one_id(spark):
+    a, b = plain.prose(1, 80), plain.prose(2, 80)
+    near = lambda t: " ".join(["other", *t.split()[1:]])
+    df = spark.createDataFrame([(0, near(a)), (1, a), (1, b), (3, near(b))], "doc_id long, text string")
+    got = minhash.near_duplicates(df).orderBy("doc_id", "component_id").collect()
+    assert [(r.doc_id, r.component_id, r.kept) for r in got] == [(0, 0, True), (1, 0, False), (1, 1, True), (3, 1, False)]
+    assert got[0].cluster == got[1].cluster != got[2].cluster == got[3].cluster
+
+
+def test_near_duplicates_with_one_id_on_a_third_of_all_rows(spark):
+    rows = crowded()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [[(r.doc_id, r.n_shingles, r.component_id) for r in minhash.near_duplicates(d).collect()] for d in (df.repartition(5), df.repartition(1))]
+    assert sorted(got[0], key=str) == sorted(got[1], key=str) == sorted(plain.groups(rows), key=str)
+
+
 def test_superminhash_estimates_similarity():
     rng = np.random.default_rng(2)
     both, a, b = (rng.integers(0, 1 << 63, n, dtype=np.uint64) for n in (300, 50, 50))

@@ -38,6 +38,17 @@ def test_near_duplicates_keep_one_of_each_group(made):
     assert set(after) == {c for _, _, c in plain.groups(sorted(before.items()))}
 
 
+def test_near_duplicates_drop_rows_not_ids(spark, sf):
+    """Texts that are nobody's copies stay whatever doc_id they share; of a group one row stays."""
+    a, b, c, d = (plain.prose(i, 60) for i in range(4))
+    near = " ".join(["other", *c.split()[1:]])
+    rows = [(1, a), (5, a), (5, b), (6, c), (6, d), (7, c), (8, d), (6, c), (6, near), (None, a), (None, a), (9, "")]
+    df = spark.createDataFrame([(i, t, "en", f"s{k % 2}", len(t)) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r.doc_id, r.text) for r in dict(corpus_pipeline.STAGES)["near_duplicates"](spark, df, sf).collect()), key=str)
+    assert [x for x in got if x[1] not in (c, near)] == sorted([(1, a), (5, b), (6, d), (None, a), (None, a), (9, "")], key=str)
+    assert [i for i, t in got if t in (c, near)] == [6]
+
+
 def test_decontamination_drops_documents_with_whole_items(made, spark, sf):
     before, after = map(texts, made["decontamination"])
     flat = lambda t: " ".join(plain.words(t)).lower()
@@ -75,7 +86,7 @@ def test_stages_take_awkward_and_empty_tables(spark, sf):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_matches_duckdb(name, spark, sf):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings"):
         con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     df = queries.QUERIES[name](spark, sf)
     cur = con.execute(queries.ORACLES[name])
