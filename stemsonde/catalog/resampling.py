@@ -132,8 +132,8 @@ def c9(spark, sf):
     return rounded(d, "point", "ci_low", "ci_high", places=8)
 
 
-_HELD = f"""with {V.PANEL}, {V.PLAY}, u as (select distinct model, unit_id from play), sp as (select *, unnest(range(1, {V.REPS + 1})) as split, count(*) over (partition by model) as n from u),
-  rk as (select *, row_number() over (partition by model, split order by {V.hexd("'8'", 'model', 'split', 'unit_id')}, unit_id) <= n // 2 as chooser from sp),
+_HELD = f"""with {V.PANEL}, {V.PLAY}, u as (select *, {V.seeds("'8'", 'model', 'unit_id')} from (select distinct model, unit_id from play)), sp as (select *, unnest(range(1, {V.REPS + 1})) as split, count(*) over (partition by model) as n from u),
+  rk as (select *, row_number() over (partition by model, split order by {V.RDRAW.replace('rep', 'split')}, unit_id) <= n // 2 as chooser from sp),
   pl as (select rk.model, split, layer, avg(ps) filter (where chooser) as ps, avg(precision) filter (where not chooser) as precision, avg(chance) filter (where not chooser) as chance from rk join play using (model, unit_id) group by all),
   hd as (select model, split, layer, ps, precision, chance from (select *, row_number() over (partition by model, split order by round(ps, 12) desc, layer) as r from pl) where r = 1)"""
 

@@ -31,8 +31,8 @@ def n1b(spark, sf):
 # labels shuffled within strata: the paired label goes to the n_p smallest draws
 def _null_sql(src, reps, seed, key, stratum, valid="ratios"):
     return f"""np as (select unit_id, {stratum} as stratum, count(*) filter (where label = 'paired') as np from (select distinct unit_id, {key}, {stratum}, label from {src}) group by all),
-  ps0 as (select distinct unit_id, {key} as pos, {stratum} as stratum from {src}), rp as (select *, unnest(range(1, {reps + 1})) as rep from ps0),
-  rk as (select *, row_number() over (partition by unit_id, rep, stratum order by {V.hexd(f"'{seed}'", 'rep', 'unit_id', 'pos')}, pos) as r from rp),
+  ps0 as (select *, {V.seeds(f"'{seed}'", 'unit_id', 'pos')} from (select distinct unit_id, {key} as pos, {stratum} as stratum from {src})), rp as (select *, unnest(range(1, {reps + 1})) as rep from ps0),
+  rk as (select *, row_number() over (partition by unit_id, rep, stratum order by {V.RDRAW}, pos) as r from rp),
   lb as (select rk.unit_id, rep, pos, r <= np as p from rk join np using (unit_id, stratum)),
   rr as (select lb.unit_id, rep, s.layer, avg(value) filter (where p) as mp, avg(value) filter (where not p) as mu from lb join {src} s on s.unit_id = lb.unit_id and s.{key} = lb.pos
     join {valid} v on v.unit_id = s.unit_id and v.layer = s.layer group by all),

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 HEX = "0123456789abcdef"
 LAYERS = 3
-REPS = 20
+REPS = 1000
 BOOT = 1000
 
 ARM_SYMBOLS = "ACGUACGUACGUACGU"
@@ -111,6 +111,18 @@ def hexd(*parts: str) -> str:
     return f"md5(concat_ws('|', {key}))"
 
 
+PRIME = 2147483647
+
+
+def seeds(*parts: str) -> str:
+    """SQL of the three numbers of an item, as columns b0, b1, b2."""
+    return ", ".join(f"cast(concat('0x', substr({hexd(*parts)}, {at}, 8)) as bigint) % {PRIME} as b{k}" for k, at in enumerate((1, 9, 17)))
+
+
+#: draw of an item (b0, b1, b2) in replicate ``rep``
+RDRAW = f"(((b2 * rep + b1) % {PRIME}) * rep + b0) % {PRIME}"
+
+
 # delta(unit, layer, i, k) of the hairpin units
 DELTA = u01("unit_id", "layer", "i", "k")
 

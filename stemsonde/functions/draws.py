@@ -36,3 +36,18 @@ def draw_index(n, *parts) -> Column:
     """Integer in [0, n)."""
     n = n.cast("bigint") if isinstance(n, Column) else F.lit(n).cast("bigint")
     return draw_int(*parts) % n
+
+
+PRIME = 2147483647  # 2^31 - 1
+
+
+def seeds(*parts) -> Column:
+    """Three integers below ``PRIME``, the coefficients of an item's draws over many replicates."""
+    h = draw(*parts)
+    return F.transform(F.array(h), lambda x: F.array(*[F.conv(F.substring(x, at, 8), 16, 10).cast("bigint") % PRIME for at in (1, 9, 17)]))[0]
+
+
+def replicate_draw(b: Column, rep: Column) -> Column:
+    """Integer in [0, PRIME): a polynomial in the replicate, so draws of an item are independent in any three replicates."""
+    r = rep.cast("bigint")
+    return ((b[2] * r + b[1]) % PRIME * r + b[0]) % PRIME

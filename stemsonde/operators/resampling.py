@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from ..functions.draws import draw
 from ..functions.special import binom_high, binom_low, binom_test, mann_whitney_p, t_test_p, wilcoxon_p
 from .aggregates import spearman
+from .choice import chosen_sums
 from .joins import paired_units, salted_join
-from .ranking import bounded_percentile, cumulative_counts, draw_rank, first_by
+from .ranking import bounded_percentile, cumulative_counts, first_by
 
 __all__ = ["binom_test", "binom_ci", "sign_test", "paired_sign", "wilcoxon", "mann_whitney", "paired_t",
            "bootstrap_ci", "bootstrap_excess", "bootstrap_did", "heldout", "layer_selection",
@@ -198,24 +199,21 @@ def _all_present(arms: Sequence[str]) -> Column:
 
 # ------------------------------------------------------------------ layer choice
 
-def heldout(rows: DataFrame, by: Sequence[str], splits: int = 2_000, seed: str = "42", unit: str = "unit_id") -> DataFrame:
+def heldout(rows: DataFrame, by: Sequence[str], splits: int = 2_000, seed: str = "42", unit: str = "unit_id", block: int | None = None) -> DataFrame:
     """Per split: layer chosen on one half, precision and chance read on the other.
 
-    rows(by…, unit, layer, ps, precision, chance).  Half membership is a draw rank
-    per split; layers travel as one array per unit, so ranking moves units, not
-    unit-layers.
+    rows(by…, unit, layer, ps, precision, chance).  The half that chooses is the n // 2
+    units with the smallest draws (``choice``), so units are exchanged once and after
+    that only sums by split and layer, whatever the number of units.
     """
     by = list(by)
-    packed = rows.groupBy(*by, unit).agg(F.collect_list(F.struct("layer", "ps", "precision", "chance")).alias("__l"))
-    n = packed.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
-    d = packed.withColumn("split", F.explode(F.sequence(F.lit(1), F.lit(splits))))
-    d = d.withColumn("__h", draw(seed, *[F.col(b) for b in by], F.col("split"), F.col(unit)))
-    r = draw_rank(d, [*by, "split"], "__h", [unit], "place")
-    r = salted_join(r, n, by, F.col("__h")).withColumn("chooser", F.col("place") <= F.floor(F.col("__n") / 2))
-    per = r.select(*by, "split", "chooser", F.inline("__l")).groupBy(*by, "split", "layer").agg(
-        F.avg(F.when(F.col("chooser"), F.col("ps"))).alias("ps"),
-        F.avg(F.when(~F.col("chooser"), F.col("precision"))).alias("precision"),
-        F.avg(F.when(~F.col("chooser"), F.col("chance"))).alias("chance"))
+    values = ("ps", "precision", "chance")
+    cell = lambda k: F.struct((F.col("layer") * len(values) + k).cast("int").alias("cell"), F.col(values[k]).cast("double").alias("value"))
+    packed = rows.groupBy(*by, unit).agg(F.flatten(F.collect_list(F.array(*[cell(k) for k in range(len(values))]))).alias("__v"))
+    half = F.floor(F.count(F.lit(1)) / 2)
+    sums = chosen_sums(packed, by, F.lit("all"), unit, half, F.lit(False), "__v", splits, seed, block)
+    of = lambda k, side: F.max(F.when((F.pmod("cell", F.lit(len(values))) == k) & (F.col(f"n_{side}") > 0), F.col(f"s_{side}") / F.col(f"n_{side}"))).alias(values[k])
+    per = sums.groupBy(*by, F.col("rep").alias("split"), F.floor(F.col("cell") / len(values)).cast("int").alias("layer")).agg(of(0, "in"), of(1, "out"), of(2, "out"))
     return first_by(per, [*by, "split"], "ps", ["layer"], ["precision", "chance"])
 
 

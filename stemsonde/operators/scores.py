@@ -11,13 +11,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import brackets as B
 from ..functions.binding import explode_rows, let
-from ..functions.draws import draw
+from ..functions.draws import draw, seeds
 from ..functions.vectors import cosine_distance, mean_of
+from .choice import chosen_sums, draw_table, replicate_slices, smallest
 from .joins import salted_join
 from .ranking import bounded_percentile, draw_rank, first_by
 from .structure import spread
@@ -172,33 +175,24 @@ def positive_control(attached: DataFrame, best: DataFrame) -> DataFrame:
 # ------------------------------------------------------- permutation nulls
 
 def permutation_null(dist: DataFrame, valid: DataFrame, reps: int, seed: str, stratum: str = "stratum",
-                     unit: Sequence[str] = (UNIT,), key: str = "pos") -> DataFrame:
+                     unit: Sequence[str] = (UNIT,), key: str = "pos", block: int | None = None) -> DataFrame:
     """Largest ratio over valid layers per replicate, labels shuffled within strata.
 
     dist(unit…, key, layer, stratum, label, value); valid(unit…, layer).  A shuffle
-    within a stratum of n_p paired labels is the choice of the n_p smallest draws,
-    so each replicate needs one rank, taken in draw buckets: a unit or stratum of
-    any size is cut evenly over tasks.  Rows of a null stratum keep their label.
+    within a stratum of n_p paired labels is the choice of the n_p smallest draws
+    (``choice``): rows are exchanged once, after that only sums by unit, replicate
+    and layer, whatever the size of a unit or stratum.  Rows of a null stratum keep
+    their label.
     """
     unit = list(unit)
-    pos = dist.groupBy(*unit, key, stratum, "label").agg(F.collect_list(F.struct("layer", "value")).alias("__v"))
-    sizes = pos.filter(F.col(stratum).isNotNull()).groupBy(*unit, stratum).agg(
-        F.count_if(F.col("label") == "paired").alias("__np"))
-    drawn = (pos.filter(F.col(stratum).isNotNull())
-             .withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
-             .withColumn("__h", draw(seed, F.col("rep"), *[F.col(u) for u in unit], F.col(key))))
-    ranked = draw_rank(drawn, [*unit, "rep", stratum], "__h", [key])
-    marked = ranked.join(sizes, [*unit, stratum]).withColumn("__paired", F.col("rank") <= F.col("__np"))
-    frozen = (pos.filter(F.col(stratum).isNull()).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
-              .withColumn("__paired", F.col("label") == "paired"))
-    cols = [*unit, "rep", "__paired", "__v"]
-    rows = marked.select(*cols).unionByName(frozen.select(*cols)).select(*unit, "rep", "__paired", F.inline("__v"))
-    x = F.col("value")
-    per = rows.filter(x.isNotNull()).groupBy(*unit, "rep", "layer").agg(
-        F.avg(F.when(F.col("__paired"), x)).alias("p"), F.avg(F.when(~F.col("__paired"), x)).alias("u"))
-    ratio = F.when(F.col("u") > 1e-10, F.col("p") / F.col("u")).otherwise(F.when(F.col("u").isNotNull() & F.col("p").isNotNull(), 0.0))
-    per = per.join(valid.select(*unit, "layer"), [*unit, "layer"], "left_semi").withColumn("ratio", ratio)
-    return per.groupBy(*unit, "rep").agg(F.greatest(F.coalesce(F.max("ratio"), F.lit(0.0)), F.lit(0.0)).alias("null_max"))
+    pos = dist.groupBy(*unit, key, stratum, "label").agg(F.collect_list(F.struct(
+        F.col("layer").cast("int").alias("cell"), F.col("value").cast("double").alias("value"))).alias("__v"))
+    paired = F.col("label") == "paired"
+    sums = chosen_sums(pos, unit, F.col(stratum), key, F.count_if(paired), paired, "__v", reps, seed, block)
+    per = sums.withColumnRenamed("cell", "layer").join(valid.select(*unit, F.col("layer").cast("int").alias("layer")), [*unit, "layer"], "left_semi")
+    p, u = (F.when(F.col(f"n_{c}") > 0, F.col(f"s_{c}") / F.col(f"n_{c}")) for c in ("in", "out"))
+    ratio = F.when(u > 1e-10, p / u).otherwise(F.when(u.isNotNull() & p.isNotNull(), 0.0))
+    return per.groupBy(*unit, "rep").agg(F.greatest(F.coalesce(F.max(ratio), F.lit(0.0)), F.lit(0.0)).alias("null_max"))
 
 
 def null_threshold(null: DataFrame, best: DataFrame, unit: Sequence[str] = (UNIT,), score: str = "ratio",
@@ -231,36 +225,43 @@ def permutation_null_packed(units: DataFrame, reps: int, seed: str) -> DataFrame
     """The same null for record-sized units, inside the row.
 
     units(unit_id, labels, strata, layers ARRAY<STRUCT<layer, d ARRAY<DOUBLE>>>), the
-    layers being the valid ones.  Sorting positions by (stratum, draw) puts a random
-    position in each slot, and the slot's label is fixed by sorting (stratum,
-    label): no exchange at all, and no row per position.
+    layers being the valid ones.  No exchange: a unit's draws, choices and ratios
+    are matrices of replicates and positions.
     """
     where = F.sequence(F.lit(0), F.size("labels") - 1)
-    block = lambda p: F.coalesce(F.get("strata", p), F.concat(F.lit("#"), p.cast("string")))
-    slots = F.transform(F.sort_array(F.transform(where, lambda p: F.struct(
-        block(p).alias("s"), F.when(F.get("labels", p) == "paired", 0).otherwise(1).alias("l")))), lambda e: e["l"])
-    u = units.withColumns({"__slot": slots, "__block": F.transform(where, block)})
-    order = F.transform(F.sort_array(F.transform(where, lambda p: F.struct(
-        F.get("__block", p).alias("s"), draw(seed, F.col("rep"), F.col(UNIT), p).alias("h"), p.alias("p")))), lambda e: e["p"])
-    r = u.select(UNIT, "layers", "__slot", "__block", "labels",
-                 F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
-
-    def ratio(d, order):
-        put = F.zip_with(order, "__slot", lambda p, l: F.struct(l.alias("l"), F.get(d, p).alias("x")))
-        start = F.struct(F.lit(0.0).alias("sp"), F.lit(0).alias("np"), F.lit(0.0).alias("su"), F.lit(0).alias("nu"))
-        def step(a, e):
-            ok, is_p = e["x"].isNotNull(), e["l"] == 0
-            return F.struct((a["sp"] + F.when(ok & is_p, e["x"]).otherwise(0.0)).alias("sp"),
-                            (a["np"] + F.when(ok & is_p, 1).otherwise(0)).alias("np"),
-                            (a["su"] + F.when(ok & ~is_p, e["x"]).otherwise(0.0)).alias("su"),
-                            (a["nu"] + F.when(ok & ~is_p, 1).otherwise(0)).alias("nu"))
-        def done(a):
-            mu = a["su"] / a["nu"]
-            return F.when((a["np"] > 0) & (a["nu"] > 0), F.when(mu > 1e-10, a["sp"] / a["np"] / mu).otherwise(0.0))
-        return F.aggregate(put, start, step, done)
-
-    best = let(order, lambda o: F.array_max(F.transform("layers", lambda l: ratio(l["d"], o))))
-    return r.select(UNIT, "rep", F.greatest(F.coalesce(best, F.lit(0.0)), F.lit(0.0)).alias("null_max"))
+    u = units.filter(F.size("labels") > 0).select(
+        UNIT, F.transform("labels", lambda x: F.coalesce(x == "paired", F.lit(False))).alias("own"), F.col("strata").cast("array<string>").alias("strata"),
+        F.transform(where, lambda p: seeds(seed, F.col(UNIT), p)).alias("b"),
+        F.transform("layers", lambda x: x["d"].cast("array<double>")).alias("layers"))
+    return u.mapInArrow(_null_in_row(reps), f"{UNIT} {dict(units.dtypes)[UNIT]}, rep int, null_max double")
+
+
+def _null_in_row(reps: int):
+    def run(batches):
+        for batch in batches:
+            names = batch.column(UNIT)
+            for i, (own, strata, b, layers) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("own", "strata", "b", "layers")))):
+                own, b = np.array(own), np.array(b, np.int64)
+                groups: dict = {}
+                for k, s in enumerate(strata):
+                    if s is not None:
+                        groups.setdefault(s, []).append(k)
+                d = np.array([[np.nan if x is None else x for x in layer] for layer in layers], np.float64).reshape(len(layers), len(own))
+                x, there = np.nan_to_num(d).T, (~np.isnan(d)).T.astype(np.float64)
+                best = []
+                for first, last in replicate_slices(len(own), reps):
+                    draws, chosen = draw_table(b, first, last), np.tile(own, (last - first + 1, 1))
+                    for at in groups.values():
+                        chosen[:, at] = smallest(draws[:, at], int(own[at].sum()))
+                    inside, outside = chosen.astype(np.float64), (~chosen).astype(np.float64)
+                    n_in, n_out = inside @ there, outside @ there
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        p, u = inside @ x / n_in, outside @ x / n_out
+                        ratio = np.where((n_in > 0) & (n_out > 0), np.where(u > 1e-10, p / u, 0.0), 0.0)
+                    best.append(np.maximum(ratio.max(axis=1, initial=0.0), 0.0))
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(np.full(reps, i))), pa.array(np.arange(1, reps + 1), pa.int32()), pa.array(np.concatenate(best))],
+                                                 names=[UNIT, "rep", "null_max"])
+    return run
 
 
 # ------------------------------------------------------- derangement null
