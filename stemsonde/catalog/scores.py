@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions.draws import draw_unit
@@ -28,14 +30,15 @@ def n1b(spark, sf):
     return rounded(N.partner_specificity(N.pair_scores(attached(spark, sf))), "best_ps")
 
 
-# labels shuffled within strata: the paired label goes to the n_p smallest draws
+# labels shuffled within strata: the paired label goes to the n_p smallest draws; a list for each stratum, in order of pos
 def _null_sql(src, reps, seed, key, stratum, valid="ratios"):
-    return f"""np as (select unit_id, {stratum} as stratum, count(*) filter (where label = 'paired') as np from (select distinct unit_id, {key}, {stratum}, label from {src}) group by all),
-  ps0 as (select *, {V.seeds(f"'{seed}'", 'unit_id', 'pos')} from (select distinct unit_id, {key} as pos, {stratum} as stratum from {src})), rp as (select *, unnest(range(1, {reps + 1})) as rep from ps0),
-  rk as (select *, row_number() over (partition by unit_id, rep, stratum order by {V.RDRAW}, pos) as r from rp),
-  lb as (select rk.unit_id, rep, pos, r <= np as p from rk join np using (unit_id, stratum)),
-  rr as (select lb.unit_id, rep, s.layer, avg(value) filter (where p) as mp, avg(value) filter (where not p) as mu from lb join {src} s on s.unit_id = lb.unit_id and s.{key} = lb.pos
-    join {valid} v on v.unit_id = s.unit_id and v.layer = s.layer group by all),
+    draws = f"list_transform(range(1, m + 1), lambda k: (((l2[k] * rep + l1[k]) % {V.PRIME}) * rep + l0[k]) % {V.PRIME})"
+    part = lambda ks, how: f"sum({how}(list_transform({ks}, lambda k: v[k])))"
+    return f"""ps0 as (select *, {V.seeds(f"'{seed}'", 'unit_id', 'pos')} from (select distinct unit_id, {key} as pos, {stratum} as stratum, label from {src})),
+  li as (select unit_id, stratum, count(*) as m, count(*) filter (where label = 'paired') as np, {', '.join(f'list(b{k} order by pos) as l{k}' for k in range(3))} from ps0 group by all),
+  va as (select p.unit_id, p.stratum, v.layer, list(s.value order by p.pos) as v from ps0 p join {valid} v on v.unit_id = p.unit_id left join {src} s on s.unit_id = p.unit_id and s.{key} = p.pos and s.layer = v.layer group by all),
+  rk as (select unit_id, stratum, rep, g[1 : np] as inside, g[np + 1 :] as outside from (select *, list_grade_up({draws}) as g from (select *, unnest(range(1, {reps + 1})) as rep from li))),
+  rr as (select unit_id, rep, layer, {part('inside', 'list_sum')} / nullif({part('inside', 'list_count')}, 0) as mp, {part('outside', 'list_sum')} / nullif({part('outside', 'list_count')}, 0) as mu from rk join va using (unit_id, stratum) group by all),
   nm as (select unit_id, rep, greatest(coalesce(max(case when mu > 1e-10 then mp / mu when mu is not null and mp is not null then 0.0 end), 0.0), 0.0) as null_max from rr group by all),
   th as (select unit_id, quantile_cont(null_max, 0.95) as null_95 from nm group by unit_id)"""
 
@@ -87,7 +90,7 @@ def n2p(spark, sf):
 
 
 @query("n3_second_order_null", f"""with {V.HP}, {_HD}, {V.RATIO.format(src='hd')}, {_null_sql('hd', V.REPS, '12', 'pos', 'sym')}, gone as (select unit_id, ratio, layer from rbest join th using (unit_id) where ratio > null_95),
-  hd2 as (select hd.* from hd join gone using (unit_id)), """ + _null_sql('hd2', V.REPS, '13', 'pos', 'ctx2').replace('np as (', 'np2 as (').replace('join np using', 'join np2 using').replace('ps0', 'ps2').replace('rp as', 'rp2 as').replace('from rp)', 'from rp2)').replace('rk as', 'rk2 as').replace('rk.unit_id', 'rk2.unit_id').replace('from rk join', 'from rk2 join').replace('lb as', 'lb2 as').replace('lb.', 'lb2.').replace('from lb join', 'from lb2 join').replace('rr as', 'rr2 as').replace('from rr group', 'from rr2 group').replace('nm as', 'nm2 as').replace('from nm group', 'from nm2 group').replace('th as', 'th2 as') + """
+  hd2 as (select hd.* from hd join gone using (unit_id)), """ + re.sub(r"\b(ps0|li|va|rk|rr|nm|th)\b", r"\g<1>2", _null_sql('hd2', V.REPS, '13', 'pos', 'ctx2')) + """
   select unit_id, layer, round(ratio, 9) as ratio, round(null_95, 9) as null_95, ratio > null_95 as exceeds from gone join th2 using (unit_id)""")
 def n3(spark, sf):
     u = hairpin_units(spark, sf)
@@ -98,21 +101,34 @@ def n3(spark, sf):
     return rounded(N.null_threshold(second, best.join(passed, U, "left_semi")), "ratio", "null_95")
 
 
-ATTEMPTS = 16
-_DER = f"""st3 as (select unit_id, stem_id, count(*) as n from elig group by all having count(*) >= 3), ix as (select e.*, row_number() over (partition by unit_id, stem_id order by k) - 1 as p0, n from elig e join st3 using (unit_id, stem_id)),
-  tr as (select unit_id, stem_id, p0, n, rep, t from (select *, unnest(range({ATTEMPTS})) as t from (select *, unnest(range(1, {V.REPS + 1})) as rep from ix))),
-  pm as (select *, row_number() over (partition by unit_id, stem_id, rep, t order by {V.hexd("'21'", 'unit_id', 'stem_id', 'rep', 't', 'p0')}) - 1 as slot from tr),
-  okt as (select unit_id, stem_id, rep, min(t) as t from (select unit_id, stem_id, rep, t from pm group by all having count(*) filter (where slot = p0) = 0) group by all),
-  pick as (select p.unit_id, p.stem_id, p.rep, p.slot as a, p.p0 as b from pm p join okt using (unit_id, stem_id, rep, t)
-    union all select x.unit_id, x.stem_id, x.rep, x.p0, (x.p0 + 1) % x.n from tr x where x.t = 0 and not exists (select 1 from okt o where o.unit_id = x.unit_id and o.stem_id = x.stem_id and o.rep = x.rep)),
-  dl as (select a.unit_id, a.i, a.deep, b.j, b.j_prev, b.j_next, rep from pick join ix a on a.unit_id = pick.unit_id and a.stem_id = pick.stem_id and a.p0 = pick.a join ix b on b.unit_id = pick.unit_id and b.stem_id = pick.stem_id and b.p0 = pick.b),
-  d2 as (select *, unnest(range({V.LAYERS})) as layer from dl),
-  dv as (select unit_id, rep, layer, deep, {V.u01('unit_id', 'layer', 'i', 'j')} - greatest({V.u01('unit_id', 'layer', 'i', 'j_prev')}, {V.u01('unit_id', 'layer', 'i', 'j_next')}) as ps from d2),
-  rl as (select unit_id, rep, layer, avg(ps) as mean_ps, count(*) filter (where ps > 0) as hits, count(*) as n, count(*) filter (where deep and ps > 0) as deep_hits, count(*) filter (where deep) as deep_n from dv group by all)"""
+MOST = 10  # pairs of a stem of the hairpin units at most
+
+
+def _derange_sql():
+    """dg(unit_id, stem_id, rep, sig): one derangement a stem and replicate, by the recurrence; lists in place of recursion."""
+    draw = lambda t: V.RDRAW.replace("b2", f"b2[{t + 1}]").replace("b1", f"b1[{t + 1}]").replace("b0", f"b0[{t + 1}]")
+    key = V.hexd("'21'", "unit_id", "stem_id", "t")
+    b = ", ".join(f"list_transform(range(0, n - 1), lambda t: cast(concat('0x', substr({key}, {at}, 8)) as bigint) % {V.PRIME}) as b{k}" for k, at in enumerate((1, 9, 17)))
+    out = [f"""s0 as (select *, n as m, range(0, n) as rem, range(0, n) as ent, list_transform(range(0, n), lambda i: cast(-1 as bigint)) as sig, unnest(range(1, {V.REPS + 1})) as rep from (select *, {b} from st3))"""]
+    for t in range(MOST - 1):
+        out.append(f"""s{t + 1} as (select unit_id, stem_id, n, rep, b0, b1, b2, case when m < 2 then m when two then m - 2 else m - 1 end as m,
+    case when m >= 2 and two then list_transform(rem, lambda v, i: case when i = j + 1 then rem[m - 1] else v end) else rem end as rem,
+    case when m >= 2 and not two then list_transform(ent, lambda v, i: case when i = y + 1 then ent[x + 1] else v end) else ent end as ent,
+    case when m >= 2 then list_transform(sig, lambda v, i: case when i = x + 1 then ent[y + 1] when two and i = y + 1 then ent[x + 1] else v end) else sig end as sig
+    from (select *, rem[m] as x, rem[j + 1] as y from (select *, w // {V.PRIME} as j, w % {V.PRIME} < ({N.pair_cycle_limits(MOST)})[m + 1] as two from (select *, case when m >= 2 then ({draw(t)}) * (m - 1) end as w from s{t}))))""")
+    return ", ".join(out) + f", dg as (select unit_id, stem_id, rep, sig from s{MOST - 1})"
+
+
+_DER = f"""st3 as (select unit_id, stem_id, count(*) as n from elig group by all having count(*) >= 3), ix as (select e.*, row_number() over (partition by unit_id, stem_id order by k) - 1 as p0 from elig e join st3 using (unit_id, stem_id)),
+  {_derange_sql()},
+  px as (select a.unit_id, a.stem_id, a.p0 as a, b.p0 as b, a.deep, a.i, b.j, b.j_prev, b.j_next, unnest(range({V.LAYERS})) as layer from ix a join ix b on a.unit_id = b.unit_id and a.stem_id = b.stem_id),
+  pv as materialized (select unit_id, stem_id, a, b, deep, layer, {V.u01('unit_id', 'layer', 'i', 'j')} - greatest({V.u01('unit_id', 'layer', 'i', 'j_prev')}, {V.u01('unit_id', 'layer', 'i', 'j_next')}) as ps from px),
+  pick as (select unit_id, stem_id, rep, unnest(range(0, len(sig))) as a, unnest(sig) as b from dg),
+  rl as (select unit_id, rep, layer, avg(ps) as mean_ps, count(*) filter (where ps > 0) as hits, count(*) as n, count(*) filter (where deep and ps > 0) as deep_hits, count(*) filter (where deep) as deep_n from pick join pv using (unit_id, stem_id, a, b) group by all)"""
 
 
 def _derangement(spark, sf):
-    return N.derangement_replicates(N.cross_scores(attached(spark, sf)), V.REPS, "21", ATTEMPTS)
+    return N.derangement_replicates(N.cross_scores(attached(spark, sf)), V.REPS, "21")
 
 
 @query("n4_derangement_null", f"""{V.WITH_PS}, {_DER}, pr1 as (select rl.unit_id, rep, max(mean_ps) as cons, max(mean_ps) filter (where layer = best_layer) as prim, sum(hits) filter (where layer = best_layer) as h, sum(n) filter (where layer = best_layer) as t,
@@ -195,9 +211,12 @@ def n10(spark, sf):
     return rounded(N.coupling_ratio(V.hairpins(spark, sf), canonical_profiles(spark, sf)), "cr", places=8)
 
 
-@query("n11_pairing_null", f"""{V.WITH_ELIG}, nc as (select unit_id from canon group by unit_id having count(*) >= 15), e as (select unit_id, i, j, case when si in ('G', 'C') then 'GC' else 'AU' end as c, unnest(range(1, {V.REPS + 1})) as rep from canon join nc using (unit_id)),
-  l as (select unit_id, rep, c, i, row_number() over (partition by unit_id, rep, c order by {V.hexd("'31'", 'unit_id', 'rep', "'L'", 'i')}) as n from e), r as (select unit_id, rep, c, j, row_number() over (partition by unit_id, rep, c order by {V.hexd("'31'", 'unit_id', 'rep', "'R'", 'j')}) as n from e),
-  p as (select l.unit_id, l.rep, i, j, unnest(range(2)) as layer from l join r using (unit_id, rep, c, n)), s as (select unit_id, rep, layer, avg({V.u01("'s'", 'unit_id', 'layer', 'i')}) as d, avg({V.u01("'p'", 'unit_id', 'layer', 'i', 'j')}) as cd from p group by all)
+@query("n11_pairing_null", f"""{V.WITH_ELIG}, nc as (select unit_id from canon group by unit_id having count(*) >= 15), e as (select unit_id, i, j, case when si in ('G', 'C') then 'GC' else 'AU' end as c from canon join nc using (unit_id)),
+  el as (select *, {V.seeds("'31'", 'unit_id', "'L'", 'i')} from e), er as (select unit_id, c, i, {V.seeds("'31'", 'unit_id', "'R'", 'j')} from e),
+  dd as (select a.unit_id, a.c, layer, list({V.u01("'p'", 'a.unit_id', 'layer', 'a.i', 'b.j')} order by a.i, b.i) as cd, sum({V.u01("'s'", 'a.unit_id', 'layer', 'a.i')}) / count(distinct b.i) as d from e a join e b on a.unit_id = b.unit_id and a.c = b.c, (select unnest(range(2)) as layer) group by all),
+  ll as (select unit_id, c, count(*) as m, {', '.join(f'list(b{k} order by i) as l{k}' for k in range(3))} from el group by all), lr as (select unit_id, c, {', '.join(f'list(b{k} order by i) as r{k}' for k in range(3))} from er group by all),
+  o as (select unit_id, c, m, rep, {', '.join(f"list_grade_up(list_transform(range(1, m + 1), lambda k: (((({x}2[k] * rep + {x}1[k]) % {V.PRIME}) * rep + {x}0[k]) % {V.PRIME}))) as {x}" for x in 'lr')} from (select *, unnest(range(1, {V.REPS + 1})) as rep from ll join lr using (unit_id, c))),
+  s as (select unit_id, rep, layer, sum(d) / sum(m) as d, sum(list_sum(list_transform(range(1, m + 1), lambda k: cd[(l[k] - 1) * m + r[k]]))) / sum(m) as cd from o join dd using (unit_id, c) group by all)
   select unit_id, rep, round(max(d / cd), 8) as null_max from s group by all""")
 def n11(spark, sf):
     u = S.spread(V.hairpins(spark, sf))

@@ -18,11 +18,11 @@ from pyspark.sql import functions as F
 
 from ..functions import brackets as B
 from ..functions.binding import explode_rows, let
-from ..functions.draws import draw, seeds
+from ..functions.draws import PRIME, seeds
 from ..functions.vectors import cosine_distance, mean_of
 from .choice import chosen_sums, draw_table, replicate_slices, smallest
 from .joins import salted_join
-from .ranking import bounded_percentile, draw_rank, first_by
+from .ranking import bounded_percentile, first_by
 from .structure import spread
 
 UNIT = "unit_id"
@@ -266,26 +266,42 @@ def _null_in_row(reps: int):
 
 # ------------------------------------------------------- derangement null
 
-DERANGE_T = "array<int>"
+def pair_cycle_limits(most: int) -> list[int]:
+    """For m = 0..most: of ``PRIME`` equal parts, how many close a pair of two when one of m
+    items is led to another; D(m - 2) of D(m - 1) + D(m - 2), D the numbers of derangements."""
+    d = [1, 0]
+    while len(d) <= most:
+        d.append((len(d) - 1) * (d[-1] + d[-2]))
+    return [0, 0, *[PRIME * d[m - 2] // (d[m - 1] + d[m - 2]) for m in range(2, most + 1)]]
 
 
-def derangement(size: Column, attempts: int, *key) -> Column:
-    """First of the drawn permutations of 0..size-1 without a fixed point; the
-    cyclic shift when every attempt has one.  Later attempts are not evaluated."""
-    where = F.sequence(F.lit(0), size - 1)
+def derangements(n: int, draws: np.ndarray) -> np.ndarray:
+    """A permutation of 0..n-1 without a fixed point for each row of draws (n - 1 columns).
 
-    def perm(t):
-        drawn = F.sort_array(F.transform(where, lambda p: F.struct(draw(*key, t, p).alias("h"), p.alias("p"))))
-        return F.transform(drawn, lambda e: e["p"])
-
-    def step(acc, t):
-        fixed = lambda a: F.exists(F.zip_with(a, where, lambda x, y: x == y), lambda b: b)
-        return F.when(F.size(acc) > 0, acc).otherwise(
-            F.aggregate(F.array(perm(t)), F.array().cast(DERANGE_T),
-                        lambda _, a: F.when(fixed(a), F.array().cast(DERANGE_T)).otherwise(a)))
-
-    got = F.aggregate(F.sequence(F.lit(0), F.lit(attempts - 1)), F.array().cast(DERANGE_T), step)
-    return let(got, lambda g: F.when(F.size(g) > 0, g).otherwise(F.transform(where, lambda p: (p + 1) % size)))
+    By D(m) = (m - 1) (D(m - 1) + D(m - 2)): the last of the m items left is led to one of the
+    m - 1 others; either both close a cycle of two and m - 2 are left, or the item goes in front
+    of that one and m - 1 are left.  One draw decides both; nothing is rejected, and all
+    derangements are equally likely but for the 31 bits of a draw.
+    """
+    rows, limit = np.arange(len(draws)), np.array(pair_cycle_limits(n))
+    left = np.tile(np.arange(n), (len(draws), 1))  # the first m of each row are left
+    entry = left.copy()  # who is led to when an item is named
+    out = np.full(left.shape, -1)
+    m = np.full(len(draws), n)
+    for step in range(n - 1):
+        r = rows[m[rows] >= 2]
+        size = m[r]
+        wide = draws[r, step] * (size - 1)
+        j, close = wide // PRIME, wide % PRIME < limit[size]
+        x, y = left[r, size - 1], left[r, j]
+        out[r, x] = entry[r, y]
+        c, k = r[close], ~close
+        out[c, y[close]] = entry[c, x[close]]
+        entry[r[k], y[k]] = entry[r[k], x[k]]
+        # the place of a closed partner is taken by the last of those that stay
+        left[c, j[close]] = left[c, size[close] - 2]
+        m[r] = size - 1 - close
+    return out
 
 
 def cross_scores(attached: DataFrame, min_pairs: int = 3) -> DataFrame:
@@ -319,54 +335,82 @@ def cross_scores(attached: DataFrame, min_pairs: int = 3) -> DataFrame:
         .filter(F.col("best_ps").isNotNull())
 
 
-def derangement_replicates(cross: DataFrame, reps: int, seed: str, attempts: int = 32) -> DataFrame:
-    """Per (unit, rep, layer): mean deranged PS, and hits and totals over all and
-    over deep pairs.  The permutation of a stem depends on (unit, stem, rep) only.
-    The unit's best layer and score ride along, so the null needs no join."""
-    r = cross.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
-    perms = F.map_from_entries(F.transform("stems", lambda s: F.struct(
-        s["stem"].alias("stem"), derangement(s["n"], attempts, seed, F.col(UNIT), s["stem"], F.col("rep")).alias("p"))))
-    r = r.withColumns({"__perm": perms, "n_stems": F.size("stems")}).select(
-        UNIT, "best_layer", "best_ps", "n_stems", "rep", "__perm", F.inline("layers"))
-    ps = F.filter(F.transform("rows", lambda e: F.struct(
-        e["deep"].alias("deep"), F.get(e["x"], F.get(F.col("__perm")[e["stem"]], e["at"])).alias("ps"))),
-        lambda e: e["ps"].isNotNull())
+_TALLY = "layer long, hits long, n long, deep_hits long, deep_n long"
+
 
-    def tally(v):
-        count = lambda f: F.size(F.filter(v, f))
-        return F.struct(mean_of(F.transform(v, lambda e: e["ps"])).alias("mean_ps"), count(lambda e: e["ps"] > 0).alias("hits"),
-                        F.size(v).alias("n"), count(lambda e: e["deep"] & (e["ps"] > 0)).alias("deep_hits"),
-                        count(lambda e: e["deep"]).alias("deep_n"))
+def derangement_replicates(cross: DataFrame, reps: int, seed: str) -> DataFrame:
+    """Per unit, over replicates in which every stem's partners are deranged: thresholds (95 %)
+    and mean of the best layer's mean PS and of the largest layer's, and per layer the
+    pairs with positive PS and all pairs, over all and over deep pairs.
 
-    return r.select(UNIT, "best_layer", "best_ps", "n_stems", "rep", "layer", let(ps, tally).alias("t")).select(
-        UNIT, "best_layer", "best_ps", "n_stems", "rep", "layer", "t.*")
+    A unit is one record: its replicates are matrices in one task and nothing is exchanged.
+    The permutation of a stem depends on (unit, stem, replicate) only.
+    """
+    b = F.transform("stems", lambda s: F.transform(F.sequence(F.lit(0), s["n"] - 2), lambda t: seeds(seed, F.col(UNIT), s["stem"], t)))
+    rows = F.transform("layers", lambda x: F.struct(x["layer"].cast("bigint").alias("layer"), F.transform("stems", lambda s: F.filter(
+        x["rows"], lambda e: e["stem"] == s["stem"])).alias("stems")))
+    kinds = dict(cross.dtypes)
+    packed = cross.select(UNIT, "best_layer", "best_ps", F.transform("stems", lambda s: s["n"].cast("int")).alias("sizes"), b.alias("b"), rows.alias("layers"))
+    return packed.mapInArrow(_deranged(reps), f"{UNIT} {kinds[UNIT]}, best_layer {kinds['best_layer']}, best_ps double, n_stems int, prim_95 double, prim_mean double, "
+                                              f"cons_95 double, layers array<struct<{_TALLY.replace(' ', ': ').replace(',: ', ', ')}>>")
+
+
+def _deranged(reps: int):
+    def unit(best, sizes, b, layers):
+        perms = []
+        for n, numbers in zip(sizes, b):
+            draws = draw_table(np.array(numbers, np.int64), 1, reps)
+            perms.append(derangements(n, draws))
+        tallies, means, prim = [], [], None
+        for layer in layers:
+            ps, deep = [np.zeros((reps, 0))], []
+            for perm, rows in zip(perms, layer["stems"]):
+                if rows:
+                    x = np.array([[np.nan if v is None else v for v in e["x"]] for e in rows], np.float64)
+                    ps.append(x[np.arange(len(rows))[None, :], perm[:, [e["at"] for e in rows]]])
+                    deep += [bool(e["deep"]) for e in rows]
+            ps, deep = np.concatenate(ps, axis=1), np.array(deep, bool)
+            there, hit = ~np.isnan(ps), ps > 0
+            n = there.sum(axis=1)
+            mean = np.where(n > 0, np.nan_to_num(ps).sum(axis=1) / np.maximum(n, 1), np.nan)
+            means.append(mean)
+            if layer["layer"] == best:
+                prim = mean
+            tallies.append({"layer": layer["layer"], "hits": int(hit.sum()), "n": int(n.sum()), "deep_hits": int(hit[:, deep].sum()), "deep_n": int(there[:, deep].sum())})
+        cons = np.fmax.reduce(means) if means else np.zeros(0)
+        prim = np.zeros(0) if prim is None else prim[~np.isnan(prim)]
+        cons = cons[~np.isnan(cons)]
+        upper = lambda v: float(np.quantile(v, 0.95)) if len(v) else None
+        return upper(prim), float(prim.mean()) if len(prim) else None, upper(cons), tallies
+
+    def run(batches):
+        for batch in batches:
+            cols = [batch.column(c).to_pylist() for c in ("best_layer", "sizes", "b", "layers")]
+            got = [unit(*row) for row in zip(*cols)]
+            tally = pa.list_(pa.struct([(c.split()[0], pa.int64()) for c in _TALLY.split(", ")]))
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(c) for c in (UNIT, "best_layer", "best_ps")], pa.array([len(x) for x in cols[1]], pa.int32()),
+                 *[pa.array([g[k] for g in got], pa.float64()) for k in range(3)], pa.array([g[3] for g in got], tally)],
+                names=[UNIT, "best_layer", "best_ps", "n_stems", "prim_95", "prim_mean", "cons_95", "layers"])
+    return run
 
 
 def derangement_null(replicates: DataFrame) -> DataFrame:
     """Primary (best layer) and conservative (largest layer per replicate) thresholds,
     exceed flags and chance rates; units without a derangeable stem have none."""
-    own = F.col("layer") == F.col("best_layer")
-    pick = lambda c: F.when(own, F.col(c))
-    head = [UNIT, "best_layer", "best_ps", "n_stems"]
-    per_rep = replicates.groupBy(*head, "rep").agg(
-        F.max("mean_ps").alias("cons"), F.max(pick("mean_ps")).alias("prim"),
-        F.sum(pick("hits")).alias("h"), F.sum(pick("n")).alias("t"),
-        F.sum(pick("deep_hits")).alias("dh"), F.sum(pick("deep_n")).alias("dt"))
-    g = per_rep.groupBy(*head).agg(
-        bounded_percentile(F.col("prim"), 0.95).alias("null_95_primary"),
-        bounded_percentile(F.col("cons"), 0.95).alias("null_95_conservative"),
-        F.avg("prim").alias("null_mean_primary"),
-        F.when(F.sum("t") > 0, F.sum("h") / F.sum("t")).alias("chance_fraction"),
-        F.when(F.sum("dt") > 0, F.sum("dh") / F.sum("dt")).alias("chance_matched"))
-    return g.withColumnRenamed("n_stems", "n_stems_in_null").withColumns({
-        "null_available": F.col("n_stems_in_null") > 0,
-        "exceeds_primary": F.col("best_ps") > F.col("null_95_primary"),
-        "exceeds_conservative": F.col("best_ps") > F.col("null_95_conservative")})
+    own = F.get(F.filter("layers", lambda x: x["layer"] == F.col("best_layer")), F.lit(0))
+    share = lambda hits, n: F.when(own[n] > 0, own[hits] / own[n])
+    return replicates.select(
+        UNIT, "best_layer", "best_ps", F.col("n_stems").alias("n_stems_in_null"), F.col("prim_95").alias("null_95_primary"),
+        F.col("cons_95").alias("null_95_conservative"), F.col("prim_mean").alias("null_mean_primary"),
+        share("hits", "n").alias("chance_fraction"), share("deep_hits", "deep_n").alias("chance_matched"),
+        (F.col("n_stems") > 0).alias("null_available"), (F.col("best_ps") > F.col("prim_95")).alias("exceeds_primary"),
+        (F.col("best_ps") > F.col("cons_95")).alias("exceeds_conservative"))
 
 
 def chance_per_layer(replicates: DataFrame) -> DataFrame:
     """Deep-pair chance rate and its denominator at every layer."""
-    g = replicates.filter("n_stems > 0").groupBy(UNIT, "layer").agg(F.sum("deep_hits").alias("deep_hits"), F.sum("deep_n").alias("deep_n"))
+    g = replicates.filter("n_stems > 0").select(UNIT, F.inline("layers")).select(UNIT, "layer", "deep_hits", "deep_n")
     return g.withColumn("chance", F.when(F.col("deep_n") > 0, F.col("deep_hits") / F.col("deep_n")))
 
 
@@ -407,26 +451,47 @@ def pairing_null(units: DataFrame, single: DataFrame, double: DataFrame, reps: i
     """
     f = canonical_frame(units).filter(F.size("canonical") >= min_pairs)
     cls = lambda p: F.when(F.get("chars", p["i"]).isin("G", "C"), "GC").otherwise("AU")
-    ends = f.select(UNIT, F.transform("canonical", lambda p: F.struct(cls(p).alias("c"), p["i"].alias("i"), p["j"].alias("j"))).alias("e"),
-                    F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
-
-    def shuffled(end, tag):
-        s = F.sort_array(F.transform("e", lambda p: F.struct(
-            p["c"].alias("c"), draw(seed, F.col(UNIT), F.col("rep"), F.lit(tag), p[end]).alias("h"), p[end].alias("x"))))
-        return F.transform(s, lambda v: v["x"])
-
-    pairs = ends.select(UNIT, "rep", F.arrays_zip(shuffled("i", "L").alias("i"), shuffled("j", "R").alias("j")).alias("p"))
-    table = double.groupBy(UNIT, "layer").agg(F.map_from_entries(F.collect_list(F.struct("i", "d"))).alias("dd"))
+    number = lambda tag, end: F.transform("canonical", lambda p: seeds(seed, F.col(UNIT), F.lit(tag), p[end]))
+    places = lambda end: F.transform("canonical", lambda p: p[end].cast("int")).alias(end)
+    ends = f.select(UNIT, places("i"), places("j"), F.transform("canonical", cls).alias("c"),
+                    number("L", "i").alias("left"), number("R", "j").alias("right"))
+    table = double.groupBy(UNIT, "layer").agg(F.collect_list(F.struct(F.col("i").cast("int").alias("i"), "d")).alias("dd"))
     lay = single.withColumnRenamed("d", "sd").join(table, [UNIT, "layer"]).groupBy(UNIT).agg(
         F.collect_list(F.struct("layer", "sd", "dd")).alias("lay"))
-    r = pairs.join(lay, UNIT)
-
-    def ratio(l):
-        dest = mean_of(F.transform("p", lambda e: F.get(l["sd"], e["i"])))
-        comp = mean_of(F.transform("p", lambda e: F.get(l["dd"][e["i"]], e["j"])))
-        return F.when(comp > 1e-10, dest / comp)
+    return ends.join(lay, UNIT).mapInArrow(_repaired(reps), f"{UNIT} {dict(units.dtypes)[UNIT]}, rep int, null_max double")
+
+
+def _repaired(reps: int):
+    """Replicates of one record: in each class the k-th smallest left end meets the k-th smallest right end."""
+    def unit(i, j, c, left, right, lay):
+        i, j, c = np.array(i), np.array(j), np.array(c)
+        by_left, by_right = (draw_table(np.array(x, np.int64), 1, reps) for x in (left, right))
+        first, second = [], []
+        for name in np.unique(c):
+            at = np.flatnonzero(c == name)
+            first.append(i[at][np.argsort(by_left[:, at], axis=1, kind="stable")])
+            second.append(j[at][np.argsort(by_right[:, at], axis=1, kind="stable")])
+        first, second = np.concatenate(first, axis=1), np.concatenate(second, axis=1)
+        best = np.full(reps, np.nan)
+        for layer in lay:
+            single = np.array([np.nan if x is None else x for x in layer["sd"]], np.float64)
+            both = np.full((len(single), len(single)), np.nan)
+            for e in layer["dd"]:
+                both[e["i"], : len(e["d"])] = [np.nan if x is None else x for x in e["d"]]
+            dest, comp = single[first], both[first, second]
+            mean = lambda v: np.where((~np.isnan(v)).any(axis=1), np.nansum(v, axis=1) / np.maximum((~np.isnan(v)).sum(axis=1), 1), np.nan)
+            dest, comp = mean(dest), mean(comp)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                best = np.fmax(best, np.where(comp > 1e-10, dest / comp, np.nan))
+        return best
 
-    return r.select(UNIT, "rep", F.array_max(F.transform("lay", ratio)).alias("null_max"))
+    def run(batches):
+        for batch in batches:
+            names = batch.column(UNIT)
+            for k, row in enumerate(zip(*(batch.column(x).to_pylist() for x in ("i", "j", "c", "left", "right", "lay")))):
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(np.full(reps, k))), pa.array(np.arange(1, reps + 1), pa.int32()),
+                                                  pa.array(unit(*row), from_pandas=True)], names=[UNIT, "rep", "null_max"])
+    return run
 
 
 # ------------------------------------------------------------------ decoys

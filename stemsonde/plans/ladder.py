@@ -33,13 +33,13 @@ def ratio_stage(units: DataFrame, reps: int, seed: str = "ratio") -> DataFrame:
     return first.join(second, UNIT, "left").withColumn("survives", F.col("ratio") > F.col("null2_95"))
 
 
-def specificity_stage(attached: DataFrame, reps: int, seed: str = "ps", attempts: int = 32) -> DataFrame:
+def specificity_stage(attached: DataFrame, reps: int, seed: str = "ps") -> DataFrame:
     """Best specificity, precision over deep pairs and the derangement null per unit.
 
     The profiles are read twice, by the null and by the precision, so a caller with
     an encoder behind them writes them to a table first.
     """
-    null = N.derangement_null(N.derangement_replicates(N.cross_scores(attached), reps, seed, attempts))
+    null = N.derangement_null(N.derangement_replicates(N.cross_scores(attached), reps, seed))
     return null.join(N.h3_precision(N.at_best(N.pair_scores(attached), null)), UNIT, "left")
 
 

@@ -2,11 +2,13 @@
 
 import os
 
+import numpy as np
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
 from stemsonde.functions.alphabet import CANONICAL, TRANSVERSION
+from stemsonde.functions.draws import PRIME
 from stemsonde.operators import scores as N
 from stemsonde.operators import structure as S
 from stemsonde.operators import variants as M
@@ -111,14 +113,22 @@ def test_oracle_known_answer(spark):
     assert (h["h3_n"], h["h3_hits"], h["h3_fraction"]) == (8, 8, 1.0)
     c = N.chance_per_layer(reps).collect()[0]
     assert (c["deep_hits"], c["deep_n"], c["chance"]) == (0, 1600, 0.0)
-
-
-def test_derangements_have_no_fixed_point(spark):
-    df = spark.range(300).select((F.col("id") % 7 + 3).cast("int").alias("n"), "id")
-    p = df.select("n", N.derangement(F.col("n"), 32, "x", F.col("id")).alias("p"))
-    for r in p.collect():
-        assert sorted(r["p"]) == list(range(r["n"]))
-        assert all(x != k for k, x in enumerate(r["p"]))
+    assert "Exchange" not in N.derangement_replicates(cross.checkpoint(), 10, "s")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_derangements_are_uniform():
+    """Every derangement of 5 about equally often, none of anything else; 12 items have no fixed point either."""
+    from itertools import permutations
+    draws = np.random.default_rng(3).integers(0, PRIME, (44_000, 4))
+    got = N.derangements(5, draws)
+    want = {p for p in permutations(range(5)) if all(x != k for k, x in enumerate(p))}
+    found, n = np.unique(got, axis=0, return_counts=True)
+    assert {tuple(p) for p in found.tolist()} == want and len(want) == 44
+    assert ((n - 1000) ** 2 / 1000).sum() < 88  # chi square with 43 degrees of freedom
+    big = N.derangements(12, np.random.default_rng(4).integers(0, PRIME, (500, 11)))
+    assert (np.sort(big, axis=1) == np.arange(12)).all() and (big != np.arange(12)).all()
+    assert N.derangements(2, np.zeros((1, 1), np.int64)).tolist() == [[1, 0]]
+    assert N.pair_cycle_limits(4) == [0, 0, PRIME, 0, PRIME // 3]
 
 
 def test_calibration_gate(spark):
