@@ -149,14 +149,18 @@ _CPAIRS = f"""cons as (select distinct family, '{V.CONSENSUS}' as structure from
     select family, o, c, structure, k + 1, case when substr(structure, k + 1, 1) = o then list_append(st, k) when substr(structure, k + 1, 1) = c then st[:len(st) - 1] else st end,
       case when substr(structure, k + 1, 1) = c and len(st) > 0 then st[len(st)] else -1 end, k from walk where k < length(structure)),
   pc as (select family, i as c1, j as c2, 'paired' as class from walk where i >= 0)"""
-# unpaired sample: the first distinct pairs of the drawn attempts
+# unpaired sample: the first numbers of a keyed permutation, two digits mixed in turn, read as pairs
+_poly = lambda k, x: f"((hk[{3 * k + 3}] * ({x}) + hk[{3 * k + 2}]) % {V.PRIME} * ({x}) + hk[{3 * k + 1}]) % {V.PRIME}"
+_mixed = "t0 as (select *, t // b as l, t % b as r from mm)"
+for _k in range(G.MIX_ROUNDS):
+    _mixed += f", t{_k + 1} as (select * exclude (l, r), l, (r + {_poly(_k, 'l')}) % b as r from (select * exclude (l), (l + {_poly(_k, 'r')}) % a as l from t{_k}))"
+_HK = ", ".join(f"cast(concat('0x', substr({V.hexd(chr(39) + 'cols' + chr(39), 'family', chr(39) + str(k) + chr(39))}, {at}, 8)) as bigint) % {V.PRIME}" for k in range(G.MIX_ROUNDS) for at in (1, 9, 17))
 _UNP = f"""free as (select f.family, c.col from cons f, (select unnest(range({V.MSA_COLS})) as col) c where not exists (select 1 from pc where pc.family = f.family and c.col in (pc.c1, pc.c2))
     and exists (select 1 from (select family, col from sy group by all having avg((sym = '-')::int) <= 0.5) g where g.family = f.family and g.col = c.col)),
-  fx as (select family, col, row_number() over (partition by family order by col) - 1 as ix, count(*) over (partition by family) as m from free),
-  sz as (select family, count(*) as n_pairs from pc group by family), mm as (select distinct family, m, least(n_pairs, m * (m - 1) // 2) as want from fx join sz using (family)),
-  tr as (select *, unnest(range(want * 10)) as t from mm), ab as (select *, {V.dix('m', "'cols'", 'family', 't', "'a'")} as a, {V.dix('m - 1', "'cols'", 'family', 't', "'b'")} as s from tr),
-  dr as (select ab.family, want, t, least(x.col, y.col) as c1, greatest(x.col, y.col) as c2 from ab join fx x on x.family = ab.family and x.ix = a join fx y on y.family = ab.family and y.ix = (a + 1 + s) % ab.m),
-  fi as (select family, want, c1, c2, min(t) as t from dr group by all), up as (select family, c1, c2, 'unpaired' as class from (select *, row_number() over (partition by family order by t) as r from fi) where r <= want)"""
+  fx as (select family, list(col order by col) as cols, count(*) as m from free group by family), sz as (select family, count(*) as n_pairs from pc group by family),
+  mm as (select *, case when m % 2 = 0 then m // 2 else m end as a, case when m % 2 = 0 then m - 1 else (m - 1) // 2 end as b, [{_HK}] as hk, unnest(range(least(n_pairs, m * (m - 1) // 2))) as t from fx join sz using (family) where m >= 2),
+  {_mixed}, ut as (select family, cols, x, k from (select *, l * b + r as x from t{G.MIX_ROUNDS}) z join (select unnest(range(1, {V.MSA_COLS} + 1)) as k) on k * (k - 1) // 2 <= x and x < (k + 1) * k // 2),
+  up as (select family, cols[x - k * (k - 1) // 2 + 1] as c1, cols[k + 1] as c2, 'unpaired' as class from ut)"""
 _JOINT = """jc as (select p.family, p.c1, p.c2, p.class, a.sym as a, b.sym as b, count(*) as n from {cols} p join sy a on a.family = p.family and a.col = p.c1 join sy b on b.family = p.family and b.col = p.c2 and b.member = a.member group by all)"""
 _MI = """pm as (select *, sum(n) over (partition by family, c1, c2) as nn, sum(n) over (partition by family, c1, c2, a) as na, sum(n) over (partition by family, c1, c2, b) as nb from jc),
   mi as (select family, c1, c2, class, sum(n / nn * ln((n / nn) / ((na / nn) * (nb / nn)))) / ln(4) as mi, -sum(n / nn * ln(na / nn)) / ln(4) as h1, -sum(n / nn * ln(nb / nn)) / ln(4) as h2, max(nn) as n_members from pm group by all),

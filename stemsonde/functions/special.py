@@ -6,6 +6,7 @@ Each call sees one number triple per group, never the group's rows.
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -86,21 +87,46 @@ def _rank_sum_tail(n: int, w: float) -> float:
     return float(ways[int(math.ceil(w)):].sum() / 2.0 ** n)
 
 
+@lru_cache(maxsize=None)
+def _partition_differences(parts: int) -> tuple[int, tuple[tuple[int, ...], ...]]:
+    """Sums of i * a_i up to x (i = 1..parts, a_i >= 0) are a polynomial of degree ``parts`` on each residue of x
+    modulo the least common multiple: the period, and for each residue the forward differences at its first values."""
+    period = math.lcm(*range(1, parts + 1))
+    count = [1] * (period * (parts + 1))  # a slack of any size: sums up to x
+    for i in range(1, parts + 1):
+        for x in range(i, len(count)):
+            count[x] += count[x - i]
+    out = []
+    for residue in range(period):
+        row, first = count[residue::period], []
+        while row:
+            first.append(row[0])
+            row = [b - a for a, b in zip(row, row[1:])]
+        out.append(tuple(first))
+    return period, tuple(out)
+
+
+def _sums_up_to(parts: int, x: int) -> int:
+    if x < 0:
+        return 0
+    period, rows = _partition_differences(parts)
+    return sum(d * math.comb(x // period, j) for j, d in enumerate(rows[x % period]))
+
+
 def _u_tail(n1: int, n2: int, u: float) -> float:
-    """P(U >= u) for untied samples.
+    """P(U >= u) for untied samples, in whole numbers to the last division.
 
-    The numbers of arrangements by U are the coefficients of a Gaussian binomial, a product of (1 - q^(n2 + i)) / (1 -
-    q^i) over the smaller sample: a shifted difference and a sum with stride i each, linear in n1 * n2.
+    By symmetry it is the share of arrangements with U up to n1 n2 - u. Their numbers by U are the coefficients of the
+    product of (1 - q^(n2 + i)) / (1 - q^i) over the smaller sample: a signed sum over the subsets of its numerators of
+    sums of 1..n1, each a polynomial value. Memory depends on the smaller sample alone.
     """
     n1, n2 = min(n1, n2), max(n1, n2)
-    ways = np.zeros(n1 * n2 + 1)
-    ways[0] = 1.0
+    terms = {0: 1}
     for i in range(1, n1 + 1):
-        if n2 + i < len(ways):
-            ways[n2 + i:] -= ways[:-(n2 + i)].copy()
-        for r in range(i):
-            np.cumsum(ways[r::i], out=ways[r::i])
-    return float(ways[int(math.ceil(u)):].sum() / ways.sum())
+        for shift, sign in list(terms.items()):
+            terms[shift + n2 + i] = terms.get(shift + n2 + i, 0) - sign
+    most = n1 * n2 - math.ceil(u)
+    return sum(sign * _sums_up_to(n1, most - shift) for shift, sign in terms.items()) / math.comb(n1 + n2, n1)
 
 
 # The rule by which a p-value is exact: untied, and at most so many values (of the smaller sample for U).

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import brackets as B
 from ..functions.alphabet import CANONICAL
-from ..functions.binding import inline_rows
-from ..functions.draws import draw_index
+from ..functions.binding import inline_rows, let
+from ..functions.draws import PRIME, seeds
 from ..functions.marks import field_marks
 from ..functions.vectors import guarded_ratio
 from .joins import salted_join
@@ -249,27 +249,48 @@ def mutual_information(counts: DataFrame, family: str = "family") -> DataFrame:
     return g.withColumn("nmi", F.when((F.col("mi") > 0) & (low > 0), F.least(F.col("mi") / low, F.lit(1.0))).otherwise(0.0))
 
 
+MIX_ROUNDS = 6
+
+
+def keyed_place(t: Column, a: Column, b: Column, keys: Column) -> Column:
+    """Where a keyed permutation of 0..a*b-1 sends t, as struct(l, r) for l * b + r.
+
+    A Feistel network over the two digits of t, a of one and b of the other: each round adds a
+    keyed polynomial of one digit to the other, which is undone by taking it away, so no two
+    t share a place and none is drawn twice.  keys: three numbers for each round."""
+    poly = lambda k, x: ((k[2] * x + k[1]) % PRIME * x + k[0]) % PRIME
+
+    def mix(acc, k):
+        left = (acc["l"] + poly(k, acc["r"])) % a
+        return let(left, lambda l: F.struct(l.alias("l"), ((acc["r"] + poly(k, l)) % b).alias("r")))
+
+    return F.aggregate(keys, F.struct(F.floor(t / b).alias("l"), (t % b).alias("r")), mix)
+
+
 def sample_unpaired_pairs(columns: DataFrame, sizes: DataFrame, seed: str = "cols", family: str = "family") -> DataFrame:
-    """Random distinct pairs of unpaired columns, as many as there are paired ones.
+    """Random distinct pairs of unpaired columns, as many as there are paired ones (all, if there are fewer).
 
-    columns(family, col) are the kept unpaired columns, sizes(family, n_pairs).
-    Each of 10 n attempts draws two different columns; the first n distinct pairs
-    are kept, so no pair grid is ever formed.
+    columns(family, col) are the kept unpaired columns, sizes(family, n_pairs).  The
+    pairs of m columns are numbered 0..m(m-1)/2-1; the first n places of a keyed
+    permutation of these numbers are n distinct pairs, without a grid or a second try.
     """
     packed = columns.groupBy(family).agg(F.sort_array(F.collect_list("col")).alias("__c"))
     m = F.size("__c").cast("bigint")
-    want = F.least(F.col("n_pairs").cast("bigint"), (m * (m - 1) / 2).cast("bigint"))
-    tries = packed.join(sizes, family).filter((m >= 2) & (F.col("n_pairs") > 0)).withColumn("__want", want)
-    rows = tries.select(family, "__c", "__want", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__want") * 10 - 1)).alias("t"))
-    first = draw_index(m, seed, F.col(family), F.col("t"), "a")
-    step = draw_index(m - 1, seed, F.col(family), F.col("t"), "b")
-    second = (first + 1 + step) % m
-    col = lambda ix: F.get("__c", ix.cast("int"))
-    drawn = rows.select(family, "__want", "t", F.least(col(first), col(second)).alias("c1"),
-                        F.greatest(col(first), col(second)).alias("c2"))
-    once = drawn.groupBy(family, "__want", "c1", "c2").agg(F.min("t").alias("t"))
-    kept = once.withColumn("r", F.row_number().over(W.partitionBy(family).orderBy("t")))
-    return kept.filter(F.col("r") <= F.col("__want")).select(family, "c1", "c2")
+    want = F.least(F.col("n_pairs").cast("bigint"), F.floor(m * (m - 1) / 2))
+    rows = packed.join(sizes, family).filter((m >= 2) & (F.col("n_pairs") > 0)).select(
+        family, "__c", want.alias("__want"), F.when(m % 2 == 0, F.floor(m / 2)).otherwise(m).alias("__a"),
+        F.when(m % 2 == 0, m - 1).otherwise(F.floor((m - 1) / 2)).alias("__b"),
+        F.transform(F.sequence(F.lit(0), F.lit(MIX_ROUNDS - 1)), lambda i: seeds(seed, F.col(family), i)).alias("__k"))
+    rows = rows.withColumn("t", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__want") - 1)))
+    rows = rows.withColumn("__p", keyed_place(F.col("t"), F.col("__a"), F.col("__b"), F.col("__k")))
+    x = rows.withColumn("__x", F.col("__p.l") * F.col("__b") + F.col("__p.r"))
+    # the greatest k with k (k - 1) / 2 up to x is the larger column; the root may be off by one
+    root = F.floor((1 + F.sqrt(1 + 8 * F.col("__x").cast("double"))) / 2)
+    below = lambda k: F.floor(k * (k - 1) / 2)
+    exact = let(root, lambda k: F.when(below(k) > F.col("__x"), k - 1).when(below(k + 1) <= F.col("__x"), k + 1).otherwise(k))
+    x = x.withColumn("__hi", exact)
+    at = lambda ix: F.get("__c", ix.cast("int"))
+    return x.select(family, at(F.col("__x") - below(F.col("__hi"))).alias("c1"), at(F.col("__hi")).alias("c2"))
 
 
 def mi_summary(mi: DataFrame, members: DataFrame, family: str = "family") -> DataFrame:

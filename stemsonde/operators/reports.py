@@ -374,10 +374,16 @@ def significant_figures(literal: Column) -> Column:
     return F.greatest(F.length(F.regexp_replace(digits, "^0+", "")), F.lit(1))
 
 
+def printed_places(literal: Column) -> Column:
+    """Decimal places of a literal's last printed figure: those of its mantissa less its exponent."""
+    fraction = F.regexp_extract(literal, r"\.([0-9]*)", 1)
+    exponent = F.regexp_extract(literal, r"[eE]([+-]?[0-9]+)$", 1)
+    return F.length(fraction) - F.coalesce(exponent.try_cast("int"), F.lit(0))
+
+
 def rounds_to(value: Column, literal: Column) -> Column:
     """Whether a value, rounded to the literal's last printed place, is the literal."""
-    fraction = F.regexp_extract(literal, r"\.([0-9]*)", 1)
-    unit = F.pow(F.lit(10.0), F.length(fraction))
+    unit = F.pow(F.lit(10.0), printed_places(literal))
     return F.rint(value * unit) == F.rint(literal.cast("double") * unit)
 
 
@@ -388,8 +394,7 @@ def attribute_value(candidates: DataFrame, claims: DataFrame, by: Sequence[str]
 
 def check_reported(values: DataFrame, claims: DataFrame, by: Sequence[str] = ("key",)) -> DataFrame:
     """Claims whose stored value does not round to them at their own decimals."""
-    places = F.length(F.substring_index("literal", ".", -1)) * F.col("literal").contains(".").cast("int")
-    j = claims.join(values, list(by), "left").withColumn("__p", F.pow(F.lit(10.0), places))
+    j = claims.join(values, list(by), "left").withColumn("__p", F.pow(F.lit(10.0), printed_places(F.col("literal"))))
     ok = F.abs(F.round(F.col("value") * F.col("__p"), 0) - F.round(F.col("literal").cast("double") * F.col("__p"), 0)) < 0.5
     return j.withColumn("agrees", F.coalesce(ok, F.lit(False))).drop("__p")
 

@@ -109,12 +109,35 @@ def test_exact_u_tail_of_a_large_second_sample():
     # 8 against 5,000 values: still exact, symmetric about the middle
     assert abs(_u_tail(8, 5000, 20_001) + _u_tail(8, 5000, 20_000) - 1) < 1e-9
     assert abs(_u_tail(2, 5000, 10_000) - 1 / (5002 * 5001 / 2)) < 1e-15
+    # the far tail is a count over all arrangements, however long the larger sample
+    for n2 in (200, 2_000, 200_000, 10**9):
+        assert _u_tail(8, n2, 8 * n2) == 1 / math.comb(n2 + 8, 8) > 0
+        assert _u_tail(8, n2, 8 * n2 - 1) == 2 / math.comb(n2 + 8, 8) and _u_tail(8, n2, 0) == 1
+    assert _u_tail(1, 10**9, 10**9 - 4) == 5 / (10**9 + 1)
+
+
+def test_pair_samples_are_whole_and_distinct(spark):
+    """As many distinct pairs as asked for, up to all there are."""
+    from stemsonde.operators import aggregates as G
+    columns = spark.createDataFrame([(m, 10 * c + m) for m in range(2, 24) for c in range(m)], "family int, col int")
+    sizes = lambda n: spark.createDataFrame([(m, n(m)) for m in range(1, 24)], "family int, n_pairs int")
+    for n in (lambda m: m * (m - 1) // 2, lambda m: max(1, m * (m - 1) // 2 - 1), lambda m: 10_000, lambda m: 3):
+        got = {}
+        for r in G.sample_unpaired_pairs(columns, sizes(n)).collect():
+            assert r.c1 < r.c2
+            got.setdefault(r.family, set()).add((r.c1, r.c2))
+        assert {m: len(p) for m, p in got.items()} == {m: min(n(m), m * (m - 1) // 2) for m in range(2, 24)}
+    few = spark.createDataFrame([(f, c) for f in range(3000) for c in range(4)], "family int, col int")
+    one = G.sample_unpaired_pairs(few, few.select("family").distinct().withColumn("n_pairs", F.lit(1)))
+    counts = [r["count"] for r in one.groupBy("c1", "c2").count().collect()]
+    assert len(counts) == 6 and all(400 < c < 600 for c in counts)
 
 
 def test_significant_figures_and_rounding(spark):
     from stemsonde.operators.reports import rounds_to, significant_figures
     rows = [("10.5", 3, 10.52, True), ("10.5", 3, 10.2, False), ("20.0", 3, 19.97, True), ("-0.12", 2, -0.1249, True), ("-0.12", 2, -0.126, False), ("0.0040", 2, 0.00404, True),
-            ("7", 1, 7.4, True), ("0.000", 1, 0.0004, True), ("120", 3, 119.6, True), ("1.5", 2, 1.44, False)]
+            ("7", 1, 7.4, True), ("0.000", 1, 0.0004, True), ("120", 3, 119.6, True), ("1.5", 2, 1.44, False),
+            ("1e-3", 1, 0.0012, True), ("1e-3", 1, 0.04, False), ("1.2e-5", 2, 1.24e-5, True), ("1.2e-5", 2, 0.01, False), ("1.2e-5", 2, 1.4e-5, False), ("4E2", 1, 380.0, True), ("4E2", 1, 460.0, False), ("3.5e+1", 2, 35.4, True)]
     df = spark.createDataFrame(rows, "literal string, figures int, value double, prints boolean")
     got = df.select("literal", "figures", "prints", significant_figures(df.literal).alias("f"), rounds_to(df.value, df.literal).alias("r")).collect()
     assert all(r.figures == r.f and r.prints == r.r for r in got)
