@@ -5,7 +5,9 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..functions.draws import draw_unit
+from ..functions import brackets as B
+from ..functions.binding import let
+from ..functions.draws import draw_unit, replicate_draw, seeds
 from ..functions.vectors import cosine_distance
 from ..operators import structure as S
 from ..operators import vectors as E
@@ -186,27 +188,39 @@ def e16(spark, sf):
     return rounded(E.component_correlation(e, "cov", [U]), "share", "abs_r", places=6)
 
 
-ATT = 25
-_W = lambda r, c: V.u01("unit_id", "layer", "head", r, c)
+ATT_LAYERS, ATT_HEADS = 2, 3  # the last head is flat
+_N = len(V.STRUCTURE)
+_CELL = lambda r, c: V.RDRAW.replace("rep", f"({r} * {_N} + {c})")
+_ATT = f"""with recursive {V.HP}, {V.PAIRS.format(src='hp')}, hd as (select *, {V.seeds("'att'", 'unit_id', 'layer', 'head')} from hp, (select unnest(range({ATT_LAYERS})) as layer), (select unnest(range({ATT_HEADS - 1})) as head)),
+  g as (select unnest(range({_N})) as r), g2 as (select r, unnest(range(r + 1, {_N})) as c from g),
+  k as (select hd.unit_id, layer, head, ({_CELL('r', 'c')} + {_CELL('c', 'r')}) / {2.0 * V.PRIME}e0 as w, (p.i is not null)::int as contact from hd cross join g2 left join pairs p on p.unit_id = hd.unit_id and p.i = r and p.j = c),
+  rk as (select *, rank() over (partition by unit_id, layer, head order by w) + (count(*) over (partition by unit_id, layer, head, w) - 1) / 2.0 as rx from k),
+  rho as (select unit_id, layer, head, count(*) as n, coalesce(corr(rx, contact), 0.0) as rho from rk group by all)"""
 
 
-@query("e17_attention_contact", f"""with recursive {V.HP}, h1 as (select unit_id, substr(structure, 1, {ATT}) as structure from hp), {V.PAIRS.format(src='h1')},
-  g as (select unit_id, unnest(range({ATT})) as r from h1), g2 as (select *, unnest(range(r + 1, {ATT})) as c from g), g3 as (select *, unnest(range(2)) as head from g2), g4 as (select *, 0 as layer from g3),
-  w as (select unit_id, layer, head, r, c, ({_W('r', 'c')} + {_W('c', 'r')}) / 2.0 as w from g4), k as (select w.*, (p.i is not null)::int as contact from w left join pairs p on p.unit_id = w.unit_id and p.i = w.r and p.j = w.c),
-  rk as (select unit_id, layer, head, rank() over (partition by unit_id, head order by w) + (count(*) over (partition by unit_id, head, w) - 1) / 2.0 as rx, rank() over (partition by unit_id, head order by contact) + (count(*) over (partition by unit_id, head, contact) - 1) / 2.0 as ry from k)
-  select unit_id, layer, head, count(*) as n, round(corr(rx, ry), 8) as rho from rk group by all""")
+@query("e17_attention_contact", f"{_ATT} select unit_id, layer, head, n, case when abs(rho) < 5e-9 then 0.0 else round(rho, 8) end as rho from rho")
 def e17(spark, sf):
-    return rounded(_attention(spark, sf), "rho", places=8)
+    rho = F.when(F.abs("rho") < 5e-9, 0.0).otherwise(F.round("rho", 8))  # no negative zero
+    return _attention(spark, sf).withColumn("rho", rho)
+
+
+# the best head starts from 0 at layer 0
+@query("e17_best_head", f"""{_ATT}, b as (select *, row_number() over (partition by unit_id order by rho desc, layer, head) as k from rho)
+  select unit_id, round(case when rho > 0 then rho else 0.0 end, 8) as best_corr, case when rho > 0 then layer else 0 end as best_layer from b where k = 1""")
+def e17b(spark, sf):
+    return rounded(E.best_head(_attention(spark, sf)), "best_corr", places=8)
 
 
 def _attention(spark, sf):
-    u = S.spread(V.hairpins(spark, sf).select(U, F.substring("structure", 1, ATT).alias("structure")))
-    ix = F.sequence(F.lit(0), F.lit(ATT - 1))
-    cells = u.select(U, F.explode(ix).alias("r")).select("*", F.explode(ix).alias("c")).filter("r <> c") \
-        .select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("head")).withColumn("layer", F.lit(0))
-    attn = cells.withColumn("w", draw_unit(*[F.col(x) for x in (U, "layer", "head", "r", "c")]))
-    contacts = S.contacts(S.match_brackets(u)).select(U, F.col("i").alias("r"), F.col("j").alias("c"))
-    return E.attention_contact(attn, contacts)
+    """Whole matrices of every unit: layers x heads of keyed weights, and a flat head in each layer."""
+    u = S.spread(V.hairpins(spark, sf))
+    contacts = F.transform(B.match_pairs(F.col("structure")), lambda p: F.struct(p["i"].alias("r"), p["j"].alias("c")))
+    heads = u.select(U, contacts.alias("contacts"), F.explode(F.sequence(F.lit(0), F.lit(ATT_LAYERS - 1))).alias("layer")) \
+        .select("*", F.explode(F.sequence(F.lit(0), F.lit(ATT_HEADS - 1))).alias("head"))
+    cell = F.sequence(F.lit(0).cast("bigint"), F.lit(_N * _N - 1).cast("bigint"))
+    drawn = let(seeds("att", F.col(U), F.col("layer"), F.col("head")), lambda b: F.transform(cell, lambda x: replicate_draw(b, x) / float(V.PRIME)))
+    flat = F.array_repeat(F.lit(0.5), _N * _N)
+    return E.head_agreement(heads.withColumn("w", F.when(F.col("head") < ATT_HEADS - 1, drawn).otherwise(flat)), [U, "layer", "head"])
 
 
 @query("e18_probe")

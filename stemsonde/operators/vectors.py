@@ -7,10 +7,12 @@ lie, so vectors never cross the network for them.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -383,17 +385,63 @@ def attention_contact(attn: DataFrame, contacts: DataFrame, by: Sequence[str] =
                       flat: float = 1e-10) -> DataFrame:
     """Spearman agreement of symmetrised attention with contacts per (layer, head).
 
-    attn(…, layer, head, r, c, w), contacts(…, r, c).  Near-constant heads are out.
+    attn(…, layer, head, r, c, w), contacts(…, r, c).  Near-constant heads are out.  The
+    cells of a head are one record, packed by one exchange; see ``head_agreement``.
     """
     keys = [*by, "layer", "head"]
-    folded = attn.filter(F.col("r") != F.col("c")).select(
-        *keys, F.least("r", "c").alias("r"), F.greatest("r", "c").alias("c"), "w")
-    sym = folded.groupBy(*keys, "r", "c").agg((F.sum("w") / 2.0).alias("w"))
-    upper = contacts.filter(F.col("r") < F.col("c")).select(*by, "r", "c", F.lit(1).alias("contact")).distinct()
-    cells = sym.join(upper, [*by, "r", "c"], "left").withColumn("contact", F.coalesce("contact", F.lit(0)))
-    alive = cells.groupBy(*keys).agg(F.stddev_pop("w").alias("__sd")).filter(F.col("__sd") >= flat).select(*keys)
-    rho = spearman(cells.join(alive, keys, "left_semi"), "w", "contact", keys, bounded=True)
-    return rho.withColumn("rho", F.coalesce("rho", F.lit(0.0)))
+    heads = attn.filter(F.col("r") != F.col("c")).groupBy(*keys).agg(F.collect_list(F.struct(
+        F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), F.col("w").cast("double").alias("w"))).alias("__w"))
+    heads = heads.select(*keys, F.col("__w.r").alias("r"), F.col("__w.c").alias("c"), F.col("__w.w").alias("w"))
+    upper = contacts.filter(F.col("r") < F.col("c")).groupBy(*by).agg(F.collect_set(F.struct(
+        F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"))).alias("contacts"))
+    return head_agreement(heads.join(upper, list(by), "left"), keys, flat)
+
+
+def head_agreement(heads: DataFrame, keys: Sequence[str], flat: float = 1e-10) -> DataFrame:
+    """keys…, n, rho of heads as records: r, c, w arrays of cells off the diagonal (or w alone,
+    a square matrix row by row) and contacts, an array of structs (r, c).
+
+    Contacts are yes or no, so Spearman's rho is the rank sum of the contact cells, centred
+    and over the spread of both sides, tied weights with their mean rank.  The deviation that
+    tells a flat head comes from the same pass.  No contact, or nothing but contacts: 0.
+    """
+    kinds = dict(heads.dtypes)
+    many = [F.col(c) if c in kinds else F.lit(None).cast("array<int>").alias(c) for c in ("r", "c")]
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", n long, rho double"
+    return heads.select(*keys, *many, "w", "contacts").mapInArrow(_agreement(list(keys), flat), schema)
+
+
+def _agreement(keys: list[str], flat: float):
+    def one(r, c, w, contacts):
+        w = np.asarray(w, np.float64)
+        if r is None:
+            size = math.isqrt(len(w))
+            r, c = np.divmod(np.arange(len(w)), size)
+        else:
+            r, c = np.asarray(r, np.int64), np.asarray(c, np.int64)
+            size = int(max(r.max(initial=-1), c.max(initial=-1))) + 1
+        off = r != c
+        lo, hi = np.minimum(r, c)[off], np.maximum(r, c)[off]
+        cell, at = np.unique(lo * size + hi, return_inverse=True)
+        w = np.bincount(at, w[off], len(cell)) / 2.0
+        if not len(w) or w.std() < flat:
+            return len(w), None
+        ends = [tuple(x.values()) for x in contacts or []]
+        near = np.isin(cell, [i * size + j for i, j in ends if i < j < size])
+        _, group, count = np.unique(w, return_inverse=True, return_counts=True)
+        rank = (np.cumsum(count) - (count - 1) / 2.0)[group]
+        n, k = len(w), int(near.sum())
+        spread = ((rank - (n + 1) / 2.0) ** 2).sum() * k * (n - k) / n
+        return n, float((rank[near].sum() - k * (n + 1) / 2.0) / math.sqrt(spread)) if spread > 0 else 0.0
+
+    def run(batches):
+        for batch in batches:
+            got = [one(*(batch.column(x)[i].values.to_numpy(zero_copy_only=False) if x != "contacts" and batch.column(x)[i].is_valid else batch.column(x)[i].as_py() for x in ("r", "c", "w", "contacts")))
+                   for i in range(batch.num_rows)]
+            keep = pa.array([rho is not None for _, rho in got], pa.bool_())
+            yield pa.RecordBatch.from_arrays([*[batch.column(k).filter(keep) for k in keys], pa.array([n for n, _ in got], pa.int64()).filter(keep),
+                                              pa.array([rho for _, rho in got], pa.float64()).filter(keep)], names=[*keys, "n", "rho"])
+    return run
 
 
 def best_head(rho: DataFrame, by: Sequence[str] = ("unit_id",)) -> DataFrame:

@@ -1,6 +1,7 @@
 """Geometry against NumPy."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from stemsonde.operators import vectors as E
@@ -53,3 +54,28 @@ def test_fold_plan_is_greedy_by_size(spark):
     got = {r["unit_id"]: r["fold"] for r in E.fold_plan(df, 2).collect()}
     # 10 | 9, then 8 to the lighter, and so on
     assert got == {"a": 0, "b": 1, "c": 1, "d": 0, "e": 0}
+
+
+def test_attention_agreement_of_long_and_whole_heads(spark):
+    """Long cells and whole matrices agree with Spearman's rho of numpy ranks; ties, a flat head and a unit without contacts."""
+    from stemsonde.operators import vectors as E
+    rng, rows, long, want = np.random.default_rng(8), [], [], {}
+    contacts = {"a": [(0, 5), (1, 4), (2, 9)], "b": [], "c": [(0, 3)]}
+    for unit, n in (("a", 10), ("b", 6), ("c", 4)):
+        for head in range(3):
+            w = np.full((n, n), 0.25) if head == 2 else rng.integers(0, 4, (n, n)) / 4.0 if head else rng.random((n, n))
+            rows.append((unit, 0, head, w.ravel().tolist(), contacts[unit]))
+            long += [(unit, 0, head, r, c, float(w[r, c])) for r in range(n) for c in range(n)]
+            i, j = np.triu_indices(n, 1)
+            x, y = (w[i, j] + w[j, i]) / 2, np.array([(a, b) in contacts[unit] for a, b in zip(i, j)], float)
+            if head < 2:
+                rank = np.array([(x < v).sum() + ((x == v).sum() + 1) / 2 for v in x])
+                want[unit, head] = np.corrcoef(rank, y)[0, 1] if y.any() else 0.0
+    heads = spark.createDataFrame(rows, "unit_id string, layer int, head int, w array<double>, contacts array<struct<r: int, c: int>>")
+    cells = spark.createDataFrame(long, "unit_id string, layer int, head int, r int, c int, w double")
+    pairs = spark.createDataFrame([(u, r, c) for u, p in contacts.items() for r, c in p], "unit_id string, r int, c int")
+    for got in (E.head_agreement(heads, ["unit_id", "layer", "head"]), E.attention_contact(cells, pairs)):
+        found = {(r.unit_id, r.head): r.rho for r in got.collect()}
+        assert found == {k: pytest.approx(v, abs=1e-12) for k, v in want.items()}
+    best = {r.unit_id: (r.best_corr, r.best_layer) for r in E.best_head(E.head_agreement(heads, ["unit_id", "layer", "head"])).collect()}
+    assert best["b"] == (0.0, 0) and best["a"][0] == pytest.approx(max(0.0, want["a", 0], want["a", 1]), abs=1e-12)
