@@ -168,6 +168,18 @@ def test_fertility_bands(spark):
     assert fertility.script_of("日本語") == "han" and fertility.script_of("текст") == "cyrillic" and fertility.script_of("12") == "none"
 
 
+def test_fertility_of_a_small_language_and_any_partitioning(spark):
+    """Odd texts cannot make a band of their own, in a group of any size; verdicts do not follow the partitions."""
+    junk = lambda i, n: " ".join(x + "%#$&*" for x in plain.prose(i, n).split())
+    rows = [(i, plain.prose(i, 30 + i), "en") for i in range(150)] + [(200 + i, junk(i, 60), "qq") for i in range(5)] + [(300 + i, junk(i, 60), "en") for i in range(9)]
+    rows += [(400 + i, plain.prose(700 + i, 50 + i), "rr") for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    one, many = (sorted((r.doc_id, r.kept, r.reason or "") for r in fertility.judged(df.repartition(n)).collect()) for n in (1, 17))
+    assert one == many
+    kept = {i for i, k, _ in one if k}
+    assert kept == {i for i, _, _ in rows if i < 200 or i >= 400}
+
+
 def test_suffix_array(spark, docs, none):
     rows = suffixes.repeats(docs).collect()
     text = {}
