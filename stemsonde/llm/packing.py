@@ -3,9 +3,9 @@
 A bin holds ``capacity`` words. No bin holds two pieces of one source or of one duplicate cluster. Texts longer than the
 capacity are cut into pieces: full ones have a bin of their own, the rest is packed like a shorter text.
 
-Pieces are dealt by the hash of their document and number into packing groups of about ``GROUP`` pieces; their number
-follows the table, so a group is bounded whatever source or cluster is hot, and every group has its share of the hot
-source. In a group pieces come in order of size (largest first; ties by doc_id, then piece). Bins are ordered by
+Pieces are dealt by the hash of their row and number into packing groups of about ``GROUP`` pieces; their number follows the
+table, so a group is bounded whatever doc_id, source or cluster is hot, and every group has its share of the hot source.
+Rows are numbered where they are stored, so which group a piece joins follows the partitions, not the doc_id. In a group pieces come in order of size (largest first; ties by doc_id, then piece). Bins are ordered by
 residual: a bit for each residual that some bin has, and a list of bins under it. A successor search starts at the
 least residual that holds the piece and goes on, bin by bin, until one without a conflict is found: that is the tightest
 compatible bin. A bin's sources and clusters are bitmaps over the group's values. Without a compatible bin a new one is
@@ -98,11 +98,11 @@ def packed(docs: DataFrame, cluster: Column | None = None, capacity: int = CAPAC
     given = docs.select("doc_id", "source", (copies_of(F.col("text")) if cluster is None else cluster).cast("string").alias("cluster"), "text")
     kinds = {n: t for n, t in given.dtypes}
     rows = stored(given.mapInArrow(_counted, f"doc_id {kinds['doc_id']}, source {kinds['source']}, cluster string, words long"))
-    pieces = rows.withColumn("piece", F.explode(F.expr(f"sequence(0L, greatest(ceil(words / {capacity}) - 1, 0L))")))
+    pieces = rows.withColumn("row", F.monotonically_increasing_id()).withColumn("piece", F.explode(F.expr(f"sequence(0L, greatest(ceil(words / {capacity}) - 1, 0L))")))
     pieces = pieces.withColumn("first_word", F.col("piece") * capacity).withColumn("n_words", F.least(F.lit(capacity), F.col("words") - F.col("piece") * capacity))
     n = rows.where("words > 0").agg(F.sum(F.ceil(F.col("words") / capacity))).first()[0] or 0
     dealt = pieces.where("words > 0").select(
-        F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "piece"), F.lit(max(1, -(-int(n) // group)))).alias("packing_group"),
+        F.pmod(F.xxhash64("row", "piece"), F.lit(max(1, -(-int(n) // group)))).alias("packing_group"),
         F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("name"), "doc_id", "piece", "first_word", "n_words", "source", "cluster")
     schema = f"doc_id {kinds['doc_id']}, piece long, first_word long, n_words long, source {kinds['source']}, cluster string, packing_group long, bin long, offset long"
     order = F.col("doc_id") if kinds["doc_id"] in ("bigint", "int") else F.col("name")

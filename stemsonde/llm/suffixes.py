@@ -19,8 +19,10 @@ shorter ones do unless all those it is paired with, which agree on the right, di
 the left.
 
 Defined cases: null or empty text and texts under MIN_WORDS words match nothing. A null doc_id counts as smaller than
-all others and is returned as null. Repeated rows (same doc_id) match as one document and do not repeat themselves; a
-passage repeated within one document matches there. Ties: equal suffixes are ordered by doc_id, then position. Columns
+all others and is returned as null. Rows that share a doc_id (or have none) are documents of their own text: with the
+hash of the text as a second part of their key (0 where the doc_id is alone) they match each other like any others. Rows
+equal in doc_id and text are one document, for which one row says that its whole text repeats. A passage repeated within
+one document matches there. Ties: equal suffixes are ordered by doc_id, then position. Columns
 other than doc_id and text are not read. An empty table gives no rows.
 """
 
@@ -33,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, batch_of, columns_of, signed, slices, sliding, stored
+from .common import WORD, Words, batch_of, columns_of, signed, slices, sliding, stored
 
 MIN_WORDS, SPARSE, KMER = 50, 15, 8
 LEAD = 32  # words of the long block; an occurrence of MIN_WORDS words has 36 from its first kept suffix on
@@ -70,12 +72,13 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             blocks.append((signed(words.span(prefix, last, to)) >> 32).astype(np.int32))
             last = to
         yield batch_of({"lead": (blocks[0], pa.int64()), **{f"b{i}": (x, pa.int32()) for i, x in enumerate(blocks[1:])},
-                        "key": (batch.column("key").take(pa.array(row)), None), "at": (at - words.first[row], pa.int32())})
+                        **{c: (batch.column(c).take(pa.array(row)), None) for c in ("key", "ord")}, "at": (at - words.first[row], pa.int32())})
 
 
-ORDER = ["lead", *[f"b{i}" for i in range(len(BLOCKS))], "key", "at"]
-_SUFFIX = "lead long, " + ", ".join(f"b{i} int" for i in range(len(BLOCKS))) + ", key long, at int"
-_PAIR = "kind int, part int, level int, lead long, rest string, key long, at int, other long, other_at int"
+ORDER = ["lead", *[f"b{i}" for i in range(len(BLOCKS))], "key", "ord", "at"]
+PLACE = ("key", "ord", "at")
+_SUFFIX = "lead long, " + ", ".join(f"b{i} int" for i in range(len(BLOCKS))) + ", key long, ord long, at int"
+_PAIR = "kind int, part int, level int, lead long, rest string, key long, ord long, at int, other long, other_ord long, other_at int"
 PAIR, FIRST, LAST = 0, 1, 2
 LEVELS = len(BLOCKS)  # prefixes of a suffix: the long block alone, then one short block more each, but not all of them
 NEXT = -1  # level of the rows about the first and last suffix itself
@@ -83,7 +86,7 @@ NEXT = -1  # level of the rows about the first and last suffix itself
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of a sorted partition: each suffix that shares the long block with the one before it, paired with that one; if it
-    does not share all blocks with it (else it is the later place), also, for each level, with the least (key, at) so far
+    does not share all blocks with it (else it is the later place), also, for each level, with the least place so far
     of the suffixes that share its prefix. A new least is paired with the one that it replaces, so of a run all but its
     least are the later place of a pair. And the partition's first and last suffix, and the least of its first and last
     run of each level."""
@@ -91,16 +94,17 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     part, before, least, first = TaskContext.get().partitionId(), None, None, None
 
-    def rows(kind, level, lead, rest, key, at, other, other_at):
-        n = len(key)
+    def rows(kind, level, lead, rest, place, other):
+        n = len(place[0])
+        kinds = (pa.int64(), pa.int64(), pa.int32())
         return batch_of({"kind": (np.full(n, kind, np.int32), None), "part": (np.full(n, part, np.int32), None), "level": (np.asarray(level, np.int32), None), "lead": (lead, pa.int64()),
-                         "rest": (rest, pa.string()), "key": (key, pa.int64()), "at": (at.astype(np.int32), None), "other": (other, pa.int64()), "other_at": (other_at.astype(np.int32), None)})
+                         "rest": (rest, pa.string()), **{c: (x, t) for c, x, t in zip(PLACE, place, kinds)}, **{c: (x, t) for c, x, t in zip(("other", "other_ord", "other_at"), other, kinds)}})
 
     def edge(kind, cols, i, ends):
-        """The suffix at i and the ends (key, at) of its runs, one for each level."""
-        key, at = (np.array([cols[c][i], *x]) for c, x in zip(("key", "at"), ends))
+        """The suffix at i and the ends of its runs, one for each level."""
+        place = [np.array([cols[c][i], *x]) for c, x in zip(PLACE, ends)]
         rest = [None, *[",".join(str(cols[f"b{k}"][i]) for k in range(level)) for level in range(LEVELS)]]
-        return rows(kind, [NEXT, *range(LEVELS)], np.repeat(cols["lead"][i], LEVELS + 1), rest, key, at, key, at)
+        return rows(kind, [NEXT, *range(LEVELS)], np.repeat(cols["lead"][i], LEVELS + 1), rest, place, place)
 
     for batch in batches:
         if not batch.num_rows:
@@ -108,11 +112,11 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols = {c: batch.column(c).to_numpy() for c in ORDER}
         if before is None:  # the first suffix stands before itself, so it begins the runs and makes no pair
             before = {c: x[:1] for c, x in cols.items()}
-            least = np.repeat(before["key"], LEVELS), np.repeat(before["at"], LEVELS)
-            first = [before, (least[0].copy(), least[1].copy()), np.ones(LEVELS, bool)]
+            least = [np.repeat(before[c], LEVELS) for c in PLACE]
+            first = [before, [x.copy() for x in least], np.ones(LEVELS, bool)]
         n = batch.num_rows
-        key, at = (np.concatenate([x, before[c], cols[c]]) for c, x in zip(("key", "at"), least))  # least ones, the one before, the batch
-        order = np.lexsort((at, key))
+        place = [np.concatenate([x, before[c], cols[c]]) for c, x in zip(PLACE, least)]  # least ones, the one before, the batch
+        order = np.lexsort(place[::-1])
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         here = np.arange(LEVELS + 1, LEVELS + 1 + n)
@@ -127,14 +131,16 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             end = order[so_far[-1]]
             if first[2][level]:
                 stop = np.searchsorted(run, 0, "right") - 1
-                first[1][0][level], first[1][1][level] = key[order[so_far[stop]]], at[order[so_far[stop]]]
+                for x, y in zip(first[1], place):
+                    x[level] = y[order[so_far[stop]]]
                 first[2][level] = run[-1] == 0
-            least[0][level], least[1][level] = key[end], at[end]
+            for x, y in zip(least, place):
+                x[level] = y[end]
         pair = np.unique(np.concatenate(mine) * len(order) + np.concatenate(others))
         i, j = pair // len(order), pair % len(order)
-        hit = (key[i] != key[j]) | (at[i] != at[j])
+        hit = np.any([x[i] != x[j] for x in place], axis=0)
         i, j = i[hit], j[hit]
-        yield rows(PAIR, np.full(len(i), NEXT), cols["lead"][i - LEVELS - 1], pa.nulls(len(i), pa.string()), key[i], at[i], key[j], at[j])
+        yield rows(PAIR, np.full(len(i), NEXT), cols["lead"][i - LEVELS - 1], pa.nulls(len(i), pa.string()), [x[i] for x in place], [x[j] for x in place])
         before = {c: x[-1:] for c, x in cols.items()}
     if before is not None:
         yield edge(FIRST, first[0], 0, first[1])
@@ -142,27 +148,30 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def matched(texts: DataFrame) -> DataFrame:
-    """texts: key, text. Pairs of places that share LEAD words: key, at and other, other_at."""
-    suffixes = texts.select("key", "text").mapInArrow(_suffixes, _SUFFIX)
+    """texts: key, ord, text. Pairs of places that share LEAD words: key, ord, at and other, other_ord, other_at."""
+    suffixes = texts.select("key", "ord", "text").mapInArrow(_suffixes, _SUFFIX)
     array = suffixes.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER)
     rows = stored(array.mapInArrow(_neighbours, _PAIR))
     ends = rows.where(F.col("kind") != PAIR)  # 2 (LEVELS + 1) rows for each partition of the array
     edges = Window.orderBy("part", "kind")
-    before = {c: F.lag(c).over(edges) for c in ("lead", "key", "at")}
-    seams = ends.where(F.col("level") == NEXT).select("kind", "lead", "key", "at", before["lead"].alias("l"), before["key"].alias("other"), before["at"].alias("other_at"))
-    seams = seams.where(f"kind = {FIRST} and l = lead and (key != other or at != other_at)").select("key", "at", "other", "other_at")
+    before = {c: F.lag(c).over(edges) for c in ("lead", *PLACE)}
+    names = ("other", "other_ord", "other_at")
+    differ = "(key != other or ord != other_ord or at != other_at)"
+    seams = ends.where(F.col("level") == NEXT).select("kind", "lead", *PLACE, before["lead"].alias("l"), *[before[c].alias(n) for c, n in zip(PLACE, names)])
+    seams = seams.where(f"kind = {FIRST} and l = lead and {differ}").select(*PLACE, *names)
     runs = Window.partitionBy("level", "lead", "rest").orderBy("part", "kind").rowsBetween(Window.unboundedPreceding, -1)
-    cut = ends.where(F.col("level") != NEXT).select("key", "at", F.min(F.struct("key", "at")).over(runs).alias("least"))
-    cut = cut.where("least is not null and (key != least.key or at != least.at)").select("key", "at", F.col("least.key").alias("other"), F.col("least.at").alias("other_at"))
-    return rows.where(F.col("kind") == PAIR).select("key", "at", "other", "other_at").unionByName(seams).unionByName(cut)
+    cut = ends.where(F.col("level") != NEXT).select(*PLACE, F.min(F.struct(*PLACE)).over(runs).alias("least"))
+    cut = cut.where("least is not null").select(*PLACE, *[F.col(f"least.{c}").alias(n) for c, n in zip(PLACE, names)]).where(differ)
+    return rows.where(F.col("kind") == PAIR).select(*PLACE, *names).unionByName(seams).unionByName(cut)
 
 
 def near(pairs: DataFrame) -> DataFrame:
     """One pair for each diagonal of two documents, the later place first."""
-    late = F.expr("key > other or (key = other and at > other_at)")
+    late = F.expr("struct(key, ord, at) > struct(other, other_ord, other_at)")
     pick = lambda a, b: F.when(late, F.col(a)).otherwise(F.col(b))
-    turned = pairs.select(pick("key", "other").alias("key"), pick("at", "other_at").alias("at"), pick("other", "key").alias("src"), pick("other_at", "at").alias("src_at"))
-    return turned.groupBy("key", "src", (F.col("at") - F.col("src_at")).alias("diagonal")).agg(F.collect_set("at").alias("ats"))
+    both = (("key", "other", "src"), ("ord", "other_ord", "src_ord"), ("at", "other_at", "src_at"))
+    turned = pairs.select(*[pick(a, b).alias(a) for a, b, _ in both], *[pick(b, a).alias(c) for a, b, c in both])
+    return turned.groupBy("key", "ord", "src", "src_ord", (F.col("at") - F.col("src_at")).alias("diagonal")).agg(F.collect_set("at").alias("ats"))
 
 
 def extended(words: list[bytes], other: list[bytes], at: int, diagonal: int) -> tuple[int, int]:
@@ -179,28 +188,43 @@ def _extend(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(slices(batches, "text"), "src_text"):
             out = []
-            for key, text, src, other, diagonal, ats in zip(*(batch.column(c).to_pylist() for c in ("key", "text", "src", "src_text", "diagonal", "ats"))):
+            ids = ("key", "ord", "src")
+            for key, own, src, text, other, diagonal, ats in zip(*(batch.column(c).to_pylist() for c in (*ids, "text", "src_text", "diagonal", "ats"))):
                 words, there, done = text.encode().split(), other.encode().split(), -1
                 for at in sorted(ats):
                     if at >= done and at < len(words) and 0 <= at - diagonal < len(there):
                         start, done = extended(words, there, at, diagonal)
                         if done - start >= least:
-                            out.append((key, start, done - start, src, start - diagonal))
+                            out.append((key, own, start, done - start, src, start - diagonal))
                         done = max(done, at + 1)
-            cols = list(zip(*out)) or [()] * 5
-            yield batch_of({n: (list(c), pa.int64()) for n, c in zip(("key", "start_word", "n_words", "src", "src_start_word"), cols)})
+            cols = list(zip(*out)) or [()] * 6
+            yield batch_of({n: (list(c), pa.int64()) for n, c in zip(("key", "ord", "start_word", "n_words", "src", "src_start_word"), cols)})
     return run
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """key, ord, text and copies: rows by doc_id and, where it is shared or null, by text; equal rows are one."""
+    docs = columns_of(docs, "doc_id", "text").where("text is not null").withColumn("key", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
+    shared = stored(docs.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.lit(True).alias("shared")))
+    rows = docs.select("key", "text").join(shared, "key", "left")
+    alone = rows.where("shared is null").select("key", F.lit(0).cast("long").alias("ord"), "text", F.lit(1).cast("long").alias("copies"))
+    several = rows.where("shared").groupBy("key", F.xxhash64("text").alias("ord")).agg(F.any_value("text").alias("text"), F.count("*").alias("copies"))
+    return alone.unionByName(several)
+
+
 def repeats(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     """doc_id, start_word, n_words, src_doc_id, src_start_word: each maximal match of at least that many words between
     paired suffixes, its later place first."""
     if least < MIN_WORDS:
         raise ValueError(f"the suffixes are selected for matches of {MIN_WORDS} words and more")
-    docs = columns_of(docs, "doc_id", "text").where("text is not null")
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key"), "text")
+    texts = keyed(docs)
     pairs = stored(near(matched(texts)))
-    out = pairs.join(texts, "key").join(texts.select(F.col("key").alias("src"), F.col("text").alias("src_text")), "src")
-    found = out.select("key", "text", "src", "src_text", "diagonal", "ats").mapInArrow(_extend(least), "key long, start_word long, n_words long, src long, src_start_word long").distinct()
+    own = texts.select("key", "ord", "text")
+    out = pairs.join(own, ["key", "ord"]).join(own.select(F.col("key").alias("src"), F.col("ord").alias("src_ord"), F.col("text").alias("src_text")), ["src", "src_ord"])
+    kinds = ", ".join(f"{c} long" for c in ("key", "ord", "start_word", "n_words", "src", "src_start_word"))
+    found = out.select("key", "ord", "src", "text", "src_text", "diagonal", "ats").mapInArrow(_extend(least), kinds).distinct().drop("ord")
+    n = F.regexp_count("text", F.lit(WORD)).cast("long")
+    zero = F.lit(0).cast("long")
+    copies = texts.where("copies > 1").select("key", zero.alias("start_word"), n.alias("n_words"), F.col("key").alias("src"), zero.alias("src_start_word")).where(F.col("n_words") >= least)
     name = lambda c, to: F.expr(f"if({c} = {NO_ID}, null, {c})").alias(to)
-    return found.select(name("key", "doc_id"), "start_word", "n_words", name("src", "src_doc_id"), "src_start_word")
+    return found.unionByName(copies).select(name("key", "doc_id"), "start_word", "n_words", name("src", "src_doc_id"), "src_start_word")

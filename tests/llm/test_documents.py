@@ -213,6 +213,51 @@ def test_suffix_array_gives_every_later_place_a_row(spark, n):
     assert all(text[r.doc_id][r.start_word: r.start_word + r.n_words] == text[r.src_doc_id][r.src_start_word: r.src_start_word + r.n_words] for r in found)
 
 
+def later_windows(rows, least=50):
+    """Of each row (its number): places of windows of that many words that also start in a smaller row or earlier in it."""
+    seen, out = {}, {}
+    for k, (_, t) in enumerate(rows):
+        w = plain.words(t)
+        for i in range(len(w) - least + 1):
+            if seen.setdefault(tuple(w[i: i + least]), (k, i)) != (k, i):
+                out.setdefault(k, set()).add(i)
+    return out
+
+
+def test_suffix_array_against_a_list_of_all_repeats(spark):
+    """Rows are true matches; every window of 64 words that also starts earlier shares 50 words with a row, and of the words
+    of such windows hardly any lies outside all rows."""
+    rng, rows = random.Random(12), []
+    passage = [plain.prose(900 + i, rng.randrange(64, 130)) for i in range(6)]
+    for i in range(120):
+        rows.append((i, " ".join(rng.choice([plain.prose(2000 + 10 * i + j, rng.randrange(5, 40)), passage[rng.randrange(6)]]) for j in range(4))))
+    rows += [(200, rows[5][1]), (201, rows[5][1])]
+    got, text = {}, {i: plain.words(t) for i, t in rows}
+    for r in suffixes.repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect():
+        assert text[r.doc_id][r.start_word: r.start_word + r.n_words] == text[r.src_doc_id][r.src_start_word: r.src_start_word + r.n_words]
+        got.setdefault(r.doc_id, []).append((r.start_word, r.start_word + r.n_words))
+    missed = total = 0
+    for k, places in later_windows(rows, 64).items():
+        spans = got[rows[k][0]]
+        assert all(any(min(i + 64, b) - max(i, a) >= 50 for a, b in spans) for i in places)
+        want = {x for i in places for x in range(i, i + 64)}
+        missed, total = missed + len(want - {x for a, b in spans for x in range(a, b)}), total + len(want)
+    assert total > 5000 and missed <= 0.01 * total
+
+
+def test_suffix_array_of_null_and_shared_ids(spark):
+    """Documents without an id, or under one id, match each other like those with ids of their own."""
+    passage = plain.prose(7, 70)
+    for ids in ([None] * 60, [9] * 60, [None if i % 3 == 0 else 4 if i % 3 == 1 else i for i in range(60)]):
+        for shift in (0, 1):  # the passage at the same word in all, or at different ones
+            rows = [(d, f"{plain.prose(1000 + i, 20 + shift * (i % 7))} {passage} {plain.prose(5000 + i, 40)}") for i, d in enumerate(ids)]
+            found = suffixes.repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+            assert 59 <= len(found) < 400 and all(r.n_words >= 70 for r in found)
+    rows = [(None, passage)] * 5 + [(3, passage)] * 2 + [(4, plain.prose(8, 80))]
+    found = sorted(((r.doc_id, r.start_word, r.n_words, r.src_doc_id) for r in suffixes.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert found == [(3, 0, 70, 3), (3, 0, 70, None), (None, 0, 70, None)]
+
+
 def test_sharding(spark, docs, none):
     from pyspark.sql import functions as F
 
