@@ -49,26 +49,42 @@ def value_counts(df: DataFrame, by: Sequence[str], value: str,
             .agg(F.count(F.lit(1)).alias("n"), *extra))
 
 
-def cumulative_counts(counts: DataFrame, by: Sequence[str], value: str,
-                      buckets: int = 4096, weights: Sequence[str] = ("n",)) -> DataFrame:
+#: Groups of more distinct values are cut; values sampled of one for its bounds, about; steps of the search, for 2^STEPS buckets.
+SMALL, SAMPLED, STEPS = 1024, 8192, 10
+
+
+def ordered_buckets(counts: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
+    """counts with a number ``out`` that orders its values in near-equal parts within each group.
+
+    The bounds are quantiles of a sample of the distinct values: those whose hash falls into a
+    share that follows from the group's size, so about ``SAMPLED`` of any group, the same ones
+    in every partitioning and retry.  No scale is assumed; one extreme value, or many, take
+    the room of any other value.  A group of few distinct values is one bucket.
+    """
+    v = F.col(value).cast("double")
+    sizes = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("__d"))
+    cut = counts.join(sizes, list(keys))
+    part = F.pmod(F.xxhash64(v), F.greatest(F.floor(F.col("__d") / SAMPLED), F.lit(1)))
+    sample = cut.filter((F.col("__d") > SMALL) & (part == 0)).groupBy(*keys).agg(F.sort_array(F.collect_list(v)).alias("__s"))
+    n = 1 << STEPS
+    bounds = sample.select(*keys, F.transform(F.sequence(F.lit(1), F.lit(n - 1)), lambda k: F.get(
+        "__s", F.floor(k * F.size("__s") / n).cast("int"))).alias("__s"))
+    # binary search for the number of bounds below the value
+    powers = F.array(*[F.lit(1 << k) for k in reversed(range(STEPS))])
+    below = F.aggregate(powers, F.lit(0), lambda at, step: F.when(F.get("__s", at + step - 1) < v, at + step).otherwise(at))
+    return cut.join(bounds, list(keys), "left").withColumn(out, F.when(F.col("__s").isNotNull(), below).otherwise(F.lit(0))).drop("__s", "__d")
+
+
+def cumulative_counts(counts: DataFrame, by: Sequence[str], value: str, weights: Sequence[str] = ("n",), bucket: str | None = None) -> DataFrame:
     """Running totals over the ordered distinct values of each group.
 
     Adds ``lo`` (rows with a smaller value), ``total``, and the average rank
     ``avg_rank`` of the tied rows, for each column in ``weights`` (suffixed for
-    all but the first).  ``counts`` has one row per (by, value).
+    all but the first).  ``counts`` has one row per (by, value).  Only the buckets
+    of ``ordered_buckets`` are sorted; ``bucket`` keeps their number.
     """
     counts, keys = _keyed(counts, by)
-    v = F.col(value).cast("double")
-    squash = lambda x: F.signum(x) * F.log1p(F.abs(x))
-    bounds = counts.groupBy(*keys).agg(F.min(v).alias("__min"), F.max(v).alias("__max"),
-                                       F.count(F.lit(1)).alias("__d"))
-    # A group of few distinct values is one bucket; a large one is spread on a
-    # scale that is linear for narrow ranges and logarithmic for heavy tails.
-    width = squash(F.col("__max") - F.col("__min"))
-    cut = counts.join(bounds, keys).withColumn("__b", F.when(
-        (F.col("__d") > buckets) & (width > 0),
-        F.floor(squash(v - F.col("__min")) / width * buckets)).otherwise(F.lit(0))
-        .cast("int")).drop("__min", "__max", "__d")
+    cut = ordered_buckets(counts, keys, value, "__b")
     per = cut.groupBy(*keys, "__b").agg(*[F.sum(w).alias(f"__s_{w}") for w in weights])
     over_group = W.partitionBy(*keys)
     running = over_group.orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
@@ -86,6 +102,8 @@ def cumulative_counts(counts: DataFrame, by: Sequence[str], value: str,
                .withColumn(f"total{tag}", F.col(f"__tot_{w}")))
         if n == 0:
             out = out.withColumn("avg_rank", F.col("lo") + (F.col(w) + 1) / 2.0)
+    if bucket:
+        out = out.withColumn(bucket, F.col("__b"))
     return out.drop("__b", ALL, *[f"__{p}_{w}" for p in ("in", "off", "tot") for w in weights])
 
 

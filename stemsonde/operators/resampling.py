@@ -17,7 +17,7 @@ from ..functions.draws import draw
 from ..functions.special import binom_high, binom_low, binom_test, mann_whitney_p, t_test_p, wilcoxon_p
 from .aggregates import spearman
 from .choice import chosen_sums
-from .joins import paired_units, salted_join
+from .joins import paired_units
 from .ranking import bounded_percentile, cumulative_counts, first_by
 
 __all__ = ["binom_test", "binom_ci", "sign_test", "paired_sign", "wilcoxon", "mann_whitney", "paired_t",
@@ -278,20 +278,20 @@ def gate_movement(counts: DataFrame, by: Sequence[str], scenarios: dict[str, Col
 def bh_adjust(df: DataFrame, p: str, by: Sequence[str], key: str, out: str = "p_adjusted") -> DataFrame:
     """Benjamini-Hochberg: running minimum of p n / rank from the largest p.
 
-    The running minimum is taken over distinct p-values in two levels, buckets
-    first, so one large family of tests is not sorted in one task.
+    The minimum is a scan over distinct p-values in two passes: of each of the ordered
+    buckets of the ranking, then within a bucket from the least of those after it, so one
+    large family of tests is not sorted in one task, wherever its p-values crowd.
     """
     by = list(by) or ["__g"]
     src = df if by != ["__g"] else df.withColumn("__g", F.lit(0))
     vals = src.filter(F.col(p).isNotNull()).groupBy(*by, p).agg(F.count(F.lit(1)).alias("n"))
-    cum = cumulative_counts(vals, by, p)
+    cum = cumulative_counts(vals, by, p, bucket="__cut")
     # tied p-values share the adjusted value of the last of them
-    raw = cum.withColumn("__q", F.col(p) * F.col("total") / (F.col("lo") + F.col("n")))
-    cut = raw.withColumn("__b", F.floor(F.log1p(F.col(p) * 1e6) * 64).cast("int"))
-    per = cut.groupBy(*by, "__b").agg(F.min("__q").alias("__m"))
-    after = W.partitionBy(*by).orderBy("__b").rowsBetween(1, W.unboundedFollowing)
+    cut = cum.withColumn("__q", F.col(p) * F.col("total") / (F.col("lo") + F.col("n")))
+    per = cut.groupBy(*by, "__cut").agg(F.min("__q").alias("__m"))
+    after = W.partitionBy(*by).orderBy("__cut").rowsBetween(1, W.unboundedFollowing)
     per = per.withColumn("__later", F.min("__m").over(after)).drop("__m")
-    inside = W.partitionBy(*by, "__b").orderBy(p).rowsBetween(0, W.unboundedFollowing)
-    got = cut.withColumn("__here", F.min("__q").over(inside)).join(per, [*by, "__b"])
+    inside = W.partitionBy(*by, "__cut").orderBy(p).rowsBetween(0, W.unboundedFollowing)
+    got = cut.withColumn("__here", F.min("__q").over(inside)).join(per, [*by, "__cut"])
     adj = got.select(*by, p, F.least("__here", F.coalesce("__later", F.col("__here"))).alias(out))
     return src.join(adj, [*by, p]).drop("__g")

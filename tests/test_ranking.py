@@ -16,9 +16,26 @@ def skewed(spark, n=4000):
     return spark.range(n).select("id", g.alias("g"), v.alias("v"), (F.col("id") % 13).alias("w"))
 
 
-def test_cumulative_counts_in_buckets(spark):
+def cut_small(monkeypatch):
+    for name, n in (("SMALL", 16), ("SAMPLED", 200), ("STEPS", 4)):
+        monkeypatch.setattr(K, name, n)
+
+
+def test_buckets_are_even_behind_extreme_values(spark, monkeypatch):
+    """One value far below and one far above all others, or a heavy tail: no bucket holds more than a few percent."""
+    values = [F.when(F.col("id") == 0, -1e12).when(F.col("id") == 1, 1e15).otherwise(F.col("id") / 7.0), F.exp(F.col("id") / 40.0), F.lit(1.0) - F.exp(-F.col("id") / 900.0)]
+    for v in values:
+        df = spark.range(20000).select(F.lit("hot").alias("g"), v.alias("v"), F.lit(1).alias("n"))
+        counts = [r["count"] for r in K.ordered_buckets(df, ["g"], "v", "b").groupBy("b").count().collect()]
+        assert len(counts) > 900 and max(counts) < 0.02 * 20000
+        order = K.ordered_buckets(df, ["g"], "v", "b").groupBy("b").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("b").collect()
+        assert all(x.hi < y.lo for x, y in zip(order, order[1:]))
+
+
+def test_cumulative_counts_in_buckets(spark, monkeypatch):
+    cut_small(monkeypatch)
     df = skewed(spark)
-    got = K.cumulative_counts(K.value_counts(df, ["g"], "v"), ["g"], "v", buckets=16).toPandas().set_index(["g", "v"])
+    got = K.cumulative_counts(K.value_counts(df, ["g"], "v"), ["g"], "v").toPandas().set_index(["g", "v"])
     pdf = df.toPandas()
     pdf["r"] = pdf.groupby("g")["v"].rank(method="average")
     for (g, v), part in pdf.groupby(["g", "v"]):
@@ -55,7 +72,8 @@ def test_spearman_both_forms(spark):
     assert np.allclose(b.sort_index(), ref.sort_index(), atol=1e-9)
 
 
-def test_bh_adjust(spark):
+def test_bh_adjust(spark, monkeypatch):
+    cut_small(monkeypatch)
     df = skewed(spark).withColumn("p", F.pmod(F.hash("id"), F.lit(977)) / 977.0)
     got = R.bh_adjust(df, "p", ["g"], "id").toPandas()
     for _, part in got.groupby("g"):
