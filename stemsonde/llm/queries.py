@@ -58,7 +58,39 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.judged(read_table(spark, sf_dir, "documents"))
 
 
-@query("op5_substring_dedup")
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+# Counts of the fixed rules alone; the verdict of op4 rests on vocabularies and has no SQL.
+_COUNTS_SQL = f"""
+with given as (select doc_id, coalesce(text, '') as text, {_WORDS} as w from documents),
+win as (select doc_id, i, md5(array_to_string(w[i + 1 : i + 8], ' ')) as g from (select *, unnest(range(0, len(w) - 7)) as i from given)),
+twice as (select doc_id, i from win qualify count(*) over (partition by doc_id, g) > 1),
+rep as (select doc_id, count(distinct i + k) as n from twice, (select unnest(range(0, 8)) as k) group by doc_id),
+line as (select doc_id, count(*) - count(distinct l) as n from (select doc_id, unnest(string_split(text, chr(10))) as l from given) where regexp_matches(l, '[^\\x20\\x09-\\x0D]') group by doc_id)
+select g.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) as bigint) as word_chars,
+  cast(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as bigint) as n_symbols, coalesce(line.n, 0) as n_dup_lines, coalesce(rep.n, 0) as n_repeat_words,
+  len(w) < {fertility.MIN_WORDS} or 100 * coalesce(rep.n, 0) > {fertility.REPEAT_SHARE} * len(w) as base_failed
+from given g left join line on line.doc_id = g.doc_id left join rep on rep.doc_id = g.doc_id
+"""
+
+
+@query("quality_base_counts", _COUNTS_SQL)
+def base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fertility.judged(read_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+_REMOVED_SQL = f"""
+with given as (select doc_id, {_WORDS} as w from documents),
+win as (select doc_id, i, md5(array_to_string(w[i + 1 : i + 20], ' ')) as g from (select *, unnest(range(0, len(w) - 19)) as i from given)),
+later as (select doc_id, i from win qualify row_number() over (partition by g order by doc_id, i) > 1),
+gone as (select distinct doc_id, i + k as i from later, (select unnest(range(0, 20)) as k)),
+word as (select doc_id, w[i + 1] as x, i from (select *, unnest(range(0, len(w))) as i from given)),
+left_ as (select word.doc_id, string_agg(x, ' ' order by word.i) as kept, count(*) as n from word left join gone on gone.doc_id = word.doc_id and gone.i = word.i where gone.i is null group by word.doc_id)
+select g.doc_id, cast(len(w) as bigint) as n_words, len(w) - coalesce(n, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from given g left join left_ l on l.doc_id = g.doc_id
+"""
+
+
+@query("op5_substring_dedup", _REMOVED_SQL)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return debruijn.deduplicated_digest(read_table(spark, sf_dir, "documents"))
 
@@ -96,7 +128,19 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.records(warc.written(pages), with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-@query("op10_near_duplicates")
+_NEAR_SQL = r"""
+with recursive given as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+item as (select distinct doc_id, md5(array_to_string(w[i + 1 : i + 5], ' ')) as s from (select *, unnest(range(0, greatest(len(w) - 4, least(len(w), 1)))) as i from given)),
+size as (select doc_id, count(*) as n from item group by doc_id),
+link as (select x.doc_id as a, y.doc_id as b from item x join item y on x.s = y.s and x.doc_id <> y.doc_id join size p on p.doc_id = x.doc_id join size q on q.doc_id = y.doc_id
+  group by x.doc_id, y.doc_id having 100 * count(*) >= 75 * (any_value(p.n) + any_value(q.n) - count(*))),
+reach as (select doc_id, doc_id as other from given union select r.doc_id, l.b from reach r join link l on l.a = r.other),
+least_ as (select doc_id, min(other) as component_id from reach group by doc_id)
+select g.doc_id, coalesce(n, 0) as n_shingles, component_id, g.doc_id = component_id as kept from given g join least_ using (doc_id) left join size using (doc_id)
+"""
+
+
+@query("op10_near_duplicates", _NEAR_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
