@@ -65,19 +65,20 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, prefix = selected(words), words.prefix()
         row = words.row[at]
         end = words.first[row + 1]
-        blocks = [signed(words.span(prefix, at, at + LEAD))]
-        last = at + LEAD
+        lead, short, last = signed(words.span(prefix, at, at + LEAD)), np.zeros(len(at), np.uint64), at + LEAD
         for b in BLOCKS:  # beyond the end of the text a block is empty, which sorts by itself
             to = np.minimum(at + b, end)
-            blocks.append((signed(words.span(prefix, last, to)) >> 32).astype(np.int32))
+            short = short << _U(BITS) | words.span(prefix, last, to) >> _U(64 - BITS)
             last = to
-        yield batch_of({"lead": (blocks[0], pa.int64()), **{f"b{i}": (x, pa.int32()) for i, x in enumerate(blocks[1:])},
+        yield batch_of({"lead": (lead, pa.int64()), "short": (signed(short), pa.int64()),
                         **{c: (batch.column(c).take(pa.array(row)), None) for c in ("key", "ord")}, "at": (at - words.first[row], pa.int32())})
 
 
-ORDER = ["lead", *[f"b{i}" for i in range(len(BLOCKS))], "key", "ord", "at"]
 PLACE = ("key", "ord", "at")
-_SUFFIX = "lead long, " + ", ".join(f"b{i} int" for i in range(len(BLOCKS))) + ", key long, ord long, at int"
+BITS = 63 // len(BLOCKS)  # of the hash of a short block; all of them travel as one number
+STORED = ["lead", "short", *PLACE]
+ORDER = ["lead", *[f"b{i}" for i in range(len(BLOCKS))], *PLACE]
+_SUFFIX = "lead long, short long, key long, ord long, at int"
 _PAIR = "kind int, part int, level int, lead long, rest string, key long, ord long, at int, other long, other_ord long, other_at int"
 PAIR, FIRST, LAST = 0, 1, 2
 LEVELS = len(BLOCKS)  # prefixes of a suffix: the long block alone, then one short block more each, but not all of them
@@ -109,7 +110,8 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        cols = {c: batch.column(c).to_numpy() for c in ORDER}
+        cols = {c: batch.column(c).to_numpy() for c in STORED}
+        cols |= {f"b{i}": cols["short"] >> BITS * (len(BLOCKS) - 1 - i) & (1 << BITS) - 1 for i in range(len(BLOCKS))}
         if before is None:  # the first suffix stands before itself, so it begins the runs and makes no pair
             before = {c: x[:1] for c, x in cols.items()}
             least = [np.repeat(before[c], LEVELS) for c in PLACE]
@@ -150,7 +152,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def matched(texts: DataFrame) -> DataFrame:
     """texts: key, ord, text. Pairs of places that share LEAD words: key, ord, at and other, other_ord, other_at."""
     suffixes = texts.select("key", "ord", "text").mapInArrow(_suffixes, _SUFFIX)
-    array = suffixes.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER)
+    array = suffixes.repartitionByRange(*STORED).sortWithinPartitions(*STORED)
     rows = stored(array.mapInArrow(_neighbours, _PAIR))
     ends = rows.where(F.col("kind") != PAIR)  # 2 (LEVELS + 1) rows for each partition of the array
     edges = Window.orderBy("part", "kind")
