@@ -62,17 +62,17 @@ def ordered_buckets(counts: DataFrame, keys: Sequence[str], value: str, out: str
     the room of any other value.  A group of few distinct values is one bucket.
     """
     v = F.col(value).cast("double")
-    sizes = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("__d"))
+    sizes = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("__distinct"))
     cut = counts.join(sizes, list(keys))
-    part = F.pmod(F.xxhash64(v), F.greatest(F.floor(F.col("__d") / SAMPLED), F.lit(1)))
-    sample = cut.filter((F.col("__d") > SMALL) & (part == 0)).groupBy(*keys).agg(F.sort_array(F.collect_list(v)).alias("__s"))
+    part = F.pmod(F.xxhash64(v), F.greatest(F.floor(F.col("__distinct") / SAMPLED), F.lit(1)))
+    sample = cut.filter((F.col("__distinct") > SMALL) & (part == 0)).groupBy(*keys).agg(F.sort_array(F.collect_list(v)).alias("__cuts"))
     n = 1 << STEPS
     bounds = sample.select(*keys, F.transform(F.sequence(F.lit(1), F.lit(n - 1)), lambda k: F.get(
-        "__s", F.floor(k * F.size("__s") / n).cast("int"))).alias("__s"))
+        "__cuts", F.floor(k * F.size("__cuts") / n).cast("int"))).alias("__cuts"))
     # binary search for the number of bounds below the value
     powers = F.array(*[F.lit(1 << k) for k in reversed(range(STEPS))])
-    below = F.aggregate(powers, F.lit(0), lambda at, step: F.when(F.get("__s", at + step - 1) < v, at + step).otherwise(at))
-    return cut.join(bounds, list(keys), "left").withColumn(out, F.when(F.col("__s").isNotNull(), below).otherwise(F.lit(0))).drop("__s", "__d")
+    below = F.aggregate(powers, F.lit(0), lambda at, step: F.when(F.get("__cuts", at + step - 1) < v, at + step).otherwise(at))
+    return cut.join(bounds, list(keys), "left").withColumn(out, F.when(F.col("__cuts").isNotNull(), below).otherwise(F.lit(0))).drop("__cuts", "__distinct")
 
 
 def cumulative_counts(counts: DataFrame, by: Sequence[str], value: str, weights: Sequence[str] = ("n",), bucket: str | None = None) -> DataFrame:
