@@ -142,7 +142,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         i, j = pair // len(order), pair % len(order)
         hit = np.any([x[i] != x[j] for x in place], axis=0)
         i, j = i[hit], j[hit]
-        yield rows(PAIR, np.full(len(i), NEXT), cols["lead"][i - LEVELS - 1], pa.nulls(len(i), pa.string()), [x[i] for x in place], [x[j] for x in place])
+        yield rows(PAIR, np.full(len(i), NEXT), pa.nulls(len(i), pa.int64()), pa.nulls(len(i), pa.string()), [x[i] for x in place], [x[j] for x in place])
         before = {c: x[-1:] for c, x in cols.items()}
     if before is not None:
         yield edge(FIRST, first[0], 0, first[1])
