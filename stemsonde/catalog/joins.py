@@ -139,6 +139,15 @@ def j10(spark, sf):
     return rounded(J.kmer_containment(*_families(spark, sf)), "containment")
 
 
+@query("j10_best_containment", f"""{_FAM}, qk as (select distinct query, family, substr(sequence, p, 8) as k from (select *, unnest(range(1, length(sequence) - 6)) as p from q)),
+  tk as (select distinct member, family, substr(sequence, p, 8) as k from (select *, unnest(range(1, length(sequence) - 6)) as p from t)), n as (select query, count(*) as n from qk group by query),
+  s as (select query, family, member, count(*) as shared from qk join tk using (family, k) group by all), b as (select query, family, shared / cast(n as double) as c, member, row_number() over (partition by query, family order by shared desc, member) as r from s join n using (query))
+  select query, family, round(c, 9) as containment, member from b where r = 1""")
+def j10b(spark, sf):
+    q, t = _families(spark, sf)
+    return rounded(J.best_target(q, t), "containment")
+
+
 @query("j11_match_members", f"""{_FAM} select query, family, member, strpos(t.sequence, q.sequence) - 1 as "offset", case when t.sequence = q.sequence then 'exact' else 'substring' end as kind
   from q join t using (family) where contains(t.sequence, q.sequence)""")
 def j11(spark, sf):

@@ -374,6 +374,14 @@ def r30s(spark, sf):
     return P.surviving_pairs(e, _spans(spark, sf).select(U, "row", "start", "end"), sizes)
 
 
+@query("r30_retokenised", f"{V.WITH_ELIG} select unit_id, count(*) as trials, count(*) filter (where i % 4 <> 0) as retokenised from elig group by unit_id")
+def r30t(spark, sf):
+    from .structure import _spans
+    e = S.eligible_pairs(V.hairpins(spark, sf)).select(U, F.col("i").alias("variant"))
+    variants = e.select(U, "variant", F.explode(F.sequence(F.lit(1), F.lit(len(V.STRUCTURE) // 3) - F.col("variant") % 4)).alias("row"))
+    return P.retokenised(_spans(spark, sf).select(U, "row"), variants)
+
+
 @query("r31_claim_failures", f"{WP}, {_VALS}, {_RSQL} select tag, key, metric, test, bound, round(value, 8) as value from rules left join vals using (key, metric) where not {_MET}")
 def r31(spark, sf):
     return rounded(P.claim_failures(_values(spark, sf), _rules(spark)), "value", places=8)

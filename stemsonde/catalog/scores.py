@@ -348,7 +348,12 @@ def n21(spark, sf):
     return pairs.groupBy(U).agg(F.count("ps").alias("n"), F.count_if("deep").alias("h3_n"), F.count_if(F.col("deep") & F.col("partner_is_max")).alias("h3_hits"))
 
 
-@query("n21_probe_local")
+# only the neighbours of the substituted position move, by the share of one of their blocks
+_NEAR = lambda k: f"case when abs({k} - i) = 1 then {N.BLOCKS['local']['left'] / sum(N.BLOCKS['local'].values())!r} else 0.0 end"
+
+
+@query("n21_probe_local", f"""{V.WITH_ELIG}, s as (select unit_id, deep, {_NEAR('j')} as p, greatest({_NEAR('j_prev')}, {_NEAR('j_next')}) as a from elig where i not in (j_prev, j_next))
+  select unit_id, 0 as layer, round(avg(p - a), 8) as ps, count(*) as n_pairs, round(avg(case when deep then (p > a)::int end), 8) as precision, count(*) filter (where deep) as n_deep from s group by unit_id""")
 def n21l(spark, sf):
     s = N.synthetic_profiles(V.hairpins(spark, sf), "local")
     return rounded(N.specificity_by_layer(N.pair_scores(s)), "ps", "precision", places=8)

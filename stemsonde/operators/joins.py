@@ -186,28 +186,39 @@ def kmers(text: Column, k: int) -> Column:
         .otherwise(F.array().cast("array<string>"))
 
 
+def shared_kmers(queries: DataFrame, targets: DataFrame, family: str = "family", k: int = 8) -> DataFrame:
+    """query, family, __rep, shared, n_query: distinct k-mers that a query shares with each
+    distinct target text of its family; __rep is the first member with that text."""
+    q = queries.select("query", family, kmers(F.col("sequence"), k).alias("__k"))
+    sizes = queries.select("query", family, F.size(kmers(F.col("sequence"), k)).alias("n_query"))
+    qk = explode_rows(q, "__k", "kmer").select("query", family, "kmer")
+    texts = targets.groupBy(family, "sequence").agg(F.min("member").alias("__rep"))
+    tk = explode_rows(texts.select(family, "__rep", kmers(F.col("sequence"), k).alias("__k")), "__k", "kmer").select(family, "__rep", "kmer")
+    shared = qk.join(tk, [family, "kmer"]).groupBy("query", family, "__rep").agg(F.count(F.lit(1)).alias("shared"))
+    return shared.join(sizes, ["query", family])
+
+
 def kmer_containment(queries: DataFrame, targets: DataFrame, family: str = "family", k: int = 8) -> DataFrame:
     """Share of a query's distinct k-mers found in each target of its family.
 
     queries(query, family, sequence), targets(member, family, sequence).  Equal
     target texts are indexed once and fanned out again afterwards.
     """
-    q = queries.select("query", family, kmers(F.col("sequence"), k).alias("__k"))
-    sizes = queries.select("query", family, F.size(kmers(F.col("sequence"), k)).alias("n_query"))
-    qk = explode_rows(q, "__k", "kmer").select("query", family, "kmer")
     texts = targets.groupBy(family, "sequence").agg(F.min("member").alias("__rep"))
-    tk = explode_rows(texts.select(family, "__rep", kmers(F.col("sequence"), k).alias("__k")), "__k", "kmer").select(family, "__rep", "kmer")
-    shared = qk.join(tk, [family, "kmer"]).groupBy("query", family, "__rep").agg(F.count(F.lit(1)).alias("shared"))
     copies = targets.join(texts, [family, "sequence"]).select(family, "member", "__rep")
-    return (shared.join(copies, [family, "__rep"]).join(sizes, ["query", family])
+    return (shared_kmers(queries, targets, family, k).join(copies, [family, "__rep"])
             .select("query", family, "member", "shared", (F.col("shared") / F.col("n_query")).alias("containment")))
 
 
-def best_containment(found: DataFrame, family: str = "family") -> DataFrame:
-    """The best target per query, first member name on ties."""
-    top = found.groupBy("query", family).agg(F.max("containment").alias("containment"))
-    return found.join(top, ["query", family, "containment"]).groupBy("query", family, "containment") \
-        .agg(F.min("member").alias("member"))
+def best_target(queries: DataFrame, targets: DataFrame, family: str = "family", k: int = 8) -> DataFrame:
+    """The target with the largest containment per query, first member name on ties.
+
+    Taken among distinct texts, before equal targets fan out: one row per query leaves
+    the aggregate, never a row for each pair of query and member.
+    """
+    best = shared_kmers(queries, targets, family, k).groupBy("query", family).agg(
+        F.max("n_query").alias("n"), F.max("shared").alias("shared"), F.min_by("__rep", F.struct(-F.col("shared"), "__rep")).alias("member"))
+    return best.select("query", family, (F.col("shared") / F.col("n")).alias("containment"), "member")
 
 
 def match_members(queries: DataFrame, targets: DataFrame, family: str = "family", k: int = 8) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..functions import brackets as B
 from ..functions.binding import explode_rows, let
 from ..functions.draws import PRIME, seeds
-from ..functions.vectors import cosine_distance, mean_of
+from ..functions.vectors import mean_of
 from .choice import chosen_sums, draw_table, replicate_slices, smallest
 from .joins import salted_join
 from .ranking import bounded_percentile, first_by
@@ -663,6 +663,7 @@ def check_decoy_values(rates: DataFrame) -> DataFrame:
     return rates.withColumn("problem", why).filter(F.col("problem").isNotNull())
 
 
+# The thresholds of the letters are fixed values.
 def grade(n_exceeding: Column, n_surviving: Column, n_ps_exceeding: Column, mean_ps: Column, h3: Column) -> Column:
     """Letter from the three summaries."""
     return (F.when((mean_ps > 0.05) & (h3 > 0.5) & (n_ps_exceeding > 5), "A")
@@ -671,17 +672,18 @@ def grade(n_exceeding: Column, n_surviving: Column, n_ps_exceeding: Column, mean
 
 # ------------------------------------------------------- synthetic encoders
 
-D_MODEL = 32
 SYMBOL_IDS = "ACGU"
+#: Squared weights of the blocks of a position's vector: one one-hot block of symbols for each place it reads.
+BLOCKS = {"oracle": {"own": 1.0, "partner": 1.0}, "local": {"own": 1.0, "left": 0.3, "right": 0.3}}
 
 
-def synthetic_profiles(units: DataFrame, kind: str, dims: int = D_MODEL) -> DataFrame:
+def synthetic_profiles(units: DataFrame, kind: str) -> DataFrame:
     """Attached profiles of two deterministic encoders, computed where they can differ.
 
-    oracle: a position carries its own and its stem partner's symbol.  local: its
-    own symbol and half of each neighbour's.  Substituting i changes only the
-    symbol at i, so a position's vector depends on a short tuple of symbol ids and
-    its distance follows from that tuple before and after.
+    A position's vector has a one-hot block of the symbol at each place it reads: its own
+    and its stem partner's (oracle), or its own and both neighbours' (local).  Two vectors
+    then agree in the blocks whose symbols agree, so their cosine distance is the share of
+    the squared weights of the other blocks.  Substituting i changes only the symbol at i.
     """
     f = unit_frame(spread(units))
     ids = F.transform("chars", lambda c: F.coalesce(F.element_at(F.create_map(
@@ -689,27 +691,12 @@ def synthetic_profiles(units: DataFrame, kind: str, dims: int = D_MODEL) -> Data
     rows = explode_rows(f.withColumn("ids", ids), "eligible", "me").withColumn("i", F.col("me.i"))
     swap = F.element_at(F.create_map(*[F.lit(x) for kv in ((0, 3), (3, 0), (1, 2), (2, 1), (4, 4)) for x in kv]),
                         F.get("ids", F.col("i")))
-    rows = rows.withColumn("ids_mut", F.transform("ids", lambda v, k: F.when(k == F.col("i"), swap).otherwise(v)))
-    none = F.lit(4)
-
-    def parts(ids_col, k):
-        own = F.get(ids_col, k)
-        if kind == "oracle":
-            return [(own, 0.0, 1.0), (F.coalesce(F.get(ids_col, F.get("mate", k)), none), 1.7, 1.0)]
-        left = F.when(k > 0, F.get(ids_col, k - 1)).otherwise(none)
-        return [(own, 0.0, 1.0), (left, 2.3, 0.5), (F.coalesce(F.get(ids_col, k + 1), none), 3.1, 0.5)]
-
-    def vector(ids_col, k):
-        terms = parts(ids_col, k)
-        return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda m: sum(
-            (F.lit(w) * F.sin((v + 1) * (m + 1) * F.lit(0.7301) + F.lit(s)) for v, s, w in terms), F.lit(0.0)))
+    rows = rows.withColumn("moved", swap != F.get("ids", F.col("i")))
+    places = {"own": lambda k: k, "partner": lambda k: F.get("mate", k), "left": lambda k: k - 1, "right": lambda k: k + 1}
+    weights = BLOCKS[kind]
 
     def dist(_, k):
-        near = F.lit(False)
-        for a, b in zip(parts("ids", k), parts("ids_mut", k)):
-            near = near | (a[0] != b[0])
-        return F.when(k == F.col("i"), F.lit(None).cast("double")).when(
-            ~near, F.lit(0.0)).otherwise(cosine_distance(vector("ids", k), vector("ids_mut", k)))
-
-    return rows.withColumns({"layer": F.lit(0), "d": F.transform("chars", dist)}).drop("ids", "ids_mut")
+        changed = sum((F.when(F.col("moved") & (places[b](k) == F.col("i")), w).otherwise(0.0) for b, w in weights.items()), F.lit(0.0))
+        return F.when(k != F.col("i"), changed / sum(weights.values()))
 
+    return rows.withColumns({"layer": F.lit(0), "d": F.transform("chars", dist)}).drop("ids", "moved")
