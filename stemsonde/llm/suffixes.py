@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, Words, batch_of, columns_of, signed, slices, sliding, stored
+from .common import SLICE, WORD, Words, batch_of, columns_of, signed, slices, sliding, stored
 
 MIN_WORDS, SPARSE, KMER = 50, 15, 8
 LEAD = 32  # words of the long block; an occurrence of MIN_WORDS words has 36 from its first kept suffix on
@@ -186,13 +186,24 @@ def extended(words: list[bytes], other: list[bytes], at: int, diagonal: int) ->
     return start, end
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as Zstandard frames, for their two shuffles."""
+    codec = pa.Codec("zstd", 1)
+    for batch in slices(batches, "text"):
+        texts = batch.column("text").cast(pa.binary()).to_pylist()
+        yield batch_of({**{c: (batch.column(c), None) for c in ("key", "ord")}, "body": ([codec.compress(t, asbytes=True) for t in texts], pa.binary()),
+                        "size": ([len(t) for t in texts], pa.int32())})
+
+
 def _extend(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(slices(batches, "text"), "src_text"):
+        codec = pa.Codec("zstd")
+        for batch in slices(slices(batches, "body", SLICE // 4), "src_body", SLICE // 4):
             out = []
             ids = ("key", "ord", "src")
-            for key, own, src, text, other, diagonal, ats in zip(*(batch.column(c).to_pylist() for c in (*ids, "text", "src_text", "diagonal", "ats"))):
-                words, there, done = text.encode().split(), other.encode().split(), -1
+            bodies = ("body", "size", "src_body", "src_size")
+            for key, own, src, body, size, src_body, src_size, diagonal, ats in zip(*(batch.column(c).to_pylist() for c in (*ids, *bodies, "diagonal", "ats"))):
+                words, there, done = codec.decompress(body, size, asbytes=True).split(), codec.decompress(src_body, src_size, asbytes=True).split(), -1
                 for at in sorted(ats):
                     if at >= done and at < len(words) and 0 <= at - diagonal < len(there):
                         start, done = extended(words, there, at, diagonal)
@@ -221,10 +232,11 @@ def repeats(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
         raise ValueError(f"the suffixes are selected for matches of {MIN_WORDS} words and more")
     texts = keyed(docs)
     pairs = stored(near(matched(texts)))
-    own = texts.select("key", "ord", "text")
-    out = pairs.join(own, ["key", "ord"]).join(own.select(F.col("key").alias("src"), F.col("ord").alias("src_ord"), F.col("text").alias("src_text")), ["src", "src_ord"])
+    own = texts.select("key", "ord", "text").mapInArrow(_packed, "key long, ord long, body binary, size int")
+    other = {c: F.col(c).alias(n) for c, n in zip(own.columns, ("src", "src_ord", "src_body", "src_size"))}
+    out = pairs.join(own, ["key", "ord"]).join(own.select(*other.values()), ["src", "src_ord"])
     kinds = ", ".join(f"{c} long" for c in ("key", "ord", "start_word", "n_words", "src", "src_start_word"))
-    found = out.select("key", "ord", "src", "text", "src_text", "diagonal", "ats").mapInArrow(_extend(least), kinds).distinct().drop("ord")
+    found = out.select("key", "ord", "src", "body", "size", "src_body", "src_size", "diagonal", "ats").mapInArrow(_extend(least), kinds).distinct().drop("ord")
     n = F.regexp_count("text", F.lit(WORD)).cast("long")
     zero = F.lit(0).cast("long")
     copies = texts.where("copies > 1").select("key", zero.alias("start_word"), n.alias("n_words"), F.col("key").alias("src"), zero.alias("src_start_word")).where(F.col("n_words") >= least)
