@@ -32,6 +32,16 @@ def draw_unit(*parts) -> Column:
     return draw_int(*parts) / F.lit(float(SPAN))
 
 
+def draw_head(*parts) -> Column:
+    """The leading key parts of draws that differ in the last one, joined once for all of them."""
+    return F.concat_ws("|", *[_part(p) for p in parts], F.lit(""))
+
+
+def draw_unit_after(head: Column, last: Column) -> Column:
+    """``draw_unit`` of the parts of ``draw_head`` and one more."""
+    return F.conv(F.substring(F.md5(F.concat(head, _part(last))), 1, 8), 16, 10).cast("bigint") / F.lit(float(SPAN))
+
+
 def draw_index(n, *parts) -> Column:
     """Integer in [0, n)."""
     n = n.cast("bigint") if isinstance(n, Column) else F.lit(n).cast("bigint")

@@ -274,10 +274,13 @@ def token_contacts(edges: DataFrame, pos_row: DataFrame, by: list[str]) -> DataF
 
 def score_by_pair_type(pairs: DataFrame, by: list[str], score: str = "ps") -> DataFrame:
     """Mean score of the G-C and of the A-U pairs."""
+    return pairs.groupBy(*by).agg(*pair_type_means(score))
+
+
+def pair_type_means(score: str = "ps") -> list[Column]:
     gc = F.col("pair_type").isin("G-C", "C-G")
     au = F.col("pair_type").isin("A-U", "U-A")
-    return pairs.groupBy(*by).agg(F.avg(F.when(gc, F.col(score))).alias("ps_gc"),
-                                  F.avg(F.when(au, F.col(score))).alias("ps_au"))
+    return [F.avg(F.when(gc, F.col(score))).alias("ps_gc"), F.avg(F.when(au, F.col(score))).alias("ps_au")]
 
 
 def panel_description(units: DataFrame, kind: Column) -> tuple[DataFrame, DataFrame]:
