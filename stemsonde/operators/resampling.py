@@ -9,16 +9,19 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.draws import draw
+from ..functions.digests import md5_words
 from ..functions.special import binom_high, binom_low, binom_test, mann_whitney_p, t_test_p, wilcoxon_p
 from .aggregates import spearman
 from .choice import chosen_sums
 from .joins import paired_units
 from .ranking import bounded_percentile, cumulative_counts, first_by
+from .structure import spread
 
 __all__ = ["binom_test", "binom_ci", "sign_test", "paired_sign", "wilcoxon", "mann_whitney", "paired_t",
            "bootstrap_ci", "bootstrap_excess", "bootstrap_did", "heldout", "layer_selection",
@@ -113,18 +116,79 @@ def bootstrap_replicates(df: DataFrame, by: Sequence[str], key: str, values: Seq
 
     The Poisson bootstrap: in each replicate a unit counts as often as a Poisson(1) draw keyed by replicate and unit
     says, and a mean is sum(w x) / sum(w).  Against n draws with replacement only the total number of draws varies.
-    No unit has to meet another one, so draws are made and summed where the rows lie: reps x groups partial sums are all
-    that is exchanged, whatever the number of units.  A replicate without any unit has no mean and is left out.
+    No unit has to meet another one, so draws are made and summed where the rows lie, as matrices of replicates and
+    units: reps x groups partial sums a task are all that is exchanged, whatever the number of units, and no row is made
+    for a draw.  Values are not null.  A replicate without any unit has no mean and is left out.
     """
-    rows = df.select(*by, key, *values).withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit((reps - 1) // PER_DRAW))))
-    rows = rows.withColumn("__h", draw(seed, *[F.col(b) for b in by], F.col("__b"), F.col(key)))
-    cell = lambda s: F.struct((F.col("__b") * PER_DRAW + s + 1).alias("rep"),
-                              F.conv(F.substring("__h", 1 + 8 * s, 8), 16, 10).cast("bigint").alias("__u"))
-    rows = rows.select(*by, *values, F.inline(F.array(*[cell(s) for s in range(PER_DRAW)]))).filter(F.col("rep") <= reps)
-    w = F.coalesce(*[F.when(F.col("__u") < t, F.lit(k)) for k, t in enumerate(poisson_steps())], F.lit(len(poisson_steps())))
-    rows = rows.withColumn("__w", w.cast("double"))
-    sums = rows.groupBy(*by, "rep").agg(F.sum("__w").alias("__n"), *[F.sum(F.col(v).cast("double") * F.col("__w")).alias(v) for v in values])
-    return sums.filter("__n > 0").select(*by, "rep", *[(F.col(v) / F.col("__n")).alias(v) for v in values])
+    kinds = dict(df.dtypes)
+    rows = spread(df.select(*dict.fromkeys([*by, key, *values])), key).select(*by, F.concat_ws("|", F.lit(seed), *[F.col(b).cast("string") for b in by]).alias("__head"),
+                     F.coalesce(F.concat(F.lit("|"), F.col(key).cast("string")), F.lit("")).alias("__tail"),
+                     *[F.col(v).cast("double").alias(f"__v{k}") for k, v in enumerate(values)])
+    sums = [f"__s{k}" for k in range(len(values))]
+    schema = "".join(f"`{b}` {kinds[b]}, " for b in by) + ", ".join(f"{c} array<double>" for c in ("__n", *sums))
+    parts = rows.mapInArrow(_replicate_sums(list(by), len(values), reps), schema)
+    cells = F.arrays_zip(F.sequence(F.lit(1), F.lit(reps)).alias("rep"), "__n", *sums)
+    per = parts.select(*by, F.inline(cells)).groupBy(*by, "rep").agg(F.sum("__n").alias("__n"), *[F.sum(c).alias(c) for c in sums])
+    return per.filter("__n > 0").select(*by, "rep", *[(F.col(c) / F.col("__n")).alias(v) for c, v in zip(sums, values)])
+
+
+DRAWN, GROUPS = 16_384, 64  # digests at a time; groups whose sums a task holds before it hands them on
+
+
+def _replicate_sums(by: list[str], n_values: int, reps: int):
+    steps = np.array(poisson_steps(), np.uint32)
+    blocks = (reps - 1) // PER_DRAW + 1
+
+    def weights(head: bytes, tails: np.ndarray, first: int, last: int) -> np.ndarray:
+        """Counts of units (columns) in the replicates of blocks first..last - 1, all of as many digits."""
+        numbers = [np.frombuffer(head + b"|%d" % b, np.uint8) for b in range(first, last)]
+        n, before = len(tails), len(numbers[0])
+        text = np.empty((last - first, n, before + tails.shape[1]), np.uint8)
+        text[:, :, :before] = np.array(numbers)[:, None, :]
+        text[:, :, before:] = tails
+        u = md5_words(text.reshape(-1, text.shape[2])).reshape(PER_DRAW, last - first, n)
+        w = np.zeros(u.shape, np.uint8)
+        for t in steps:
+            w += u >= t
+        return w.transpose(1, 0, 2).reshape(-1, n).astype(np.float64)
+
+    def add(total: np.ndarray, head: bytes, tails: np.ndarray, x: np.ndarray) -> None:
+        at = 0
+        while at < blocks:
+            end = min(blocks, 10 ** len(str(at)), at + max(1, DRAWN // len(tails)))
+            got = weights(head, tails, at, end) @ x
+            here = total[at * PER_DRAW: end * PER_DRAW]
+            here += got[: len(here)]
+            at = end
+
+    def emit(totals, types):
+        keys = list(zip(*totals)) if by else []
+        sums = [pa.array([t[:, k] for t in totals.values()], pa.list_(pa.float64())) for k in range(n_values + 1)]
+        return pa.RecordBatch.from_arrays([*[pa.array(k, t) for k, t in zip(keys, types)], *sums],
+                                          names=[*by, "__n", *[f"__s{k}" for k in range(n_values)]])
+
+    def run(batches):
+        totals, types = {}, []
+        for batch in batches:
+            types = [batch.column(b).type for b in by]
+            heads, tails = (batch.column(c).to_pylist() for c in ("__head", "__tail"))
+            tails = [t.encode() for t in tails]
+            x = np.stack([np.ones(batch.num_rows), *[batch.column(f"__v{k}").to_numpy(zero_copy_only=False) for k in range(n_values)]], axis=1)
+            groups = {}
+            for i, g in enumerate(zip(zip(*[batch.column(b).to_pylist() for b in by]) if by else [()] * len(heads), map(len, tails))):
+                groups.setdefault(g, []).append(i)
+            for (g, length), at in groups.items():
+                if g not in totals:
+                    if len(totals) == GROUPS:
+                        yield emit(totals, types)
+                        totals = {}
+                    totals[g] = np.zeros((reps, n_values + 1))
+                for some in np.split(np.array(at), range(DRAWN, len(at), DRAWN)):
+                    text = np.frombuffer(b"".join([tails[i] for i in some]), np.uint8).reshape(len(some), length)
+                    add(totals[g], heads[some[0]].encode(), text, x[some])
+        if totals:
+            yield emit(totals, types)
+    return run
 
 
 def _interval(replicates: DataFrame, by: Sequence[str], value: Column, level: float) -> DataFrame:
