@@ -514,16 +514,20 @@ def probe(emb: DataFrame, labels: DataFrame, folds: int = 5, c: float = 1.0, max
 
 # ------------------------------------------------------------------ encoder hook
 
+ENCODED = 64  # sequences
+
+
 def encode(variants: DataFrame, fn: Callable[[list[str]], list[list[np.ndarray]]], keys: Sequence[str],
            sequence: str = "sequence") -> DataFrame:
     """Apply a user encoder batch by batch: (keys…, layer, row, vec).
 
-    ``fn`` maps a list of sequences to, per sequence, one (rows, d) array per layer.
+    ``fn`` maps a list of sequences, ``ENCODED`` at most, to, per sequence, one (rows, d) array per layer.  What comes
+    of them is handed on before the next are encoded, so a worker never holds the vectors of a whole Arrow batch.
     """
     keys = list(keys)
 
     def run(batches):
-        for pdf in batches:
+        for pdf in (whole.iloc[at: at + ENCODED] for whole in batches for at in range(0, len(whole), ENCODED)):
             out = {c: [] for c in [*keys, "layer", "row", "vec"]}
             for rec, per_layer in zip(pdf.to_dict("records"), fn(pdf[sequence].tolist())):
                 for layer, mat in enumerate(per_layer):
