@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import brackets as B
 from ..operators import aggregates as G
 from ..operators import resampling as R
+from ..operators.structure import spread
 from . import query
 from . import views as V
 from .joins import rounded
@@ -274,4 +275,4 @@ def a21f(spark, sf):
   p as (select model, avg(x) as point, count(*) as n from k group by model) select p.model, round(point, 9) as point, n, round(quantile_cont(br.x, 0.025), 9) as ci_low, round(quantile_cont(br.x, 0.975), 9) as ci_high from p join br using (model) group by all""")
 def c7_fraction(spark, sf):
     r = V.runs(spark, sf).select("model", "key", (F.col("flag") == "F").cast("int").alias("x"))
-    return rounded(R.bootstrap_ci(r, ["model"], "key", "x", V.BOOT, "7"), "point", "ci_low", "ci_high")
+    return rounded(R.bootstrap_ci(spread(r, "key"), ["model"], "key", "x", V.BOOT, "7"), "point", "ci_low", "ci_high")

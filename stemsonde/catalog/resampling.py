@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.special import binom_test
 from ..operators import aggregates as G
 from ..operators import resampling as R
+from ..operators.structure import spread
 from . import query
 from . import views as V
 from .joins import arm, rounded
@@ -101,7 +102,7 @@ def _boot(src, key, values, seed):
 @query("c7_bootstrap_ci", f"""with {V.RUNS}, {_boot('runs', 'key', ['score'], '5')}, p as (select model, avg(score) as point, count(*) as n from runs group by model)
   select model, round(any_value(point), 8) as point, any_value(p.n) as n, round(quantile_cont(score, 0.025), 8) as ci_low, round(quantile_cont(score, 0.975), 8) as ci_high from br join p using (model) group by model""")
 def c7(spark, sf):
-    return rounded(R.bootstrap_ci(V.runs(spark, sf).select("model", "key", "score"), ["model"], "key", "score", V.BOOT, "5"), "point", "ci_low", "ci_high", places=8)
+    return rounded(R.bootstrap_ci(spread(V.runs(spark, sf).select("model", "key", "score"), "key"), ["model"], "key", "score", V.BOOT, "5"), "point", "ci_low", "ci_high", places=8)
 
 
 @query("c8_bootstrap_excess", f"""with {V.PANEL}, {_boot('panel', 'unit_id', ['h3_fraction', 'chance_fraction'], '6')}, p as (select model, avg(h3_fraction) - avg(chance_fraction) as point, count(*) as n from panel group by model)

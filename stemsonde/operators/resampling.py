@@ -21,7 +21,6 @@ from .aggregates import spearman
 from .choice import chosen_sums
 from .joins import paired_units
 from .ranking import bounded_percentile, cumulative_counts, first_by
-from .structure import spread
 
 __all__ = ["binom_test", "binom_ci", "sign_test", "paired_sign", "wilcoxon", "mann_whitney", "paired_t",
            "bootstrap_ci", "bootstrap_excess", "bootstrap_did", "heldout", "layer_selection",
@@ -121,7 +120,7 @@ def bootstrap_replicates(df: DataFrame, by: Sequence[str], key: str, values: Seq
     for a draw.  Values are not null.  A replicate without any unit has no mean and is left out.
     """
     kinds = dict(df.dtypes)
-    rows = spread(df.select(*dict.fromkeys([*by, key, *values])), key).select(*by, F.concat_ws("|", F.lit(seed), *[F.col(b).cast("string") for b in by]).alias("__head"),
+    rows = df.select(*by, F.concat_ws("|", F.lit(seed), *[F.col(b).cast("string") for b in by]).alias("__head"),
                      F.coalesce(F.concat(F.lit("|"), F.col(key).cast("string")), F.lit("")).alias("__tail"),
                      *[F.col(v).cast("double").alias(f"__v{k}") for k, v in enumerate(values)])
     sums = [f"__s{k}" for k in range(len(values))]
