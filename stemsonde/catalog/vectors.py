@@ -6,11 +6,11 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import brackets as B
-from ..functions.binding import let
-from ..functions.draws import draw_unit, replicate_draw, seeds
+from ..functions.draws import draw_unit, seeds
 from ..functions.vectors import cosine_distance
 from ..operators import structure as S
 from ..operators import vectors as E
+from ..operators.choice import draw_table
 from . import query
 from . import views as V
 from .joins import COS, EV, rounded
@@ -215,12 +215,20 @@ def _attention(spark, sf):
     """Whole matrices of every unit: layers x heads of keyed weights, and a flat head in each layer."""
     u = S.spread(V.hairpins(spark, sf))
     contacts = F.transform(B.match_pairs(F.col("structure")), lambda p: F.struct(p["i"].alias("r"), p["j"].alias("c")))
-    heads = u.select(U, contacts.alias("contacts"), F.explode(F.sequence(F.lit(0), F.lit(ATT_LAYERS - 1))).alias("layer")) \
+    heads = u.select(U, contacts.alias("contacts")).select("*", F.explode(F.sequence(F.lit(0), F.lit(ATT_LAYERS - 1))).alias("layer")) \
         .select("*", F.explode(F.sequence(F.lit(0), F.lit(ATT_HEADS - 1))).alias("head"))
-    cell = F.sequence(F.lit(0).cast("bigint"), F.lit(_N * _N - 1).cast("bigint"))
-    drawn = let(seeds("att", F.col(U), F.col("layer"), F.col("head")), lambda b: F.transform(cell, lambda x: replicate_draw(b, x) / float(V.PRIME)))
-    flat = F.array_repeat(F.lit(0.5), _N * _N)
-    return E.head_agreement(heads.withColumn("w", F.when(F.col("head") < ATT_HEADS - 1, drawn).otherwise(flat)), [U, "layer", "head"])
+    numbers = F.when(F.col("head") < ATT_HEADS - 1, seeds("att", F.col(U), F.col("layer"), F.col("head")))
+    return E.head_agreement(heads.withColumn("b", numbers), [U, "layer", "head"], weights=_drawn_heads)
+
+
+def _drawn_heads(batch):
+    """Matrices of the heads' draws, in whole numbers so that sums tie where they are equal; of one value without numbers."""
+    b = batch.column("b")
+    drawn = np.asarray(b.is_valid())
+    out = np.full((len(b), _N * _N), V.PRIME // 2)
+    numbers = np.asarray(b.flatten(), np.int64).reshape(-1, 3)
+    out[drawn] = draw_table(numbers, 0, _N * _N - 1).T
+    return out.reshape(-1, _N, _N)
 
 
 @query("e18_probe")

@@ -397,20 +397,75 @@ def attention_contact(attn: DataFrame, contacts: DataFrame, by: Sequence[str] =
     return head_agreement(heads.join(upper, list(by), "left"), keys, flat)
 
 
-def head_agreement(heads: DataFrame, keys: Sequence[str], flat: float = 1e-10) -> DataFrame:
+HEADS = 64  # at once in a task
+Weights = Callable[[pa.RecordBatch], np.ndarray]
+
+
+def head_agreement(heads: DataFrame, keys: Sequence[str], flat: float = 1e-10, weights: Weights | None = None) -> DataFrame:
     """keys…, n, rho of heads as records: r, c, w arrays of cells off the diagonal (or w alone,
     a square matrix row by row) and contacts, an array of structs (r, c).
 
+    With ``weights`` heads have no cells: it maps a batch of them, ``HEADS`` at most, to their matrices
+    (heads x n x n), which are made in the task that reads them and never leave it.
+
     Contacts are yes or no, so Spearman's rho is the rank sum of the contact cells, centred
     and over the spread of both sides, tied weights with their mean rank.  The deviation that
     tells a flat head comes from the same pass.  No contact, or nothing but contacts: 0.
     """
     kinds = dict(heads.dtypes)
-    many = [F.col(c) if c in kinds else F.lit(None).cast("array<int>").alias(c) for c in ("r", "c")]
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", n long, rho double"
+    if weights is not None:
+        return heads.mapInArrow(_made(list(keys), flat, weights), schema)
+    many = [F.col(c) if c in kinds else F.lit(None).cast("array<int>").alias(c) for c in ("r", "c")]
     return heads.select(*keys, *many, "w", "contacts").mapInArrow(_agreement(list(keys), flat), schema)
 
 
+def _contact_cells(contacts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Head and cell (i * size + j) of every contact above the diagonal, each once."""
+    head = np.repeat(np.arange(len(contacts)), np.asarray(contacts.value_lengths().fill_null(0)))
+    ends = contacts.flatten()
+    i, j = (np.asarray(ends.field(k), np.int64) for k in range(2))
+    inside = (i < j) & (j < size)
+    return tuple(np.unique(np.stack([head, i * size + j], axis=1)[inside], axis=0).T)
+
+
+def rank_agreement(x: np.ndarray, near: np.ndarray) -> float:
+    """Spearman's rho of weights with a few yes among many no, at ``near``."""
+    n, k = len(x), len(near)
+    if not 0 < k < n:
+        return 0.0
+    s = np.sort(x)
+    rank = (np.searchsorted(s, x[near], "left") + np.searchsorted(s, x[near], "right") + 1) / 2.0
+    spread = n * (n * n - 1.0)
+    if (s[1:] == s[:-1]).any():
+        ties = np.diff(np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1], [True]]))).astype(np.float64)
+        spread -= (ties**3 - ties).sum()
+    spread *= k * (n - k) / n / 12.0
+    return float((rank.sum() - k * (n + 1) / 2.0) / math.sqrt(spread)) if spread > 0 else 0.0
+
+
+def _told(batch: pa.RecordBatch, keys: list[str], got: list[tuple[int, float | None]]) -> pa.RecordBatch:
+    keep = pa.array([rho is not None for _, rho in got], pa.bool_())
+    return pa.RecordBatch.from_arrays([*[batch.column(k).filter(keep) for k in keys], pa.array([n for n, _ in got], pa.int64()).filter(keep),
+                                       pa.array([rho for _, rho in got], pa.float64()).filter(keep)], names=[*keys, "n", "rho"])
+
+
+def _made(keys: list[str], flat: float, weights: Weights):
+    def run(batches):
+        for batch in (whole.slice(at, HEADS) for whole in batches for at in range(0, whole.num_rows, HEADS)):
+            w = weights(batch)
+            size = w.shape[1]
+            i, j = np.triu_indices(size, 1)
+            x = (w[:, i, j] + w[:, j, i]) / 2.0
+            place = np.full(size * size, -1)
+            place[i * size + j] = np.arange(len(i))
+            head, cell = _contact_cells(batch.column("contacts"), size)
+            near = np.split(place[cell], np.searchsorted(head, np.arange(1, len(x))))
+            live = np.zeros(len(x), bool) if not len(i) else x.std(axis=1) >= flat
+            yield _told(batch, keys, [(len(i), rank_agreement(v, at) if ok else None) for v, at, ok in zip(x, near, live)])
+    return run
+
+
 def _agreement(keys: list[str], flat: float):
     def one(r, c, w, contacts):
         w = np.asarray(w, np.float64)
@@ -426,21 +481,12 @@ def _agreement(keys: list[str], flat: float):
         w = np.bincount(at, w[off], len(cell)) / 2.0
         if not len(w) or w.std() < flat:
             return len(w), None
-        ends = [tuple(x.values()) for x in contacts or []]
-        near = np.isin(cell, [i * size + j for i, j in ends if i < j < size])
-        _, group, count = np.unique(w, return_inverse=True, return_counts=True)
-        rank = (np.cumsum(count) - (count - 1) / 2.0)[group]
-        n, k = len(w), int(near.sum())
-        spread = ((rank - (n + 1) / 2.0) ** 2).sum() * k * (n - k) / n
-        return n, float((rank[near].sum() - k * (n + 1) / 2.0) / math.sqrt(spread)) if spread > 0 else 0.0
+        return len(w), rank_agreement(w, np.flatnonzero(np.isin(cell, _contact_cells(contacts, size)[1])))
 
     def run(batches):
         for batch in batches:
-            got = [one(*(batch.column(x)[i].values.to_numpy(zero_copy_only=False) if x != "contacts" and batch.column(x)[i].is_valid else batch.column(x)[i].as_py() for x in ("r", "c", "w", "contacts")))
-                   for i in range(batch.num_rows)]
-            keep = pa.array([rho is not None for _, rho in got], pa.bool_())
-            yield pa.RecordBatch.from_arrays([*[batch.column(k).filter(keep) for k in keys], pa.array([n for n, _ in got], pa.int64()).filter(keep),
-                                              pa.array([rho for _, rho in got], pa.float64()).filter(keep)], names=[*keys, "n", "rho"])
+            cells = lambda x, i: batch.column(x)[i].values.to_numpy(zero_copy_only=False) if batch.column(x)[i].is_valid else None
+            yield _told(batch, keys, [one(*(cells(x, i) for x in ("r", "c", "w")), batch.column("contacts").slice(i, 1)) for i in range(batch.num_rows)])
     return run
 
 

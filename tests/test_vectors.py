@@ -79,3 +79,26 @@ def test_attention_agreement_of_long_and_whole_heads(spark):
         assert found == {k: pytest.approx(v, abs=1e-12) for k, v in want.items()}
     best = {r.unit_id: (r.best_corr, r.best_layer) for r in E.best_head(E.head_agreement(heads, ["unit_id", "layer", "head"])).collect()}
     assert best["b"] == (0.0, 0) and best["a"][0] == pytest.approx(max(0.0, want["a", 0], want["a", 1]), abs=1e-12)
+
+
+def test_heads_made_where_they_are_read(spark):
+    """Matrices made in the task, batch by batch, equal those in the row; sums that are equal in whole numbers tie."""
+    from stemsonde.catalog.vectors import _N, _drawn_heads
+    from stemsonde.catalog.views import PRIME
+    from stemsonde.functions.draws import seeds
+    units = spark.range(90).select("id", F.lit(0).alias("layer"), F.expr("cast(id % 2 as int)").alias("head")).repartition(2)
+    contacts = F.expr("transform(sequence(0, 9), k -> struct(k as r, cast(74 - k as int) as c))")
+    heads = units.select("*", F.when(F.col("head") == 0, seeds("t", F.col("id"))).alias("b"), contacts.alias("contacts"))
+    cells = F.expr(f"transform(sequence(0L, {_N * _N - 1}L), r -> case when b is null then 5.0D else cast(((b[2] * r + b[1]) % {PRIME} * r + b[0]) % {PRIME} as double) end)")
+    keys = ["id", "layer", "head"]
+    a = {r.id: (r.n, r.rho) for r in E.head_agreement(heads, keys, weights=_drawn_heads).collect()}
+    b = {r.id: (r.n, r.rho) for r in E.head_agreement(heads.withColumn("w", cells), keys).collect()}
+    assert a == b and sorted(a) == list(range(0, 90, 2))
+    # as shares of the prime these two sums differ in the last place
+    many = np.random.default_rng(2).integers(1, PRIME // 2, (500, 3)).tolist()
+    p, q, r, s = next((x, y + k, x + k, y) for x, y, k in many if x / PRIME + (y + k) / PRIME != (x + k) / PRIME + y / PRIME)
+    w = np.array([[0, p, r], [q, 0, 1], [s, 1, 0]], np.int64)
+    assert E.rank_agreement(np.array([p + q, r + s, 2.0]), np.array([0])) == pytest.approx(0.5, abs=1e-12)
+    one = spark.createDataFrame([(1, 0, 0, [(0, 1)])], "id long, layer int, head int, contacts array<struct<r: int, c: int>>")
+    got = E.head_agreement(one, keys, weights=lambda batch: np.repeat(w[None], batch.num_rows, axis=0)).collect()
+    assert [(x.n, x.rho) for x in got] == [(3, pytest.approx(0.5, abs=1e-12))]
