@@ -70,6 +70,7 @@ class _Record:
         x = np.asarray(value.field("value").cast(pa.float64()).fill_null(np.nan), np.float64)
         cell = np.asarray(value.field("cell"), np.int64)
         there = ~np.isnan(x)
+        self.listed = len(cell) > 0
         self.cells, at = np.unique(cell[there], return_inverse=True)
         self.sums, self.counts = np.zeros((len(items), len(self.cells))), np.zeros((len(items), len(self.cells)))
         np.add.at(self.sums, (item[there], at), x[there])
@@ -129,6 +130,24 @@ def _whole(by, reps):
     return run
 
 
+def _whole_max(by, reps, share):
+    """Of units that lie whole in a record: the quantile over replicates of the largest ratio of means."""
+    def run(batches):
+        for batch in batches:
+            upper = []
+            for _, record, _ in _records(batch, by):
+                best = []
+                for first, last in replicate_slices(len(record.keys), reps):
+                    n_in, s_in, n_out, s_out = record.totals(record.chosen(first, last))
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        p, u = s_in / n_in, s_out / n_out
+                        ratio = np.where((n_in > 0) & (n_out > 0), np.where(u > 1e-10, p / u, 0.0), 0.0)
+                    best.append(np.maximum(ratio.max(axis=1, initial=0.0), 0.0))
+                upper.append(np.quantile(np.concatenate(best), share) if record.listed else None)
+            yield pa.RecordBatch.from_arrays([*batch.select(list(by)).columns, pa.array(upper, pa.float64())], names=[*by, "upper"])
+    return run
+
+
 def _counted(by, reps):
     def run(batches):
         for batch in batches:
@@ -171,6 +190,23 @@ def chosen_sums(items: DataFrame, by: Sequence[str], group: Column, key: str, ta
     A row of items has a ``key`` unique in its unit ``by``, a group within the unit (null: it keeps its ``own`` state) and
     ``cells``, an array of (cell int, value double); ``take`` is an aggregate over a group, the number to choose of it.
     """
+    packed, sizes, block = _packed(items, by, group, key, take, own, cells, seed, block)
+    return _sums_of(packed, sizes, list(by), reps, block)
+
+
+def chosen_maxima(items: DataFrame, by: Sequence[str], group: Column, key: str, take: Column, own: Column, cells: str, reps: int, seed: str,
+                  share: float, block: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(by…, upper) of units that lie whole in a record, nothing of which is exchanged after packing: that quantile over
+    replicates of the largest mean of the chosen over that of the others; and the sums of ``chosen_sums`` of larger units.
+    A unit without cells has a null."""
+    packed, sizes, block = _packed(items, by, group, key, take, own, cells, seed, block)
+    kinds, lone = dict(packed.dtypes), F.col("__p") == ""
+    head = ", ".join(f"`{b}` {kinds[b]}" for b in by)
+    small = packed.filter(lone).mapInArrow(_whole_max(list(by), reps, share), f"{head}, upper double")
+    return small, _sums_of(packed.filter(~lone), sizes, list(by), reps, block)
+
+
+def _packed(items, by, group, key, take, own, cells, seed, block):
     by, block = list(by), block or BLOCK
     rows = items.select(*by, F.col(key).alias("key"), group.cast("string").alias("grp"), own.alias("own"), F.col(cells).alias("cells"))
     source = items.withColumn("__grp", group.cast("string"))
@@ -186,7 +222,10 @@ def chosen_sums(items: DataFrame, by: Sequence[str], group: Column, key: str, ta
     packed = rows.groupBy(*by, "__p", "__q", "__whole").agg(F.sort_array(F.collect_list(F.struct("key", "grp", "take", "own", "b", "cells"))).alias("items"))
     path = shared_path(items.sparkSession, "records")
     packed.write.parquet(path)
-    packed = items.sparkSession.read.parquet(path)
+    return items.sparkSession.read.parquet(path), sizes, block
+
+
+def _sums_of(packed: DataFrame, sizes: DataFrame, by: list[str], reps: int, block: int) -> DataFrame:
     kinds = dict(packed.dtypes)
     head = ", ".join(f"`{b}` {kinds[b]}" for b in by)
     out = f"{head}, rep int, cell int, n_in double, s_in double, n_out double, s_out double"

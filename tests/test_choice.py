@@ -109,3 +109,18 @@ def test_a_hot_unit_is_spread_over_records(spark):
                                   F.array(F.struct(F.lit(0).alias("cell"), F.lit(1.0).alias("value"))).alias("c"))
     got = {(r.u, r.rep): (r.n_in, r.n_out) for r in choice.chosen_sums(df, ["u"], F.lit("g"), "key", F.floor(F.count(F.lit(1)) / 2), F.lit(False), "c", 5, "s", 64).collect()}
     assert all(got["hot", r] == (1350, 1350) for r in range(1, 6)) and got["u0", 1] == (0, 1)
+
+
+@pytest.mark.parametrize("block", [4096, 60])
+def test_threshold_of_small_units_is_found_in_their_record(spark, dist, block):
+    """The quantile equals that of exchanged replicates, for units below and above a record; invalid layers count for nothing."""
+    rows, df = dist
+    many = df.unionByName(df.filter("pos < 50").withColumn("unit_id", F.lit("v"))).unionByName(df.filter("pos < 5").withColumn("unit_id", F.lit("none")))
+    valid = spark.createDataFrame([("u", 0), ("u", 1), ("v", 1)], "unit_id string, layer int")
+    best = valid.select("unit_id", F.lit(1.0).alias("ratio")).distinct()
+    want = N.null_threshold(N.permutation_null(many, valid, 40, "z"), best)
+    got = N.permutation_threshold(many.repartition(3), valid, 40, "z", block=block)
+    a, b = ({r.unit_id: r.null_95 for r in d.collect()} for d in (want, got))
+    assert sorted(a) == ["u", "v"] and b == {k: pytest.approx(x, abs=1e-12) for k, x in a.items()}
+    small, sums = choice.chosen_maxima(*N._shuffled_items(many, ["unit_id"], "pos", "stratum"), 40, "z", 0.95)
+    assert sums.count() == 0 and small.count() == 3 and "Exchange" not in small._jdf.queryExecution().executedPlan().toString()
