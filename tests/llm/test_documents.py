@@ -1,10 +1,12 @@
 """The operators on documents against plain versions, on a table of awkward rows and on an empty one."""
 
+import hashlib
 import random
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from stemsonde.llm import debruijn, decontam, fertility, langid, minhash, packing, secrets, sharding, suffixes
 from stemsonde.llm.common import Words, sliding
@@ -394,3 +396,18 @@ def test_secret_parts_beside_base_spans_are_masked():
     assert base == [(26, 2, 50)] and every == [(10, 3, 26), (26, 2, 50), (50, 3, 66)]
     assert secrets.masked_text(f"my key is {key} now", every) == f"my key is {secrets.MASK} now"
     assert secrets.uncovered(0, 9, [(0, 0, 3), (2, 1, 5), (7, 2, 12)]) == [(5, 7)] and secrets.uncovered(4, 9, [(0, 0, 2)]) == [(4, 9)]
+
+
+def test_secret_network_learns_from_every_finding(spark, monkeypatch):
+    """More documents than a sample of 6,000 held, and more candidates than 50 of one; their order changes nothing."""
+    key = lambda i: hashlib.sha256(str(i).encode()).hexdigest()[:20].upper()
+    rows = [(i, f"see serial-{i:09d}-of-this now") for i in range(7000)] + [(7000, " ".join(f"password={key(i)}" for i in range(60)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = secrets.findings(df.union(df))  # a copy of a text adds none
+    assert found.count() == 7060 and found.where("label = 1").count() == 60
+    monkeypatch.setattr(secrets, "SHARD", 4000)
+    net, again = secrets.train(df), secrets.train(df.repartition(5).sortWithinPartitions(F.desc("doc_id")))
+    assert net.findings == 7060 and net.threshold == again.threshold and all((a == b).all() for a, b in zip(net.weights, again.weights))
+    more, truth = secrets.generated(np.random.default_rng(1), [], 1000)
+    hit, truth = net.scores(more) >= net.threshold, np.array(truth, bool)
+    assert hit[truth].mean() > 0.9 and hit[~truth].mean() < 0.02
