@@ -519,45 +519,113 @@ def probe(emb: DataFrame, labels: DataFrame, folds: int = 5, c: float = 1.0, max
     """Linear probe per layer: L2 logistic regression over rows, group folds by unit,
     balanced accuracy mean and sd.
 
-    labels(…, label 0/1).  Every fit and every scoring is a distributed job; the
-    driver loops over layers and folds, both bounded by the encoder and the fold
-    count, a few at a time, and sees one recall per class.
+    labels(…, label 0/1).  All fits take their Newton steps together, ``max_iter`` at most, each from one pass over the
+    rows: gradients and Hessians are added up where the rows lie and by Spark, so the driver sees one of a model a step,
+    whatever the number of rows and tasks, and at the end one recall per class.
     """
-    from multiprocessing.pool import ThreadPool
-
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector
-
     rows = emb.join(labels, list(keys))
     plan = fold_plan(rows.groupBy(unit).agg(F.count(F.lit(1)).alias("n")), folds, unit)
     data = rows.join(plan.select(unit, "fold"), unit).select(
-        "layer", "fold", unit, F.col("label").cast("double").alias("label"),
-        array_to_vector(F.col("vec").cast("array<double>")).alias("features")).persist()
+        "layer", "fold", unit, F.col("label").cast("int").alias("label"), F.col("vec").cast("array<double>").alias("vec")).persist()
     seen = data.groupBy("layer").agg(
-        F.countDistinct("label").alias("k"), F.countDistinct("fold").alias("f"), F.count(F.lit(1)).alias("n"),
+        F.countDistinct("label").alias("k"), F.countDistinct("fold").alias("f"), F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("d"),
         F.countDistinct(unit).alias("n_units"), F.array_sort(F.collect_set("fold")).alias("folds")) \
         .filter("k = 2 and f >= 2").orderBy("layer").collect()
-    sizes = {(r["layer"], r["fold"]): r["count"] for r in data.groupBy("layer", "fold").count().collect()}
-
-    def one(task):
-        r, fold = task
-        layer = data.filter(F.col("layer") == r["layer"])
-        n = r["n"] - sizes[(r["layer"], fold)]
-        fit = LogisticRegression(maxIter=max_iter, regParam=1.0 / (c * n), standardization=False) \
-            .fit(layer.filter(F.col("fold") != fold))
-        recall = fit.transform(layer.filter(F.col("fold") == fold)).groupBy("label").agg(
-            F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("recall")).collect()
-        return (r["layer"], fold, float(np.mean([x["recall"] for x in recall])), r["n"], r["n_units"])
-
-    with ThreadPool(4) as pool:
-        scores = pool.map(one, [(r, f) for r in seen for f in r["folds"]])
+    ones = {(r["layer"], r["fold"]): (r["n"], r["ones"]) for r in
+            data.groupBy("layer", "fold").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("ones")).collect()}
+    found = {}
+    for r in seen:
+        for f in r["folds"]:
+            n, k = (sum(ones[(r["layer"], g)][i] for g in r["folds"] if g != f) for i in (0, 1))
+            w = np.zeros(r["d"] + 1)
+            w[-1] = np.inf if k == n else -np.inf if not k else np.log(k / (n - k))
+            found[(r["layer"], f)] = w
+    found |= _newton(data, {m: w for m, w in found.items() if np.isfinite(w[-1])}, c, max_iter)
+    parts = data.select("layer", "fold", "label", "vec").mapInArrow(_hits(found), "layer int, fold int, label int, hits long, n long")
+    recall = parts.groupBy("layer", "fold", "label").agg((F.sum("hits") / F.sum("n")).alias("recall")).groupBy("layer", "fold").agg(F.avg("recall").alias("accuracy"))
+    got = {(r["layer"], r["fold"]): r["accuracy"] for r in recall.collect()}
     data.unpersist()
+    scores = [(r["layer"], f, got[(r["layer"], f)], r["n"], r["n_units"]) for r in seen for f in r["folds"]]
     out = emb.sparkSession.createDataFrame(scores, "layer int, fold int, accuracy double, n_rows long, n_units long")
     return out.groupBy("layer").agg(
         F.avg("accuracy").alias("mean_accuracy"), F.stddev_pop("accuracy").alias("sd_accuracy"),
         F.first("n_rows").alias("n_rows"), F.first("n_units").alias("n_units"))
 
 
+def _by_layer(batches, layers):
+    """Design matrix with a last column of ones, labels and folds of the rows of each of these layers, batch by batch."""
+    for batch in batches:
+        at = np.asarray(batch.column("layer"))
+        for layer in set(at.tolist()) & layers:
+            part = batch.filter(pa.array(at == layer))
+            x = np.asarray(part.column("vec").flatten(), np.float64).reshape(part.num_rows, -1)
+            yield layer, np.hstack([x, np.ones((len(x), 1))]), np.asarray(part.column("label")), np.asarray(part.column("fold"))
+
+
+def _sums(models: dict):
+    """Loss, gradient and Hessian of every model over a partition's rows outside its fold, as rows (layer, fold, at, value)."""
+    def run(batches):
+        total = {}
+        for layer, x, y, fold in _by_layer(batches, {k for k, _ in models}):
+            for (k, f), w in models.items():
+                if k == layer:
+                    xs, ys = x[fold != f], y[fold != f]
+                    z = xs @ w
+                    p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+                    new = np.concatenate([[(np.logaddexp(0, z) - ys * z).sum()], xs.T @ (p - ys), (xs.T @ (xs * (p * (1 - p))[:, None])).reshape(-1)])
+                    total[(k, f)] = total.get((k, f), 0) + new
+        for (k, f), v in total.items():
+            n = len(v)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, k, np.int32)), pa.array(np.full(n, f, np.int32)), pa.array(np.arange(n, dtype=np.int32)), pa.array(v)],
+                                             names=["layer", "fold", "at", "value"])
+    return run
+
+
+def _newton(data: DataFrame, models: dict, c: float, max_iter: int, tol: float = 1e-10) -> dict:
+    """The minimum of each model's log loss plus |w|^2 / 2c (the intercept free), from its start; a step that does not
+    lower it is halved."""
+    slim, best, live = data.select("layer", "fold", "label", "vec"), {}, dict(models)
+    for _ in range(max_iter):
+        if not live:
+            break
+        parts = slim.mapInArrow(_sums(live), "layer int, fold int, at int, value double")
+        sums = parts.groupBy("layer", "fold", "at").agg(F.sum("value").alias("value")).toPandas().sort_values("at")
+        for m, v in sums.groupby(["layer", "fold"])["value"]:
+            w, v = live[m], v.to_numpy()
+            d = len(w)
+            ridge = np.append(np.full(d - 1, 1 / c), 0.0)
+            loss, gradient, hessian = v[0] + (ridge * w * w).sum() / 2, v[1: d + 1] + ridge * w, v[d + 1:].reshape(d, d) + np.diag(ridge + 1e-12)
+            if m in best and not loss <= best[m][1] * (1 + 1e-12):
+                step = best[m][2] / 2
+            else:
+                step = -np.linalg.solve(hessian, gradient)
+                if -gradient @ step <= tol * max(loss, 1.0):
+                    best[m] = (w, loss, step * 0)
+                    del live[m]
+                    continue
+                best[m] = (w, loss, step)
+            best[m] = (*best[m][:2], step)
+            live[m] = best[m][0] + step
+    return {m: w for m, (w, _, _) in best.items()}
+
+
+def _hits(models: dict):
+    """How many rows of each fold and label its model, which has not seen them, tells rightly."""
+    def run(batches):
+        out = {}
+        for layer, x, y, fold in _by_layer(batches, {k for k, _ in models}):
+            for f in set(fold.tolist()):
+                right = ((x[fold == f] @ models[(layer, f)]) > 0) == (y[fold == f] == 1)
+                for label in (0, 1):
+                    mine = right[y[fold == f] == label]
+                    if len(mine):
+                        out[(layer, f, label)] = out.get((layer, f, label), 0) + np.array([mine.sum(), len(mine)])
+        rows = [(*k, *v.tolist()) for k, v in out.items()]
+        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(list(v), t) for v, t in zip(list(zip(*rows)) or [()] * 5, kinds)], names=["layer", "fold", "label", "hits", "n"])
+    return run
+
+
 # ------------------------------------------------------------------ encoder hook
 
 ENCODED = 64  # sequences

@@ -102,3 +102,33 @@ def test_heads_made_where_they_are_read(spark):
     one = spark.createDataFrame([(1, 0, 0, [(0, 1)])], "id long, layer int, head int, contacts array<struct<r: int, c: int>>")
     got = E.head_agreement(one, keys, weights=lambda batch: np.repeat(w[None], batch.num_rows, axis=0)).collect()
     assert [(x.n, x.rho) for x in got] == [(3, pytest.approx(0.5, abs=1e-12))]
+
+
+def test_probe_steps_all_fits_together(spark):
+    """Same optimum as a plain Newton fit; jobs do not grow with layers and folds."""
+    rng = np.random.default_rng(3)
+    rows = [(u, layer, r, rng.normal(size=4).tolist()) for u in range(10) for layer in range(3) for r in range(12)]
+    labels = {(u, layer, r): int(v[0] + 0.7 * rng.normal() > 0.2) for u, layer, r, v in rows}
+    emb = spark.createDataFrame(rows, "unit_id int, layer int, row int, vec array<double>")
+    lab = spark.createDataFrame([(*k, v) for k, v in labels.items()], "unit_id int, layer int, row int, label int")
+    sc, ids = spark.sparkContext, []
+    for group in ("probe-before", "probe-after"):
+        sc.setJobGroup(group, group)
+        spark.range(3).count()
+        ids.append(sc.statusTracker().getJobIdsForGroup(group)[0])
+        if len(ids) == 1:
+            got = {r.layer: r for r in E.probe(emb, lab, keys=("unit_id", "layer", "row")).collect()}
+    assert ids[1] - ids[0] < 100
+    fold = {r.unit_id: r.fold for r in E.fold_plan(emb.groupBy("unit_id").count().withColumnRenamed("count", "n"), 5).collect()}
+    for layer in range(3):
+        x = np.array([[*v, 1.0] for u, k, r, v in rows if k == layer])
+        y = np.array([labels[(u, k, r)] for u, k, r, v in rows if k == layer])
+        f, scores = np.array([fold[u] for u, k, r, v in rows if k == layer]), []
+        for one in range(5):
+            a, b, w, ridge = x[f != one], y[f != one], np.zeros(5), np.diag([1.0] * 4 + [1e-12])
+            for _ in range(30):
+                p = 1 / (1 + np.exp(-a @ w))
+                w = w - np.linalg.solve(a.T @ (a * (p * (1 - p))[:, None]) + ridge, a.T @ (p - b) + ridge @ w)
+            hit = (x[f == one] @ w > 0) == (y[f == one] == 1)
+            scores.append(np.mean([hit[y[f == one] == k].mean() for k in (0, 1) if (y[f == one] == k).any()]))
+        assert abs(got[layer].mean_accuracy - np.mean(scores)) < 1e-9 and got[layer].n_rows == 120
