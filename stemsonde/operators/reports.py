@@ -90,15 +90,15 @@ def repair(units: DataFrame, members: DataFrame, family: str = "family") -> Data
     exact = m.groupBy(family, "sequence").agg(F.min(F.struct("member", "structure")).alias("exact"))
     clean = m.filter(F.col("fraction") <= CLEAN).groupBy(family, F.length("sequence").alias("len")).agg(
         F.min(F.struct("member", "sequence", "structure")).alias("c"))
-    has_clean = clean.select(family).distinct().withColumn("has_clean", F.lit(True))
-    broken = u.filter(F.col("before") > DEFECT).select(UNIT, family, F.length("sequence").alias("own"))
-    gap = F.abs(F.col("len") - F.col("own"))
-    near = broken.join(clean, family).groupBy(UNIT).agg(F.min(F.struct(
-        gap.alias("gap"), F.col("c.member").alias("member"), F.col("c.sequence").alias("sequence"), F.col("c.structure").alias("structure"))).alias("near"))
-    d = (u.join(known, family, "left").join(exact, [family, "sequence"], "left").join(has_clean, family, "left").join(near, UNIT, "left"))
+    # a family's clean ones, one of a length, as one row: units meet them once, and no share is found twice
+    packed = clean.groupBy(family).agg(F.collect_list(F.struct("len", "c")).alias("clean"))
+    gaps = F.transform("clean", lambda x: F.struct(
+        F.abs(x["len"] - F.length("sequence")).alias("gap"), x["c"]["member"].alias("member"), x["c"]["sequence"].alias("sequence"), x["c"]["structure"].alias("structure")))
+    d = (u.join(known, family, "left").join(exact, [family, "sequence"], "left").join(packed, family, "left")
+         .withColumn("has_clean", F.col("clean").isNotNull()).withColumn("near", F.when(F.col("before") > DEFECT, F.array_min(gaps))))
     delta = F.col("near.gap") / F.length("sequence")
     what = (F.when(F.col("before") <= DEFECT, "NO REPAIR").when(F.col("has_seed").isNull(), "DROP")
-            .when(F.col("exact").isNotNull(), "ADOPT STRUCTURE").when(F.col("has_clean").isNull(), "DROP")
+            .when(F.col("exact").isNotNull(), "ADOPT STRUCTURE").when(~F.col("has_clean"), "DROP")
             .when(F.col("keeps_subdomain"), "DROP").when(F.col("keeps_organism"), "DEFER")
             .when(delta > MAX_LENGTH_DELTA, "DROP").otherwise("ADOPT MEMBER"))
     d = d.withColumn("disposition", what)

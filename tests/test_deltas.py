@@ -116,3 +116,8 @@ def test_deltas_are_evaluated_outside_lambdas(spark, sf):
     for df in (N.pair_scores(some, AT), N.decoy_rate(some, N.ALL_TAGS, AT)):
         plan = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
         assert any("md5" in line for line in plan) and not any("md5" in line and "lambda" in line for line in plan)
+
+
+def test_repair_finds_each_share_once(spark, sf):
+    text = plan("r2_repair", spark, sf)
+    assert text.count("Join") == 3 and text.count("aggregate(") == 2  # brackets of units and of members are matched once
