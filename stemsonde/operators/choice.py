@@ -14,6 +14,7 @@ records.  What leaves a record are sums by replicate and cell, never a row for e
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,92 @@ def smallest(draws: np.ndarray, take: int) -> np.ndarray:
     return unique <= np.partition(unique, take - 1, axis=1)[:, take - 1: take]
 
 
+FEW = 8  # items of a group that is put in order by comparing rows
+
+
+@lru_cache(maxsize=8)
+def _powers(first: int, last: int) -> np.ndarray:
+    r = np.arange(first, last + 1, dtype=np.float64)
+    return np.stack([np.ones_like(r), r, r * r])
+
+
+def draw_rows(numbers: np.ndarray, first: int, last: int) -> np.ndarray:
+    """``draw_table`` with a row for each item, as 32-bit numbers.
+
+    Up to replicate 1,447 the polynomial itself and its quotient by ``PRIME`` are exact in floating point.
+    """
+    if last * last + last + 1 >= 1 << 21:
+        return draw_table(numbers, first, last).T.astype(np.int32)
+    value = numbers.astype(np.float64) @ _powers(first, last)
+    turns = np.floor(value / PRIME)
+    turns *= PRIME
+    value -= turns
+    return value.astype(np.int32)
+
+
+@lru_cache(maxsize=None)
+def _exchanges(n: int) -> tuple[tuple[int, int], ...]:
+    """Places to compare in turn so that n rows are put in order (odd-even merging)."""
+    out, p = [], 1
+    while p < n:
+        k = p
+        while k >= 1:
+            out += [(i + j, i + j + k) for j in range(k % p, n - k, 2 * k) for i in range(min(k, n - j - k)) if (i + j) // (2 * p) == (i + j + k) // (2 * p)]
+            k //= 2
+        p *= 2
+    return tuple(out)
+
+
+def _last_chosen(draws: np.ndarray, places: list[np.ndarray], takes: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """For each group of items, a row with its ``takes``-th smallest draw in every replicate; and the replicates in which
+    the next one of some group equals it."""
+    out, tied = np.empty((len(places), draws.shape[1]), np.int32), np.zeros(draws.shape[1], bool)
+    few = [g for g, at in enumerate(places) if len(at) <= FEW]
+    for g in set(range(len(places))).difference(few):
+        rows, k = np.ascontiguousarray(draws[places[g]].T), takes[g]
+        rows = np.sort(rows, axis=1) if rows.shape[1] <= 64 else np.partition(rows, (k - 1, k), axis=1)
+        out[g] = rows[:, k - 1]
+        tied |= rows[:, k] == out[g]
+    if few:
+        most = max(len(places[g]) for g in few)
+        rows = [np.full((len(few), draws.shape[1]), PRIME, np.int32) for _ in range(most)]
+        for k, g in enumerate(few):
+            for row, item in zip(rows, places[g]):
+                row[k] = draws[item]
+        spare = np.empty_like(rows[0])
+        for i, j in _exchanges(most):
+            np.minimum(rows[i], rows[j], out=spare)
+            np.maximum(rows[i], rows[j], out=rows[j])
+            rows[i], spare = spare, rows[i]
+        for k, g in enumerate(few):
+            out[g] = rows[takes[g] - 1][k]
+            tied |= rows[takes[g]][k] == out[g]
+    return out, tied
+
+
+def shuffled_rows(draws: np.ndarray, own: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Which items (rows) are chosen in each replicate: of each group as many as are its ``own``, by the smallest draws and
+    of equal ones the earlier item; items of no group (-1) keep their own state."""
+    item = np.where(own, 1, 0)  # limits 0 and 1: none and all
+    places, takes = [], []
+    for g in np.unique(group[group >= 0]):
+        at = np.flatnonzero(group == g)
+        take = int(own[at].sum())
+        if 0 < take < len(at):
+            item[at] = 2 + len(places)
+            places.append(at)
+            takes.append(take)
+        else:
+            item[at] = take > 0
+    limits, tied = _last_chosen(draws, places, takes)
+    ends = np.repeat(np.array([[-1], [PRIME]], np.int32), draws.shape[1], axis=1)
+    chosen = draws <= np.concatenate([ends, limits])[item]
+    for r in np.flatnonzero(tied):
+        for at, take in zip(places, takes):
+            chosen[at, r] = smallest(draws[at, r][None, :].astype(np.int64), take)[0]
+    return chosen
+
+
 def replicate_slices(items: int, reps: int) -> Iterator[tuple[int, int]]:
     step = max(1, WORK // max(1, items))
     for first in range(1, reps + 1, step):

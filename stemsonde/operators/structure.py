@@ -19,7 +19,7 @@ MIN_CANONICAL = 15
 MIN_ELIGIBLE = 5
 
 
-def spread(units: DataFrame, unit: str = "unit_id") -> DataFrame:
+def spread(units: DataFrame, unit: str | Column = "unit_id") -> DataFrame:
     """Units hashed by name before a stage that makes thousands of cells per unit.
 
     The rows that move are thin, and every later per-unit aggregate finds its
