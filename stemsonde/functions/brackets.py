@@ -120,6 +120,13 @@ def anatomy(sequence: Column, structure: Column) -> Column:
         lambda canon: with_canonical(chars, pairs, canon))))
 
 
+def pairing(sequence: Column, structure: Column) -> Column:
+    """struct(canonical, chars) of the anatomy, without stems."""
+    none = F.array().cast(PAIR_T)
+    return let(symbols(sequence), lambda chars: let(match_pairs(structure), lambda pairs: F.struct(
+        F.when(equal_counts(structure), canonical(pairs, chars)).otherwise(none).alias("canonical"), chars.alias("chars"))))
+
+
 def stems_from_runs(pairs: Column, runs: Column) -> Column:
     """One entry per pair: stem_id, k (position in stem), len, i, j."""
     def one(start, m):

@@ -119,22 +119,24 @@ def places(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def with_draws(df: DataFrame, heads: Column, last: Column, out: str) -> DataFrame:
-    """Adds ``out``, an array for each of the ``heads`` (``draws.draw_head``): draws in [0, 1) of the whole numbers ``last``."""
+    """Adds ``out``, an array for each of the ``heads`` (``draws.draw_head``): draws in [0, 1) of the whole numbers of its list
+    in ``last``."""
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.ArrayType(T.DoubleType())))])
     names = schema.fieldNames()
 
     def run(batches):
         for batch in batches:
-            n_heads, n_last = (np.asarray(batch.column(c).value_lengths().fill_null(0), np.int64) for c in ("__heads", "__last"))
-            for start, end in slabs(n_heads * n_last):
+            n_heads, lists = lists_of(batch.column("__heads"))[0], batch.column("__last")
+            if (lists_of(lists)[0] != n_heads).any():
+                raise ValueError("a list for every head")
+            sizes = np.r_[0, np.cumsum(lists_of(lists.flatten())[0])]
+            ends = np.r_[0, np.cumsum(n_heads)]
+            for start, end in slabs(np.diff(sizes[ends])):
                 part = batch.slice(start, end - start)
-                h, l = n_heads[start:end], n_last[start:end]
-                which, at = places(np.repeat(l, h))
-                row = np.repeat(np.arange(end - start), h)[which]
-                ends = np.asarray(part.column("__last").flatten(), np.int64)
-                got = key_numbers(part.column("__heads").flatten().to_pylist(), which, ends[(np.cumsum(l) - l)[row] + at], 1)[:, 0] / float(SPAN)
-                inner = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.repeat(l, h))], pa.int32()), pa.array(got))
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(h)], pa.int32()), inner)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names[:-1]), lists], names=names)
-
-    return df.withColumns({"__heads": heads, "__last": last.cast("array<bigint>")}).mapInArrow(run, schema)
+                size, numbers = lists_of(part.column("__last").flatten())
+                got = key_numbers(part.column("__heads").flatten().to_pylist(), places(size)[0], np.asarray(numbers, np.int64), 1)[:, 0] / float(SPAN)
+                inner = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)], pa.int32()), pa.array(got))
+                rows = pa.ListArray.from_arrays(pa.array(ends[start: end + 1] - ends[start], pa.int32()), inner)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names[:-1]), rows], names=names)
+
+    return df.withColumns({"__heads": heads, "__last": last.cast("array<array<bigint>>")}).mapInArrow(run, schema)

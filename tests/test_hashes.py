@@ -8,6 +8,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_point
+from stemsonde.catalog.joins import rounded, swiftly_rounded
 from stemsonde.functions.draws import PRIME, draw_head, draw_unit
 from stemsonde.functions.hashes import key_numbers, slabs, with_draws
 from stemsonde.operators import aggregates as G
@@ -37,9 +38,9 @@ def test_slabs_hold_every_row_once():
 def test_draws_beside_a_row_equal_those_of_sql(spark):
     df = spark.createDataFrame([(1, 3), (None, 2), (22, 0)], "id long, n int")
     ends = F.when(F.col("n") > 0, F.sequence(F.lit(0), F.col("n") - 1)).otherwise(F.array().cast("array<int>"))
-    got = with_draws(df, F.array(*[draw_head("d", F.col("id"), F.lit(k)) for k in (0, 7)]), ends, "x")
-    one = lambda k: F.transform(ends, lambda p: draw_unit("d", F.col("id"), F.lit(k), p))
-    want = df.withColumn("x", F.array(one(0), one(7)))
+    got = with_draws(df, F.array(*[draw_head("d", F.col("id"), F.lit(k)) for k in (0, 7)]), F.array(ends, F.slice(ends, 1, 1)), "x")
+    one = lambda k, at: F.transform(at, lambda p: draw_unit("d", F.col("id"), F.lit(k), p))
+    want = df.withColumn("x", F.array(one(0, ends), one(7, F.slice(ends, 1, 1))))
     assert rows(got) == rows(want) and got.columns == ["id", "n", "x"]
 
 
@@ -98,3 +99,49 @@ def test_second_null_makes_values_beside_the_row(spark, sf):
     text = entry_point.queries()["n3_second_order_null"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert not any("md5" in line and "lambda" in line for line in text.splitlines()) and "posexplode" not in text
     assert "MapInArrow" in text.split("Join LeftSemi")[0] and "MapInArrow" not in text.split("Join LeftSemi")[1]
+
+
+def test_pairing_null_equals_a_plain_one(spark):
+    """Units of unlike size, one of a single class, distances that are absent; replicate by replicate against loops."""
+    rng = np.random.default_rng(5)
+    units, plain = [], {}
+    numbers = lambda *parts: [int(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[a: a + 8], 16) % PRIME for a in (0, 8, 16)]
+    for u, n in (("a", 7), ("b", 16), ("c", 1)):
+        left = rng.choice(list("ACGU"), n).tolist() if u != "b" else ["G"] * n
+        pairs = [(k, 2 * n - 1 - k) for k in range(n)]
+        mates = [[b for b in range(n) if (left[b] in "GC") == (left[a] in "GC")] for a in range(n)]
+        lay = []
+        for _ in range(3):
+            sd = [None if rng.random() < 0.2 else float(rng.random()) for _ in range(n)]
+            lay.append((sd, [[None if rng.random() < 0.2 else float(rng.random()) for _ in mates[a]] for a in range(n)]))
+        units.append((u, left + ["N"] * n, pairs, lay))
+        for rep in range(1, 31):
+            draw = lambda tag, x: (lambda b: ((b[2] * rep + b[1]) * rep + b[0]) % PRIME)(numbers("s", u, tag, x))
+            best = None
+            met = []
+            for strong in (True, False):
+                at = [k for k in range(n) if (left[k] in "GC") == strong]
+                met += zip(sorted(at, key=lambda k: draw("L", pairs[k][0])), sorted(at, key=lambda k: draw("R", pairs[k][1])))
+            for sd, dd in lay:
+                one = [x for x in sd if x is not None]
+                two = [x for x in (dd[a][mates[a].index(b)] for a, b in met) if x is not None]
+                if one and two:
+                    best = max(best or 0.0, np.mean(one) / np.mean(two))
+            plain[u, rep] = best
+    df = spark.createDataFrame(units, "unit_id string, chars array<string>, canonical array<struct<i: int, j: int>>, lay array<struct<sd: array<double>, dd: array<array<double>>>>")
+    got = {(r.unit_id, r.rep): r.null_max for r in N.repaired(df, F.col("lay"), 30, "s").collect()}
+    assert got == {k: x if x is None else pytest.approx(x, abs=1e-12) for k, x in plain.items()}
+    assert N.repaired(df.filter("unit_id = 'none'"), F.col("lay"), 30, "s").count() == 0
+
+
+def test_pairing_null_makes_distances_beside_the_row(spark, sf):
+    text = entry_point.queries()["n11_pairing_null"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("md5" in line and "lambda" in line for line in text.splitlines())
+    assert text.count("split(sequence") == 1  # pairs are found once, and not once more by a filter
+
+
+def test_swift_rounding_equals_round(spark):
+    rng = np.random.default_rng(2)
+    x = [*rng.random(500), *(rng.random(500) * 1e6), *(rng.integers(0, 10 ** 6, 300) / 1e4 + 5e-9), *(rng.integers(0, 10 ** 6, 300) / 1e9), 1e300, -1e-12, -0.5, float("inf"), float("nan"), None]
+    df = spark.createDataFrame([(k, None if v is None else float(v)) for k, v in enumerate(x)], "k int, x double")
+    assert str(rows(swiftly_rounded(df, "x", places=8))) == str(rows(rounded(df, "x", places=8)))
