@@ -60,11 +60,27 @@ def draw_rows(numbers: np.ndarray, first: int, last: int) -> np.ndarray:
     """
     if last * last + last + 1 >= 1 << 21:
         return draw_table(numbers, first, last).T.astype(np.int32)
-    value = numbers.astype(np.float64) @ _powers(first, last)
-    turns = np.floor(value / PRIME)
+    return _within(numbers.astype(np.float64) @ _powers(first, last)).astype(np.int32)
+
+
+def _within(value: np.ndarray) -> np.ndarray:
+    """Remainders of ``PRIME`` in place."""
+    turns = value / PRIME
+    np.floor(turns, out=turns)
     turns *= PRIME
     value -= turns
-    return value.astype(np.int32)
+    return value
+
+
+def ordered_items(numbers: np.ndarray, first: int, last: int) -> np.ndarray:
+    """For each replicate (row) the items in order of their draws, of equal ones the earlier first."""
+    exact = last * last + last + 1 < 1 << 21
+    value = _within(_powers(first, last).T @ numbers.T.astype(np.float64)) if exact else draw_table(numbers, first, last).astype(np.float64)
+    bits = (len(numbers) - 1).bit_length()  # a draw and an item's place make one whole number
+    value *= 1 << bits
+    value += np.arange(len(numbers))
+    value.sort(axis=1)
+    return value.astype(np.int64) & (1 << bits) - 1
 
 
 @lru_cache(maxsize=None)

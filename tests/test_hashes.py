@@ -57,6 +57,7 @@ def test_rows_of_items_choose_as_tables_do(n, groups):
                 at = np.flatnonzero(group == g)
                 want[:, at] = choice.smallest(draws[:, at], int(own[at].sum()))
             assert np.array_equal(choice.draw_rows(b, first, last), draws.T)
+            assert np.array_equal(choice.ordered_items(b, first, last), np.argsort(draws, axis=1, kind="stable"))
             assert np.array_equal(choice.shuffled_rows(choice.draw_rows(b, first, last), own, group).T, want)
 
 
